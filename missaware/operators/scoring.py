@@ -190,7 +190,11 @@ def forest_votes_col(forest: ForestModel) -> Column:
 
 def vote_col(votes: Column, n_classes: int) -> Column:
     """Majority of an array of class votes; a tie goes to the smallest class."""
-    counts = [F.size(F.filter(votes, lambda v, k=k: v == F.lit(k))) for k in range(n_classes)]
+
+    def is_class(k: int):
+        return lambda v: v == F.lit(k)
+
+    counts = [F.size(F.filter(votes, is_class(k))) for k in range(n_classes)]
     return argmax_col(F.array(*counts))
 
 
@@ -198,11 +202,37 @@ def forest_predict_col(forest: ForestModel) -> Column:
     return vote_col(forest_votes_col(forest), forest.n_classes)
 
 
+def mean_of(per_tree: list[Column]) -> Column:
+    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in per_tree])
+    return total / F.lit(float(len(per_tree)))
+
+
 def forest_reliance(df: DataFrame, forest: ForestModel) -> DataFrame:
-    """Mean over trees of each tree's reliance; 0.0 without trees."""
+    """Mean over trees of each tree's reliance, one pass over ``df``; 0.0 without trees."""
     if not forest.trees:
-        return df.sparkSession.range(1).select(F.lit(0.0).alias("rho"))
+        return df.agg(F.lit(0.0).alias("rho"))
     available = set(df.columns)
     per_tree = [F.avg(reliance_col(t, available=available).cast("double")) for t in forest.trees]
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in per_tree])
-    return df.agg((total / F.lit(float(len(forest.trees)))).alias("rho"))
+    return df.agg(mean_of(per_tree).alias("rho"))
+
+
+def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:
+    """Per leaf of the scored table: rule text, rows, positives, positive share and reliance.
+
+    One ``groupBy(leaf)`` with map-side partial aggregation; the rule text comes from a
+    literal leaf -> text map (one entry per leaf).
+    """
+    available = set(df.columns)
+    rules = F.create_map(*[x for n in model.leaves() for x in (F.lit(n.node), F.lit(model.rule(n.node)))])
+    scored = df.select(
+        leaf_col(model).alias("leaf"),
+        reliance_col(model, available=available).alias("_r"),
+        F.col(label).alias("_y"),
+    )
+    out = scored.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("positives"),
+        F.round(F.avg(F.col("_y").cast("double")), 6).alias("positive_share"),
+        F.round(F.avg(F.col("_r").cast("double")), 6).alias("rho"),
+    )
+    return out.select("leaf", F.element_at(rules, F.col("leaf")).alias("rule"), "n", "positives", "positive_share", "rho")

@@ -106,6 +106,15 @@ class TreeModel:
             node >>= 1
         return out[::-1]
 
+    def rule(self, leaf: int) -> str:
+        """Conjunction of the tests on the way to a node, e.g. ``a <= 2.5 AND b > 4.0``."""
+        parts = []
+        for a in self.path(leaf)[1:] + [leaf] if leaf > 1 else []:
+            parent = self.nodes[a >> 1]
+            op = "<=" if a % 2 == 0 else ">"
+            parts.append(f"{self.features[parent.feature_idx]} {op} {parent.threshold}")
+        return " AND ".join(parts) if parts else "TRUE"
+
     # ---- persistence -----------------------------------------------------------------
     def node_rows(self) -> list[tuple]:
         rows = []
