@@ -96,22 +96,87 @@ def encode_label(df: DataFrame, column: str, positive, out: str | None = None) -
     return df.withColumn(out or column, F.when(F.col(column) == F.lit(positive), 1).otherwise(0))
 
 
+def fraction_side(u: Column, test_fraction: float) -> Column:
+    """'test' where the per-row uniform is below the fraction, else 'train'."""
+    return F.when(u < F.lit(float(test_fraction)), F.lit("test")).otherwise(F.lit("train"))
+
+
+def split_side(feature: str, threshold: float) -> Column:
+    """'left' for ``f <= t``, 'right' for ``f > t``, null for a null value."""
+    c = F.col(feature)
+    return F.when(c <= F.lit(threshold), F.lit("left")).when(c > F.lit(threshold), F.lit("right"))
+
+
 def split_by_fraction(df: DataFrame, u: Column, test_fraction: float) -> tuple[DataFrame, DataFrame]:
     """Train / test by a per-row uniform; deterministic, no shuffle."""
     cond = u < F.lit(float(test_fraction))
     return df.filter(~cond), df.filter(cond)
 
 
-def split_exact(df: DataFrame, u: Column, n_test: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Exactly ``n_test`` rows in test: the rows with the smallest (u, key).
+def exact_boundary(df: DataFrame, u: Column, n_test: int, key: list[str], accuracy: int = 1_000_000):
+    """The ``n_test``-th smallest ``(u, key)`` tuple, found without a global sort.
 
-    The test side is a top-k (each partition keeps its own k smallest before one merge),
-    then an anti join on the key gives the train side.
+    Approximate quantiles bracket the boundary; one aggregate counts the rows below the
+    bracket; only rows inside the bracket (about ``4 n / accuracy``) are ordered to pick
+    the exact tuple.  Returns None when ``n_test`` is 0 and the largest tuple when it
+    covers every row.
     """
-    ranked = df.withColumn("_u", u)
-    test = ranked.orderBy("_u", *key).limit(n_test)
-    train = ranked.join(test.select(*key), key, "left_anti")
-    return train.drop("_u"), test.drop("_u")
+    if n_test <= 0:
+        return None
+    ranked = df.select(u.alias("_u"), *[F.col(k) for k in key])
+    n = ranked.count()
+    tup = F.struct(F.col("_u"), *[F.col(k) for k in key])
+    if n_test >= n:
+        return ranked.agg(F.max(tup)).first()[0]
+    p = n_test / n
+    eps = 2.0 / accuracy
+    lo_p, hi_p = max(p - eps, 0.0), min(p + eps, 1.0)
+    while True:
+        lo, hi = ranked.agg(F.percentile_approx("_u", [lo_p, hi_p], accuracy)).first()[0]
+        c = ranked.agg(
+            F.count(F.when(F.col("_u") < lo, 1)).alias("below"),
+            F.count(F.when(F.col("_u") <= hi, 1)).alias("upto"),
+        ).first()
+        below, upto = int(c["below"]), int(c["upto"])
+        if lo_p == 0.0:
+            below, lo = 0, None
+        if hi_p == 1.0:
+            upto, hi = n, None
+        if below < n_test <= upto:
+            break
+        lo_p, hi_p = max(lo_p - 4 * eps, 0.0) if below >= n_test else lo_p, min(hi_p + 4 * eps, 1.0) if upto < n_test else hi_p
+        eps *= 4
+    band = ranked
+    if lo is not None:
+        band = band.filter(F.col("_u") >= lo)
+    if hi is not None:
+        band = band.filter(F.col("_u") <= hi)
+    picked = band.orderBy("_u", *key).limit(n_test - below)
+    return picked.agg(F.max(tup)).first()[0]
+
+
+def split_exact_side(df: DataFrame, u: Column, n_test: int, key: list[str], accuracy: int = 1_000_000) -> DataFrame:
+    """Append ``side`` = 'test' for exactly ``n_test`` rows (smallest ``(u, key)``), else 'train'."""
+    b = exact_boundary(df, u, n_test, key, accuracy)
+    if b is None:
+        return df.withColumn("side", F.lit("train"))
+    tup = F.struct(u.alias("_u"), *[F.col(k) for k in key])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    bound = F.struct(
+        F.lit(b[0]).cast("double").alias("_u"),
+        *[F.lit(b[i + 1]).cast(types[k]).alias(k) for i, k in enumerate(key)],
+    )
+    tup = F.struct(u.cast("double").alias("_u"), *[F.col(k) for k in key])
+    return df.withColumn("side", F.when(tup <= bound, F.lit("test")).otherwise(F.lit("train")))
+
+
+def split_exact(df: DataFrame, u: Column, n_test: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Train / test with exactly ``n_test`` test rows; both sides are filters of ``df``."""
+    sided = split_exact_side(df, u, n_test, key)
+    return (
+        sided.filter(F.col("side") == "train").drop("side"),
+        sided.filter(F.col("side") == "test").drop("side"),
+    )
 
 
 def split_rows(df: DataFrame, feature: str, threshold: float) -> tuple[DataFrame, DataFrame]:
