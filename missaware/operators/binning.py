@@ -34,7 +34,7 @@ def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy
 
 def bin_upper_edge(value, cuts):
     """Smallest cut point >= value; +inf above the last cut; null stays null."""
-    first = F.element_at(F.filter(cuts, lambda c: c >= value), 1)
+    first = F.try_element_at(F.filter(cuts, lambda c: c >= value), F.lit(1))
     return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(
         F.coalesce(first, F.lit(float("inf")))
     )

@@ -19,7 +19,7 @@ from missaware.plans.model import ForestModel, Node, TreeModel
 
 def feature_value(model: TreeModel, idx: int) -> Column:
     if model.array_col is not None:
-        return F.element_at(F.col(model.array_col), idx + 1).cast("double")
+        return F.try_element_at(F.col(model.array_col), F.lit(idx + 1)).cast("double")
     return F.col(model.features[idx]).cast("double")
 
 
@@ -28,7 +28,7 @@ def mask_value(model: TreeModel, idx: int, available: set[str] | None = None) ->
     if model.array_col is not None:
         if model.array_mask_col is None:
             return F.lit(0)
-        return F.element_at(F.col(model.array_mask_col), idx + 1).cast("int")
+        return F.try_element_at(F.col(model.array_mask_col), F.lit(idx + 1)).cast("int")
     m = model.masks[idx]
     if m is None or (available is not None and m not in available):
         return F.lit(0)

@@ -233,6 +233,11 @@ class NearEqual:
     atol: float = 1e-8
 
 
+def apart(a: Column, b: Column, tol: NearEqual) -> Column:
+    """Not ``numpy.isclose(a, b)``: ``|a - b| > atol + rtol * |b|``."""
+    return F.abs(a - b) > F.lit(tol.atol) + F.lit(tol.rtol) * F.abs(b)
+
+
 def candidates(
     cum: DataFrame,
     keys: list[str],
@@ -255,8 +260,7 @@ def candidates(
     wr = F.col("_tot_w") - F.col("_wl")
     cond = F.col("_next").isNotNull() & F.col("_v").isNotNull() & (F.col("_wl") > 0) & (wr > 0)
     if near_equal is not None:
-        gap = F.abs(F.col("_v") - F.col("_next"))
-        cond = cond & (gap > F.lit(near_equal.atol) + F.lit(near_equal.rtol) * F.abs(F.col("_next")))
+        cond = cond & apart(F.col("_v"), F.col("_next"), near_equal)
     valid = cum.filter(cond)
     if threshold == "midpoint":
         thr = (F.col("_v") + F.col("_next")) / F.lit(2.0)
@@ -274,6 +278,7 @@ def candidates(
         *keys,
         "_f",
         "_v",
+        "_next",
         thr.alias("_thr"),
         split_score(criterion, left, right, F.col("_wl"), wr).alias("_s"),
         share.alias("_share"),
