@@ -127,3 +127,194 @@ def fit_constant_features(spark, sf_dir):
     """Only a constant feature: no usable cut, so the root stays a leaf."""
     df = fx.fx_a_prepared(spark, sf_dir).withColumn("const_one", F.lit(1.0))
     return _fit(spark, df, ["const_one"], FitParams(max_depth=2, alpha=ALPHA))
+
+
+# ---- alpha re-ranks features ---------------------------------------------------------------
+from missaware.functions.hashing import poisson_cdf  # noqa: E402
+from missaware.plans import experiment  # noqa: E402
+
+ALPHA_FLIP_GRID = [0.0, 0.5, 0.8, 0.9, 1.0]
+ALPHA_SWEEP_GRID = [0.0, 0.001, 0.01, 0.1, 1.0]
+
+
+def _grid_sql(alphas) -> str:
+    return "(VALUES " + ", ".join(f"({sq.lit(a)})" for a in alphas) + ") AS g(alpha)"
+
+
+def _alpha_sql(alphas) -> str:
+    base = (
+        f"WITH prep AS ({fx.FX_A_PREP_SQL}),\n"
+        + sq.chain("prep", fx.FX_A_FEATURES, 2, 0.0, per_feature=True)
+    )
+    return (
+        base
+        + f", ranked AS (SELECT b.*, g.alpha, b.s - g.alpha * b.share AS ps2, row_number() OVER (PARTITION BY g.alpha "
+        "ORDER BY round(b.s - g.alpha * b.share, 12) DESC, b.f ASC, b.thr ASC) AS rk2 FROM best b, "
+        + _grid_sql(alphas)
+        + ") SELECT alpha, fname AS feature, thr AS threshold, round(ps2, 6) AS score, round(share, 6) AS missing_share "
+        "FROM ranked WHERE rk2 = 1"
+    )
+
+
+def _alpha_query(alphas):
+    def fn(spark, sf_dir):
+        df = fx.fx_a_prepared(spark, sf_dir)
+        spec = FeatureSpec.columns(df, fx.FX_A_FEATURES)
+        rows = df.select(*spec.base_cols(), F.col("label").cast("int").alias("_y"), F.lit(1.0).alias("_w"),
+                         F.lit(0).alias("_t"), F.lit(1).cast("bigint").alias("_n"))
+        best = experiment.per_feature_best(rows, spec, 2)
+        won = experiment.apply_alpha_grid(best, alphas)
+        return won.select(
+            "alpha",
+            splits.feature_name(fx.FX_A_FEATURES).alias("feature"),
+            F.col("_thr").alias("threshold"),
+            F.round("_ps", 6).alias("score"),
+            F.round("_share", 6).alias("missing_share"),
+        )
+
+    return fn
+
+
+query("alpha_flip", oracle=_alpha_sql(ALPHA_FLIP_GRID))(_alpha_query(ALPHA_FLIP_GRID))
+query("alpha_sweep_root", oracle=_alpha_sql(ALPHA_SWEEP_GRID))(_alpha_query(ALPHA_SWEEP_GRID))
+
+
+# ---- bootstrap and forests ----------------------------------------------------------------
+N_TREES = 3
+CDF = poisson_cdf()
+
+
+def _count_sql(u: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in CDF) + ")"
+
+
+def _trees_sql(n_trees: int) -> str:
+    return (
+        f"SELECT * FROM (SELECT p.*, CAST(r.t AS INTEGER) AS t, CAST({_count_sql(fx.fx_f_u_sql('r.t'))} AS DOUBLE) AS w "
+        f"FROM ({fx.FX_A_PREP_SQL}) p, range({n_trees}) r(t)) q WHERE w > 0"
+    )
+
+
+@query(
+    "bootstrap_weights",
+    oracle=(
+        f"SELECT CAST(t AS BIGINT) AS tree, count(*) AS n_rows, CAST(sum(w) AS BIGINT) AS total FROM ({_trees_sql(N_TREES)}) b GROUP BY t"
+    ),
+)
+def bootstrap_weights(spark, sf_dir):
+    """Poisson(1) count per (row, tree) from an integer hash: rows drawn and total count."""
+    from missaware.operators import forest
+
+    df = fx.fx_a_prepared(spark, sf_dir)
+    w = forest.bootstrap_counts(df, N_TREES, fx.fx_f_u)
+    return w.groupBy(F.col("_t").cast("bigint").alias("tree")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_count").cast("bigint").alias("total")
+    )
+
+
+def _forest(spark, sf_dir, depth):
+    df = fx.fx_a_prepared(spark, sf_dir)
+    params = FitParams(max_depth=depth, alpha=ALPHA)
+    return _fit(spark, df, fx.FX_A_FEATURES, params, n_trees=N_TREES, bootstrap=True, bootstrap_u=fx.fx_f_u, key_cols=fx.FX_A_KEYS)
+
+
+@query("fit_forest_stumps", oracle=sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 1, trees_sql=_trees_sql(N_TREES)))
+def fit_forest_stumps(spark, sf_dir):
+    """Three bootstrap stumps grown together: one histogram job keyed by tree."""
+    return _forest(spark, sf_dir, 1)
+
+
+@query("fit_forest_d2", oracle=sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, trees_sql=_trees_sql(N_TREES)))
+def fit_forest_d2(spark, sf_dir):
+    return _forest(spark, sf_dir, 2)
+
+
+@query("fit_binned_array")
+def fit_binned_array(spark, sf_dir):
+    """Array features (64 embedding positions with masks), 16 quantile bins, ten classes."""
+    df = fx.fx_d(spark, sf_dir)
+    spec = FeatureSpec.array(df, "embedding", "missing")
+    params = FitParams(max_depth=3, alpha=ALPHA, bins=16)
+    return node_output(spark, fit_forest(df, spec, "label", params))
+
+
+@query("merge_siblings")
+def merge_siblings(spark, sf_dir):
+    """Depth-3 three-class tree with equal-sibling merging on."""
+    df = fx.fx_b_prepared(spark, sf_dir)
+    params = FitParams(max_depth=3, alpha=ALPHA, merge_equal_siblings=True)
+    return _fit(spark, df, fx.FX_B_FEATURES, params)
+
+
+# ---- evaluation and sweeps ------------------------------------------------------------------
+
+def _value_of(features, prefix="p.", name="w.fname"):
+    return f"CASE {name} " + " ".join(f"WHEN '{f}' THEN {prefix}{f}" for f in features) + " END"
+
+
+def _evaluate_sql() -> str:
+    train = f"SELECT * FROM ({fx.FX_A_PREP_SQL}) q WHERE l_orderkey % 2 = 0"
+    test = f"SELECT * FROM ({fx.FX_A_PREP_SQL}) q WHERE l_orderkey % 2 = 1"
+    left = sq.argmax_sql(["w.l0", "w.l1"])
+    right = sq.argmax_sql(["w.r0", "w.r1"])
+    return (
+        f"WITH tr AS ({train}), te AS ({test}),\n"
+        + sq.chain("tr", fx.FX_A_FEATURES, 2, ALPHA)
+        + f", ev AS (SELECT CASE WHEN {_value_of(fx.FX_A_FEATURES)} <= w.thr THEN {left} ELSE {right} END = p.label AS hit, "
+        f"{_value_of([f'missing_{f}' for f in fx.FX_A_FEATURES], name='w.fname').replace('WHEN ' + chr(39) + 'missing_', 'WHEN ' + chr(39))} AS miss "
+        "FROM te p, best w) "
+        "SELECT (SELECT fname FROM best) AS feature, (SELECT thr FROM best) AS threshold, "
+        "(SELECT CAST(nl + nr AS BIGINT) FROM best) AS n_train, count(*) AS n_test, "
+        "round(avg(CAST(hit AS DOUBLE)), 6) AS accuracy, round(avg(CAST(miss AS DOUBLE)), 6) AS rho FROM ev"
+    )
+
+
+@query("evaluate_stump", oracle=_evaluate_sql())
+def evaluate_stump(spark, sf_dir):
+    """Fit a stump on even order keys, score accuracy and reliance on odd ones."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    train = df.filter(F.col("l_orderkey") % 2 == 0)
+    test = df.filter(F.col("l_orderkey") % 2 == 1)
+    model, out = experiment.evaluate(train, test, fx.FX_A_FEATURES, FitParams(max_depth=1, alpha=ALPHA))
+    root = model.root
+    return out.select(
+        F.lit(model.feature_name(root.feature_idx)).cast("string").alias("feature"),
+        F.lit(root.threshold).cast("double").alias("threshold"),
+        F.lit(root.n).cast("bigint").alias("n_train"),
+        "n_test",
+        F.round("accuracy", 6).alias("accuracy"),
+        F.round("rho", 6).alias("rho"),
+    )
+
+
+N_FOLDS = 5
+FOLD_SQL = f"(l_orderkey*7 + l_linenumber) % {N_FOLDS}"
+
+
+def _sweep_sql() -> str:
+    left = sq.argmax_sql(["w.l0", "w.l1"])
+    right = sq.argmax_sql(["w.r0", "w.r1"])
+    masks = "CASE w.fname " + " ".join(f"WHEN '{f}' THEN p.missing_{f}" for f in fx.FX_A_FEATURES) + " END"
+    return (
+        f"WITH fd AS (SELECT *, {FOLD_SQL} AS fold FROM ({fx.FX_A_PREP_SQL}) q), "
+        f"tr AS (SELECT p.*, CAST(r.t AS INTEGER) AS t FROM fd p, range({N_FOLDS}) r(t) WHERE p.fold <> r.t),\n"
+        + sq.chain("tr", fx.FX_A_FEATURES, 2, 0.0, per_feature=True, tree="t")
+        + ", ranked AS (SELECT b.*, g.alpha, row_number() OVER (PARTITION BY b.t, g.alpha ORDER BY round(b.s - g.alpha * b.share, 12) DESC, "
+        + "b.f ASC, b.thr ASC) AS rk2 FROM best b, " + _grid_sql(ALPHA_SWEEP_GRID) + "), "
+        "win AS (SELECT * FROM ranked WHERE rk2 = 1), "
+        f"ev AS (SELECT w.t, w.alpha, CAST(CASE WHEN {_value_of(fx.FX_A_FEATURES)} <= w.thr THEN {left} ELSE {right} END = p.label AS DOUBLE) AS hit, "
+        f"CAST({masks} AS DOUBLE) AS miss FROM fd p JOIN win w ON p.fold = w.t), "
+        "per AS (SELECT t, alpha, avg(hit) AS acc, avg(miss) AS rho FROM ev GROUP BY t, alpha) "
+        "SELECT alpha, round(avg(acc), 6) AS accuracy_mean, round(stddev_samp(acc), 6) AS accuracy_std, "
+        "round(avg(rho), 6) AS rho_mean, round(stddev_samp(rho), 6) AS rho_std, count(*) AS n_runs FROM per GROUP BY alpha"
+    )
+
+
+@query("sweep_summary", oracle=_sweep_sql())
+def sweep_summary(spark, sf_dir):
+    """alpha grid x 5 key-hash folds: accuracy and reliance mean / spread per alpha."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    fold = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % N_FOLDS
+    per = experiment.fold_alpha_sweep(df, fx.FX_A_FEATURES, fold.cast("int"), N_FOLDS, ALPHA_SWEEP_GRID)
+    out = experiment.sweep_summary(per, ["alpha"])
+    return out.select("alpha", *[F.round(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_std", "rho_mean", "rho_std")], "n_runs")
