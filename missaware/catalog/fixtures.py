@@ -31,7 +31,11 @@ def _null_if(cond, value):
 
 
 def fx_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return fx_a_from(table(spark, sf_dir, "lineitem"))
+
+
+def fx_a_from(li: DataFrame) -> DataFrame:
+    """FX_A over any lineitem DataFrame (batch or streaming)."""
     ok, ln, pk, sk = (F.col(c) for c in FX_A_KEYS)
     return li.select(
         *FX_A_KEYS,

@@ -113,9 +113,13 @@ def fold_alpha_sweep(
     small = F.broadcast(winners.withColumnRenamed("_t", "_fold"))
     joined = base.join(small, "_fold")
     pred, rho = stump_columns(spec, n_classes)
-    scored = joined.select("_fold", "alpha", "_f", "_thr", (pred == F.col("_y")).cast("double").alias("_hit"), rho.cast("double").alias("_rho"))
-    return scored.groupBy("_fold", "alpha", "_f", "_thr").agg(
-        F.avg("_hit").alias("accuracy"), F.avg("_rho").alias("rho")
+    n_train = (F.col("_nl") + F.col("_nr")).cast("bigint").alias("n_train")
+    scored = joined.select(
+        "_fold", "alpha", "_f", "_thr", n_train,
+        (pred == F.col("_y")).cast("double").alias("_hit"), rho.cast("double").alias("_rho"),
+    )
+    return scored.groupBy("_fold", "alpha", "_f", "_thr", "n_train").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg("_hit").alias("accuracy"), F.avg("_rho").alias("rho")
     )
 
 

@@ -14,10 +14,22 @@ def write_result(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select(F.inline(kv)).write.mode(mode).csv(path)
 
 
+def write_runs(runs: DataFrame, path: str, run_col: str = "run") -> None:
+    """Many runs at once: one key,value CSV file per distinct ``run_col`` value."""
+    kv = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in RESULT_KEYS])
+    rows = runs.select(F.col(run_col), F.inline(kv))
+    rows.repartition(F.col(run_col)).write.mode("append").partitionBy(run_col).csv(path)
+
+
 def collect_results(spark: SparkSession, path: str) -> DataFrame:
     """All result files of a folder, transposed to one row per file; all but the alias
     become doubles.  One ``groupBy(file)`` with a fixed pivot list (no extra pass)."""
-    raw = spark.read.schema("key string, value string").csv(path).withColumn("_file", F.input_file_name())
+    raw = (
+        spark.read.schema("key string, value string")
+        .option("recursiveFileLookup", True)
+        .csv(path)
+        .withColumn("_file", F.input_file_name())
+    )
     wide = raw.groupBy("_file").pivot("key", RESULT_KEYS).agg(F.first("value"))
     cols = [F.col("estimator_alias")] + [F.col(k).cast("double").alias(k) for k in RESULT_KEYS if k != "estimator_alias"]
     return wide.select(*cols)
