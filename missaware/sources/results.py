@@ -43,5 +43,7 @@ def read_param_grid(spark: SparkSession, path: str, defaults: dict[str, str] | N
     filled = lines
     if defaults:
         dm = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))])
-        filled = lines.select(F.map_concat(dm, F.col("params")).alias("params"))
+        params = F.col("params")
+        missing = F.map_filter(dm, lambda k, v: ~F.map_contains_key(params, k))
+        filled = lines.select(F.map_concat(missing, params).alias("params"))
     return filled
