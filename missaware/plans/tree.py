@@ -254,11 +254,22 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts):
     long_df = spec.unpivot(routed, ["_t", "_n", "_y", "_w"])
     if cuts is not None:
         long_df = binning.bin_long(long_df, cuts, len(spec.features))
-    hist = splits.histogram(long_df, keys, n_classes).persist(StorageLevel.MEMORY_AND_DISK)
+    hist = splits.histogram(long_df, keys, n_classes)
+    # a (node, feature) group has at most as many bins as the node has rows, and every open
+    # node's row count is known here: only look for oversized groups when one could exist
+    largest = max(models[t].nodes[nid].n for t, nid in frontier)
+    check = params.max_window_bins is not None and largest > params.max_window_bins
+    if check:
+        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_groups = len(frontier) * len(spec.features)
         cum = splits.cumulative(
-            hist, keys, n_classes, max_window_bins=params.max_window_bins, n_groups=n_groups
+            hist,
+            keys,
+            n_classes,
+            max_window_bins=params.max_window_bins,
+            n_groups=n_groups,
+            hot_groups=None if check else False,
         )
         cands = splits.candidates(
             cum,
@@ -272,7 +283,8 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts):
         best = splits.best_split(splits.penalised(cands, params.alpha), keys, params.criterion, n_classes)
         return best.collect()
     finally:
-        hist.unpersist()
+        if check:
+            hist.unpersist()
 
 
 def merge_equal_siblings(model: TreeModel) -> TreeModel:
