@@ -288,7 +288,7 @@ def binned_histogram(spark, sf_dir):
     that differ in the last bits."""
     long_df = splits.long_form(_raw_price(spark, sf_dir), ["price"])
     cuts = binning.quantile_cuts(long_df, N_BINS, exact=True)
-    hist = splits.histogram(binning.bin_long(long_df, cuts, 1), ["_t", "_n"], 2)
+    hist = splits.histogram(binning.bin_long(long_df, cuts, 1, N_BINS), ["_t", "_n"], 2)
     return hist.select(
         F.round("_v", 4).alias("bin_edge"),
         F.col("_cnt").alias("n"),

@@ -19,30 +19,46 @@ def fractions(n_bins: int) -> list[float]:
     return [i / n_bins for i in range(1, n_bins)]
 
 
+def padded_size(n_bins: int) -> int:
+    """Smallest power of two above the number of cut points (room for one +inf pad)."""
+    size = 1
+    while size <= n_bins - 1:
+        size *= 2
+    return size
+
+
 def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form."""
+    """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form,
+    padded with +inf to a power-of-two length for the binary search in ``bin_long``."""
     fr = F.array(*[F.lit(x) for x in fractions(n_bins)])
     v = F.col("_v")
     q = F.percentile(v, fr) if exact else F.percentile_approx(v, fractions(n_bins), accuracy)
+    size = padded_size(n_bins)
+    cuts = F.array_sort(F.array_distinct("_cuts"))
+    pad = F.array_repeat(F.lit(float("inf")), F.lit(size) - F.size(cuts))
     return (
         long_df.filter(v.isNotNull())
         .groupBy("_f")
         .agg(q.alias("_cuts"))
-        .select("_f", F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
+        .select("_f", F.concat(cuts, pad).alias("_cuts"))
     )
 
 
-def bin_upper_edge(value, cuts):
-    """Smallest cut point >= value; +inf above the last cut; null stays null."""
-    first = F.try_element_at(F.filter(cuts, lambda c: c >= value), F.lit(1))
-    return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(
-        F.coalesce(first, F.lit(float("inf")))
-    )
+def bin_long(long_df: DataFrame, cuts: DataFrame, n_features: int, n_bins: int) -> DataFrame:
+    """Replace ``_v`` by its bin's upper edge (smallest cut >= value, +inf above the last).
 
-
-def bin_long(long_df: DataFrame, cuts: DataFrame, n_features: int) -> DataFrame:
-    """Replace ``_v`` by its bin's upper edge.  The cut table has one row per feature, a
-    bound known before the job, so it is broadcast when small."""
+    Binary search by halving steps over the padded cut array: ``log2`` steps of
+    ``element_at``, all inside generated code (no per-element lambda).  The cut table has
+    one row per feature, a bound known before the job, so it is broadcast when small.
+    """
     side = F.broadcast(cuts) if n_features <= BROADCAST_ROW_LIMIT else cuts
-    joined = long_df.join(side, "_f", "left")
-    return joined.withColumn("_v", bin_upper_edge(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    out = long_df.join(side, "_f", "left").withColumn("_pos", F.lit(0))
+    step = padded_size(n_bins) // 2
+    while step >= 1:
+        nxt = F.col("_pos") + F.lit(step)
+        out = out.withColumn("_pos", F.when(F.element_at("_cuts", nxt) < F.col("_v"), nxt).otherwise(F.col("_pos")))
+        step //= 2
+    edge = F.when(F.col("_v").isNull(), F.lit(None).cast("double")).otherwise(
+        F.element_at("_cuts", F.col("_pos") + 1)
+    )
+    return out.withColumn("_v", edge).drop("_cuts", "_pos")

@@ -30,6 +30,10 @@ from missaware.operators.scoring import route
 from missaware.plans.model import ForestModel, Node, TreeModel
 
 
+# rows expanded at least this many times per level are spread over all cores
+WIDE_EXPANSION = 64
+
+
 @dataclass
 class FitParams:
     max_depth: int = 3
@@ -153,6 +157,11 @@ def fit_forest(
         F.col(label).cast("int").alias("_y"),
         weight_col.alias("_w"),
     ).filter(F.col("_w") > 0)
+    # every level multiplies each row by the number of features and trees: a wide input
+    # read as few splits must still spread over all cores; a large input is left as it is
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if len(spec.features) * n_trees >= WIDE_EXPANSION and base.rdd.getNumPartitions() < parallelism:
+        base = base.repartition(parallelism)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
@@ -253,7 +262,7 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts):
     routed = rows.withColumn("_n", _fit_route(models, frontier)).filter(F.col("_n").isNotNull())
     long_df = spec.unpivot(routed, ["_t", "_n", "_y", "_w"])
     if cuts is not None:
-        long_df = binning.bin_long(long_df, cuts, len(spec.features))
+        long_df = binning.bin_long(long_df, cuts, len(spec.features), params.bins)
     hist = splits.histogram(long_df, keys, n_classes)
     # a (node, feature) group has at most as many bins as the node has rows, and every open
     # node's row count is known here: only look for oversized groups when one could exist
