@@ -236,3 +236,52 @@ def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFr
         F.round(F.avg(F.col("_r").cast("double")), 6).alias("rho"),
     )
     return out.select("leaf", F.element_at(rules, F.col("leaf")).alias("rule"), "n", "positives", "positive_share", "rho")
+
+
+def dynamic_value(model: TreeModel, idx: Column) -> Column:
+    """Value of the feature whose 0-based index is the column ``idx``."""
+    if model.array_col is not None:
+        return F.try_element_at(F.col(model.array_col), idx + 1).cast("double")
+    return F.try_element_at(F.array(*[F.col(f).cast("double") for f in model.features]), idx + 1)
+
+
+def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) -> DataFrame:
+    """(keys, prediction) by majority vote for forests too large for ``CASE`` expressions.
+
+    Rows x trees descend one level per equi-join with that level's split table (at most
+    trees x 2^depth rows, broadcast below the row limit); a leaf keeps its node.  Votes are
+    counted per (key, class) with map-side partial aggregation; ties go to the smallest
+    class.  ``keys`` must identify rows.
+    """
+    from missaware.operators.splits import BROADCAST_ROW_LIMIT
+
+    spark = df.sparkSession
+    m0 = forest.trees[0]
+    feats = [m0.array_col] if m0.array_col is not None else list(m0.features)
+    n_trees = len(forest.trees)
+    cur = df.select(
+        *keys, *[F.col(c) for c in feats if c not in keys],
+        F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_t"),
+    ).withColumn("_n", F.lit(1).cast("bigint"))
+    depth = max(t.max_depth for t in forest.trees)
+    for k in range(depth):
+        level = [
+            (i, n.node, n.feature_idx, float(n.threshold))
+            for i, t in enumerate(forest.trees)
+            for n in t.nodes.values()
+            if not n.is_leaf and n.depth == k
+        ]
+        if not level:
+            break
+        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
+        side = F.broadcast(table) if len(level) <= BROADCAST_ROW_LIMIT else table
+        cur = cur.join(side, ["_t", "_n"], "left")
+        x = dynamic_value(m0, F.col("_sf"))
+        down = F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
+        cur = cur.withColumn("_n", F.when(F.col("_sf").isNull(), F.col("_n")).otherwise(down)).drop("_sf", "_sthr")
+    leaves = [(i, n.node, n.prediction) for i, t in enumerate(forest.trees) for n in t.leaves()]
+    ltab = spark.createDataFrame(leaves, "_t int, _n bigint, _p int")
+    lside = F.broadcast(ltab) if len(leaves) <= BROADCAST_ROW_LIMIT else ltab
+    votes = cur.join(lside, ["_t", "_n"]).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_p")).alias("_neg"))).alias("_b"))
+    return best.select(*keys, (-F.col("_b._neg")).cast("int").alias("prediction"))

@@ -1,4 +1,4 @@
-"""Estimator surface: ``fit(df) -> model``, ``model.transform(df)``, like MLlib classifiers.
+"""Estimator surface as ``pyspark.ml`` Estimators and Models (usable in Pipelines).
 
     clf = MissAwareTreeClassifier(featureCols=[...], labelCol="label", maxDepth=4, alpha=0.1)
     model = clf.fit(train)              # one Spark job per depth
@@ -7,10 +7,14 @@
 
 Array features (``featuresCol`` of ``ARRAY<DOUBLE>``, ``missingnessCol`` of ``ARRAY<INT>``)
 are the wide-table variant; ``maxBins`` switches to quantile-binned split search.
+``impurity`` ("gini" / "entropy") is accepted as the MLlib name of ``criterion``.
 """
 
 from __future__ import annotations
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,105 +23,153 @@ from missaware.operators.splits import NearEqual
 from missaware.plans.model import ForestModel, TreeModel
 from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
 
+_IMPURITY = {"gini": "gini", "entropy": "info_gain", "info_gain": "info_gain"}
+
+
+def _p(name: str, doc: str, conv) -> Param:
+    return Param(Params._dummy(), name, doc, typeConverter=conv)
+
+
+class _OutputParams(Params):
+    predictionCol = _p("predictionCol", "prediction column", TypeConverters.toString)
+    probabilityCol = _p("probabilityCol", "class probability column (empty: none)", TypeConverters.toString)
+    missingnessRelianceCol = _p("missingnessRelianceCol", "per-row reliance column (empty: none)", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(predictionCol="prediction", probabilityCol="probability", missingnessRelianceCol="rho")
+
+
+class _TreeParams(_OutputParams):
+    featureCols = _p("featureCols", "feature columns; default every column but label, weight and masks", TypeConverters.toListString)
+    labelCol = _p("labelCol", "label column with classes 0..K-1", TypeConverters.toString)
+    weightCol = _p("weightCol", "row weight column; default sample_weight if present, else 1", TypeConverters.toString)
+    maskPrefix = _p("maskPrefix", "prefix of the 0/1 missingness columns", TypeConverters.toString)
+    featuresCol = _p("featuresCol", "ARRAY<DOUBLE> features column (wide variant)", TypeConverters.toString)
+    missingnessCol = _p("missingnessCol", "ARRAY<INT> mask column of featuresCol", TypeConverters.toString)
+    maxDepth = _p("maxDepth", "maximum depth (>= 1)", TypeConverters.toInt)
+    alpha = _p("alpha", "missingness penalty strength (>= 0)", TypeConverters.toFloat)
+    criterion = _p("criterion", "gini or info_gain", TypeConverters.toString)
+    impurity = _p("impurity", "MLlib name of criterion: gini or entropy", TypeConverters.toString)
+    maxBins = _p("maxBins", "quantile bins per feature (0: exact split search)", TypeConverters.toInt)
+    exactBins = _p("exactBins", "exact percentiles for bin edges", TypeConverters.toBoolean)
+    mergeEqualSiblings = _p("mergeEqualSiblings", "merge sibling leaves with equal class shares", TypeConverters.toBoolean)
+    penalty = _p("penalty", "weighted or row_mean missing share", TypeConverters.toString)
+    nearEqualRtol = _p("nearEqualRtol", "skip cuts between near-equal values (with nearEqualAtol; <0: off)", TypeConverters.toFloat)
+    nearEqualAtol = _p("nearEqualAtol", "absolute tolerance for near-equal values", TypeConverters.toFloat)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(
+            labelCol="label", maskPrefix=prep.MASK_PREFIX, maxDepth=3, alpha=1.0, criterion="gini",
+            maxBins=0, exactBins=False, mergeEqualSiblings=False, penalty="weighted",
+            nearEqualRtol=-1.0, nearEqualAtol=1e-8,
+        )
 
-def _spec(df: DataFrame, featureCols, featuresCol, missingnessCol, labelCol, weightCol, maskPrefix) -> FeatureSpec:
-    if featuresCol is not None:
-        return FeatureSpec.array(df, featuresCol, missingnessCol)
-    features = featureCols or prep.discover_features(df, labelCol, weightCol or "sample_weight", maskPrefix)
-    return FeatureSpec.columns(df, features, maskPrefix)
-
-
-class _Base:
-    def __init__(
-        self,
-        featureCols: list[str] | None = None,
-        labelCol: str = "label",
-        weightCol: str | None = None,
-        maskPrefix: str = prep.MASK_PREFIX,
-        featuresCol: str | None = None,
-        missingnessCol: str | None = None,
-        maxDepth: int = 3,
-        alpha: float = 1.0,
-        criterion: str = "gini",
-        nearEqual: tuple[float, float] | None = None,
-        penalty: str = "weighted",
-        mergeEqualSiblings: bool = False,
-        maxBins: int | None = None,
-        exactBins: bool = False,
-    ):
-        self.featureCols = featureCols
-        self.labelCol = labelCol
-        self.weightCol = weightCol
-        self.maskPrefix = maskPrefix
-        self.featuresCol = featuresCol
-        self.missingnessCol = missingnessCol
-        self.params = FitParams(
-            max_depth=maxDepth,
-            alpha=alpha,
-            criterion=criterion,
-            near_equal=NearEqual(*nearEqual) if nearEqual else None,
-            penalty=penalty,
-            merge_equal_siblings=mergeEqualSiblings,
-            bins=maxBins,
-            exact_bins=exactBins,
+    def _opt(self, p: Param):
+        return self.getOrDefault(p) if self.isDefined(p) else None
+
+    def fit_params(self) -> FitParams:
+        crit = self.getOrDefault(self.criterion)
+        if self.isSet(self.impurity):
+            crit = _IMPURITY[self.getOrDefault(self.impurity)]
+        rtol = self.getOrDefault(self.nearEqualRtol)
+        params = FitParams(
+            max_depth=self.getOrDefault(self.maxDepth),
+            alpha=self.getOrDefault(self.alpha),
+            criterion=crit,
+            near_equal=NearEqual(rtol, self.getOrDefault(self.nearEqualAtol)) if rtol >= 0 else None,
+            penalty=self.getOrDefault(self.penalty),
+            merge_equal_siblings=self.getOrDefault(self.mergeEqualSiblings),
+            bins=self.getOrDefault(self.maxBins) or None,
+            exact_bins=self.getOrDefault(self.exactBins),
         )
-        self.params.validate()
+        params.validate()
+        return params
 
-    def _weight(self, df: DataFrame) -> str | None:
-        if self.weightCol:
-            return self.weightCol
+    def weight_of(self, df: DataFrame) -> str | None:
+        w = self._opt(self.weightCol)
+        if w:
+            return w
         return "sample_weight" if "sample_weight" in df.columns else None
 
-    def _spec(self, df: DataFrame) -> FeatureSpec:
-        return _spec(df, self.featureCols, self.featuresCol, self.missingnessCol, self.labelCol, self._weight(df), self.maskPrefix)
+    def spec_of(self, df: DataFrame) -> FeatureSpec:
+        arr = self._opt(self.featuresCol)
+        if arr:
+            return FeatureSpec.array(df, arr, self._opt(self.missingnessCol))
+        label = self.getOrDefault(self.labelCol)
+        prefix = self.getOrDefault(self.maskPrefix)
+        feats = self._opt(self.featureCols) or prep.discover_features(df, label, self.weight_of(df) or "sample_weight", prefix)
+        return FeatureSpec.columns(df, feats, prefix)
 
 
-class MissAwareTreeClassifier(_Base):
+class MissAwareTreeClassifier(Estimator, _TreeParams):
     """Missingness-avoiding decision tree (CART split search with a missing-share penalty)."""
 
-    def fit(self, df: DataFrame) -> "TreeClassifierModel":
-        models = fit_forest(df, self._spec(df), self.labelCol, self.params, weight=self._weight(df))
-        return TreeClassifierModel(models[0])
+    @keyword_only
+    def __init__(self, *, featureCols=None, labelCol="label", weightCol=None, maskPrefix="missing_",
+                 featuresCol=None, missingnessCol=None, maxDepth=3, alpha=1.0, criterion="gini",
+                 impurity=None, maxBins=0, exactBins=False, mergeEqualSiblings=False, penalty="weighted",
+                 nearEqualRtol=-1.0, nearEqualAtol=1e-8, predictionCol="prediction",
+                 probabilityCol="probability", missingnessRelianceCol="rho"):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self.fit_params()
 
+    def _fit(self, dataset: DataFrame) -> "TreeClassifierModel":
+        models = fit_forest(dataset, self.spec_of(dataset), self.getOrDefault(self.labelCol), self.fit_params(), weight=self.weight_of(dataset))
+        return self._copyValues(TreeClassifierModel(models[0]))
 
-class MissAwareForestClassifier(_Base):
-    """Bagged missingness-avoiding trees; all trees grow together, one job per depth."""
 
-    def __init__(self, numTrees: int = 100, bootstrap: bool = True, seed: int = 0, keyCols: list[str] | None = None, maxDepth: int = 10, **kw):
-        super().__init__(maxDepth=maxDepth, **kw)
-        self.numTrees = numTrees
-        self.bootstrap = bootstrap
-        self.seed = seed
-        self.keyCols = keyCols
+class MissAwareForestClassifier(Estimator, _TreeParams):
+    """Bagged missingness-avoiding trees; all trees grow together, one job per depth."""
 
-    def fit(self, df: DataFrame, bootstrap_u=None) -> "ForestClassifierModel":
+    numTrees = _p("numTrees", "number of trees", TypeConverters.toInt)
+    bootstrap = _p("bootstrap", "Poisson(1) bootstrap weights per tree", TypeConverters.toBoolean)
+    seed = _p("seed", "seed of the bootstrap draws", TypeConverters.toInt)
+    keyCols = _p("keyCols", "columns identifying a row (for the bootstrap draw)", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, numTrees=100, bootstrap=True, seed=0, keyCols=None, featureCols=None, labelCol="label",
+                 weightCol=None, maskPrefix="missing_", featuresCol=None, missingnessCol=None, maxDepth=10,
+                 alpha=1.0, criterion="gini", impurity=None, maxBins=0, exactBins=False,
+                 mergeEqualSiblings=False, penalty="weighted", nearEqualRtol=-1.0, nearEqualAtol=1e-8,
+                 predictionCol="prediction", probabilityCol="probability", missingnessRelianceCol="rho"):
+        super().__init__()
+        self._setDefault(numTrees=100, bootstrap=True, seed=0)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self.fit_params()
+
+    def _fit(self, dataset: DataFrame, bootstrap_u=None) -> "ForestClassifierModel":
         models = fit_forest(
-            df,
-            self._spec(df),
-            self.labelCol,
-            self.params,
-            weight=self._weight(df),
-            n_trees=self.numTrees,
-            bootstrap=self.bootstrap,
-            seed=self.seed,
-            key_cols=self.keyCols,
+            dataset,
+            self.spec_of(dataset),
+            self.getOrDefault(self.labelCol),
+            self.fit_params(),
+            weight=self.weight_of(dataset),
+            n_trees=self.getOrDefault(self.numTrees),
+            bootstrap=self.getOrDefault(self.bootstrap),
+            seed=self.getOrDefault(self.seed),
+            key_cols=self._opt(self.keyCols),
             bootstrap_u=bootstrap_u,
         )
-        return ForestClassifierModel(ForestModel(models))
+        return self._copyValues(ForestClassifierModel(ForestModel(models)))
 
 
-class TreeClassifierModel:
+class TreeClassifierModel(Model, _OutputParams):
     def __init__(self, model: TreeModel):
+        super().__init__()
         self.model = model
 
-    def transform(self, df: DataFrame, predictionCol="prediction", probabilityCol="probability", relianceCol="rho", leafCol=None) -> DataFrame:
-        return scoring.transform(df, self.model, predictionCol, probabilityCol, leafCol, relianceCol)
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return df.select("*", scoring.predict_col(self.model).alias("prediction"))
-
-    def predict_proba(self, df: DataFrame) -> DataFrame:
-        return df.select("*", scoring.proba_col(self.model).alias("probability"))
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return scoring.transform(
+            dataset,
+            self.model,
+            self.getOrDefault(self.predictionCol) or None,
+            self.getOrDefault(self.probabilityCol) or None,
+            None,
+            self.getOrDefault(self.missingnessRelianceCol) or None,
+        )
 
     def reliance(self, df: DataFrame, max_depth: int | None = None, sample_mask=None) -> DataFrame:
         return scoring.reliance(df, self.model, max_depth=max_depth, sample_mask=sample_mask)
@@ -126,12 +178,13 @@ class TreeClassifierModel:
         return self.model.node_table(spark)
 
 
-class ForestClassifierModel:
+class ForestClassifierModel(Model, _OutputParams):
     def __init__(self, forest: ForestModel):
+        super().__init__()
         self.forest = forest
 
-    def transform(self, df: DataFrame, predictionCol="prediction") -> DataFrame:
-        return df.select("*", scoring.forest_predict_col(self.forest).alias(predictionCol))
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.select("*", scoring.forest_predict_col(self.forest).alias(self.getOrDefault(self.predictionCol)))
 
     def reliance(self, df: DataFrame) -> DataFrame:
         return scoring.forest_reliance(df, self.forest)

@@ -32,6 +32,8 @@ from missaware.plans.model import ForestModel, Node, TreeModel
 
 # rows expanded at least this many times per level are spread over all cores
 WIDE_EXPANSION = 64
+# models with more nodes than this route rows by per-level joins instead of one CASE
+CASE_NODE_LIMIT = 1024
 
 
 @dataclass
@@ -45,6 +47,7 @@ class FitParams:
     bins: int | None = None
     exact_bins: bool = False
     max_window_bins: int | None = splits.DEFAULT_MAX_WINDOW_BINS
+    route: str = "auto"  # "case" | "join" | "auto" (join above CASE_NODE_LIMIT nodes)
 
     def validate(self) -> None:
         if self.criterion not in CRITERIA:
@@ -55,6 +58,8 @@ class FitParams:
             raise ValueError(f"alpha must be >= 0, got {self.alpha!r}")
         if self.bins is not None and self.bins < 2:
             raise ValueError("bins must be >= 2")
+        if self.route not in ("auto", "case", "join"):
+            raise ValueError(f"route must be 'auto', 'case' or 'join', got {self.route!r}")
 
 
 @dataclass
@@ -89,6 +94,12 @@ class FeatureSpec:
         cols += [F.col(m).cast("int").alias(m) for m in self.masks if m is not None]
         return cols
 
+    def value_at(self, idx: Column) -> Column:
+        """Value of the feature whose index is the column ``idx`` (0-based); null if none."""
+        if self.array_col is not None:
+            return F.try_element_at(F.col(self.array_col), idx + 1).cast("double")
+        return F.try_element_at(F.array(*[F.col(f).cast("double") for f in self.features]), idx + 1)
+
     def unpivot(self, df: DataFrame, keep: list[str]) -> DataFrame:
         if self.array_col is not None:
             return splits.unpivot_arrays(df, self.array_col, self.array_mask_col, keep)
@@ -209,11 +220,13 @@ def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
         cuts = binning.quantile_cuts(long0, params.bins, exact=params.exact_bins)
         cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
 
+    split_levels: list[list[tuple[int, int, int, float]]] = []
     for depth in range(params.max_depth):
         if not frontier:
             break
-        winners = _level_job(rows, models, frontier, spec, params, n_classes, cuts)
+        winners = _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels)
         next_frontier = set()
+        split_levels.append([(int(w["_t"]), int(w["_n"]), int(w["_f"]), float(w["_thr"])) for w in winners])
         for w in winners:
             t, nid = int(w["_t"]), int(w["_n"])
             m = models[t]
@@ -257,9 +270,32 @@ def _fit_route(models: list[TreeModel], frontier: set[tuple[int, int]]) -> Colum
     return out.otherwise(null) if out is not None else null
 
 
-def _level_job(rows, models, frontier, spec, params, n_classes, cuts):
+def _join_route(rows: DataFrame, spec: FeatureSpec, split_levels, frontier) -> DataFrame:
+    """Route rows level by level with one equi-join per depth against that depth's split
+    table (tree, node, feature, threshold).  Each table holds at most trees x 2^depth rows,
+    known on the driver, and is broadcast below the row limit.  Rows in closed leaves find
+    no split and drop out; a final semi join keeps the open nodes of this level."""
+    spark = rows.sparkSession
+    cur = rows.withColumn("_n", F.lit(1).cast("bigint"))
+    for level in split_levels:
+        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
+        side = F.broadcast(table) if len(level) <= splits.BROADCAST_ROW_LIMIT else table
+        cur = cur.join(side, ["_t", "_n"])
+        x = spec.value_at(F.col("_sf"))
+        step = F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
+        cur = cur.withColumn("_n", F.col("_n") * 2 + step).drop("_sf", "_sthr")
+    open_nodes = spark.createDataFrame(sorted(frontier), "_t int, _n bigint")
+    side = F.broadcast(open_nodes) if len(frontier) <= splits.BROADCAST_ROW_LIMIT else open_nodes
+    return cur.join(side, ["_t", "_n"], "left_semi")
+
+
+def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels=()):
     keys = ["_t", "_n"]
-    routed = rows.withColumn("_n", _fit_route(models, frontier)).filter(F.col("_n").isNotNull())
+    n_nodes = sum(len(m.nodes) for m in models)
+    if params.route == "join" or (params.route == "auto" and n_nodes > CASE_NODE_LIMIT):
+        routed = _join_route(rows, spec, split_levels, frontier)
+    else:
+        routed = rows.withColumn("_n", _fit_route(models, frontier)).filter(F.col("_n").isNotNull())
     long_df = spec.unpivot(routed, ["_t", "_n", "_y", "_w"])
     if cuts is not None:
         long_df = binning.bin_long(long_df, cuts, len(spec.features), params.bins)

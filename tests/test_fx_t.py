@@ -113,3 +113,17 @@ def test_scoring_needs_model_features(spark, fx_t):
     m = _fit(fx_t, 0.0, 1)
     with pytest.raises(AnalysisException):
         fx_t.drop("a").select(scoring.predict_col(m)).collect()
+
+
+def test_pipeline_and_mllib_names(fx_t):
+    from pyspark.ml import Pipeline
+
+    from missaware.operators import prep
+
+    arr = prep.assemble(fx_t, ["a", "b"], out="features", mask_out="missing")
+    clf = MissAwareTreeClassifier(featuresCol="features", missingnessCol="missing", impurity="entropy",
+                                  maxDepth=2, alpha=0.9, missingnessRelianceCol="reliance", probabilityCol="")
+    model = Pipeline(stages=[clf]).fit(arr)
+    out = model.transform(arr)
+    assert "reliance" in out.columns and "probability" not in out.columns
+    assert out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] == 1.0

@@ -129,3 +129,24 @@ def test_array_features_binned(spark):
     assert m.n_classes == 10 and m.array_col == "embedding"
     # the array model scores the same table
     assert df.select(scoring.predict_col(m).alias("p")).filter(F.col("p").isNull()).count() == 0
+
+
+def test_join_routing_equals_case_routing(fxa):
+    """Per-level join routing (large forests) grows the same trees as the CASE routing."""
+    spec = FeatureSpec.columns(fxa, FEATS)
+    kw = dict(n_trees=3, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=5)
+    a = fit_forest(fxa, spec, "label", FitParams(max_depth=3, alpha=0.1, route="case"), **kw)
+    b = fit_forest(fxa, spec, "label", FitParams(max_depth=3, alpha=0.1, route="join"), **kw)
+    assert [_shape(t) for t in a] == [_shape(t) for t in b]
+
+
+def test_forest_vote_join_equals_case(spark, fx_t):
+    from missaware.operators.scoring import forest_predict_col, forest_predict_join
+    from missaware.plans.model import ForestModel
+
+    spec = FeatureSpec.columns(fx_t, ["a", "b"])
+    trees = fit_forest(fx_t, spec, "label", FitParams(max_depth=2, alpha=0.1), n_trees=5, bootstrap=True, key_cols=["k"], seed=2)
+    forest = ForestModel(trees)
+    by_case = {r["k"]: r["p"] for r in fx_t.select("k", forest_predict_col(forest).alias("p")).collect()}
+    by_join = {r["k"]: r["prediction"] for r in forest_predict_join(fx_t, forest, ["k"]).collect()}
+    assert by_case == by_join
