@@ -318,3 +318,23 @@ def sweep_summary(spark, sf_dir):
     per = experiment.fold_alpha_sweep(df, fx.FX_A_FEATURES, fold.cast("int"), N_FOLDS, ALPHA_SWEEP_GRID)
     out = experiment.sweep_summary(per, ["alpha"])
     return out.select("alpha", *[F.round(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_std", "rho_mean", "rho_std")], "n_runs")
+
+
+def _alpha_trees_sql(alphas, depth) -> str:
+    parts = [
+        f"SELECT * EXCLUDE (tree), CAST({i} AS BIGINT) AS tree, {sq.lit(a)} AS alpha "
+        f"FROM ({sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, a, depth)}) q{i}"
+        for i, a in enumerate(alphas)
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+@query("alpha_sweep_fit", oracle=_alpha_trees_sql(ALPHA_SWEEP_GRID, 2))
+def alpha_sweep_fit(spark, sf_dir):
+    """A depth-2 tree for every alpha of the grid, all grown in the same per-level jobs."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    params = FitParams(max_depth=2, alphas=tuple(ALPHA_SWEEP_GRID))
+    models = fit_forest(df, FeatureSpec.columns(df, fx.FX_A_FEATURES), "label", params)
+    grid = F.array(*[F.lit(float(a)) for a in ALPHA_SWEEP_GRID])
+    out = node_output(spark, models)
+    return out.withColumn("alpha", F.element_at(grid, F.col("tree").cast("int") + 1))

@@ -28,6 +28,7 @@ from missaware.functions.impurity import CRITERIA
 from missaware.operators import binning, splits
 from missaware.operators.scoring import route
 from missaware.plans.model import ForestModel, Node, TreeModel
+from missaware.session import ensure_checkpoint_dir
 
 
 # rows expanded at least this many times per level are spread over all cores
@@ -48,6 +49,15 @@ class FitParams:
     exact_bins: bool = False
     max_window_bins: int | None = splits.DEFAULT_MAX_WINDOW_BINS
     route: str = "auto"  # "case" | "join" | "auto" (join above CASE_NODE_LIMIT nodes)
+    # one tree per alpha, all grown in the same per-level jobs (tree t uses alphas[t])
+    alphas: tuple[float, ...] | None = None
+    # write the prepared rows to the checkpoint folder instead of caching them
+    checkpoint: bool = False
+
+    def alpha_col(self):
+        if self.alphas is None:
+            return self.alpha
+        return F.element_at(F.array(*[F.lit(float(a)) for a in self.alphas]), F.col("_t") + 1)
 
     def validate(self) -> None:
         if self.criterion not in CRITERIA:
@@ -56,6 +66,8 @@ class FitParams:
             raise ValueError(f"max_depth must be an integer >= 1, got {self.max_depth!r}")
         if self.alpha is None or self.alpha < 0:
             raise ValueError(f"alpha must be >= 0, got {self.alpha!r}")
+        if self.alphas is not None and (not self.alphas or min(self.alphas) < 0):
+            raise ValueError("alphas must be a non-empty list of values >= 0")
         if self.bins is not None and self.bins < 2:
             raise ValueError("bins must be >= 2")
         if self.route not in ("auto", "case", "join"):
@@ -160,6 +172,10 @@ def fit_forest(
     weight, so no row is copied.  ``bootstrap_u(tree_col)`` overrides the uniform draw.
     """
     params.validate()
+    if params.alphas is not None:
+        if bootstrap:
+            raise ValueError("an alpha grid grows one tree per alpha on the same rows; no bootstrap")
+        n_trees = len(params.alphas)
     keys = list(key_cols or [])
     weight_col = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = df.select(
@@ -173,6 +189,12 @@ def fit_forest(
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     if len(spec.features) * n_trees >= WIDE_EXPANSION and base.rdd.getNumPartitions() < parallelism:
         base = base.repartition(parallelism)
+    if params.checkpoint:
+        # reliable copy in the shared checkpoint folder: survives executor loss without
+        # recomputing an expensive preparation
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
+        return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
@@ -325,7 +347,7 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_leve
             threshold="value" if cuts is not None else "midpoint",
             penalty=params.penalty,
         )
-        best = splits.best_split(splits.penalised(cands, params.alpha), keys, params.criterion, n_classes)
+        best = splits.best_split(splits.penalised(cands, params.alpha_col()), keys, params.criterion, n_classes)
         return best.collect()
     finally:
         if check:

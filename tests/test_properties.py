@@ -150,3 +150,14 @@ def test_forest_vote_join_equals_case(spark, fx_t):
     by_case = {r["k"]: r["p"] for r in fx_t.select("k", forest_predict_col(forest).alias("p")).collect()}
     by_join = {r["k"]: r["prediction"] for r in forest_predict_join(fx_t, forest, ["k"]).collect()}
     assert by_case == by_join
+
+
+def test_checkpointed_base_and_alpha_grid(fxa):
+    """A checkpointed base grows the same tree; an alpha grid grows each alpha's tree."""
+    plain = _fit(fxa, max_depth=2, alpha=0.1)
+    ck = _fit(fxa, max_depth=2, alpha=0.1, checkpoint=True)
+    assert _shape(plain) == _shape(ck)
+    spec = FeatureSpec.columns(fxa, FEATS)
+    grid = fit_forest(fxa, spec, "label", FitParams(max_depth=2, alphas=(0.0, 0.1)))
+    assert _shape(grid[1]) == _shape(plain)
+    assert _shape(grid[0]) == _shape(_fit(fxa, max_depth=2, alpha=0.0))
