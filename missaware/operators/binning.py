@@ -62,3 +62,15 @@ def bin_long(long_df: DataFrame, cuts: DataFrame, n_features: int, n_bins: int)
         F.element_at("_cuts", F.col("_pos") + 1)
     )
     return out.withColumn("_v", edge).drop("_cuts", "_pos")
+
+
+def bin_column(value, cuts: list[float]):
+    """Bin upper edge of a column from literal cut points: a ``CASE`` ladder (one compare
+    per cut, inside generated code); +inf above the last cut, null stays null."""
+    real = sorted({c for c in cuts if c != float("inf")})
+    if not real:
+        return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(F.lit(float("inf")))
+    out = F.when(value.isNull(), F.lit(None).cast("double"))
+    for c in real:
+        out = out.when(value <= F.lit(c), F.lit(c))
+    return out.otherwise(F.lit(float("inf")))

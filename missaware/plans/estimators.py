@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from missaware.operators import prep, scoring
 from missaware.operators.splits import NearEqual
 from missaware.plans.model import ForestModel, TreeModel
-from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
+from missaware.plans.tree import CASE_NODE_LIMIT, FeatureSpec, FitParams, fit_forest
 
 _IMPURITY = {"gini": "gini", "entropy": "info_gain", "info_gain": "info_gain"}
 
@@ -153,7 +153,7 @@ class MissAwareForestClassifier(Estimator, _TreeParams):
             key_cols=self._opt(self.keyCols),
             bootstrap_u=bootstrap_u,
         )
-        return self._copyValues(ForestClassifierModel(ForestModel(models)))
+        return self._copyValues(ForestClassifierModel(ForestModel(models), self._opt(self.keyCols)))
 
 
 class TreeClassifierModel(Model, _OutputParams):
@@ -179,12 +179,19 @@ class TreeClassifierModel(Model, _OutputParams):
 
 
 class ForestClassifierModel(Model, _OutputParams):
-    def __init__(self, forest: ForestModel):
+    def __init__(self, forest: ForestModel, key_cols: list[str] | None = None):
         super().__init__()
         self.forest = forest
+        self.key_cols = key_cols
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.select("*", scoring.forest_predict_col(self.forest).alias(self.getOrDefault(self.predictionCol)))
+        out = self.getOrDefault(self.predictionCol)
+        n_nodes = sum(len(t.nodes) for t in self.forest.trees)
+        if n_nodes > CASE_NODE_LIMIT and self.key_cols:
+            # too large for one projection: vote by per-level joins, then attach by key
+            votes = scoring.forest_predict_join(dataset, self.forest, self.key_cols)
+            return dataset.join(votes.withColumnRenamed("prediction", out), self.key_cols)
+        return dataset.select("*", scoring.forest_predict_col(self.forest).alias(out))
 
     def reliance(self, df: DataFrame) -> DataFrame:
         return scoring.forest_reliance(df, self.forest)

@@ -237,16 +237,27 @@ def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
         if m.nodes[1].weight > 0 and not _is_pure(m.nodes[1].class_weights)
     }
     cuts = None
+    binned = False
     if params.bins is not None:
         long0 = spec.unpivot(base, [])
         cuts = binning.quantile_cuts(long0, params.bins, exact=params.exact_bins)
-        cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
+        if spec.array_col is None:
+            # named columns: one cut list per feature (bounded by features x bins) becomes a
+            # literal CASE ladder over the cached rows; levels then run as in exact mode
+            by_feature = {int(r["_f"]): list(r["_cuts"]) for r in cuts.collect()}
+            rows = rows.withColumns(
+                {f: binning.bin_column(F.col(f), by_feature.get(i, [])) for i, f in enumerate(spec.features)}
+            )
+            cuts = None
+        else:
+            cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
+        binned = True
 
     split_levels: list[list[tuple[int, int, int, float]]] = []
     for depth in range(params.max_depth):
         if not frontier:
             break
-        winners = _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels)
+        winners = _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels, binned)
         next_frontier = set()
         split_levels.append([(int(w["_t"]), int(w["_n"]), int(w["_f"]), float(w["_thr"])) for w in winners])
         for w in winners:
@@ -311,7 +322,7 @@ def _join_route(rows: DataFrame, spec: FeatureSpec, split_levels, frontier) -> D
     return cur.join(side, ["_t", "_n"], "left_semi")
 
 
-def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels=()):
+def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels=(), binned=False):
     keys = ["_t", "_n"]
     n_nodes = sum(len(m.nodes) for m in models)
     if params.route == "join" or (params.route == "auto" and n_nodes > CASE_NODE_LIMIT):
@@ -344,7 +355,7 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_leve
             n_classes,
             params.criterion,
             params.near_equal,
-            threshold="value" if cuts is not None else "midpoint",
+            threshold="value" if binned else "midpoint",
             penalty=params.penalty,
         )
         best = splits.best_split(splits.penalised(cands, params.alpha_col()), keys, params.criterion, n_classes)
