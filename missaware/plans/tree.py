@@ -31,9 +31,8 @@ from missaware.plans.model import ForestModel, Node, TreeModel
 from missaware.session import ensure_checkpoint_dir
 
 
-# rows expanded at least this many times per level are spread over all cores
-WIDE_EXPANSION = 64
-# models with more nodes than this route rows by per-level joins instead of one CASE
+# a single tree with more nodes than this routes rows by per-level joins instead of one CASE;
+# forests always route by joins (a CASE per tree would be evaluated tree by tree)
 CASE_NODE_LIMIT = 1024
 
 
@@ -48,7 +47,7 @@ class FitParams:
     bins: int | None = None
     exact_bins: bool = False
     max_window_bins: int | None = splits.DEFAULT_MAX_WINDOW_BINS
-    route: str = "auto"  # "case" | "join" | "auto" (join above CASE_NODE_LIMIT nodes)
+    route: str = "auto"  # "case" | "join" | "auto" (join for forests and above CASE_NODE_LIMIT)
     # one tree per alpha, all grown in the same per-level jobs (tree t uses alphas[t])
     alphas: tuple[float, ...] | None = None
     # write the prepared rows to the checkpoint folder instead of caching them
@@ -184,10 +183,10 @@ def fit_forest(
         F.col(label).cast("int").alias("_y"),
         weight_col.alias("_w"),
     ).filter(F.col("_w") > 0)
-    # every level multiplies each row by the number of features and trees: a wide input
-    # read as few splits must still spread over all cores; a large input is left as it is
+    # every level multiplies each row by the number of features and trees: an input read as
+    # fewer splits than cores must still spread over all of them; a large input is left as is
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if len(spec.features) * n_trees >= WIDE_EXPANSION and base.rdd.getNumPartitions() < parallelism:
+    if base.rdd.getNumPartitions() < parallelism:
         base = base.repartition(parallelism)
     if params.checkpoint:
         # reliable copy in the shared checkpoint folder: survives executor loss without
@@ -325,7 +324,8 @@ def _join_route(rows: DataFrame, spec: FeatureSpec, split_levels, frontier) -> D
 def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels=(), binned=False):
     keys = ["_t", "_n"]
     n_nodes = sum(len(m.nodes) for m in models)
-    if params.route == "join" or (params.route == "auto" and n_nodes > CASE_NODE_LIMIT):
+    auto_join = len(models) > 1 or n_nodes > CASE_NODE_LIMIT
+    if params.route == "join" or (params.route == "auto" and auto_join):
         routed = _join_route(rows, spec, split_levels, frontier)
     else:
         routed = rows.withColumn("_n", _fit_route(models, frontier)).filter(F.col("_n").isNotNull())
