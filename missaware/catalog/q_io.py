@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from missaware.catalog import fixtures as fx
 from missaware.catalog import fxmodel as fm
 from missaware.catalog import sqlsplit as sq
-from missaware.catalog.q_fit import ALPHA, ALPHA_SWEEP_GRID, _grid_sql, _value_of, node_output
+from missaware.catalog.q_fit import ALPHA, ALPHA_SWEEP_GRID, N_TREES, _grid_sql, _trees_sql, _value_of, node_output
 from missaware.catalog.registry import query
 from missaware.operators import scoring
 from missaware.plans import experiment
@@ -84,9 +84,9 @@ def _fit_a(spark, sf_dir, depth=2):
     return fit_forest(df, FeatureSpec.columns(df, fx.FX_A_FEATURES), "label", FitParams(max_depth=depth, alpha=ALPHA))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", oracle=sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2))
 def model_roundtrip(spark, sf_dir):
-    """Fitted tree saved (node table + metadata) and loaded back."""
+    """Fitted tree saved (node table + metadata) and loaded back: the fitted node table."""
     model = _fit_a(spark, sf_dir)[0]
     path = scratch_path(spark, "model")
     model_io.save_tree(spark, model, path)
@@ -94,12 +94,16 @@ def model_roundtrip(spark, sf_dir):
     return node_output(spark, [model_io.load_tree(spark, path)])
 
 
-@query("forest_roundtrip")
+@query(
+    "forest_roundtrip",
+    oracle=sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, trees_sql=_trees_sql(N_TREES)),
+)
 def forest_roundtrip(spark, sf_dir):
+    """Three bootstrap trees saved as one node table and loaded back."""
     df = fx.fx_a_prepared(spark, sf_dir)
     trees = fit_forest(
         df, FeatureSpec.columns(df, fx.FX_A_FEATURES), "label", FitParams(max_depth=2, alpha=ALPHA),
-        n_trees=3, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=1,
+        n_trees=N_TREES, bootstrap=True, key_cols=fx.FX_A_KEYS, bootstrap_u=fx.fx_f_u,
     )
     from missaware.plans.model import ForestModel
 
@@ -108,17 +112,23 @@ def forest_roundtrip(spark, sf_dir):
     return node_output(spark, model_io.load_forest(spark, path).trees)
 
 
-@query("node_table")
+_NODE_TABLE_SQL = (
+    "SELECT CAST(tree AS INTEGER) AS tree, node, CASE WHEN node > 1 THEN node // 2 END AS parent, "
+    "CASE WHEN node > 1 THEN node % 2 = 0 END AS is_left, CAST(depth AS INTEGER) AS depth, feature, threshold, n, "
+    "weight, weight_0, weight_1, CAST(prediction AS INTEGER) AS prediction, is_leaf "
+    f"FROM ({sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, class_weights=True)}) q"
+)
+
+
+@query("node_table", oracle=_NODE_TABLE_SQL)
 def node_table(spark, sf_dir):
-    """Fitted tree as rows: node, parent, side, rule, split and class weights."""
+    """Fitted tree as rows: node, parent, side, split, weight and class weights."""
     model = _fit_a(spark, sf_dir)[0]
     nt = model.node_table(spark)
-    rules = F.create_map(*[x for nid in model.nodes for x in (F.lit(nid), F.lit(model.rule(nid)))])
     return nt.select(
         "tree", "node",
         F.when(F.col("node") > 1, F.shiftright("node", 1)).alias("parent"),
         F.when(F.col("node") > 1, F.col("node") % 2 == 0).alias("is_left"),
-        F.element_at(rules, F.col("node")).alias("rule"),
         "depth", "feature", "threshold", "n", "weight",
         F.col("class_weights")[0].alias("weight_0"), F.col("class_weights")[1].alias("weight_1"),
         "prediction", "is_leaf",

@@ -201,8 +201,20 @@ def split_rows(spark, sf_dir):
     return sided.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("sample_weight").alias("weight"))
 
 
-@query("assemble_arrays")
+def _assemble_sql() -> str:
+    parts = [
+        f"SELECT {A_KEYS}, CAST({i} AS INTEGER) AS pos, {f} AS value, missing_{f} AS missing, label FROM prep"
+        for i, f in enumerate(fx.FX_A_FEATURES)
+    ]
+    return f"WITH prep AS ({fx.FX_A_PREP_SQL}) " + " UNION ALL ".join(parts)
+
+
+@query("assemble_arrays", oracle=_assemble_sql())
 def assemble_arrays(spark, sf_dir):
-    """Features and masks packed into ARRAY<DOUBLE> / ARRAY<INT> columns."""
+    """Features and masks packed into ARRAY<DOUBLE> / ARRAY<INT> columns (shown exploded)."""
     df = fx.fx_a_prepared(spark, sf_dir)
-    return prep.assemble(df, fx.FX_A_FEATURES).select(*fx.FX_A_KEYS, "features", "missing", "label")
+    packed = prep.assemble(df, fx.FX_A_FEATURES).select(*fx.FX_A_KEYS, "features", "missing", "label")
+    zipped = F.arrays_zip(F.col("features").alias("value"), F.col("missing").alias("missing"))
+    return packed.select(*fx.FX_A_KEYS, F.posexplode(zipped).alias("pos", "z"), "label").select(
+        *fx.FX_A_KEYS, "pos", "z.value", "z.missing", "label"
+    )

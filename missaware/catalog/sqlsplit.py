@@ -125,8 +125,10 @@ def fit_sql(
     criterion: str = "gini",
     weight: str = "1.0",
     trees_sql: str | None = None,
+    class_weights: bool = False,
 ) -> str:
-    """Whole level-wise fit as one SQL statement returning the node table.
+    """Whole level-wise fit as one SQL statement returning the node table
+    (with ``weight_<k>`` class-weight columns when ``class_weights``).
 
     ``trees_sql``: a SELECT giving ``t`` and ``w`` for each (prep row, tree) with positive
     weight (forests); default one tree with weight ``weight``.
@@ -158,8 +160,9 @@ def fit_sql(
     parts = [
         f"SELECT CAST(r.t AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth, b.fname AS feature, "
         f"b.thr AS threshold, CAST(r.n AS BIGINT) AS n, r.w AS weight, CAST({argmax_root} AS BIGINT) AS prediction, "
-        f"round(b.ps, 6) AS score, round(b.share, 6) AS missing_share, b.fname IS NULL AS is_leaf "
-        f"FROM root r LEFT JOIN l0_best b ON r.t = b.t AND b.node = 1"
+        f"round(b.ps, 6) AS score, round(b.share, 6) AS missing_share, b.fname IS NULL AS is_leaf"
+        + "".join(f", r.c{c} AS weight_{c}" for c in range(k) if class_weights)
+        + " FROM root r LEFT JOIN l0_best b ON r.t = b.t AND b.node = 1"
     ]
     for d in range(depth):
         lcols = ", ".join(f"l{c} AS c{c}" for c in range(k))
@@ -180,6 +183,7 @@ def fit_sql(
             + feat.split(", ")[0] + ", " + feat.split(", ")[1]
             + f", CAST(c.n AS BIGINT), c.w, CAST({am} AS BIGINT), "
             + ", ".join(feat.split(", ")[2:])
+            + "".join(f", c.c{c}" for c in range(k) if class_weights)
             + f" FROM ({kids}) c {join}"
         )
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
