@@ -127,3 +127,20 @@ def test_pipeline_and_mllib_names(fx_t):
     out = model.transform(arr)
     assert "reliance" in out.columns and "probability" not in out.columns
     assert out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] == 1.0
+
+
+def test_merge_equal_siblings():
+    from missaware.plans.model import TreeModel
+    from missaware.plans.tree import merge_equal_siblings
+
+    m = TreeModel.literal(
+        ["a", "b"],
+        {1: ("a", 3.0), 2: ("b", 4.0), 3: ("b", 6.5)},
+        {4: [0.5, 0.5], 5: [0.5, 0.5], 6: [0.0, 1.0], 7: [1.0, 0.0]},
+    )
+    # node 2's children have equal class shares: node 2 becomes a leaf; node 3 keeps its split
+    m.nodes[2].class_weights, m.nodes[2].weight = [1.0, 1.0], 2.0
+    merge_equal_siblings(m)
+    assert sorted(m.nodes) == [1, 2, 3, 6, 7]
+    assert m.nodes[2].is_leaf and m.nodes[2].probability == [0.5, 0.5]
+    assert not m.nodes[3].is_leaf
