@@ -27,9 +27,13 @@ def padded_size(n_bins: int) -> int:
     return size
 
 
-def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy: int | None = None) -> DataFrame:
     """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form,
-    padded with +inf to a power-of-two length for the binary search in ``bin_long``."""
+    padded with +inf to a power-of-two length for the binary search in ``bin_long``.
+
+    The sketch accuracy defaults to ``max(1000, 32 * n_bins)``: a rank error of about 1/32 of
+    a bin, with a sketch per feature small enough for very many features."""
+    accuracy = accuracy if accuracy is not None else max(1000, 32 * n_bins)
     fr = F.array(*[F.lit(x) for x in fractions(n_bins)])
     v = F.col("_v")
     q = F.percentile(v, fr) if exact else F.percentile_approx(v, fractions(n_bins), accuracy)
