@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from missaware.catalog import fixtures as fx
 from missaware.catalog import sqlsplit as sq
 from missaware.catalog.registry import query
+from missaware.functions.hashing import poisson_cdf
 from missaware.operators import splits
+from missaware.plans import experiment
 from missaware.plans.model import ForestModel
 from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
 
@@ -130,8 +132,6 @@ def fit_constant_features(spark, sf_dir):
 
 
 # ---- alpha re-ranks features ---------------------------------------------------------------
-from missaware.functions.hashing import poisson_cdf  # noqa: E402
-from missaware.plans import experiment  # noqa: E402
 
 ALPHA_FLIP_GRID = [0.0, 0.5, 0.8, 0.9, 1.0]
 ALPHA_SWEEP_GRID = [0.0, 0.001, 0.01, 0.1, 1.0]

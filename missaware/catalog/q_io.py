@@ -11,7 +11,6 @@ from missaware.catalog import fxmodel as fm
 from missaware.catalog import sqlsplit as sq
 from missaware.catalog.q_fit import ALPHA, ALPHA_SWEEP_GRID, N_TREES, _grid_sql, _trees_sql, _value_of, node_output
 from missaware.catalog.registry import query
-from missaware.operators import scoring
 from missaware.plans import experiment
 from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
 from missaware.session import scratch_path, table
@@ -171,5 +170,3 @@ def stream_predict(spark, sf_dir):
     scored = stream_scoring.score_stream(_lineitem_stream(spark, sf_dir), fm.fx_m(), fx.FX_A_KEYS)
     return stream_scoring.run_available(spark, scored, f"stream_predict_{uuid.uuid4().hex[:8]}", "append")
 
-
-del scoring

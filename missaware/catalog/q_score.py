@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from missaware.catalog import fixtures as fx
 from missaware.catalog import fxmodel as fm
 from missaware.catalog.registry import query
-from missaware.catalog.sqlsplit import argmax_sql, lit
+from missaware.catalog.sqlsplit import argmax_sql
 from missaware.operators import scoring
 
 KEYS = fx.FX_A_KEYS
@@ -226,5 +226,3 @@ def leaf_report(spark, sf_dir):
         "leaf", "rule", "n", "positives", "positive_share", "rho"
     )
 
-
-del lit

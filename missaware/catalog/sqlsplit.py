@@ -52,9 +52,10 @@ def score_sql(criterion: str, k: int) -> str:
         sq_l = _sum([f"l{c} * l{c}" for c in range(k)])
         sq_r = _sum([f"r{c} * r{c}" for c in range(k)])
         return f"(({sq_l}) / wl + ({sq_r}) / wr) / (wl + wr) - 1.0"
-    ent = lambda side, tot: "(" + _sum(
-        [f"CASE WHEN {side}{c} > 0 THEN -({side}{c} / {tot}) * log2({side}{c} / {tot}) ELSE 0.0 END" for c in range(k)]
-    ) + ")"
+    def ent(side: str, tot: str) -> str:
+        terms = [f"CASE WHEN {side}{c} > 0 THEN -({side}{c} / {tot}) * log2({side}{c} / {tot}) ELSE 0.0 END" for c in range(k)]
+        return "(" + _sum(terms) + ")"
+
     return f"-(wl * {ent('l', 'wl')} + wr * {ent('r', 'wr')}) / (wl + wr)"
 
 
