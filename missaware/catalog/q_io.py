@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from missaware.catalog import fixtures as fx
@@ -170,3 +171,61 @@ def stream_predict(spark, sf_dir):
     scored = stream_scoring.score_stream(_lineitem_stream(spark, sf_dir), fm.fx_m(), fx.FX_A_KEYS)
     return stream_scoring.run_available(spark, scored, f"stream_predict_{uuid.uuid4().hex[:8]}", "append")
 
+
+
+# ---- local frames and experiment grids ---------------------------------------------------------
+
+_CLASS_SUMMARY_SQL = (
+    f"WITH prep AS ({fx.FX_A_PREP_SQL}) SELECT label, count(*) AS n, "
+    + ", ".join(f"round(avg({f}), 6) AS mean_{f}, CAST(sum(missing_{f}) AS BIGINT) AS missing_{f}" for f in fx.FX_A_FEATURES)
+    + " FROM prep GROUP BY label"
+)
+
+
+@query("fixture_rows", oracle=_CLASS_SUMMARY_SQL)
+def fixture_rows(spark, sf_dir):
+    """A local (pandas) frame turned into a DataFrame through Arrow: the per-class summary of
+    FX_A, aggregated by Spark (one row per class), taken to pandas and back."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for f in fx.FX_A_FEATURES:
+        aggs += [F.round(F.avg(f), 6).alias(f"mean_{f}"), F.sum(f"missing_{f}").cast("bigint").alias(f"missing_{f}")]
+    local = df.groupBy("label").agg(*aggs).toPandas()  # bounded: one row per class
+    return spark.createDataFrame(local)
+
+
+_GRID_FOLDS = 5
+
+
+def _grid_sql() -> str:
+    grid = ", ".join(f"({sq.lit(a)})" for a in ALPHA_SWEEP_GRID)
+    return (
+        f"WITH fd AS (SELECT (l_orderkey*7 + l_linenumber) % {_GRID_FOLDS} AS fold FROM ({fx.FX_A_PREP_SQL}) q), "
+        "tr AS (SELECT r.t AS seed, count(*) AS n_train FROM fd, range(" + str(_GRID_FOLDS) + ") r(t) WHERE fd.fold <> r.t GROUP BY r.t) "
+        f"SELECT '{RUN_ALIAS}' AS estimator_alias, CAST(n_train AS DOUBLE) AS n_train, CAST(20 AS DOUBLE) AS n_features, "
+        f"CAST(1 AS DOUBLE) AS max_depth, g.alpha AS alpha, CAST(seed AS DOUBLE) AS seed FROM tr, (VALUES {grid}) AS g(alpha)"
+    )
+
+
+@query("param_grid", oracle=_grid_sql())
+def param_grid(spark, sf_dir):
+    """The fold x alpha experiment grid of the sweep written as ``k=v`` text lines (no
+    ``n_features``: the reader's default 20 applies) and parsed back with typed columns."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    fold = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % _GRID_FOLDS
+    per_fold = df.select(fold.alias("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # five rows
+    runs = per_fold.select(F.col("fold").alias("seed"), (total - F.col("n")).alias("n_train"))
+    runs = runs.select("*", F.explode(F.array(*[F.lit(float(a)) for a in ALPHA_SWEEP_GRID])).alias("alpha"))
+    line = F.format_string(
+        f"estimator_alias={RUN_ALIAS} n_train=%d max_depth=1 alpha=%s seed=%d",
+        F.col("n_train"), F.col("alpha").cast("string"), F.col("seed"),
+    )
+    path = scratch_path(spark, "grid")
+    runs.select(line.alias("value")).write.text(path)
+    grid = results_io.read_param_grid(spark, path)
+    p = F.col("params")
+    return grid.select(
+        p["estimator_alias"].alias("estimator_alias"),
+        *[p[k].cast("double").alias(k) for k in ("n_train", "n_features", "max_depth", "alpha", "seed")],
+    )
