@@ -38,8 +38,8 @@ def _sf(path: str) -> float | str:
         return tail
 
 
-def fit_rows(spark, bins=None):
-    df = fx.fx_a_prepared(spark, SF_DIR)
+def fit_rows(spark, bins=None, sf_dir=None):
+    df = fx.fx_a_prepared(spark, sf_dir or SF_DIR)
     spec = FeatureSpec.columns(df, fx.FX_A_FEATURES)
     fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, bins=bins))
 
@@ -71,7 +71,11 @@ def score(spark):
     df.agg(F.avg(hit), F.avg(scoring.reliance_col(m).cast("double"))).collect()
 
 
+SMALLER = [d for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01") if os.path.isdir(d) and os.path.normpath(d) != os.path.normpath(SF_DIR)]
+
 BENCH = {
+    # rows sweep (the reference's first experiment): the same fit at growing scale factors
+    **{f"fit_rows_d4_exact_{os.path.basename(d)}": (lambda s, d=d: fit_rows(s, sf_dir=d)) for d in SMALLER},
     "fit_rows_d4_exact": lambda s: fit_rows(s),
     "fit_rows_d4_binned32": lambda s: fit_rows(s, bins=32),
     "fit_features_64": lambda s: fit_features(s, 1),
@@ -101,12 +105,17 @@ def main():
             runs.append(time.perf_counter() - t0)
             jobs[name] = len(sc.statusTracker().getJobIdsForGroup(group))
         times[name] = round(statistics.median(runs), 3)
+    sweep = {}
+    if not only or "alpha_sweep_5x5" in only:
+        for r in QUERIES["sweep_summary"](spark, SF_DIR).orderBy("alpha").collect():
+            sweep[str(r["alpha"])] = {"accuracy": r["accuracy_mean"], "rho": r["rho_mean"]}
     out = {
         "metric": "median_seconds_total",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "spark_jobs": jobs,
+        "alpha_sweep": sweep,
         "sf": _sf(SF_DIR),
         "cpus": CPUS,
         "reps": REPS,
