@@ -161,3 +161,9 @@ def test_checkpointed_base_and_alpha_grid(fxa):
     grid = fit_forest(fxa, spec, "label", FitParams(max_depth=2, alphas=(0.0, 0.1)))
     assert _shape(grid[1]) == _shape(plain)
     assert _shape(grid[0]) == _shape(_fit(fxa, max_depth=2, alpha=0.0))
+
+
+def test_fit_with_forced_value_ranges(fxa):
+    """The whole fit through the two-phase range scan (every group 'oversized') grows the
+    same tree as the single-window scan."""
+    assert _shape(_fit(fxa, max_depth=3, alpha=0.1, max_window_bins=5)) == _shape(_fit(fxa, max_depth=3, alpha=0.1))
