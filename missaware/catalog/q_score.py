@@ -206,6 +206,32 @@ def forest_rho(spark, sf_dir):
     return df.agg(*cols, mean)
 
 
+def _forest_rho_mean_sql() -> str:
+    per = [f"avg(CAST({fm.reliance_sql(t)} AS DOUBLE))" for t in MF.trees]
+    return f"{PREP} SELECT round(({' + '.join(per)}) / {float(len(per))!r}, 6) AS rho FROM prep"
+
+
+@query("forest_rho_join", oracle=_forest_rho_mean_sql())
+def forest_rho_join(spark, sf_dir):
+    """Forest reliance by the per-level join walk used for forests too large for CASE."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    return scoring.forest_reliance_join(df, MF).select(F.round("rho", 6).alias("rho"))
+
+
+_VOTE_KEY = KEYS + fx.FX_A_FEATURES  # the FX_A key alone repeats once at sf0.001
+
+
+@query(
+    "forest_vote_join",
+    oracle=f"{PREP} SELECT DISTINCT {', '.join(_VOTE_KEY)}, CAST({_vote_sql()} AS INTEGER) AS prediction FROM prep",
+)
+def forest_vote_join(spark, sf_dir):
+    """Majority vote by the per-level join walk, votes counted per row key (key + features:
+    rows equal in both vote alike)."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    return scoring.forest_predict_join(df, MF, _VOTE_KEY)
+
+
 # ---- leaf report ---------------------------------------------------------------------------
 
 def _leaf_report_sql() -> str:

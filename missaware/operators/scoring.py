@@ -285,3 +285,60 @@ def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) ->
     votes = cur.join(lside, ["_t", "_n"]).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
     best = votes.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_p")).alias("_neg"))).alias("_b"))
     return best.select(*keys, (-F.col("_b._neg")).cast("int").alias("prediction"))
+
+
+def dynamic_mask(model: TreeModel, idx: Column, available: set[str]) -> Column:
+    """0/1 missing flag of the feature whose 0-based index is the column ``idx``."""
+    if model.array_col is not None:
+        if model.array_mask_col is None:
+            return F.lit(0)
+        return F.coalesce(F.try_element_at(F.col(model.array_mask_col), idx + 1).cast("int"), F.lit(0))
+    flags = [F.col(m).cast("int") if m is not None and m in available else F.lit(0) for m in model.masks]
+    return F.coalesce(F.try_element_at(F.array(*flags), idx + 1), F.lit(0))
+
+
+def forest_reliance_join(df: DataFrame, forest: ForestModel) -> DataFrame:
+    """Forest reliance for forests too large for ``CASE`` expressions: rows x trees walk
+    down one equi-join per level (split tables of at most trees x 2^depth rows), OR-ing the
+    mask flag of every tested feature; a null tested value adds its flag and stops.  One
+    aggregate per tree, then the mean over trees (0.0 without trees)."""
+    from missaware.operators.splits import BROADCAST_ROW_LIMIT
+
+    if not forest.trees:
+        return df.agg(F.lit(0.0).alias("rho"))
+    spark = df.sparkSession
+    m0 = forest.trees[0]
+    available = set(df.columns)
+    feats = [m0.array_col] if m0.array_col is not None else list(m0.features)
+    masks = [m0.array_mask_col] if m0.array_col is not None else [m for m in m0.masks if m and m in available]
+    keep = [c for c in dict.fromkeys(feats + masks) if c]
+    cur = df.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t")).select(
+        "*", F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias("_r")
+    )
+    depth = max(t.max_depth for t in forest.trees)
+    for k in range(depth):
+        level = [
+            (i, n.node, n.feature_idx, float(n.threshold))
+            for i, t in enumerate(forest.trees)
+            for n in t.nodes.values()
+            if not n.is_leaf and n.depth == k
+        ]
+        if not level:
+            break
+        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
+        side = F.broadcast(table) if len(level) <= BROADCAST_ROW_LIMIT else table
+        cur = cur.join(side, ["_t", "_n"], "left")
+        x = dynamic_value(m0, F.col("_sf"))
+        flag = dynamic_mask(m0, F.col("_sf"), available)
+        tested = F.col("_sf").isNotNull()
+        cur = cur.withColumns(
+            {
+                "_r": F.when(tested, F.greatest(F.col("_r"), flag)).otherwise(F.col("_r")),
+                # a null value stops the walk: park the row on node 0, which has no split
+                "_n": F.when(~tested, F.col("_n"))
+                .when(x.isNull(), F.lit(0).cast("bigint"))
+                .otherwise(F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))),
+            }
+        ).drop("_sf", "_sthr")
+    per_tree = cur.groupBy("_t").agg(F.avg(F.col("_r").cast("double")).alias("_rho"))
+    return per_tree.agg((F.sum("_rho") / F.lit(float(len(forest.trees)))).alias("rho"))

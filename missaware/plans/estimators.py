@@ -194,6 +194,8 @@ class ForestClassifierModel(Model, _OutputParams):
         return dataset.select("*", scoring.forest_predict_col(self.forest).alias(out))
 
     def reliance(self, df: DataFrame) -> DataFrame:
+        if sum(len(t.nodes) for t in self.forest.trees) > CASE_NODE_LIMIT:
+            return scoring.forest_reliance_join(df, self.forest)
         return scoring.forest_reliance(df, self.forest)
 
     def node_table(self, spark) -> DataFrame:

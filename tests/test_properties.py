@@ -167,3 +167,20 @@ def test_fit_with_forced_value_ranges(fxa):
     """The whole fit through the two-phase range scan (every group 'oversized') grows the
     same tree as the single-window scan."""
     assert _shape(_fit(fxa, max_depth=3, alpha=0.1, max_window_bins=5)) == _shape(_fit(fxa, max_depth=3, alpha=0.1))
+
+
+def test_forest_reliance_join_equals_case(spark, fxa):
+    from missaware.operators.scoring import forest_reliance, forest_reliance_join
+    from missaware.plans.model import ForestModel
+
+    trees = fit_forest(fxa, FeatureSpec.columns(fxa, FEATS), "label", FitParams(max_depth=3, alpha=0.1),
+                       n_trees=4, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=9)
+    forest = ForestModel(trees)
+    a = forest_reliance(fxa, forest).first()["rho"]
+    b = forest_reliance_join(fxa, forest).first()["rho"]
+    assert abs(a - b) < 1e-12
+    raw = fx.fx_a(spark, SF_SMALL)  # with nulls: a null tested value adds its flag and stops
+    from missaware.operators import prep
+
+    raw = prep.prepare(raw, FEATS, impute="none")
+    assert abs(forest_reliance(raw, forest).first()["rho"] - forest_reliance_join(raw, forest).first()["rho"]) < 1e-12
