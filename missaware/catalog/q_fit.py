@@ -338,3 +338,14 @@ def alpha_sweep_fit(spark, sf_dir):
     grid = F.array(*[F.lit(float(a)) for a in ALPHA_SWEEP_GRID])
     out = node_output(spark, models)
     return out.withColumn("alpha", F.element_at(grid, F.col("tree").cast("int") + 1))
+
+
+@query("alpha_sweep_trees")
+def alpha_sweep_trees(spark, sf_dir):
+    """Depth-4 trees for 5 key-hash folds x the alpha grid, grown as one forest and scored
+    on held-out folds; mean and spread of accuracy and reliance per alpha."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    df = df.withColumn("fold", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % N_FOLDS).cast("int"))
+    per = experiment.fold_alpha_trees(df, fx.FX_A_FEATURES, "fold", N_FOLDS, ALPHA_SWEEP_GRID, 4)
+    out = experiment.sweep_summary(per, ["alpha"])
+    return out.select("alpha", *[F.round(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_std", "rho_mean", "rho_std")], "n_runs")

@@ -245,24 +245,19 @@ def dynamic_value(model: TreeModel, idx: Column) -> Column:
     return F.try_element_at(F.array(*[F.col(f).cast("double") for f in model.features]), idx + 1)
 
 
-def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) -> DataFrame:
-    """(keys, prediction) by majority vote for forests too large for ``CASE`` expressions.
+def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:
+    """Walk rows that carry a tree index ``_t`` down their tree: one equi-join per level with
+    that level's split table (at most trees x 2^depth rows, broadcast below the row limit).
 
-    Rows x trees descend one level per equi-join with that level's split table (at most
-    trees x 2^depth rows, broadcast below the row limit); a leaf keeps its node.  Votes are
-    counted per (key, class) with map-side partial aggregation; ties go to the smallest
-    class.  ``keys`` must identify rows.
-    """
+    Adds ``_n`` (the leaf reached; a null value goes right, as in ``predict_col``), ``_p`` (the
+    leaf's class) and ``_r`` (1 when a tested feature was missing; as in ``reliance_col`` the
+    flags stop accumulating after a tested value that is null)."""
     from missaware.operators.splits import BROADCAST_ROW_LIMIT
 
-    spark = df.sparkSession
+    spark = rows.sparkSession
     m0 = forest.trees[0]
-    feats = [m0.array_col] if m0.array_col is not None else list(m0.features)
-    n_trees = len(forest.trees)
-    cur = df.select(
-        *keys, *[F.col(c) for c in feats if c not in keys],
-        F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_t"),
-    ).withColumn("_n", F.lit(1).cast("bigint"))
+    available = set(rows.columns)
+    cur = rows.select("*", F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias("_r"), F.lit(False).alias("_stop"))
     depth = max(t.max_depth for t in forest.trees)
     for k in range(depth):
         level = [
@@ -277,13 +272,44 @@ def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) ->
         side = F.broadcast(table) if len(level) <= BROADCAST_ROW_LIMIT else table
         cur = cur.join(side, ["_t", "_n"], "left")
         x = dynamic_value(m0, F.col("_sf"))
-        down = F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
-        cur = cur.withColumn("_n", F.when(F.col("_sf").isNull(), F.col("_n")).otherwise(down)).drop("_sf", "_sthr")
+        tested = F.col("_sf").isNotNull()
+        counts = tested & ~F.col("_stop")
+        cur = cur.withColumns(
+            {
+                "_r": F.when(counts, F.greatest(F.col("_r"), dynamic_mask(m0, F.col("_sf"), available))).otherwise(F.col("_r")),
+                "_stop": F.col("_stop") | (tested & x.isNull()),
+                "_n": F.when(~tested, F.col("_n")).otherwise(
+                    F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
+                ),
+            }
+        ).drop("_sf", "_sthr")
     leaves = [(i, n.node, n.prediction) for i, t in enumerate(forest.trees) for n in t.leaves()]
     ltab = spark.createDataFrame(leaves, "_t int, _n bigint, _p int")
     lside = F.broadcast(ltab) if len(leaves) <= BROADCAST_ROW_LIMIT else ltab
-    votes = cur.join(lside, ["_t", "_n"]).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    best = votes.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_p")).alias("_neg"))).alias("_b"))
+    return cur.join(lside, ["_t", "_n"], "left").drop("_stop")
+
+
+def _model_columns(forest: ForestModel, available: set[str]) -> list[str]:
+    m0 = forest.trees[0]
+    if m0.array_col is not None:
+        cols = [m0.array_col, m0.array_mask_col]
+    else:
+        cols = list(m0.features) + [m for m in m0.masks if m and m in available]
+    return [c for c in dict.fromkeys(cols) if c]
+
+
+def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) -> DataFrame:
+    """(keys, prediction) by majority vote for forests too large for ``CASE`` expressions.
+
+    Rows x trees walk down by per-level joins (``walk_forest``); votes are counted per
+    (key, class) with map-side partial aggregation; ties go to the smallest class.  ``keys``
+    must identify rows (rows equal in all key columns are voted together).
+    """
+    cols = [c for c in _model_columns(forest, set(df.columns)) if c not in keys]
+    rows = df.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t"))
+    votes = walk_forest(rows, forest)
+    counted = votes.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    best = counted.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_p")).alias("_neg"))).alias("_b"))
     return best.select(*keys, (-F.col("_b._neg")).cast("int").alias("prediction"))
 
 
@@ -299,46 +325,11 @@ def dynamic_mask(model: TreeModel, idx: Column, available: set[str]) -> Column:
 
 def forest_reliance_join(df: DataFrame, forest: ForestModel) -> DataFrame:
     """Forest reliance for forests too large for ``CASE`` expressions: rows x trees walk
-    down one equi-join per level (split tables of at most trees x 2^depth rows), OR-ing the
-    mask flag of every tested feature; a null tested value adds its flag and stops.  One
-    aggregate per tree, then the mean over trees (0.0 without trees)."""
-    from missaware.operators.splits import BROADCAST_ROW_LIMIT
-
+    down by per-level joins (``walk_forest``), one aggregate per tree, then the mean over
+    trees (0.0 without trees)."""
     if not forest.trees:
         return df.agg(F.lit(0.0).alias("rho"))
-    spark = df.sparkSession
-    m0 = forest.trees[0]
-    available = set(df.columns)
-    feats = [m0.array_col] if m0.array_col is not None else list(m0.features)
-    masks = [m0.array_mask_col] if m0.array_col is not None else [m for m in m0.masks if m and m in available]
-    keep = [c for c in dict.fromkeys(feats + masks) if c]
-    cur = df.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t")).select(
-        "*", F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias("_r")
-    )
-    depth = max(t.max_depth for t in forest.trees)
-    for k in range(depth):
-        level = [
-            (i, n.node, n.feature_idx, float(n.threshold))
-            for i, t in enumerate(forest.trees)
-            for n in t.nodes.values()
-            if not n.is_leaf and n.depth == k
-        ]
-        if not level:
-            break
-        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
-        side = F.broadcast(table) if len(level) <= BROADCAST_ROW_LIMIT else table
-        cur = cur.join(side, ["_t", "_n"], "left")
-        x = dynamic_value(m0, F.col("_sf"))
-        flag = dynamic_mask(m0, F.col("_sf"), available)
-        tested = F.col("_sf").isNotNull()
-        cur = cur.withColumns(
-            {
-                "_r": F.when(tested, F.greatest(F.col("_r"), flag)).otherwise(F.col("_r")),
-                # a null value stops the walk: park the row on node 0, which has no split
-                "_n": F.when(~tested, F.col("_n"))
-                .when(x.isNull(), F.lit(0).cast("bigint"))
-                .otherwise(F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))),
-            }
-        ).drop("_sf", "_sthr")
-    per_tree = cur.groupBy("_t").agg(F.avg(F.col("_r").cast("double")).alias("_rho"))
+    cols = _model_columns(forest, set(df.columns))
+    rows = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t"))
+    per_tree = walk_forest(rows, forest).groupBy("_t").agg(F.avg(F.col("_r").cast("double")).alias("_rho"))
     return per_tree.agg((F.sum("_rho") / F.lit(float(len(forest.trees)))).alias("rho"))

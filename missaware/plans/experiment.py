@@ -132,3 +132,43 @@ def sweep_summary(per_fold: DataFrame, by: list[str]) -> DataFrame:
         F.stddev_samp("rho").alias("rho_std"),
         F.count(F.lit(1)).alias("n_runs"),
     )
+
+
+def fold_alpha_trees(
+    df: DataFrame,
+    features: list[str],
+    fold: str,
+    n_folds: int,
+    alphas: list[float],
+    max_depth: int,
+    label: str = "label",
+    criterion: str = "gini",
+) -> DataFrame:
+    """Full trees for every (fold, alpha), grown together as one forest, scored on each
+    fold's held-out rows.  Tree ``t`` trains on folds other than ``t // len(alphas)`` with
+    alpha ``alphas[t % len(alphas)]``; each test row walks only its own fold's trees.
+    Returns (fold, alpha, n_test, accuracy, rho)."""
+    from missaware.operators.scoring import walk_forest
+    from missaware.plans.model import ForestModel
+
+    g = len(alphas)
+    spec = FeatureSpec.columns(df, features)
+    params = FitParams(max_depth=max_depth, criterion=criterion, alphas=tuple(a for _ in range(n_folds) for a in alphas))
+    held_out = lambda t: F.when(F.col(fold) == (t / F.lit(g)).cast("int"), F.lit(0)).otherwise(F.lit(1))
+    trees = fit_forest(df, spec, label, params, key_cols=[fold], tree_weight=held_out)
+    keep = list(features) + [m for m in spec.masks if m]
+    test = df.select(*keep, F.col(label).cast("int").alias("_y"), F.col(fold).cast("int").alias("_fold"))
+    trees_of_fold = F.sequence(F.col("_fold") * g, F.col("_fold") * g + (g - 1)).cast("array<int>")
+    test = test.select("*", F.explode(trees_of_fold).alias("_t"))
+    walked = walk_forest(test, ForestModel(trees))
+    grid = F.array(*[F.lit(float(a)) for a in alphas])
+    per = walked.groupBy("_t").agg(
+        F.count(F.lit(1)).alias("n_test"),
+        F.avg((F.col("_p") == F.col("_y")).cast("double")).alias("accuracy"),
+        F.avg(F.col("_r").cast("double")).alias("rho"),
+    )
+    return per.select(
+        (F.col("_t") / F.lit(g)).cast("int").alias("fold"),
+        F.element_at(grid, F.col("_t") % F.lit(g) + 1).alias("alpha"),
+        "n_test", "accuracy", "rho",
+    )

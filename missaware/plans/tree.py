@@ -163,12 +163,15 @@ def fit_forest(
     seed: int = 0,
     key_cols: list[str] | None = None,
     bootstrap_u: Callable[[Column], Column] | None = None,
+    tree_weight: Callable[[Column], Column] | None = None,
 ) -> list[TreeModel]:
     """Fit ``n_trees`` trees level by level; all trees share each level's job.
 
     With ``bootstrap`` each row gets a Poisson(1) count per tree from a hash of its key
     (``key_cols``, or every input column) and the tree index; the count multiplies the row
     weight, so no row is copied.  ``bootstrap_u(tree_col)`` overrides the uniform draw.
+    ``tree_weight(tree_col)`` multiplies the weight per (row, tree) too, e.g. 0 to hold a
+    fold out of its own trees (``key_cols`` carry the columns it reads).
     """
     params.validate()
     if params.alphas is not None:
@@ -193,18 +196,20 @@ def fit_forest(
         # recomputing an expensive preparation
         ensure_checkpoint_dir(df.sparkSession)
         base = base.checkpoint(eager=True)
-        return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
+        return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u)
+        return _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight)
     finally:
         base.unpersist()
 
 
-def _with_trees(base: DataFrame, n_trees: int, bootstrap: bool, seed: int, keys: list[str], bootstrap_u) -> DataFrame:
-    if n_trees == 1 and not bootstrap:
+def _with_trees(base: DataFrame, n_trees: int, bootstrap: bool, seed: int, keys: list[str], bootstrap_u, tree_weight=None) -> DataFrame:
+    if n_trees == 1 and not bootstrap and tree_weight is None:
         return base.withColumn("_t", F.lit(0))
     rows = base.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    if tree_weight is not None:
+        rows = rows.withColumn("_w", F.col("_w") * tree_weight(F.col("_t")).cast("double")).filter(F.col("_w") > 0)
     if not bootstrap:
         return rows
     if bootstrap_u is not None:
@@ -216,8 +221,8 @@ def _with_trees(base: DataFrame, n_trees: int, bootstrap: bool, seed: int, keys:
     return rows.withColumn("_w", F.col("_w") * counts).filter(F.col("_w") > 0)
 
 
-def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u) -> list[TreeModel]:
-    rows = _with_trees(base, n_trees, bootstrap, seed, keys, bootstrap_u)
+def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight=None) -> list[TreeModel]:
+    rows = _with_trees(base, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight)
     stats = _label_stats(rows, ["_t"])
     n_classes = check_labels({r["_y"] for r in stats})
     models = [spec.empty_model(n_classes, t) for t in range(n_trees)]

@@ -184,3 +184,23 @@ def test_forest_reliance_join_equals_case(spark, fxa):
 
     raw = prep.prepare(raw, FEATS, impute="none")
     assert abs(forest_reliance(raw, forest).first()["rho"] - forest_reliance_join(raw, forest).first()["rho"]) < 1e-12
+
+
+def test_fold_alpha_trees_equal_separate_fits(fxa):
+    """Every (fold, alpha) tree of the joint sweep equals a separate fit on that fold's
+    training rows, and its held-out accuracy and reliance match."""
+    from missaware.operators import scoring
+    from missaware.plans.experiment import fold_alpha_trees
+
+    df = fxa.withColumn("fold", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3).cast("int"))
+    got = {(r["fold"], r["alpha"]): r for r in fold_alpha_trees(df, FEATS, "fold", 3, [0.0, 1.0], 2).collect()}
+    assert len(got) == 6
+    for f, a in [(0, 0.0), (2, 1.0)]:
+        m = _fit(df.filter(F.col("fold") != f), max_depth=2, alpha=a)
+        test = df.filter(F.col("fold") == f)
+        row = test.agg(
+            F.avg((scoring.predict_col(m) == F.col("label")).cast("double")).alias("acc"),
+            F.avg(scoring.reliance_col(m).cast("double")).alias("rho"),
+        ).first()
+        assert abs(got[(f, a)]["accuracy"] - row["acc"]) < 1e-12
+        assert abs(got[(f, a)]["rho"] - row["rho"]) < 1e-12
