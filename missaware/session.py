@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; only when none is configured (tests,
-    local runs) create one under the system temp folder."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master may go without it (tests): a folder under the system temp folder is
+    made then.  On a cluster such a folder would be private to each machine, so this raises.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -40,15 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif re.match(r"local(\[|$)", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="missaware-ckpt-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder, for tables written on purpose."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
