@@ -1,12 +1,13 @@
 """The corpus queries of ``__spark_entry__.py`` and their DuckDB SQL."""
 
-from missaware.llm import classlm, mixing, quality, rules, secrets, sharding, substrings
+from missaware.llm import classlm, mixing, neardup, quality, rules, secrets, sharding, substrings
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_quality_classifier": quality.op2,
     "op3_quality_rules": rules.op3,
     "op4_substring_dedup": substrings.op4,
+    "op5_minhash_dedup": neardup.op5,
     "op6_shard_tree": sharding.op6,
     "op7_class_lm": classlm.op7,
     "op10_secret_scan": secrets.op10,
