@@ -1,6 +1,6 @@
 """The corpus queries of ``__spark_entry__.py`` and their DuckDB SQL."""
 
-from missaware.llm import classlm, mixing, neardup, quality, rules, secrets, sharding, substrings
+from missaware.llm import classlm, leaks, mixing, neardup, quality, rules, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -10,9 +10,12 @@ QUERIES = {
     "op5_minhash_dedup": neardup.op5,
     "op6_shard_tree": sharding.op6,
     "op7_class_lm": classlm.op7,
+    "op8_warc": warc.op8,
+    "op9_decontaminate": leaks.op9,
     "op10_secret_scan": secrets.op10,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
