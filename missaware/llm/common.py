@@ -41,10 +41,9 @@ def parts_for(n_bytes: float, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(n_bytes / per_part))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the input's size (file bytes for a scan); no job runs."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of a text column; a scan of that column with one number per task."""
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
 
 
 def before(totals: DataFrame, keys: list[str], order: str, value: str, name: str, fan: int = 1024) -> DataFrame:
@@ -60,3 +59,11 @@ def before(totals: DataFrame, keys: list[str], order: str, value: str, name: str
     near = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_near", F.coalesce(F.sum(value).over(near), F.lit(0)))
     return t.join(runs, [*keys, "_run"]).withColumn(name, F.col("_near") + F.col("_far")).drop("_run", "_near", "_far")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missaware.llm.common import WORD, before, written
+from missaware.llm.common import WORD, before, fresh, written
 
 #: Rows in a bucket of a source's shuffled queue, and packets in a bin of virtual time (about).
 BUCKET_ROWS = 4096
@@ -115,9 +115,10 @@ def mix(
 
 def remix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as in the input."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    taken = mix(rows, row_col="_row", **options).filter("copies > 0").select("_row", "copies")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    taken = mix(rows, row_col=row, **options).filter("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(copy))
+    return rows.join(taken, row).select(*docs.columns, F.explode(copy)).select(*docs.columns)
 
 
 def op1(spark, sf_dir):

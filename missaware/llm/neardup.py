@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missaware.llm.common import written
+from missaware.llm.common import fresh, written
 from missaware.llm.components import components
 from missaware.llm.grams import WordHashes, hashed, mix, windows
 
@@ -255,9 +255,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each group (the one with the smallest id); rows equal in id and text count once."""
     got = groups(docs, id_col, text_col, percent).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    got = got.select(key_of(F.col(id_col)).alias("_key"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_key", key_of(F.col(id_col))).withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
-    return keyed.join(got, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).select(*docs.columns)
+    key, h = fresh(docs, "_key"), fresh(docs, "_h")
+    got = got.select(key_of(F.col(id_col)).alias(key), F.col("h").alias(h)).distinct()
+    keyed = docs.withColumn(key, key_of(F.col(id_col))).withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
+    return keyed.join(got, [key, h], "left_semi").dropDuplicates([key, h]).select(*docs.columns)
 
 
 def op5(spark, sf_dir):

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missaware.llm.common import input_bytes, parts_for
+from missaware.llm.common import parts_for, text_bytes
 from missaware.llm.grams import WordHashes, hashed, windows
 
 WINDOW, PERIOD = 20, 13
 COVER = np.isin(np.arange(PERIOD), (0, 1, 3, 9))
 ANCHOR = WINDOW - PERIOD + 1
-#: File bytes of a block, and the most hash ranges (beyond 65,536 blocks the ranges grow instead).
-BLOCK_BYTES, MAX_RANGE_BITS = 8 << 20, 16
+#: Text bytes of a block, and the most hash ranges (beyond 65,536 blocks the ranges grow instead).
+BLOCK_BYTES, MAX_RANGE_BITS = 16 << 20, 16
 PACKED = "range int, block int, packed binary"
 ANSWER = "block int, step int, range int, bits binary"
 
@@ -143,7 +143,7 @@ def met_windows(table: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` (binary; kept words joined by one space) for every row."""
-    n_blocks = parts_for(input_bytes(docs), block_bytes)
+    n_blocks = parts_for(text_bytes(docs, text_col), block_bytes)
     bits = min(MAX_RANGE_BITS, max(0, (n_blocks - 1).bit_length()))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block"))
 
