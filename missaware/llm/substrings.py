@@ -143,7 +143,9 @@ def met_windows(table: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` (binary; kept words joined by one space) for every row."""
-    n_blocks = parts_for(text_bytes(docs, text_col), block_bytes)
+    # no fewer blocks than shuffle partitions, so small inputs use all of them too
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = parts_for(text_bytes(docs, text_col), block_bytes, least)
     bits = min(MAX_RANGE_BITS, max(0, (n_blocks - 1).bit_length()))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block"))
 
