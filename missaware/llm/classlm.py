@@ -225,11 +225,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mo
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = DEFAULT, held_mod: int = 7, held_at: int = 2) -> DataFrame:
     """Per row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     model, vocabulary, top = fit(docs, id_col, text_col, settings, held_mod, held_at)
-    shared = docs.sparkSession.sparkContext.broadcast((model, top))  # bounded by Settings
+    # model and top travel with the function; Settings bounds both
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model, top = shared.value
         of, k = Classes(model.clustered, model.classes), model.classes + OPEN + 1
         log_top = {w: math.log10(c + 1) for w, c in top.items()}
         log_end = math.log10(model.end_count + 1)

@@ -207,10 +207,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     one = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
     out = docs.sparkSession.createDataFrame([], ddl)
     for index in indexes(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
-            ix = shared.value
+        def run(batches, ix=index):
             for b in batches:
                 best: dict = {}
                 for first, words in together(b.column(1).to_pylist()):
@@ -230,10 +228,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """The rows in which no item is found, all columns as they are."""
     at = docs.columns.index(text_col)
     for index in indexes(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
-            ix = shared.value
+        def run(batches, ix=index):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 texts = b.column(at).cast(pa.binary()).to_pylist()

@@ -141,10 +141,9 @@ def word_vectors(docs: DataFrame, text_col: str, s: Settings) -> np.ndarray:
 
 def pooled(docs: DataFrame, id_col: str, text_col: str, vectors: np.ndarray, s: Settings) -> DataFrame:
     """``id, vec``: the mean word vector and the mean shape vector of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # fixed size: (buckets + SHAPES) x dims
-
+    # the vectors travel with the function: fixed size, (buckets + SHAPES) x dims
     def run(batches):
-        ids, table = Ids(s.buckets), shared.value
+        ids, table = Ids(s.buckets), vectors
         for b in batches:
             out = np.zeros((b.num_rows, 2 * s.dims), np.float32)
             for row, text in zip(out, b.column(1).to_pylist(), strict=True):
