@@ -9,9 +9,9 @@ Steps: equal sets are one node; nodes that agree in a band meet.  A band's first
 number per band, pre-aggregated, so a large group gives a star, not all pairs).  Every node is
 compared with the hub it shares most bands with, then, where that left groups apart, with its other
 hubs; pairs whose signatures allow the similarity are confirmed on the full sets and links are
-grouped.  What is left, nodes that share a band but not yet a group, is compared in
-blocks, so no link is lost to the star.  32 bands of 4 miss a pair at similarity 0.75 with
-probability 5e-6, and one of signatures under 0.55 with less than 1e-6.
+grouped.  What is left, groups whose nodes share a band, is compared in full, block by
+block, so no link is lost to the star; only that part takes work beyond the input's size.  32 bands of 4 miss a pair at similarity 0.75 with
+probability 5e-6, and the signature test as many.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows that are equal in every
@@ -36,8 +36,9 @@ SHINGLE, SLOTS, BANDS = 5, 128, 32
 ROWS = SLOTS // BANDS
 PERCENT = 75
 #: Least share of equal signature places for a pair to be compared on full sets.
-LIKELY = 0.55
-BLOCK = 512
+LIKELY = 0.58
+#: Nodes and bytes of sets in a block of a cluster that is compared in full (about).
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Shingles that are signed together.
 TOGETHER = 1 << 19
 GOLDEN = 0x9E3779B97F4A7C15
@@ -157,7 +158,7 @@ def key_of(doc_id):
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
-    both = len(x) + len(y) - len(np.union1d(x, y))
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -206,35 +207,42 @@ def apart(met: DataFrame, root: DataFrame) -> DataFrame:
     return rows.join(stat.filter("least < most").drop("least", "most"), ["band", "key"])
 
 
-def left_over(met: DataFrame, nodes: DataFrame, root: DataFrame) -> DataFrame:
-    """Likely pairs of nodes that share a band of at least three nodes but no group yet.
+def left_over(met: DataFrame, nodes: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that share a band but no group yet.
 
-    In each such band the nodes outside the first node's group are compared with all others, in
-    blocks of both, by signature alone.
+    Groups that meet in a band form a cluster.  The nodes of a cluster that meet another group are dealt
+    to blocks, and each two blocks are compared in one task: by signature first, likely pairs of
+    groups still apart on the full sets.  Only links come out, at most one per node and task.
     """
-    rows = apart(met, root).filter("size > 2").join(nodes.select("node", "sig"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    members = rows.select("band", "key", own.alias("to"), F.lit(-1).alias("by"), "node", "root", "sig", (F.col("root") != F.col("main")).alias("other"), blocks.alias("blocks"))
-    # each block of members meets each block of outsiders once; both are rows with (to, by)
-    others = members.filter("other").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), F.col("to").alias("by"), "node", "root", "sig", F.lit(True).alias("probe"))
-    spread = others.select("band", "key", "to", "by").distinct()
-    met_by = members.select("band", "key", "to", "node", "root", "sig").join(spread, ["band", "key", "to"]).withColumn("probe", F.lit(False))
+    rows = written(apart(met, root).select("node", "root", "main").distinct(), "near-apart")
+    cluster = components(rows.filter("root != main").select(F.col("root").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    rows = rows.select("node", "root").distinct().join(cluster, "root", "left").withColumn("cluster", F.coalesce("cluster", "root"))
+    rows = rows.join(sets, "node").join(nodes.select("node", "sig"), "node")
+    size = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "grams")
 
     def run(table):
-        node, root_, probe = (np.array(table.column(c).to_pylist()) for c in ("node", "root", "probe"))
+        node, group, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        mem = np.flatnonzero(~probe)
+        full = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        size, group = np.array([len(g) for g in full]), group.copy()
         a, b = [], []
-        for p in np.flatnonzero(probe):
-            near = mem[(equal_share(sig[mem], sig[p]) >= LIKELY) & (root_[mem] != root_[p])]
-            a.extend([int(node[p])] * len(near))
-            b.extend(node[near].tolist())
+        for p in np.flatnonzero(own == i):
+            to = np.flatnonzero(own == j) if i != j else np.arange(p + 1, len(node))
+            to = to[(group[to] != group[p]) & (100 * np.minimum(size[to], size[p]) >= percent * np.maximum(size[to], size[p]))]
+            share = equal_share(sig[to], sig[p])
+            for k in np.argsort(-share, kind="stable")[: int((share >= LIKELY).sum())]:
+                q = to[k]
+                if group[q] != group[p] and similar(full[p], full[q], percent):
+                    a.append(int(node[p]))
+                    b.append(int(node[q]))
+                    group[group == group[q]] = group[p]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    both = others.unionByName(met_by).select("band", "key", "to", "by", "node", "root", "sig", "probe")
-    pairs = both.groupBy("band", "key", "to", "by").applyInArrow(run, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -253,14 +261,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     links = written(verified(tried, sets, percent), "near-links")
     root = components(links)
     star = apart(met, root).filter("node > hub and root != main").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    for find in (lambda root: likely(star.join(tried, ["a", "b"], "left_anti"), nodes), lambda root: left_over(met, nodes, root).join(tried, ["a", "b"], "left_anti")):
-        pairs = written(find(root), "near-pairs")
-        if pairs.limit(1).count():
-            tried = tried.unionByName(pairs)
-            more = written(verified(pairs, sets, percent), "near-links")
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                root = components(links)
+    star = written(likely(star.join(tried, ["a", "b"], "left_anti"), nodes), "near-pairs")
+    for find in (lambda: verified(star, sets, percent), lambda: left_over(met, nodes, sets, root, percent)):
+        more = written(find(), "near-links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            root = components(links)
     least = nodes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.col("id").isNull().alias("last"), "id")
     least = written(least, "near-least")
     first = least.groupBy("root").agg(F.min(F.struct("last", "id"))["id"].alias("component_id"))

@@ -79,15 +79,19 @@ def test_chain_of_near_copies_is_one_group(spark):
 
 
 def test_left_over_finds_what_the_star_misses(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 2)
+    """Three families in one band; the hub's own family is one group already."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     rng = np.random.default_rng(5)
-    sig = [rng.integers(0, 256, neardup.SLOTS, dtype=np.uint8) for _ in range(3)]
-    rows = [(n, bytearray(sig[n % 3].tobytes())) for n in range(12)]
-    nodes = spark.createDataFrame(rows, "node long, sig binary")
+    family = [np.sort(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(3)]
+    grams = [np.sort(np.concatenate((family[n % 3], rng.integers(0, 2**63, 10, dtype=np.uint64)))) for n in range(12)]
+    sigs = (neardup.mix(neardup.super_min_hash(grams)) & np.uint64(0xFF)).astype(np.uint8)
+    nodes = spark.createDataFrame([(n, bytearray(sigs[n].tobytes())) for n in range(12)], "node long, sig binary")
+    sets = spark.createDataFrame([(n, bytearray(grams[n].tobytes())) for n in range(12)], "node long, grams binary")
     met = nodes.select("node", F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), F.lit(0).cast("long").alias("hub"))
     root = spark.createDataFrame([(n, 0) for n in (3, 6, 9)], "node long, root long")
-    got = {tuple(r) for r in neardup.left_over(met, nodes, root).collect()}
-    assert got == {(a, b) for a in range(12) for b in range(a) if a % 3 == b % 3 and a % 3 > 0}
+    links = neardup.left_over(met, nodes, sets, root, 75)
+    assert {(r["a"] % 3, r["b"] % 3) for r in links.collect()} == {(1, 1), (2, 2)}
+    assert {r["node"]: r["root"] for r in components(links).collect()} == {4: 1, 7: 1, 10: 1, 5: 2, 8: 2, 11: 2}
 
 
 def test_groups_of_odd_rows(odd_docs, no_docs):
