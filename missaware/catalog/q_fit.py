@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from missaware.catalog import fixtures as fx
 from missaware.catalog import sqlsplit as sq
 from missaware.catalog.registry import query
-from missaware.functions.hashing import poisson_cdf
-from missaware.operators import splits
+from missaware.operators import scoring, splits
 from missaware.plans import experiment
 from missaware.plans.model import ForestModel
 from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
+from missaware.session import table
 
 ALPHA = 0.1
 
@@ -181,7 +181,13 @@ query("alpha_sweep_root", oracle=_alpha_sql(ALPHA_SWEEP_GRID))(_alpha_query(ALPH
 
 # ---- bootstrap and forests ----------------------------------------------------------------
 N_TREES = 3
-CDF = poisson_cdf()
+# fixed values: P(X <= k) of Poisson(1), k = 0 .. 9; the draws of FX_F are multiples of 1 / 2147483,
+# so no draw reaches the next value
+CDF = [
+    0.36787944117144233, 0.73575888234288464, 0.91969860292860584, 0.98101184312384626,
+    0.99634015317265634, 0.99940581518241839, 0.99991675885071196, 0.99998975080332538,
+    0.99999887479740206, 0.99999988857452168,
+]
 
 
 def _count_sql(u: str) -> str:
@@ -238,12 +244,73 @@ def fit_binned_array(spark, sf_dir):
     return node_output(spark, fit_forest(df, spec, "label", params))
 
 
-@query("merge_siblings")
+# y tells the label, x tells nothing: each (x, label) combination occurs once per order line
+_MERGE_SQL = (
+    "SELECT CAST(l_quantity > 25 AS DOUBLE) AS y, CAST(xs.x AS DOUBLE) AS x, 0 AS missing_x, 0 AS missing_y, "
+    "CASE WHEN l_quantity > 25 THEN 1 - ls.lab ELSE ls.lab END AS label "
+    "FROM lineitem, (VALUES (0), (1)) AS xs(x), (VALUES (0), (1), (1)) AS ls(lab)"
+)
+
+
+@query("merge_siblings", oracle=sq.fit_sql(_MERGE_SQL, ["x", "y"], 2, ALPHA, 1))
 def merge_siblings(spark, sf_dir):
-    """Depth-3 three-class tree with equal-sibling merging on."""
-    df = fx.fx_b_prepared(spark, sf_dir)
-    params = FitParams(max_depth=3, alpha=ALPHA, merge_equal_siblings=True)
-    return _fit(spark, df, fx.FX_B_FEATURES, params)
+    """A depth-2 tree whose lower splits change nothing: with equal siblings merged it is the
+    depth-1 tree (7 nodes become 3)."""
+    li = table(spark, sf_dir, "lineitem")
+    high = F.col("l_quantity") > 25
+    df = li.select(high.alias("high"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x")).select("high", "x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(1))).alias("lab"))
+    df = df.select(high_as_double(), "x", F.lit(0).alias("missing_x"), F.lit(0).alias("missing_y"), F.when(F.col("high"), 1 - F.col("lab")).otherwise(F.col("lab")).alias("label"))
+    return _fit(spark, df, ["x", "y"], FitParams(max_depth=2, alpha=ALPHA, merge_equal_siblings=True))
+
+
+def high_as_double():
+    return F.col("high").cast("int").cast("double").alias("y")
+
+
+_FRACTION = "(0.25 + 0.5 * (l_linenumber % 4))"
+
+
+@query("fit_weighted_d2", oracle=sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, weight=_FRACTION))
+def fit_weighted_d2(spark, sf_dir):
+    """Fractional row weights below the root."""
+    df = fx.fx_a_prepared(spark, sf_dir).withColumn("sample_weight", 0.25 + 0.5 * (F.col("l_linenumber") % 4))
+    return _fit(spark, df, fx.FX_A_FEATURES, FitParams(max_depth=2, alpha=ALPHA), weight="sample_weight")
+
+
+@query("fit_entropy_d2_multiclass", oracle=sq.fit_sql(fx.FX_B_PREP_SQL, fx.FX_B_FEATURES, 3, ALPHA, 2, criterion="info_gain"))
+def fit_entropy_d2_multiclass(spark, sf_dir):
+    """Entropy, three classes, depth 2."""
+    return _fit(spark, fx.fx_b_prepared(spark, sf_dir), fx.FX_B_FEATURES, FitParams(max_depth=2, alpha=ALPHA, criterion="info_gain"))
+
+
+RAW_FEATURES = ["l_extendedprice", "l_discount"]
+_RAW_SQL = (
+    "SELECT l_extendedprice, l_discount, 0 AS missing_l_extendedprice, 0 AS missing_l_discount, "
+    "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS label FROM lineitem"
+)
+
+
+def _routed_sql(depth: int) -> str:
+    """Rows per leaf by sending every row down the fitted splits, not by the histogram's sums."""
+    tree = sq.fit_sql(_RAW_SQL, RAW_FEATURES, 2, ALPHA, depth)
+    steps = "raw0 AS (SELECT *, CAST(1 AS BIGINT) AS at FROM (" + _RAW_SQL + ") q)"
+    value = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in RAW_FEATURES) + " END"
+    for d in range(depth):
+        steps += (
+            f", raw{d + 1} AS (SELECT r.* EXCLUDE (at), CASE WHEN t.is_leaf THEN r.at WHEN {value} <= t.threshold THEN 2 * r.at ELSE 2 * r.at + 1 END AS at "
+            f"FROM raw{d} r JOIN tree t ON r.at = t.node)"
+        )
+    return f"WITH tree AS ({tree}), {steps} SELECT at AS node, count(*) AS n_routed, any_value(t.n) AS n FROM raw{depth} r JOIN tree t ON r.at = t.node GROUP BY at"
+
+
+@query("fit_tree_raw", oracle=_routed_sql(3))
+def fit_tree_raw(spark, sf_dir):
+    """Depth 3 on raw prices: the rows that reach each leaf against the fitted counts."""
+    df = table(spark, sf_dir, "lineitem").select(*RAW_FEATURES, (F.col("l_quantity") > 25).cast("int").alias("label"))
+    model = fit_forest(df, FeatureSpec.columns(df, RAW_FEATURES), "label", FitParams(max_depth=3, alpha=ALPHA))[0]
+    routed = df.groupBy(scoring.leaf_col(model).alias("node")).agg(F.count(F.lit(1)).alias("n_routed"))
+    fitted = model.node_table(spark).select("node", F.col("n").cast("bigint").alias("n"))
+    return routed.join(fitted, "node").select("node", "n_routed", "n")
 
 
 # ---- evaluation and sweeps ------------------------------------------------------------------

@@ -79,6 +79,27 @@ def collect_results(spark, sf_dir):
     return got.drop("training_time")
 
 
+def _record_sql() -> str:
+    from missaware.catalog.q_fit import _evaluate_sql
+
+    return (
+        f"SELECT '{RUN_ALIAS}' AS estimator_alias, CAST(n_train AS DOUBLE) AS n_train, CAST(n_test AS DOUBLE) AS n_test, CAST({len(fx.FX_A_FEATURES)} AS DOUBLE) AS n_features, "
+        f"CAST(1 AS DOUBLE) AS max_depth, {sq.lit(ALPHA)} AS alpha, CAST(7 AS DOUBLE) AS seed, accuracy, rho FROM ({_evaluate_sql()}) q"
+    )
+
+
+@query("evaluate_record", oracle=_record_sql())
+def evaluate_record(spark, sf_dir):
+    """One evaluation written as a key,value record of the ten result keys and read back (the
+    training time left out: it is a clock)."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    train, test = df.filter(F.col("l_orderkey") % 2 == 0), df.filter(F.col("l_orderkey") % 2 == 1)
+    path = scratch_path(spark, "record")
+    results_io.write_result(experiment.run_record(RUN_ALIAS, train, test, fx.FX_A_FEATURES, FitParams(max_depth=1, alpha=ALPHA), seed=7), path)
+    got = results_io.collect_results(spark, path).filter("training_time > 0").drop("training_time")
+    return got.withColumns({c: F.round(c, 6) for c in ("accuracy", "rho")})
+
+
 def _fit_a(spark, sf_dir, depth=2):
     df = fx.fx_a_prepared(spark, sf_dir)
     return fit_forest(df, FeatureSpec.columns(df, fx.FX_A_FEATURES), "label", FitParams(max_depth=depth, alpha=ALPHA))

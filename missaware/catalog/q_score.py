@@ -213,9 +213,9 @@ def _forest_rho_mean_sql() -> str:
 
 @query("forest_rho_join", oracle=_forest_rho_mean_sql())
 def forest_rho_join(spark, sf_dir):
-    """Forest reliance by the per-level join walk used for forests too large for CASE."""
+    """Forest reliance as the mean of each row's share of reliant trees."""
     df = fx.fx_a_prepared(spark, sf_dir)
-    return scoring.forest_reliance_join(df, MF).select(F.round("rho", 6).alias("rho"))
+    return scoring.forest_reliance(df, MF).select(F.round("rho", 6).alias("rho"))
 
 
 _VOTE_KEY = KEYS + fx.FX_A_FEATURES  # the FX_A key alone repeats once at sf0.001
@@ -226,10 +226,24 @@ _VOTE_KEY = KEYS + fx.FX_A_FEATURES  # the FX_A key alone repeats once at sf0.00
     oracle=f"{PREP} SELECT DISTINCT {', '.join(_VOTE_KEY)}, CAST({_vote_sql()} AS INTEGER) AS prediction FROM prep",
 )
 def forest_vote_join(spark, sf_dir):
-    """Majority vote by the per-level join walk, votes counted per row key (key + features:
-    rows equal in both vote alike)."""
+    """Majority vote per distinct row."""
     df = fx.fx_a_prepared(spark, sf_dir)
-    return scoring.forest_predict_join(df, MF, _VOTE_KEY)
+    return df.select(*_VOTE_KEY, scoring.forest_predict_col(MF).alias("prediction")).distinct()
+
+
+@query(
+    "forest_vote_any_key",
+    oracle=(
+        f"{PREP}, k AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_linenumber END AS k, {_vote_sql()} AS vote FROM prep) "
+        "SELECT CAST(k AS BIGINT) AS k, vote, count(*) AS n FROM k GROUP BY ALL"
+    ),
+)
+def forest_vote_any_key(spark, sf_dir):
+    """Majority vote of rows whose key is null or repeats: scoring needs no key, every row keeps its vote."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    k = F.when(F.col("l_linenumber") % 2 != 0, F.col("l_linenumber")).cast("bigint")
+    scored = df.select(k.alias("k"), scoring.forest_predict_col(MF).cast("bigint").alias("vote"))
+    return scored.groupBy("k", "vote").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- leaf report ---------------------------------------------------------------------------

@@ -273,24 +273,21 @@ def _raw_price(spark, sf_dir):
 def _binned_sql() -> str:
     fr = ", ".join(repr(x) for x in binning.fractions(N_BINS))
     return (
-        f"{_RAW_PRICE_SQL}, cuts AS (SELECT list_sort(list_distinct(quantile_cont(price, [{fr}]))) AS c FROM raw), "
+        f"{_RAW_PRICE_SQL}, cuts AS (SELECT list_sort(list_distinct(quantile_disc(price, [{fr}]))) AS c FROM raw), "
         "binned AS (SELECT coalesce(list_sort(list_filter(c, lambda x: x >= price))[1], CAST('inf' AS DOUBLE)) AS edge, label "
-        "FROM raw, cuts) SELECT round(edge, 4) AS bin_edge, count(*) AS n, sum(CAST(1.0 AS DOUBLE)) AS weight, sum(CASE WHEN label = 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS positive_weight "
+        "FROM raw, cuts) SELECT edge AS bin_edge, count(*) AS n, sum(CAST(1.0 AS DOUBLE)) AS weight, sum(CASE WHEN label = 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS positive_weight "
         "FROM binned GROUP BY edge"
     )
 
 
 @query("binned_histogram", oracle=_binned_sql())
 def binned_histogram(spark, sf_dir):
-    """Histogram over 32 exact-quantile bins of the raw extended price (bin = upper edge).
-
-    Edges are reported to 4 decimals: the two engines interpolate quantiles with formulas
-    that differ in the last bits."""
+    """Histogram over 32 quantile bins of the raw extended price (bin = upper edge, a price)."""
     long_df = splits.long_form(_raw_price(spark, sf_dir), ["price"])
-    cuts = binning.quantile_cuts(long_df, N_BINS, exact=True)
-    hist = splits.histogram(binning.bin_long(long_df, cuts, 1, N_BINS), ["_t", "_n"], 2)
+    cuts = binning.quantile_cuts(long_df, N_BINS, exact=True).first()["_cuts"]
+    hist = splits.histogram(long_df.withColumn("_v", binning.bin_column(F.col("_v"), cuts)), ["_t", "_n"], 2)
     return hist.select(
-        F.round("_v", 4).alias("bin_edge"),
+        F.col("_v").alias("bin_edge"),
         F.col("_cnt").alias("n"),
         F.col("_wt").alias("weight"),
         F.col("_c1").alias("positive_weight"),

@@ -27,15 +27,16 @@ def xxhash01(*cols: Column) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def poisson_cdf(mean: float = 1.0, max_count: int = 5) -> list[float]:
-    """CDF values P(X <= k), k = 0 .. max_count - 1, of Poisson(mean).  A count is the number
-    of these values not above u, so counts run from 0 to ``max_count``."""
+def poisson_cdf(mean: float = 1.0) -> list[float]:
+    """CDF values P(X <= k), k = 0, 1, ..., of Poisson(mean), up to where a double no longer grows
+    (or 1 is reached).  A count is the number of these values not above u."""
     out, term, acc = [], math.exp(-mean), 0.0
-    for k in range(max_count):
-        if k > 0:
-            term = term * mean / k
+    k = 0
+    while acc + term > acc and acc < 1.0:
         acc += term
         out.append(acc)
+        k += 1
+        term = term * mean / k
     return out
 
 

@@ -1,7 +1,7 @@
 """Histogram binning of feature values before the split search.
 
-Cut points per feature come from quantiles of the training values (``percentile_approx``
-by default, a mergeable sketch; exact ``percentile`` on request).  A value is replaced by
+Cut points per feature come from quantiles of the training values (``percentile_approx``, a
+mergeable sketch whose size does not depend on the rows).  A value is replaced by
 its bin's upper edge, the smallest cut point at or above it, so ``x <= cut`` and
 ``bin(x) <= cut`` agree and the fitted thresholds (the cut points) apply to raw values.
 Values above the last cut fall into an open last bin that is never a threshold.
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missaware.operators.splits import BROADCAST_ROW_LIMIT
-
 
 def fractions(n_bins: int) -> list[float]:
     return [i / n_bins for i in range(1, n_bins)]
@@ -28,44 +26,40 @@ def padded_size(n_bins: int) -> int:
 
 
 def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy: int | None = None) -> DataFrame:
-    """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form,
-    padded with +inf to a power-of-two length for the binary search in ``bin_long``.
+    """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form, padded with
+    +inf to a power-of-two length.  Cut points are values of the table at ranks ``i / n_bins``.
 
-    The sketch accuracy defaults to ``max(1000, 32 * n_bins)``: a rank error of about 1/32 of
-    a bin, with a sketch per feature small enough for very many features."""
-    accuracy = accuracy if accuracy is not None else max(1000, 32 * n_bins)
-    fr = F.array(*[F.lit(x) for x in fractions(n_bins)])
+    The sketch's rank error is ``n / accuracy``; ``max(1000, 32 * n_bins)`` by default (about 1/32 of
+    a bin, small enough for very many features), a million with ``exact``.  Up to that many
+    values the ranks are exact.
+    """
+    accuracy = accuracy if accuracy is not None else 1_000_000 if exact else max(1000, 32 * n_bins)
     v = F.col("_v")
-    q = F.percentile(v, fr) if exact else F.percentile_approx(v, fractions(n_bins), accuracy)
     size = padded_size(n_bins)
     cuts = F.array_sort(F.array_distinct("_cuts"))
     pad = F.array_repeat(F.lit(float("inf")), F.lit(size) - F.size(cuts))
     return (
         long_df.filter(v.isNotNull())
         .groupBy("_f")
-        .agg(q.alias("_cuts"))
+        .agg(F.percentile_approx(v, fractions(n_bins), accuracy).alias("_cuts"))
         .select("_f", F.concat(cuts, pad).alias("_cuts"))
     )
 
 
-def bin_long(long_df: DataFrame, cuts: DataFrame, n_features: int, n_bins: int) -> DataFrame:
-    """Replace ``_v`` by its bin's upper edge (smallest cut >= value, +inf above the last).
+def bin_array(values, cuts: dict[int, list[float]], n_features: int, n_bins: int):
+    """Bin upper edges of an array column: a binary search per element over one literal array of all
+    padded cut points (features x bins, the size of the model)."""
+    size = padded_size(n_bins)
+    flat = [c for i in range(n_features) for c in cuts.get(i, [float("inf")] * size)]
+    text = ",".join("Infinity" if c == float("inf") else repr(float(c)) for c in flat)
+    table = F.split(F.lit(text), ",").cast("array<double>")
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())]) if size > 1 else F.array().cast("array<int>")
+
+    def edge(x, i):
+        past = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(F.get(table, i * size + pos + step - 1) < x, pos + step).otherwise(pos))
+        return F.when(x.isNotNull(), F.get(table, i * size + past))
 
-    Binary search by halving steps over the padded cut array: ``log2`` steps of
-    ``element_at``, all inside generated code (no per-element lambda).  The cut table has
-    one row per feature, a bound known before the job, so it is broadcast when small.
-    """
-    side = F.broadcast(cuts) if n_features <= BROADCAST_ROW_LIMIT else cuts
-    out = long_df.join(side, "_f", "left").withColumn("_pos", F.lit(0))
-    step = padded_size(n_bins) // 2
-    while step >= 1:
-        nxt = F.col("_pos") + F.lit(step)
-        out = out.withColumn("_pos", F.when(F.element_at("_cuts", nxt) < F.col("_v"), nxt).otherwise(F.col("_pos")))
-        step //= 2
-    edge = F.when(F.col("_v").isNull(), F.lit(None).cast("double")).otherwise(
-        F.element_at("_cuts", F.col("_pos") + 1)
-    )
-    return out.withColumn("_v", edge).drop("_cuts", "_pos")
+    return F.transform(values.cast("array<double>"), edge)
 
 
 def bin_column(value, cuts: list[float]):

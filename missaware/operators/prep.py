@@ -107,24 +107,22 @@ def split_side(feature: str, threshold: float) -> Column:
     return F.when(c <= F.lit(threshold), F.lit("left")).when(c > F.lit(threshold), F.lit("right"))
 
 
-def split_by_fraction(df: DataFrame, u: Column, test_fraction: float) -> tuple[DataFrame, DataFrame]:
-    """Train / test by a per-row uniform; deterministic, no shuffle."""
-    cond = u < F.lit(float(test_fraction))
-    return df.filter(~cond), df.filter(cond)
-
-
 def exact_boundary(df: DataFrame, u: Column, n_test: int, key: list[str], accuracy: int = 1_000_000):
     """The ``n_test``-th smallest ``(u, key)`` tuple, found without a global sort.
 
     Approximate quantiles bracket the boundary; one aggregate counts the rows below the
     bracket; only rows inside the bracket (about ``4 n / accuracy``) are ordered to pick
     the exact tuple.  Returns None when ``n_test`` is 0 and the largest tuple when it
-    covers every row.
+    covers every row.  Keys must tell rows apart: a null key, or a key that repeats on the
+    boundary, is refused.
     """
     if n_test <= 0:
         return None
     ranked = df.select(u.alias("_u"), *[F.col(k) for k in key])
-    n = ranked.count()
+    null_key = F.greatest(F.lit(False), *[F.col(k).isNull() for k in key])
+    n, n_null = ranked.agg(F.count(F.lit(1)), F.count(F.when(null_key, 1))).first()
+    if n_null:
+        raise ValueError(f"{n_null} rows have a null in the split key {key}")
     tup = F.struct(F.col("_u"), *[F.col(k) for k in key])
     if n_test >= n:
         return ranked.agg(F.max(tup)).first()[0]
@@ -151,8 +149,12 @@ def exact_boundary(df: DataFrame, u: Column, n_test: int, key: list[str], accura
         band = band.filter(F.col("_u") >= lo)
     if hi is not None:
         band = band.filter(F.col("_u") <= hi)
-    picked = band.orderBy("_u", *key).limit(n_test - below)
-    return picked.agg(F.max(tup)).first()[0]
+    # the boundary row and the one after it: equal tuples cannot be told apart
+    edge = band.orderBy("_u", *key).limit(n_test - below + 1).orderBy(F.desc("_u"), *[F.desc(k) for k in key]).limit(2).collect()
+    edge = edge[-1:] if n_test == n else edge
+    if len(edge) == 2 and edge[0] == edge[1]:
+        raise ValueError(f"the split key {key} repeats on the boundary")
+    return edge[-1]
 
 
 def split_exact_side(df: DataFrame, u: Column, n_test: int, key: list[str], accuracy: int = 1_000_000) -> DataFrame:

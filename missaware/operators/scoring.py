@@ -1,14 +1,15 @@
-"""Set-oriented scoring: a fitted tree becomes nested ``CASE WHEN`` column expressions.
-
-Every output (class, probabilities, leaf id, decision path, missingness reliance) is a plain
-JVM-side expression over the input columns, so scoring is a narrow, codegen'd projection
-that works the same on batch and streaming DataFrames.  A value that is null goes right
-(the ``ELSE`` branch), as SQL comparison semantics give.
+"""Set-oriented scoring: trees and forests as literal node arrays that every row walks.
+
+All nodes of all trees stand in a few literal arrays (feature, threshold, left child, class, ...);
+the right child follows the left one.  A row takes ``max_depth`` steps, each an array lookup and a
+comparison, in one expression whose size does not depend on the number of nodes.  So one method
+serves a stump and a forest of a hundred deep trees: a narrow projection without a join, a row key or
+a shuffle, the same on batch and streaming DataFrames.  A value that is null goes right, as SQL
+comparison gives; an array of the wrong length is an error.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,59 +18,122 @@ from pyspark.sql import functions as F
 from missaware.plans.model import ForestModel, Node, TreeModel
 
 
-def feature_value(model: TreeModel, idx: int) -> Column:
-    if model.array_col is not None:
-        return F.try_element_at(F.col(model.array_col), F.lit(idx + 1)).cast("double")
-    return F.col(model.features[idx]).cast("double")
+def _numbers(values: list, kind: str) -> Column:
+    """A literal array; written as one text, which the optimizer folds, so size costs one call."""
+    text = ",".join(repr(float(v)).replace("inf", "Infinity") if kind == "double" else str(int(v)) for v in values)
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
 
 
-def mask_value(model: TreeModel, idx: int, available: set[str] | None = None) -> Column:
-    """0/1 missing flag of a feature; a feature without a mask column is never missing."""
-    if model.array_col is not None:
-        if model.array_mask_col is None:
-            return F.lit(0)
-        return F.try_element_at(F.col(model.array_mask_col), F.lit(idx + 1)).cast("int")
-    m = model.masks[idx]
-    if m is None or (available is not None and m not in available):
-        return F.lit(0)
-    return F.col(m).cast("int")
+def _texts(values: list[str]) -> Column:
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
-def fold(
-    model: TreeModel,
-    at_leaf: Callable[[Node], Column],
-    at_split: Callable[[Node, Column, Column], Column],
-    node: int = 1,
-) -> Column:
-    n = model.nodes[node]
-    if n.is_leaf:
-        return at_leaf(n)
-    return at_split(n, fold(model, at_leaf, at_split, 2 * node), fold(model, at_leaf, at_split, 2 * node + 1))
+def _by_node(value: Callable[[Node], object]) -> Callable[[TreeModel, Node], object]:
+    return lambda _, n: value(n)
+
+
+class Walk:
+    """The node arrays of some trees over the same features."""
+
+    def __init__(self, trees: list[TreeModel]):
+        self.trees, self.model = trees, trees[0]
+        self.flat: list[tuple[TreeModel, Node]] = []
+        roots, left = [], {}
+        for t in trees:
+            roots.append(len(self.flat))
+            self.flat.append((t, t.nodes[1]))
+            at = roots[-1]
+            while at < len(self.flat):  # breadth first, children side by side
+                n = self.flat[at][1]
+                if not n.is_leaf:
+                    left[at] = len(self.flat)
+                    self.flat += [(t, t.nodes[2 * n.node]), (t, t.nodes[2 * n.node + 1])]
+                at += 1
+        self.depth = max(t.max_depth for t in trees)
+        self.root = _numbers(roots, "int")
+        self.feature = _numbers([-1 if n.is_leaf else n.feature_idx for _, n in self.flat], "int")
+        self.threshold = _numbers([0.0 if n.is_leaf else n.threshold for _, n in self.flat], "double")
+        self.left = _numbers([left.get(i, -1) for i in range(len(self.flat))], "int")
 
+    def numbers(self, value: Callable[[TreeModel, Node], object], kind: str) -> Column:
+        """One number per node (None becomes -1)."""
+        return _numbers([-1 if (v := value(t, n)) is None else v for t, n in self.flat], kind)
 
-def route(model: TreeModel, at_leaf: Callable[[Node], Column]) -> Column:
-    """``x <= threshold`` goes left, everything else (greater, null) goes right."""
+    def row(self, out: Callable[[Column, Column], Column], available: set[str] | None = None) -> Column:
+        """``out(values, masks)`` with a row's two arrays worked out once."""
+        bound = F.array(F.struct(values_of(self.model).alias("v"), masks_of(self.model, available).alias("m")))
+        return F.get(F.transform(bound, lambda r: out(r["v"], r["m"])), F.lit(0))
 
-    def at_split(n: Node, left: Column, right: Column) -> Column:
-        x = feature_value(model, n.feature_idx)
-        return F.when(x <= F.lit(n.threshold), left).otherwise(right)
+    def _next(self, n: Column, x: Column) -> Column:
+        first = F.get(self.left, n)
+        return F.when(first < 0, n).when(x <= F.get(self.threshold, n), first).otherwise(first + 1)
 
-    return fold(model, at_leaf, at_split)
+    def _steps(self) -> Column:
+        return F.array_repeat(F.lit(0), self.depth)
+
+    def end(self, values: Column, tree: Column) -> Column:
+        """Index of the leaf that the row reaches in a tree."""
+        return F.aggregate(self._steps(), F.get(self.root, tree), lambda n, _: self._next(n, F.get(values, F.get(self.feature, n))))
+
+    def reliant(self, values: Column, masks: Column, tree: Column, max_depth: int | None) -> Column:
+        """1 when a tested feature is missing.  Splits deeper than ``max_depth`` do not count; after a
+        null value the node's own flag still counts and nothing below does."""
+        counts = self.numbers(_by_node(lambda n: 0 if n.is_leaf or (max_depth is not None and n.depth > max_depth) else 1), "int")
+        start = F.struct(F.get(self.root, tree).alias("n"), F.lit(0).alias("r"), F.lit(False).alias("stop"))
+
+        def step(a, _):
+            f = F.get(self.feature, a["n"])
+            x = F.get(values, f)
+            flag = F.coalesce(F.get(masks, f), F.lit(0))
+            r = F.when((F.get(counts, a["n"]) == 1) & ~a["stop"], F.greatest(a["r"], flag)).otherwise(a["r"])
+            return F.struct(self._next(a["n"], x).alias("n"), r.alias("r"), (a["stop"] | ((f >= 0) & x.isNull())).alias("stop"))
+
+        return F.aggregate(self._steps(), start, step, lambda a: a["r"])
+
+
+def values_of(model: TreeModel) -> Column:
+    """All feature values of a row as ``array<double>``."""
+    if model.array_col is None:
+        return F.array(*[F.col(f).cast("double") for f in model.features])
+    v, n = F.col(model.array_col), len(model.features)
+    wrong = F.raise_error(F.concat(F.lit(f"{model.array_col} must hold {n} features, found "), F.coalesce(F.size(v).cast("string"), F.lit("null"))))
+    return F.when(F.size(v) == n, v.cast("array<double>")).otherwise(wrong.cast("array<double>"))
+
+
+def masks_of(model: TreeModel, available: set[str] | None = None) -> Column:
+    """All 0/1 missing flags of a row; a feature without a mask column is never missing."""
+    if model.array_col is not None:
+        return F.lit(None).cast("array<int>") if model.array_mask_col is None else F.col(model.array_mask_col).cast("array<int>")
+    here = [m is not None and (available is None or m in available) for m in model.masks]
+    return F.array(*[F.col(m).cast("int") if ok else F.lit(0) for m, ok in zip(model.masks, here, strict=True)])
+
+
+def _at_leaf(model: TreeModel, value: Callable[[Walk, Column], Column]) -> Column:
+    w = Walk([model])
+    return w.row(lambda v, _: value(w, w.end(v, F.lit(0))))
+
+
+def _class_at(w: Walk, at: Column) -> Column:
+    return F.nullif(F.get(w.numbers(_by_node(lambda n: n.prediction if n.is_leaf else None), "int"), at), F.lit(-1))
 
 
 def predict_col(model: TreeModel) -> Column:
-    return route(model, lambda n: F.lit(n.prediction).cast("int"))
+    """Class of the leaf (null for an empty tree)."""
+    return _at_leaf(model, _class_at)
 
 
 def leaf_col(model: TreeModel) -> Column:
-    return route(model, lambda n: F.lit(n.node).cast("bigint"))
+    return _at_leaf(model, lambda w, at: F.get(w.numbers(_by_node(lambda n: n.node), "bigint"), at))
 
 
 def proba_col(model: TreeModel) -> Column:
-    def leaf(n: Node) -> Column:
-        return F.array(*[F.lit(float(p)) for p in n.probability])
+    k = model.n_classes
+
+    def shares(w: Walk, at: Column) -> Column:
+        flat = _numbers([p for _, n in w.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
+        return F.slice(flat, at * k + 1, k)
 
-    return route(model, leaf)
+    return _at_leaf(model, shares)
 
 
 def argmax_col(proba: Column) -> Column:
@@ -77,18 +141,24 @@ def argmax_col(proba: Column) -> Column:
     return (F.array_position(proba, F.array_max(proba)) - 1).cast("int")
 
 
-def path_features_col(model: TreeModel, max_depth: int | None = None) -> Column:
-    """Names of the features tested on the way to the leaf (the leaf itself excluded)."""
+def _paths(model: TreeModel, w: Walk, max_depth: int | None, once: bool) -> Column:
+    """Per node the feature indices on the way to it, as texts like ``0,3,1``."""
+    out = []
+    for _, n in w.flat:
+        tested = [model.nodes[a].feature_idx for a in model.path(n.node) if max_depth is None or model.nodes[a].depth <= max_depth]
+        out.append(",".join(map(str, dict.fromkeys(tested) if once else tested)) if n.is_leaf else "")
+    return _texts(out)
 
-    def leaf(n: Node) -> Column:
-        names = [
-            model.features[model.nodes[a].feature_idx]
-            for a in model.path(n.node)
-            if max_depth is None or model.nodes[a].depth <= max_depth
-        ]
-        return F.array(*[F.lit(s) for s in names]).cast("array<string>")
 
-    return route(model, leaf)
+def _path_at(paths: Column, at: Column) -> Column:
+    text = F.get(paths, at)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.split(text, ",").cast("array<int>"))
+
+
+def path_features_col(model: TreeModel, max_depth: int | None = None) -> Column:
+    """Names of the features tested on the way to the leaf (the leaf itself excluded)."""
+    names = _texts(model.features)
+    return _at_leaf(model, lambda w, at: F.transform(_path_at(_paths(model, w, max_depth, False), at), lambda i: F.get(names, i)))
 
 
 def reliance_col(
@@ -100,22 +170,8 @@ def reliance_col(
     counts the root).  When the tested value itself is null, the node's flag is added and
     the walk stops there.
     """
-
-    def at_leaf(n: Node) -> Column:
-        return F.lit(0)
-
-    def at_split(n: Node, left: Column, right: Column) -> Column:
-        if max_depth is not None and n.depth > max_depth:
-            return F.lit(0)
-        x = feature_value(model, n.feature_idx)
-        m = mask_value(model, n.feature_idx, available)
-        return (
-            F.when(x.isNull(), m)
-            .when(x <= F.lit(n.threshold), F.greatest(m, left))
-            .otherwise(F.greatest(m, right))
-        )
-
-    return fold(model, at_leaf, at_split)
+    w = Walk([model])
+    return w.row(lambda v, m: w.reliant(v, m, F.lit(0), max_depth), available)
 
 
 def transform(
@@ -153,67 +209,97 @@ def reliance(df: DataFrame, model: TreeModel, max_depth: int | None = None, samp
 
 
 def reliance_matrix(df: DataFrame, model: TreeModel, keys: list[str], max_depth: int | None = None) -> DataFrame:
-    """Long reliance matrix: (keys, feature, missing) for each feature on the row's path."""
-    available = set(df.columns)
+    """Long reliance matrix: (keys, feature, missing) for each feature on the row's path.
 
-    def leaf(n: Node) -> Column:
-        items = []
-        for a in model.path(n.node):
-            an = model.nodes[a]
-            if max_depth is not None and an.depth > max_depth:
-                continue
-            items.append(
-                F.struct(
-                    F.lit(model.features[an.feature_idx]).alias("feature"),
-                    mask_value(model, an.feature_idx, available).alias("missing"),
-                )
-            )
-        if not items:
-            return F.array().cast("array<struct<feature:string,missing:int>>")
-        return F.array(*items)
-
-    path = route(model, leaf)
-    # a feature tested twice on one path is one cell of the matrix
-    return (
-        df.select(*keys, F.inline(path))
-        .groupBy(*keys, "feature")
-        .agg(F.max("missing").alias("missing"))
+    A feature tested twice on a path is one cell: repeats are dropped while the leaf's path is built,
+    so rows need no grouping and rows with equal keys stay apart.
+    """
+    w, names = Walk([model]), _texts(model.features)
+    cells = w.row(
+        lambda v, m: F.transform(
+            _path_at(_paths(model, w, max_depth, True), w.end(v, F.lit(0))),
+            lambda i: F.struct(F.get(names, i).alias("feature"), F.coalesce(F.get(m, i), F.lit(0)).alias("missing")),
+        ),
+        set(df.columns),
     )
+    return df.select(*keys, F.inline(cells))
 
 
 # ---- forests ---------------------------------------------------------------------------
 
+def _each_tree(w: Walk, out: Callable[[Column], Column]) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(len(w.trees) - 1)), out)
+
+
 def forest_votes_col(forest: ForestModel) -> Column:
-    """Array of per-tree predicted classes."""
-    return F.array(*[predict_col(t) for t in forest.trees])
+    """Array of per-tree predicted classes (null for an empty tree)."""
+    w = Walk(forest.trees)
+    return w.row(lambda v, _: _each_tree(w, lambda t: _class_at(w, w.end(v, t))))
+
+
+def vote_counts(votes: Column, n_classes: int) -> Column:
+    """Votes per class; null votes do not count."""
+    classes = F.sequence(F.lit(0), F.lit(max(1, n_classes) - 1))
+    return F.transform(classes, lambda k: F.size(F.filter(votes, lambda v: v == k)))
 
 
 def vote_col(votes: Column, n_classes: int) -> Column:
-    """Majority of an array of class votes; a tie goes to the smallest class."""
+    """Majority of an array of class votes; a tie goes to the smallest class; null without votes."""
+    counts = vote_counts(votes, n_classes)
+    return F.when(F.array_max(counts) > 0, argmax_col(counts))
 
-    def is_class(k: int):
-        return lambda v: v == F.lit(k)
 
-    counts = [F.size(F.filter(votes, is_class(k))) for k in range(n_classes)]
-    return argmax_col(F.array(*counts))
+def vote_shares_col(forest: ForestModel) -> Column:
+    """Share of the votes per class (zeros without votes)."""
+    counts = vote_counts(forest_votes_col(forest), forest.n_classes)
+    total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+    return F.transform(counts, lambda c: c / F.greatest(total, F.lit(1)))
 
 
 def forest_predict_col(forest: ForestModel) -> Column:
+    if not forest.trees:
+        return F.lit(None).cast("int")
     return vote_col(forest_votes_col(forest), forest.n_classes)
 
 
 def mean_of(per_tree: list[Column]) -> Column:
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in per_tree])
+    total = F.aggregate(F.array(*[F.coalesce(c, F.lit(0.0)) for c in per_tree]), F.lit(0.0), lambda a, c: a + c)
     return total / F.lit(float(len(per_tree)))
 
 
-def forest_reliance(df: DataFrame, forest: ForestModel) -> DataFrame:
-    """Mean over trees of each tree's reliance, one pass over ``df``; 0.0 without trees."""
+def forest_reliance_col(forest: ForestModel, available: set[str] | None = None) -> Column:
+    """Share of the trees whose path for the row tests a missing feature; 0.0 without trees."""
     if not forest.trees:
-        return df.agg(F.lit(0.0).alias("rho"))
-    available = set(df.columns)
-    per_tree = [F.avg(reliance_col(t, available=available).cast("double")) for t in forest.trees]
-    return df.agg(mean_of(per_tree).alias("rho"))
+        return F.lit(0.0)
+    w = Walk(forest.trees)
+    flags = w.row(lambda v, m: _each_tree(w, lambda t: w.reliant(v, m, t, None)), available)
+    return F.aggregate(flags, F.lit(0), lambda a, r: a + r) / F.lit(float(len(forest.trees)))
+
+
+def forest_reliance(df: DataFrame, forest: ForestModel) -> DataFrame:
+    """Mean over trees of each tree's reliance, one pass over ``df``; 0.0 without trees or rows."""
+    return df.agg(F.coalesce(F.avg(forest_reliance_col(forest, set(df.columns))), F.lit(0.0)).alias("rho"))
+
+
+def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:
+    """Score rows that carry a tree index ``_t`` by that tree alone: adds ``_n`` (the leaf), ``_p``
+    (its class) and ``_r`` (reliance)."""
+    w, t = Walk(forest.trees), F.col("_t")
+    got = w.row(
+        lambda v, m: F.transform(
+            F.array(w.end(v, t)),
+            lambda at: F.struct(F.get(w.numbers(_by_node(lambda n: n.node), "bigint"), at).alias("_n"), _class_at(w, at).alias("_p"), w.reliant(v, m, t, None).alias("_r")),
+        )[0],
+        set(rows.columns),
+    )
+    return rows.select("*", got.alias("_got")).select(*rows.columns, "_got.*")
+
+
+def open_node_col(models: list[TreeModel], open_nodes: set[tuple[int, int]], tree: Column) -> Column:
+    """Id of the open node that a row has reached in its tree; null in a closed leaf."""
+    w = Walk(models)
+    ids = w.numbers(lambda t, n: n.node if (t.tree, n.node) in open_nodes else None, "bigint")
+    return w.row(lambda v, _: F.nullif(F.get(ids, w.end(v, tree)), F.lit(-1).cast("bigint")))
 
 
 def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:
@@ -236,100 +322,3 @@ def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFr
         F.round(F.avg(F.col("_r").cast("double")), 6).alias("rho"),
     )
     return out.select("leaf", F.element_at(rules, F.col("leaf")).alias("rule"), "n", "positives", "positive_share", "rho")
-
-
-def dynamic_value(model: TreeModel, idx: Column) -> Column:
-    """Value of the feature whose 0-based index is the column ``idx``."""
-    if model.array_col is not None:
-        return F.try_element_at(F.col(model.array_col), idx + 1).cast("double")
-    return F.try_element_at(F.array(*[F.col(f).cast("double") for f in model.features]), idx + 1)
-
-
-def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:
-    """Walk rows that carry a tree index ``_t`` down their tree: one equi-join per level with
-    that level's split table (at most trees x 2^depth rows, broadcast below the row limit).
-
-    Adds ``_n`` (the leaf reached; a null value goes right, as in ``predict_col``), ``_p`` (the
-    leaf's class) and ``_r`` (1 when a tested feature was missing; as in ``reliance_col`` the
-    flags stop accumulating after a tested value that is null)."""
-    from missaware.operators.splits import BROADCAST_ROW_LIMIT
-
-    spark = rows.sparkSession
-    m0 = forest.trees[0]
-    available = set(rows.columns)
-    cur = rows.select("*", F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias("_r"), F.lit(False).alias("_stop"))
-    depth = max(t.max_depth for t in forest.trees)
-    for k in range(depth):
-        level = [
-            (i, n.node, n.feature_idx, float(n.threshold))
-            for i, t in enumerate(forest.trees)
-            for n in t.nodes.values()
-            if not n.is_leaf and n.depth == k
-        ]
-        if not level:
-            break
-        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
-        side = F.broadcast(table) if len(level) <= BROADCAST_ROW_LIMIT else table
-        cur = cur.join(side, ["_t", "_n"], "left")
-        x = dynamic_value(m0, F.col("_sf"))
-        tested = F.col("_sf").isNotNull()
-        counts = tested & ~F.col("_stop")
-        cur = cur.withColumns(
-            {
-                "_r": F.when(counts, F.greatest(F.col("_r"), dynamic_mask(m0, F.col("_sf"), available))).otherwise(F.col("_r")),
-                "_stop": F.col("_stop") | (tested & x.isNull()),
-                "_n": F.when(~tested, F.col("_n")).otherwise(
-                    F.col("_n") * 2 + F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
-                ),
-            }
-        ).drop("_sf", "_sthr")
-    leaves = [(i, n.node, n.prediction) for i, t in enumerate(forest.trees) for n in t.leaves()]
-    ltab = spark.createDataFrame(leaves, "_t int, _n bigint, _p int")
-    lside = F.broadcast(ltab) if len(leaves) <= BROADCAST_ROW_LIMIT else ltab
-    return cur.join(lside, ["_t", "_n"], "left").drop("_stop")
-
-
-def _model_columns(forest: ForestModel, available: set[str]) -> list[str]:
-    m0 = forest.trees[0]
-    if m0.array_col is not None:
-        cols = [m0.array_col, m0.array_mask_col]
-    else:
-        cols = list(m0.features) + [m for m in m0.masks if m and m in available]
-    return [c for c in dict.fromkeys(cols) if c]
-
-
-def forest_predict_join(df: DataFrame, forest: ForestModel, keys: list[str]) -> DataFrame:
-    """(keys, prediction) by majority vote for forests too large for ``CASE`` expressions.
-
-    Rows x trees walk down by per-level joins (``walk_forest``); votes are counted per
-    (key, class) with map-side partial aggregation; ties go to the smallest class.  ``keys``
-    must identify rows (rows equal in all key columns are voted together).
-    """
-    cols = [c for c in _model_columns(forest, set(df.columns)) if c not in keys]
-    rows = df.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t"))
-    votes = walk_forest(rows, forest)
-    counted = votes.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    best = counted.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_p")).alias("_neg"))).alias("_b"))
-    return best.select(*keys, (-F.col("_b._neg")).cast("int").alias("prediction"))
-
-
-def dynamic_mask(model: TreeModel, idx: Column, available: set[str]) -> Column:
-    """0/1 missing flag of the feature whose 0-based index is the column ``idx``."""
-    if model.array_col is not None:
-        if model.array_mask_col is None:
-            return F.lit(0)
-        return F.coalesce(F.try_element_at(F.col(model.array_mask_col), idx + 1).cast("int"), F.lit(0))
-    flags = [F.col(m).cast("int") if m is not None and m in available else F.lit(0) for m in model.masks]
-    return F.coalesce(F.try_element_at(F.array(*flags), idx + 1), F.lit(0))
-
-
-def forest_reliance_join(df: DataFrame, forest: ForestModel) -> DataFrame:
-    """Forest reliance for forests too large for ``CASE`` expressions: rows x trees walk
-    down by per-level joins (``walk_forest``), one aggregate per tree, then the mean over
-    trees (0.0 without trees)."""
-    if not forest.trees:
-        return df.agg(F.lit(0.0).alias("rho"))
-    cols = _model_columns(forest, set(df.columns))
-    rows = df.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("_t"))
-    per_tree = walk_forest(rows, forest).groupBy("_t").agg(F.avg(F.col("_r").cast("double")).alias("_rho"))
-    return per_tree.agg((F.sum("_rho") / F.lit(float(len(forest.trees)))).alias("rho"))

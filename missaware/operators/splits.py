@@ -119,19 +119,21 @@ def cumulative(
     """Running (left) sums over value order per (keys, feature), group totals and next value.
 
     Output columns: keys, ``_f``, ``_v``, ``_next``, ``_nl``, ``_wl``, ``_l<k>``, ``_tot_n``,
-    ``_tot_w``, ``_tot_c<k>``, ``_tot_mw``.  ``hot_groups`` says whether any group exceeds
-    ``max_window_bins``; when None it is found with one small aggregate.
+    ``_tot_w``, ``_tot_c<k>``, ``_tot_mw``.  Lazy: no job runs unless ``hot_groups`` says that some
+    group may exceed ``max_window_bins`` (a fit knows from its nodes' row counts); then one small
+    aggregate finds the largest, which sets the number of value ranges.  Both scans give the same
+    sums (up to the last bits of fractional weights).
     """
     g = keys + ["_f"]
     sums = _sum_cols(n_classes)
     running = _running_names(n_classes)
     order = F.col("_v").asc_nulls_last()
 
-    if max_window_bins is not None and hot_groups is None:
-        top = group_totals(hist, keys, n_classes).agg(F.max("_bins")).first()[0]
-        hot_groups = top is not None and top > max_window_bins
+    top = 0
+    if max_window_bins is not None and hot_groups:
+        top = group_totals(hist, keys, n_classes).agg(F.max("_bins")).first()[0] or 0
 
-    if not hot_groups:
+    if not hot_groups or top <= max_window_bins:
         run = Window.partitionBy(*g).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
@@ -143,16 +145,15 @@ def cumulative(
         cols.append(F.lead("_v").over(ordered).alias("_next"))
         return hist.select(*g, "_v", *cols)
 
-    return _cumulative_ranges(hist, keys, n_classes, max_window_bins, n_groups)
+    return _cumulative_ranges(hist, keys, n_classes, max_window_bins, n_groups, max(64, 4 * -(-top // max_window_bins)))
 
 
-def _cumulative_ranges(hist, keys, n_classes, max_window_bins, n_groups):
+def _cumulative_ranges(hist, keys, n_classes, max_window_bins, n_groups, n_ranges):
     """Two-phase scan for groups too large for one window task."""
     g = keys + ["_f"]
     sums = _sum_cols(n_classes)
     running = _running_names(n_classes)
     order = F.col("_v").asc_nulls_last()
-    n_ranges = 64
     fractions = [i / n_ranges for i in range(1, n_ranges)]
 
     totals = group_totals(hist, keys, n_classes)
@@ -161,7 +162,7 @@ def _cumulative_ranges(hist, keys, n_classes, max_window_bins, n_groups):
         hist.join(hot, g, "left_semi")
         .filter(F.col("_v").isNotNull())
         .groupBy(*g)
-        .agg(F.percentile_approx("_v", fractions, 10_000).alias("_cuts"))
+        .agg(F.percentile_approx("_v", fractions, max(10_000, 32 * n_ranges)).alias("_cuts"))
     )
     # range id = number of cut points strictly below the value; nulls sort last
     rng = (
@@ -230,6 +231,13 @@ def apart(a: Column, b: Column, tol: NearEqual) -> Column:
     return F.abs(a - b) > F.lit(tol.atol) + F.lit(tol.rtol) * F.abs(b)
 
 
+def midpoint(v: Column, nxt: Column) -> Column:
+    """A threshold with ``v <= t < nxt``: the midpoint; halves where the sum overflows; ``v`` where no
+    double lies between, or the next value is infinite or NaN (which sorts last)."""
+    mid, halves = (v + nxt) / F.lit(2.0), v / F.lit(2.0) + nxt / F.lit(2.0)
+    return F.when((mid >= v) & (mid < nxt), mid).when((halves >= v) & (halves < nxt), halves).otherwise(v)
+
+
 def candidates(
     cum: DataFrame,
     keys: list[str],
@@ -255,7 +263,7 @@ def candidates(
         cond = cond & apart(F.col("_v"), F.col("_next"), near_equal)
     valid = cum.filter(cond)
     if threshold == "midpoint":
-        thr = (F.col("_v") + F.col("_next")) / F.lit(2.0)
+        thr = midpoint(F.col("_v"), F.col("_next"))
     elif threshold == "value":
         thr = F.col("_v")
     else:

@@ -5,27 +5,38 @@
     scored = model.transform(test)      # adds prediction / probability / rho columns
     model.reliance(test)                # one-row DataFrame: share of rows relying on missing values
 
-Array features (``featuresCol`` of ``ARRAY<DOUBLE>``, ``missingnessCol`` of ``ARRAY<INT>``)
-are the wide-table variant; ``maxBins`` switches to quantile-binned split search.
+Array features (``featuresCol`` of ``ARRAY<DOUBLE>``, ``missingnessCol`` of ``ARRAY<INT>``, or MLlib
+vectors for either) are the wide-table variant; predictions are DOUBLE as MLlib evaluators expect;
+estimators and models have ``save`` / ``load`` and ``write`` / ``read``; ``maxBins`` switches to quantile-binned split search.
 ``impurity`` ("gini" / "entropy") is accepted as the MLlib name of ``criterion``.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missaware.operators import prep, scoring
 from missaware.operators.splits import NearEqual
 from missaware.plans.model import ForestModel, TreeModel
-from missaware.plans.tree import CASE_NODE_LIMIT, FeatureSpec, FitParams, fit_forest
+from missaware.plans.tree import FeatureSpec, FitParams, fit_forest
+from missaware.sources.models import load_forest, save_forest
 
 _IMPURITY = {"gini": "gini", "entropy": "info_gain", "info_gain": "info_gain"}
 
 
+def is_vector(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, VectorUDT)
+
+
 def _p(name: str, doc: str, conv) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=conv)
 
@@ -72,7 +83,10 @@ class _TreeParams(_OutputParams):
     def fit_params(self) -> FitParams:
         crit = self.getOrDefault(self.criterion)
         if self.isSet(self.impurity):
-            crit = _IMPURITY[self.getOrDefault(self.impurity)]
+            crit = self.getOrDefault(self.impurity)
+            if crit not in _IMPURITY:
+                raise ValueError(f"impurity must be gini or entropy, got {crit!r}")
+            crit = _IMPURITY[crit]
         rtol = self.getOrDefault(self.nearEqualRtol)
         params = FitParams(
             max_depth=self.getOrDefault(self.maxDepth),
@@ -93,6 +107,10 @@ class _TreeParams(_OutputParams):
             return w
         return "sample_weight" if "sample_weight" in df.columns else None
 
+    def arrays(self, df: DataFrame) -> DataFrame:
+        """The input with vector columns as arrays."""
+        return df.withColumns({c: vector_to_array(c) for c in (self._opt(self.featuresCol), self._opt(self.missingnessCol)) if c and is_vector(df, c)})
+
     def spec_of(self, df: DataFrame) -> FeatureSpec:
         arr = self._opt(self.featuresCol)
         if arr:
@@ -103,7 +121,7 @@ class _TreeParams(_OutputParams):
         return FeatureSpec.columns(df, feats, prefix)
 
 
-class MissAwareTreeClassifier(Estimator, _TreeParams):
+class MissAwareTreeClassifier(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsWritable):
     """Missingness-avoiding decision tree (CART split search with a missing-share penalty)."""
 
     @keyword_only
@@ -117,11 +135,12 @@ class MissAwareTreeClassifier(Estimator, _TreeParams):
         self.fit_params()
 
     def _fit(self, dataset: DataFrame) -> "TreeClassifierModel":
+        dataset = self.arrays(dataset)
         models = fit_forest(dataset, self.spec_of(dataset), self.getOrDefault(self.labelCol), self.fit_params(), weight=self.weight_of(dataset))
         return self._copyValues(TreeClassifierModel(models[0]))
 
 
-class MissAwareForestClassifier(Estimator, _TreeParams):
+class MissAwareForestClassifier(Estimator, _TreeParams, DefaultParamsReadable, DefaultParamsWritable):
     """Bagged missingness-avoiding trees; all trees grow together, one job per depth."""
 
     numTrees = _p("numTrees", "number of trees", TypeConverters.toInt)
@@ -141,6 +160,7 @@ class MissAwareForestClassifier(Estimator, _TreeParams):
         self.fit_params()
 
     def _fit(self, dataset: DataFrame, bootstrap_u=None) -> "ForestClassifierModel":
+        dataset = self.arrays(dataset)
         models = fit_forest(
             dataset,
             self.spec_of(dataset),
@@ -153,53 +173,106 @@ class MissAwareForestClassifier(Estimator, _TreeParams):
             key_cols=self._opt(self.keyCols),
             bootstrap_u=bootstrap_u,
         )
-        return self._copyValues(ForestClassifierModel(ForestModel(models), self._opt(self.keyCols)))
+        return self._copyValues(ForestClassifierModel(ForestModel(models)))
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        save_forest(self.sparkSession, self.instance.as_forest(), f"{path}/model")
+
+
+class _ModelReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        out = self.cls.of_forest(load_forest(self.sparkSession, f"{path}/model"))
+        out._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(out, metadata)
+        return out
+
+
+class _FittedModel(Model, _OutputParams, MLWritable, MLReadable):
+    """Scoring columns for tree and forest models; one narrow projection."""
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
+
+    def _array_model(self, dataset: DataFrame):
+        """(dataset, forest, extra columns): vector columns read through array columns beside them."""
+        forest = self.as_forest()
+        first = forest.trees[0] if forest.trees else None
+        used = [c for c in (first.array_col, first.array_mask_col) if c] if first else []
+        beside = {c: f"_array_{c}" for c in used if is_vector(dataset, c)}
+        if not beside:
+            return dataset, forest, []
+        dataset = dataset.withColumns({new: vector_to_array(c) for c, new in beside.items()})
+        trees = [replace(t, array_col=beside.get(t.array_col, t.array_col), array_mask_col=beside.get(t.array_mask_col, t.array_mask_col)) for t in forest.trees]
+        return dataset, ForestModel(trees), list(beside.values())
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        rows, forest, extra = self._array_model(dataset)
+        made = self.columns(forest, set(rows.columns))
+        names = [self.getOrDefault(p) for p in (self.predictionCol, self.probabilityCol, self.missingnessRelianceCol)]
+        return rows.select("*", *[c.alias(n) for n, c in zip(names, made, strict=True) if n]).drop(*extra)
+
+    def node_table(self, spark) -> DataFrame:
+        return self.as_forest().node_table(spark)
 
 
-class TreeClassifierModel(Model, _OutputParams):
+class TreeClassifierModel(_FittedModel):
     def __init__(self, model: TreeModel):
         super().__init__()
         self.model = model
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        return scoring.transform(
-            dataset,
-            self.model,
-            self.getOrDefault(self.predictionCol) or None,
-            self.getOrDefault(self.probabilityCol) or None,
-            None,
-            self.getOrDefault(self.missingnessRelianceCol) or None,
-        )
+    @classmethod
+    def of_forest(cls, forest: ForestModel) -> "TreeClassifierModel":
+        return cls(forest.trees[0])
+
+    def as_forest(self) -> ForestModel:
+        return ForestModel([self.model])
+
+    def columns(self, forest: ForestModel, available: set[str]) -> list:
+        tree = forest.trees[0]
+        return [scoring.predict_col(tree).cast("double"), scoring.proba_col(tree), scoring.reliance_col(tree, available=available)]
 
     def reliance(self, df: DataFrame, max_depth: int | None = None, sample_mask=None) -> DataFrame:
-        return scoring.reliance(df, self.model, max_depth=max_depth, sample_mask=sample_mask)
+        rows, forest, _ = self._array_model(df)
+        return scoring.reliance(rows, forest.trees[0], max_depth=max_depth, sample_mask=sample_mask)
 
-    def node_table(self, spark) -> DataFrame:
-        return self.model.node_table(spark)
 
+class ForestClassifierModel(_FittedModel):
+    """Majority vote; the probability is the share of votes, ``rho`` the share of trees whose path
+    tests a missing feature."""
 
-class ForestClassifierModel(Model, _OutputParams):
-    def __init__(self, forest: ForestModel, key_cols: list[str] | None = None):
+    def __init__(self, forest: ForestModel):
         super().__init__()
         self.forest = forest
-        self.key_cols = key_cols
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = self.getOrDefault(self.predictionCol)
-        n_nodes = sum(len(t.nodes) for t in self.forest.trees)
-        if n_nodes > CASE_NODE_LIMIT and self.key_cols:
-            # too large for one projection: vote by per-level joins, then attach by key
-            votes = scoring.forest_predict_join(dataset, self.forest, self.key_cols)
-            return dataset.join(votes.withColumnRenamed("prediction", out), self.key_cols)
-        return dataset.select("*", scoring.forest_predict_col(self.forest).alias(out))
+    @classmethod
+    def of_forest(cls, forest: ForestModel) -> "ForestClassifierModel":
+        return cls(forest)
 
-    def reliance(self, df: DataFrame) -> DataFrame:
-        if sum(len(t.nodes) for t in self.forest.trees) > CASE_NODE_LIMIT:
-            return scoring.forest_reliance_join(df, self.forest)
-        return scoring.forest_reliance(df, self.forest)
+    def as_forest(self) -> ForestModel:
+        return self.forest
 
-    def node_table(self, spark) -> DataFrame:
-        return self.forest.node_table(spark)
+    def columns(self, forest: ForestModel, available: set[str]) -> list:
+        return [scoring.forest_predict_col(forest).cast("double"), scoring.vote_shares_col(forest), scoring.forest_reliance_col(forest, available)]
+
+    def reliance(self, df: DataFrame) -> DataFrame:
+        rows, forest, _ = self._array_model(df)
+        return scoring.forest_reliance(rows, forest)
 
 
 def accuracy(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

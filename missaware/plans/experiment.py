@@ -10,6 +10,8 @@ as a broadcast of known, bounded size.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[str], params: Fit
     return model, out
 
 
+def run_record(alias: str, train: DataFrame, test: DataFrame, features: list[str], params: FitParams, seed: int = 0, label: str = "label") -> DataFrame:
+    """One evaluation as a row of the ten result keys; the training time is measured."""
+    began = time.perf_counter()
+    model, out = evaluate(train, test, features, params, label)
+    seconds = time.perf_counter() - began
+    fixed = {"estimator_alias": alias, "n_train": model.root.n, "n_features": len(features), "max_depth": params.max_depth, "alpha": float(params.alpha), "seed": seed, "training_time": seconds}
+    return out.select(*[(F.lit(fixed[k]) if k in fixed else F.col(k)).alias(k) for k in RESULT_KEYS])
+
+
 def per_feature_best(rows: DataFrame, spec: FeatureSpec, n_classes: int, criterion: str = "gini", keys=("_t", "_n")) -> DataFrame:
     """Best unpenalised cut per (keys, feature) of a routed row table (``_y``, ``_w``, keys)."""
     keys = list(keys)
@@ -109,8 +120,9 @@ def fold_alpha_sweep(
     )
     best = per_feature_best(rows, spec, n_classes, criterion)
     winners = apply_alpha_grid(best, alphas, criterion)
-    # folds x grid rows: a bound known before the job
-    small = F.broadcast(winners.withColumnRenamed("_t", "_fold"))
+    winners = winners.withColumnRenamed("_t", "_fold")
+    # folds x grid rows, known before the job
+    small = F.broadcast(winners) if n_folds * len(alphas) <= splits.BROADCAST_ROW_LIMIT else winners
     joined = base.join(small, "_fold")
     pred, rho = stump_columns(spec, n_classes)
     n_train = (F.col("_nl") + F.col("_nr")).cast("bigint").alias("n_train")

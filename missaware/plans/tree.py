@@ -2,7 +2,7 @@
 
 One aggregation job per depth serves every open node of every tree:
 
-    cached base --route rows to open nodes (CASE over the tree so far)--> (tree, node, row)
+    cached base --walk the trees so far (literal node arrays)--> (tree, node, row)
       --unpivot features--> (tree, node, feature, value, missing, label, weight)
       --hash aggregate--> histogram per (tree, node, feature, value)
       --window scan in value order--> running class weights --> scored cut points
@@ -26,16 +26,11 @@ from pyspark.sql import functions as F
 from missaware.functions.hashing import poisson_cdf, poisson_count, xxhash01
 from missaware.functions.impurity import CRITERIA
 from missaware.operators import binning, splits
-from missaware.operators.scoring import route
-from missaware.plans.model import ForestModel, Node, TreeModel
+from missaware.operators.scoring import open_node_col
+from missaware.plans.model import Node, TreeModel
 from missaware.session import ensure_checkpoint_dir
 
 
-# a single tree with more nodes than this routes rows by per-level joins instead of one CASE;
-# forests always route by joins (a CASE per tree would be evaluated tree by tree)
-CASE_NODE_LIMIT = 1024
-
-
 @dataclass
 class FitParams:
     max_depth: int = 3
@@ -47,7 +42,9 @@ class FitParams:
     bins: int | None = None
     exact_bins: bool = False
     max_window_bins: int | None = splits.DEFAULT_MAX_WINDOW_BINS
-    route: str = "auto"  # "case" | "join" | "auto" (join for forests and above CASE_NODE_LIMIT)
+    # spread the prepared rows over this many partitions (None: as the input comes); useful where a
+    # small input is read as fewer splits than the cluster has cores
+    partitions: int | None = None
     # one tree per alpha, all grown in the same per-level jobs (tree t uses alphas[t])
     alphas: tuple[float, ...] | None = None
     # write the prepared rows to the checkpoint folder instead of caching them
@@ -69,8 +66,8 @@ class FitParams:
             raise ValueError("alphas must be a non-empty list of values >= 0")
         if self.bins is not None and self.bins < 2:
             raise ValueError("bins must be >= 2")
-        if self.route not in ("auto", "case", "join"):
-            raise ValueError(f"route must be 'auto', 'case' or 'join', got {self.route!r}")
+        if self.partitions is not None and self.partitions < 1:
+            raise ValueError("partitions must be >= 1")
 
 
 @dataclass
@@ -105,11 +102,21 @@ class FeatureSpec:
         cols += [F.col(m).cast("int").alias(m) for m in self.masks if m is not None]
         return cols
 
-    def value_at(self, idx: Column) -> Column:
-        """Value of the feature whose index is the column ``idx`` (0-based); null if none."""
+    def fault(self) -> Column:
+        """Why a row cannot be used, null where it can: mask values other than 0 / 1, arrays of another length."""
+        one = lambda m: m.isNull() | ~m.cast("double").isin(0.0, 1.0)
+        wrong = F.lit(False)
         if self.array_col is not None:
-            return F.try_element_at(F.col(self.array_col), idx + 1).cast("double")
-        return F.try_element_at(F.array(*[F.col(f).cast("double") for f in self.features]), idx + 1)
+            n = F.lit(self.array_size)
+            out = F.when(F.coalesce(F.size(self.array_col), F.lit(-1)) != n, FAULTS["size"])
+            if self.array_mask_col is not None:
+                m = F.col(self.array_mask_col)
+                out = out.when(F.coalesce(F.size(m), F.lit(-1)) != n, FAULTS["size"]).when(F.exists(m, one), FAULTS["mask"])
+            return out
+        for m in self.masks:
+            if m is not None:
+                wrong = wrong | one(F.col(m))
+        return F.when(wrong, FAULTS["mask"])
 
     def unpivot(self, df: DataFrame, keep: list[str]) -> DataFrame:
         if self.array_col is not None:
@@ -131,10 +138,18 @@ def _is_pure(class_weights: list[float]) -> bool:
     return sum(1 for c in class_weights if c > 0) <= 1
 
 
-def _label_stats(df: DataFrame, group: list[str]) -> list:
+FAULTS = {
+    "label": "labels must be whole numbers without null",
+    "weight": "row weights must not be null or negative",
+    "mask": "missing flags must be 0 or 1 without null",
+    "size": "all feature and mask arrays must have the same length",
+}
+
+
+def _label_stats(df: DataFrame, group: list[str], fault: list[str]) -> list:
     return (
         df.groupBy(*group, "_y")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), *[F.min(c).alias(c) for c in fault])
         .collect()
     )
 
@@ -147,7 +162,7 @@ def check_labels(labels: set[int]) -> int:
         raise ValueError("labels must not be null")
     k = max(labels) + 1
     if sorted(labels) != list(range(k)):
-        raise ValueError("Labels are expected to be in the range 0 to n_classes-1.")
+        raise ValueError(f"labels must be all of 0 .. K-1, found {sorted(labels)}")
     return k
 
 
@@ -168,8 +183,9 @@ def fit_forest(
     """Fit ``n_trees`` trees level by level; all trees share each level's job.
 
     With ``bootstrap`` each row gets a Poisson(1) count per tree from a hash of its key
-    (``key_cols``, or every input column) and the tree index; the count multiplies the row
-    weight, so no row is copied.  ``bootstrap_u(tree_col)`` overrides the uniform draw.
+    (``key_cols``) and the tree index; the count multiplies the row weight, so no row is
+    copied.  Rows of weight 0 stay in the row counts; null or negative weights, labels that are
+    not whole numbers and flags other than 0 / 1 are refused.  ``bootstrap_u(tree_col)`` overrides the uniform draw.
     ``tree_weight(tree_col)`` multiplies the weight per (row, tree) too, e.g. 0 to hold a
     fold out of its own trees (``key_cols`` carry the columns it reads).
     """
@@ -179,18 +195,21 @@ def fit_forest(
             raise ValueError("an alpha grid grows one tree per alpha on the same rows; no bootstrap")
         n_trees = len(params.alphas)
     keys = list(key_cols or [])
+    if bootstrap and not keys and bootstrap_u is None:
+        raise ValueError("a bootstrap draws by row key: name the key columns")
     weight_col = F.col(weight).cast("double") if weight else F.lit(1.0)
+    y, w = F.col(label).cast("double"), weight_col
+    whole = y.isNotNull() & (y == F.floor(y)) & (F.abs(y) < 2**31)
+    fault = F.when(~F.coalesce(whole, F.lit(False)), FAULTS["label"]).when(w.isNull() | ~(w >= 0) | F.isnan(w), FAULTS["weight"]).otherwise(spec.fault())
     base = df.select(
         *[F.col(k) for k in keys],
         *spec.base_cols(),
-        F.col(label).cast("int").alias("_y"),
-        weight_col.alias("_w"),
-    ).filter(F.col("_w") > 0)
-    # every level multiplies each row by the number of features and trees: an input read as
-    # fewer splits than cores must still spread over all of them; a large input is left as is
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < parallelism:
-        base = base.repartition(parallelism)
+        F.when(whole, y).cast("int").alias("_y"),
+        w.alias("_w"),
+        fault.alias("_fault"),
+    )
+    if params.partitions is not None:
+        base = base.repartition(params.partitions)
     if params.checkpoint:
         # reliable copy in the shared checkpoint folder: survives executor loss without
         # recomputing an expensive preparation
@@ -209,22 +228,48 @@ def _with_trees(base: DataFrame, n_trees: int, bootstrap: bool, seed: int, keys:
         return base.withColumn("_t", F.lit(0))
     rows = base.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     if tree_weight is not None:
-        rows = rows.withColumn("_w", F.col("_w") * tree_weight(F.col("_t")).cast("double")).filter(F.col("_w") > 0)
+        rows = rows.withColumn("_share", tree_weight(F.col("_t")).cast("double")).filter(F.col("_share") > 0)
+        rows = rows.withColumn("_w", F.col("_w") * F.col("_share")).drop("_share")
     if not bootstrap:
         return rows
     if bootstrap_u is not None:
         u = bootstrap_u(F.col("_t"))
     else:
-        ident = [F.col(k) for k in keys] or [F.col(c) for c in base.columns if c not in ("_w",)]
-        u = xxhash01(*ident, F.col("_t"), F.lit(seed))
-    counts = poisson_count(u, poisson_cdf())
-    return rows.withColumn("_w", F.col("_w") * counts).filter(F.col("_w") > 0)
+        u = xxhash01(*[F.col(k) for k in keys], F.col("_t"), F.lit(seed))
+    rows = rows.withColumn("_count", poisson_count(u, poisson_cdf())).filter(F.col("_count") > 0)
+    return rows.withColumn("_w", F.col("_w") * F.col("_count")).drop("_count")
 
 
 def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight=None) -> list[TreeModel]:
+    stats = _label_stats(base, [], ["_fault"])
+    for r in stats:
+        if r["_fault"] is not None:
+            raise ValueError(r["_fault"])
+    n_classes = check_labels({r["_y"] for r in stats})  # of all rows, drawn or not
+    base = base.drop("_fault")
+    binned = params.bins is not None
+    if binned:
+        # every value is replaced by its bin's edge once; the levels read the binned rows
+        cuts = binning.quantile_cuts(spec.unpivot(base, []), params.bins, exact=params.exact_bins).collect()  # features x bins
+        by_feature = {int(r["_f"]): list(r["_cuts"]) for r in cuts}
+        if spec.array_col is None:
+            edges = {f: binning.bin_column(F.col(f), by_feature.get(i, [])) for i, f in enumerate(spec.features)}
+        else:
+            edges = {spec.array_col: binning.bin_array(F.col(spec.array_col), by_feature, len(spec.features), params.bins)}
+        base = base.withColumns(edges).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _grow(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight, n_classes, binned, stats)
+    finally:
+        if binned:
+            base.unpersist()
+
+
+def _grow(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight, n_classes, binned, stats) -> list[TreeModel]:
     rows = _with_trees(base, n_trees, bootstrap, seed, keys, bootstrap_u, tree_weight)
-    stats = _label_stats(rows, ["_t"])
-    n_classes = check_labels({r["_y"] for r in stats})
+    if bootstrap or tree_weight is not None:
+        stats = [r.asDict() for r in _label_stats(rows, ["_t"], [])]
+    else:
+        stats = [{**r.asDict(), "_t": t} for r in stats for t in range(n_trees)]
     models = [spec.empty_model(n_classes, t) for t in range(n_trees)]
     for t, m in enumerate(models):
         cw = [0.0] * n_classes
@@ -240,30 +285,11 @@ def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u,
         for t, m in enumerate(models)
         if m.nodes[1].weight > 0 and not _is_pure(m.nodes[1].class_weights)
     }
-    cuts = None
-    binned = False
-    if params.bins is not None:
-        long0 = spec.unpivot(base, [])
-        cuts = binning.quantile_cuts(long0, params.bins, exact=params.exact_bins)
-        if spec.array_col is None:
-            # named columns: one cut list per feature (bounded by features x bins) becomes a
-            # literal CASE ladder over the cached rows; levels then run as in exact mode
-            by_feature = {int(r["_f"]): list(r["_cuts"]) for r in cuts.collect()}
-            rows = rows.withColumns(
-                {f: binning.bin_column(F.col(f), by_feature.get(i, [])) for i, f in enumerate(spec.features)}
-            )
-            cuts = None
-        else:
-            cuts = cuts.persist(StorageLevel.MEMORY_AND_DISK)
-        binned = True
-
-    split_levels: list[list[tuple[int, int, int, float]]] = []
     for depth in range(params.max_depth):
         if not frontier:
             break
-        winners = _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels, binned)
+        winners = _level_job(rows, models, frontier, spec, params, n_classes, binned)
         next_frontier = set()
-        split_levels.append([(int(w["_t"]), int(w["_n"]), int(w["_f"]), float(w["_thr"])) for w in winners])
         for w in winners:
             t, nid = int(w["_t"]), int(w["_n"])
             m = models[t]
@@ -281,62 +307,18 @@ def _fit_levels(base, spec, params, n_trees, bootstrap, seed, keys, bootstrap_u,
                     next_frontier.add((t, child.node))
         frontier = next_frontier
 
-    if cuts is not None:
-        cuts.unpersist()
     if params.merge_equal_siblings:
         for m in models:
             merge_equal_siblings(m)
     return models
 
 
-def _fit_route(models: list[TreeModel], frontier: set[tuple[int, int]]) -> Column:
-    """Open-node id of each row at the current level; null for rows in closed leaves."""
-    null = F.lit(None).cast("bigint")
-    per_tree = []
-    for m in models:
-        open_ids = {nid for (t, nid) in frontier if t == m.tree}
-        if not open_ids:
-            continue
-        expr = route(m, lambda n, ids=open_ids: F.lit(n.node).cast("bigint") if n.node in ids else null)
-        per_tree.append((m.tree, expr))
-    if len(models) == 1:
-        return per_tree[0][1] if per_tree else null
-    out = None
-    for t, expr in per_tree:
-        out = F.when(F.col("_t") == t, expr) if out is None else out.when(F.col("_t") == t, expr)
-    return out.otherwise(null) if out is not None else null
-
-
-def _join_route(rows: DataFrame, spec: FeatureSpec, split_levels, frontier) -> DataFrame:
-    """Route rows level by level with one equi-join per depth against that depth's split
-    table (tree, node, feature, threshold).  Each table holds at most trees x 2^depth rows,
-    known on the driver, and is broadcast below the row limit.  Rows in closed leaves find
-    no split and drop out; a final semi join keeps the open nodes of this level."""
-    spark = rows.sparkSession
-    cur = rows.withColumn("_n", F.lit(1).cast("bigint"))
-    for level in split_levels:
-        table = spark.createDataFrame(level, "_t int, _n bigint, _sf int, _sthr double")
-        side = F.broadcast(table) if len(level) <= splits.BROADCAST_ROW_LIMIT else table
-        cur = cur.join(side, ["_t", "_n"])
-        x = spec.value_at(F.col("_sf"))
-        step = F.when(x <= F.col("_sthr"), F.lit(0)).otherwise(F.lit(1))
-        cur = cur.withColumn("_n", F.col("_n") * 2 + step).drop("_sf", "_sthr")
-    open_nodes = spark.createDataFrame(sorted(frontier), "_t int, _n bigint")
-    side = F.broadcast(open_nodes) if len(frontier) <= splits.BROADCAST_ROW_LIMIT else open_nodes
-    return cur.join(side, ["_t", "_n"], "left_semi")
-
-
-def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_levels=(), binned=False):
+def _level_job(rows, models, frontier, spec, params, n_classes, binned=False):
+    """Best split of every open node of every tree.  Rows walk the trees so far by their node arrays,
+    a narrow step without joins; rows in closed leaves drop out before they are unpivoted."""
     keys = ["_t", "_n"]
-    n_nodes = sum(len(m.nodes) for m in models)
-    auto_join = len(models) > 1 or n_nodes > CASE_NODE_LIMIT
-    if params.route == "join" or (params.route == "auto" and auto_join):
-        routed = _join_route(rows, spec, split_levels, frontier)
-    else:
-        routed = rows.withColumn("_n", _fit_route(models, frontier)).filter(F.col("_n").isNotNull())
+    routed = rows.withColumn("_n", open_node_col(models, frontier, F.col("_t"))).filter(F.col("_n").isNotNull())
     long_df = spec.unpivot(routed, ["_t", "_n", "_y", "_w"])
-    if cuts is not None:
-        long_df = binning.bin_long(long_df, cuts, len(spec.features), params.bins)
     hist = splits.histogram(long_df, keys, n_classes)
     # a (node, feature) group has at most as many bins as the node has rows, and every open
     # node's row count is known here: only look for oversized groups when one could exist
@@ -352,7 +334,7 @@ def _level_job(rows, models, frontier, spec, params, n_classes, cuts, split_leve
             n_classes,
             max_window_bins=params.max_window_bins,
             n_groups=n_groups,
-            hot_groups=None if check else False,
+            hot_groups=check,
         )
         cands = splits.candidates(
             cum,
@@ -393,7 +375,3 @@ def merge_equal_siblings(model: TreeModel) -> TreeModel:
 
 def fit_tree(df: DataFrame, spec: FeatureSpec, label: str, params: FitParams, weight: str | None = None) -> TreeModel:
     return fit_forest(df, spec, label, params, weight=weight)[0]
-
-
-def as_forest(models: list[TreeModel]) -> ForestModel:
-    return ForestModel(models)

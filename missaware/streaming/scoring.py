@@ -1,6 +1,6 @@
 """Scoring on Structured Streaming sources.
 
-Scoring is a stateless projection (nested ``CASE`` columns), so a fitted model applies to
+Scoring is a stateless projection, so a fitted model applies to
 a streaming DataFrame unchanged.  Reliance over a stream is a running aggregate (count and
 sum of the per-row flag), kept in Spark's state store and exact at every trigger.
 """
@@ -39,16 +39,18 @@ def reliance_stream(stream: DataFrame, model: TreeModel) -> DataFrame:
 
 
 def run_available(spark: SparkSession, sdf: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a streaming query over everything available into an in-process memory table,
-    stop it, and return the table.  The checkpoint goes to the shared checkpoint folder."""
+    """Run a streaming query over everything available, stop it, and return what it wrote.
+
+    ``append`` writes Parquet files to the shared checkpoint folder.  ``complete`` holds a running
+    aggregate of a few rows, which goes through an in-process table that is dropped again.
+    """
     ckpt = scratch_path(spark, f"stream-{name}")
-    q = (
-        sdf.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", ckpt)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.table(name)
+    writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "append":
+        path = scratch_path(spark, f"stream-out-{name}")
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(sdf.schema).parquet(path)
+    writer.format("memory").queryName(name).start().awaitTermination()
+    rows = spark.table(name).collect()  # the aggregate
+    spark.catalog.dropTempView(name)
+    return spark.createDataFrame(rows, sdf.schema)

@@ -144,3 +144,36 @@ def test_merge_equal_siblings():
     assert sorted(m.nodes) == [1, 2, 3, 6, 7]
     assert m.nodes[2].is_leaf and m.nodes[2].probability == [0.5, 0.5]
     assert not m.nodes[3].is_leaf
+
+
+def test_models_save_and_load(spark, fx_t, tmp_path):
+    """Vectors in, a saved Pipeline and forest out; MLlib evaluators read the prediction."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from missaware import MissAwareForestClassifier
+    from missaware.plans.estimators import ForestClassifierModel
+
+    stages = [
+        VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+        VectorAssembler(inputCols=["missing_a", "missing_b"], outputCol="missing"),
+        MissAwareTreeClassifier(featuresCol="features", missingnessCol="missing", maxDepth=2, alpha=0.9),
+    ]
+    model = Pipeline(stages=stages).fit(fx_t)
+    out = model.transform(fx_t)
+    assert dict(out.dtypes)["prediction"] == "double" and dict(out.dtypes)["features"] == "vector"
+    assert MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy").evaluate(out) == 1.0
+    model.write().overwrite().save(f"{tmp_path}/pipeline")
+    again = PipelineModel.load(f"{tmp_path}/pipeline").transform(fx_t)
+    cols = ["k", "prediction", "probability", "rho"]
+    assert sorted(out.select(cols).collect()) == sorted(again.select(cols).collect())
+
+    forest = MissAwareForestClassifier(numTrees=3, maxDepth=2, keyCols=["k"], featureCols=["a", "b"]).fit(fx_t)
+    scored = forest.transform(fx_t)
+    assert {"prediction", "probability", "rho"} <= set(scored.columns)
+    forest.save(f"{tmp_path}/forest")
+    loaded = ForestClassifierModel.load(f"{tmp_path}/forest")
+    assert sorted(scored.select(cols).collect()) == sorted(loaded.transform(fx_t).select(cols).collect())
+    with pytest.raises(ValueError, match="impurity"):
+        MissAwareTreeClassifier(impurity="variance")

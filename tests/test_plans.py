@@ -24,16 +24,30 @@ def test_split_search_plan(spark):
     assert "l_shipdate" not in plan and "l_returnflag" not in plan
 
 
-def test_scoring_is_one_codegen_projection(spark):
+def test_scoring_is_one_narrow_projection(spark):
     df = fx.fx_a_prepared(spark, SF_SMALL)
     m = fm.fx_m()
     scored = df.select(scoring.predict_col(m).alias("p"), scoring.reliance_col(m).alias("r"))
     plan = _plan(scored)
     assert "EvalPython" not in plan and "Exchange" not in plan
-    assert "*(" in plan  # whole-stage codegen
+    from missaware.plans.model import ForestModel
 
+    forest = _plan(df.select("*", scoring.forest_predict_col(ForestModel([m] * 5)), scoring.forest_reliance_col(ForestModel([m] * 5))))
+    assert "EvalPython" not in forest and "Exchange" not in forest and "Join" not in forest
+    matrix = _plan(scoring.reliance_matrix(df, m, fx.FX_A_KEYS))
+    assert "Exchange" not in matrix and "Aggregate" not in matrix
 
-def test_forest_routing_broadcasts_split_tables(spark, monkeypatch):
+
+def test_building_a_split_search_runs_no_job(spark):
+    sc = spark.sparkContext
+    df = fx.fx_a_prepared(spark, SF_SMALL)
+    sc.setJobGroup("build-only", "no job")
+    splits.search(df, fx.FX_A_FEATURES, 2, alpha=0.1)
+    assert list(sc.statusTracker().getJobIdsForGroup("build-only")) == []
+    sc.setJobGroup("other", "")
+
+
+def test_forest_routing_needs_no_join(spark, monkeypatch):
     df = fx.fx_a_prepared(spark, SF_SMALL)
     spec = T.FeatureSpec.columns(df, fx.FX_A_FEATURES)
     plans = []
@@ -47,4 +61,4 @@ def test_forest_routing_broadcasts_split_tables(spark, monkeypatch):
     monkeypatch.setattr(T.splits, "best_split", spy)
     T.fit_forest(df, spec, "label", T.FitParams(max_depth=2, alpha=0.1), n_trees=3, bootstrap=True, key_cols=fx.FX_A_KEYS)
     assert len(plans) == 2
-    assert "BroadcastHashJoin" in plans[1] and "EvalPython" not in plans[1]
+    assert "Join" not in plans[1] and "EvalPython" not in plans[1]

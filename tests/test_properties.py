@@ -131,25 +131,154 @@ def test_array_features_binned(spark):
     assert df.select(scoring.predict_col(m).alias("p")).filter(F.col("p").isNull()).count() == 0
 
 
-def test_join_routing_equals_case_routing(fxa):
-    """Per-level join routing (large forests) grows the same trees as the CASE routing."""
-    spec = FeatureSpec.columns(fxa, FEATS)
-    kw = dict(n_trees=3, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=5)
-    a = fit_forest(fxa, spec, "label", FitParams(max_depth=3, alpha=0.1, route="case"), **kw)
-    b = fit_forest(fxa, spec, "label", FitParams(max_depth=3, alpha=0.1, route="join"), **kw)
-    assert [_shape(t) for t in a] == [_shape(t) for t in b]
-
-
-def test_forest_vote_join_equals_case(spark, fx_t):
-    from missaware.operators.scoring import forest_predict_col, forest_predict_join
+def _descend(model, row, available=True):
+    """Plain walk of one row: (leaf, reliance)."""
+    nid, reliant, stop = 1, 0, False
+    while not model.nodes[nid].is_leaf:
+        n = model.nodes[nid]
+        f = model.features[n.feature_idx]
+        if not stop:
+            reliant = max(reliant, row[f"missing_{f}"])
+        stop = stop or row[f] is None
+        nid = 2 * nid + (0 if row[f] is not None and row[f] <= n.threshold else 1)
+    return nid, reliant
+
+
+def test_forest_scoring_equals_plain_descent(spark, fxa):
+    """Votes, vote shares and reliance of a forest, with nulls in the features and no key."""
+    from missaware.operators import prep, scoring
     from missaware.plans.model import ForestModel
 
-    spec = FeatureSpec.columns(fx_t, ["a", "b"])
-    trees = fit_forest(fx_t, spec, "label", FitParams(max_depth=2, alpha=0.1), n_trees=5, bootstrap=True, key_cols=["k"], seed=2)
+    trees = fit_forest(fxa, FeatureSpec.columns(fxa, FEATS), "label", FitParams(max_depth=3, alpha=0.1),
+                       n_trees=4, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=9)
+    forest = ForestModel(trees)
+    raw = prep.prepare(fx.fx_a(spark, SF_SMALL).limit(400), FEATS, impute="none").cache()
+    got = raw.select("*", scoring.forest_predict_col(forest).alias("p"), scoring.vote_shares_col(forest).alias("s"),
+                     scoring.forest_reliance_col(forest).alias("r")).collect()
+    total = 0.0
+    for row in got:
+        ends = [_descend(t, row) for t in trees]
+        votes = [t.nodes[n].prediction for t, (n, _) in zip(trees, ends, strict=True)]
+        assert row["p"] == max((0, 1), key=lambda k: (votes.count(k), -k))
+        assert row["s"] == [votes.count(k) / 4 for k in (0, 1)]
+        assert abs(row["r"] - sum(r for _, r in ends) / 4) < 1e-12
+        total += row["r"]
+    assert abs(scoring.forest_reliance(raw, forest).first()["rho"] - total / len(got)) < 1e-12
+
+
+def test_large_forest_scores_quickly(spark, fxa):
+    """A hundred trees of depth 10: one projection, whatever the number of nodes."""
+    import random
+    import time
+
+    from missaware.operators import scoring
+    from missaware.plans.model import ForestModel, TreeModel
+
+    rng = random.Random(1)
+    trees = []
+    for t in range(100):
+        splits_ = {n: (rng.choice(FEATS), rng.uniform(0, 50)) for n in range(1, 1024)}
+        leaves = {n: rng.choice(([0.9, 0.1], [0.2, 0.8])) for n in range(1024, 2048)}
+        trees.append(TreeModel.literal(FEATS, splits_, leaves, tree=t))
     forest = ForestModel(trees)
-    by_case = {r["k"]: r["p"] for r in fx_t.select("k", forest_predict_col(forest).alias("p")).collect()}
-    by_join = {r["k"]: r["prediction"] for r in forest_predict_join(fx_t, forest, ["k"]).collect()}
-    assert by_case == by_join
+    rows = fxa.limit(300).cache()
+    began = time.time()
+    got = rows.select("*", scoring.forest_predict_col(forest).alias("p")).collect()
+    assert time.time() - began < 60
+    for row in got[:20]:
+        votes = [t.nodes[_descend(t, row)[0]].prediction for t in trees]
+        assert row["p"] == max((0, 1), key=lambda k: (votes.count(k), -k))
+
+
+def test_thresholds_agree_with_routing(spark):
+    """Adjacent doubles, NaN, infinities and values whose sum overflows: the fitted row counts are those
+    that routing gives."""
+    import math
+
+    from missaware.operators import scoring
+
+    a = 1.0
+    b = math.nextafter(a, 2.0)
+    for x, y in [(a, b), (1.0, float("nan")), (1.0, float("inf")), (-float("inf"), 1.0), (1.0e308, 1.7e308), (-float("inf"), float("inf"))]:
+        df = spark.createDataFrame([(x, 0)] * 3 + [(y, 1)] * 3, "f double, label int")
+        m = fit_tree(df, FeatureSpec.columns(df, ["f"]), "label", FitParams(max_depth=1, alpha=0.0))
+        n = {r["l"]: r["n"] for r in df.groupBy(scoring.leaf_col(m).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert n == {2: m.nodes[2].n, 3: m.nodes[3].n} == {2: 3, 3: 3}, (x, y)
+
+
+def test_rejected_inputs(spark, fx_t):
+    def fit(df, features=("a", "b"), **kw):
+        fit_forest(df, FeatureSpec.columns(df, list(features)), "label", FitParams(max_depth=1), **kw)
+
+    for label in (F.col("label") + 0.4, F.when(F.col("k") > 1, F.col("label"))):
+        with pytest.raises(ValueError, match="labels"):
+            fit(fx_t.withColumn("label", label))
+    for flag in (F.lit(2), F.lit(None).cast("int")):
+        with pytest.raises(ValueError, match="flags"):
+            fit(fx_t.withColumn("missing_a", flag))
+    for w in (F.lit(-1.0), F.when(F.col("k") > 1, F.lit(1.0))):
+        with pytest.raises(ValueError, match="weights"):
+            fit(fx_t.withColumn("w", w), weight="w")
+    with pytest.raises(ValueError, match="key"):
+        fit(fx_t, n_trees=2, bootstrap=True)
+    arrays = fx_t.select("label", F.when(F.col("k") > 1, F.array("a", "b")).otherwise(F.array("a")).alias("v"))
+    with pytest.raises(ValueError, match="length"):
+        fit_forest(arrays, FeatureSpec.array(arrays, "v"), "label", FitParams(max_depth=1))
+    whole = fx_t.select("label", F.array("a", "b").alias("v"))
+    m = fit_forest(whole, FeatureSpec.array(whole, "v"), "label", FitParams(max_depth=1))[0]
+    from missaware.operators import scoring
+
+    with pytest.raises(Exception, match="must hold 2 features"):
+        arrays.select(scoring.predict_col(m)).collect()
+
+
+def test_zero_weights_stay_in_the_counts(fx_t):
+    m = fit_forest(fx_t.withColumn("w", (F.col("k") > 2).cast("double")), FeatureSpec.columns(fx_t, ["a", "b"]), "label", FitParams(max_depth=1), weight="w")[0]
+    assert m.root.n == 8 and m.root.weight == 6.0
+
+
+def test_rare_class_survives_the_bootstrap(spark):
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 17).cast("double").alias("x"), F.when(F.col("id") == 7, 2).otherwise((F.col("id") % 2).cast("int")).alias("label"))
+    for seed in range(4):
+        trees = fit_forest(df, FeatureSpec.columns(df, ["x"]), "label", FitParams(max_depth=1), n_trees=2, bootstrap=True, key_cols=["k"], seed=seed)
+        assert {t.n_classes for t in trees} == {3}
+
+
+def test_equal_rows_draw_by_key(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    trees = fit_forest(df, FeatureSpec.columns(df, ["x"]), "label", FitParams(max_depth=1), n_trees=4, bootstrap=True, key_cols=["k"])
+    assert all(800 < t.root.weight < 1200 for t in trees)
+
+
+def test_poisson_table_is_complete():
+    from missaware.functions.hashing import poisson_cdf
+
+    cdf = poisson_cdf()
+    assert cdf == sorted(cdf) and 1.0 - cdf[-1] < 1e-15 and len(cdf) > 15
+
+
+def test_exact_split_refuses_keys_that_do_not_tell_rows_apart(spark):
+    from missaware.operators import prep
+
+    u = F.lit(0.5)
+    nulls = spark.createDataFrame([(None,), (1,), (2,)], "k long")
+    with pytest.raises(ValueError, match="null"):
+        prep.split_exact_side(nulls, u, 1, ["k"])
+    twice = spark.createDataFrame([(1,), (1,), (2,), (3,)], "k long")
+    with pytest.raises(ValueError, match="repeats"):
+        prep.split_exact_side(twice, u, 1, ["k"])
+    for n in range(5):
+        side = prep.split_exact_side(twice, u, n, ["k"]) if n != 1 else None
+        assert side is None or side.filter("side = 'test'").count() == n
+
+
+def test_row_mean_penalty_and_near_equal(fxa):
+    plain = _fit(fxa, max_depth=1, alpha=1.0)
+    assert _shape(_fit(fxa, max_depth=1, alpha=1.0, penalty="row_mean")) == _shape(plain)  # unit weights
+    from missaware.operators.splits import NearEqual
+
+    wide = _fit(fxa, max_depth=1, alpha=0.0, near_equal=NearEqual(0.0, 1e9))
+    assert wide.root.is_leaf
 
 
 def test_checkpointed_base_and_alpha_grid(fxa):
@@ -169,23 +298,6 @@ def test_fit_with_forced_value_ranges(fxa):
     assert _shape(_fit(fxa, max_depth=3, alpha=0.1, max_window_bins=5)) == _shape(_fit(fxa, max_depth=3, alpha=0.1))
 
 
-def test_forest_reliance_join_equals_case(spark, fxa):
-    from missaware.operators.scoring import forest_reliance, forest_reliance_join
-    from missaware.plans.model import ForestModel
-
-    trees = fit_forest(fxa, FeatureSpec.columns(fxa, FEATS), "label", FitParams(max_depth=3, alpha=0.1),
-                       n_trees=4, bootstrap=True, key_cols=fx.FX_A_KEYS, seed=9)
-    forest = ForestModel(trees)
-    a = forest_reliance(fxa, forest).first()["rho"]
-    b = forest_reliance_join(fxa, forest).first()["rho"]
-    assert abs(a - b) < 1e-12
-    raw = fx.fx_a(spark, SF_SMALL)  # with nulls: a null tested value adds its flag and stops
-    from missaware.operators import prep
-
-    raw = prep.prepare(raw, FEATS, impute="none")
-    assert abs(forest_reliance(raw, forest).first()["rho"] - forest_reliance_join(raw, forest).first()["rho"]) < 1e-12
-
-
 def test_fold_alpha_trees_equal_separate_fits(fxa):
     """Every (fold, alpha) tree of the joint sweep equals a separate fit on that fold's
     training rows, and its held-out accuracy and reliance match."""
