@@ -293,14 +293,14 @@ _RAW_SQL = (
 def _routed_sql(depth: int) -> str:
     """Rows per leaf by sending every row down the fitted splits, not by the histogram's sums."""
     tree = sq.fit_sql(_RAW_SQL, RAW_FEATURES, 2, ALPHA, depth)
-    steps = "raw0 AS (SELECT *, CAST(1 AS BIGINT) AS at FROM (" + _RAW_SQL + ") q)"
+    steps = "raw0 AS (SELECT *, CAST(1 AS BIGINT) AS leaf FROM (" + _RAW_SQL + ") q)"
     value = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in RAW_FEATURES) + " END"
     for d in range(depth):
         steps += (
-            f", raw{d + 1} AS (SELECT r.* EXCLUDE (at), CASE WHEN t.is_leaf THEN r.at WHEN {value} <= t.threshold THEN 2 * r.at ELSE 2 * r.at + 1 END AS at "
-            f"FROM raw{d} r JOIN tree t ON r.at = t.node)"
+            f", raw{d + 1} AS (SELECT r.* EXCLUDE (leaf), CASE WHEN t.is_leaf THEN r.leaf WHEN {value} <= t.threshold THEN 2 * r.leaf ELSE 2 * r.leaf + 1 END AS leaf "
+            f"FROM raw{d} r JOIN tree t ON r.leaf = t.node)"
         )
-    return f"WITH tree AS ({tree}), {steps} SELECT at AS node, count(*) AS n_routed, any_value(t.n) AS n FROM raw{depth} r JOIN tree t ON r.at = t.node GROUP BY at"
+    return f"WITH tree AS ({tree}), {steps} SELECT leaf AS node, count(*) AS n_routed, any_value(t.n) AS n FROM raw{depth} r JOIN tree t ON r.leaf = t.node GROUP BY leaf"
 
 
 @query("fit_tree_raw", oracle=_routed_sql(3))
