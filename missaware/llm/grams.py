@@ -12,11 +12,15 @@ import xxhash
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
+#: Words that a task remembers at once (about 40 MB).
+MOST = 1 << 18
+
+
 class WordHashes(dict):
-    """Word to hash; forgets all when it holds a million words."""
+    """Word to hash; forgets all when it holds ``MOST`` words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= MOST:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -40,7 +40,7 @@ LIKELY = 0.58
 #: Nodes and bytes of sets in a block of a cluster that is compared in full (about).
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Shingles that are signed together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 17
 GOLDEN = 0x9E3779B97F4A7C15
 
 
