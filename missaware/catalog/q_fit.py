@@ -235,12 +235,30 @@ def fit_forest_d2(spark, sf_dir):
     return _forest(spark, sf_dir, 2)
 
 
-@query("fit_binned_array")
+ARRAY_BINS, ARRAY_SIZE = 16, 64
+
+
+def _binned_array_sql(depth: int) -> str:
+    """Embedding positions as columns p0 .. p63: masked cells 0, then each value's bin edge (the
+    smallest value at a rank i / 16 that is not below it)."""
+    shares = ", ".join(repr(i / ARRAY_BINS) for i in range(1, ARRAY_BINS))
+    flag = "CASE WHEN (vec_id * 7 + {i} * 13) % 100 < 5 + ({i} * 3) % 35 THEN 1 ELSE 0 END"
+    flags = ", ".join(f"{flag.format(i=i)} AS missing_p{i}" for i in range(ARRAY_SIZE))
+    values = ", ".join(f"CASE WHEN {flag.format(i=i)} = 1 THEN CAST(0.0 AS DOUBLE) ELSE CAST(embedding[{i + 1}] AS DOUBLE) END AS v{i}" for i in range(ARRAY_SIZE))
+    cuts = ", ".join(f"list_sort(list_distinct(quantile_disc(v{i}, [{shares}]))) AS c{i}" for i in range(ARRAY_SIZE))
+    edges = ", ".join(f"coalesce(list_filter(c{i}, lambda x: x >= v{i})[1], CAST('inf' AS DOUBLE)) AS p{i}" for i in range(ARRAY_SIZE))
+    masks = ", ".join(f"missing_p{i}" for i in range(ARRAY_SIZE))
+    prep = f"WITH v AS (SELECT label, {flags}, {values} FROM embeddings), c AS (SELECT {cuts} FROM v) SELECT label, {masks}, {edges} FROM v, c"
+    fit = sq.fit_sql(prep, [f"p{i}" for i in range(ARRAY_SIZE)], 10, ALPHA, depth, threshold="value")
+    return f"SELECT * REPLACE ('embedding[' || substr(feature, 2) || ']' AS feature) FROM ({fit}) q"
+
+
+@query("fit_binned_array", oracle=_binned_array_sql(3))
 def fit_binned_array(spark, sf_dir):
     """Array features (64 embedding positions with masks), 16 quantile bins, ten classes."""
     df = fx.fx_d(spark, sf_dir)
     spec = FeatureSpec.array(df, "embedding", "missing")
-    params = FitParams(max_depth=3, alpha=ALPHA, bins=16)
+    params = FitParams(max_depth=3, alpha=ALPHA, bins=ARRAY_BINS)
     return node_output(spark, fit_forest(df, spec, "label", params))
 
 

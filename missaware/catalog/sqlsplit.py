@@ -87,7 +87,7 @@ def best_sql(src: str, alpha: float, criterion: str = "gini", per_feature: bool
     )
 
 
-def chain(src: str, features: list[str], k: int, alpha: float, criterion: str = "gini", node: str = "1", weight: str = "1.0", prefix: str = "", per_feature: bool = False, tree: str = "0") -> str:
+def chain(src: str, features: list[str], k: int, alpha: float, criterion: str = "gini", node: str = "1", weight: str = "1.0", prefix: str = "", per_feature: bool = False, tree: str = "0", threshold: str = "midpoint") -> str:
     """CTE definitions ``{prefix}long .. {prefix}best`` (comma separated, no WITH)."""
     p = prefix
     return ",\n".join(
@@ -95,7 +95,7 @@ def chain(src: str, features: list[str], k: int, alpha: float, criterion: str =
             f"{p}long AS ({long_sql(src, features, node=node, weight=weight, tree=tree)})",
             f"{p}hist AS ({hist_sql(p + 'long', k)})",
             f"{p}cum AS ({cum_sql(p + 'hist', k)})",
-            f"{p}cand AS ({cand_sql(p + 'cum', k, criterion)})",
+            f"{p}cand AS ({cand_sql(p + 'cum', k, criterion, threshold)})",
             f"{p}best AS ({best_sql(p + 'cand', alpha, criterion, per_feature)})",
         ]
     )
@@ -127,6 +127,7 @@ def fit_sql(
     weight: str = "1.0",
     trees_sql: str | None = None,
     class_weights: bool = False,
+    threshold: str = "midpoint",
 ) -> str:
     """Whole level-wise fit as one SQL statement returning the node table
     (with ``weight_<k>`` class-weight columns when ``class_weights``).
@@ -146,7 +147,7 @@ def fit_sql(
         f"open0 AS (SELECT p.* FROM prep0 p JOIN root r ON p.t = r.t WHERE {_open_sql('r.c', k)})"
     )
     for d in range(depth):
-        ctes.append(chain(f"open{d}", features, k, alpha, criterion, node="node", weight="w", prefix=f"l{d}_", tree="t"))
+        ctes.append(chain(f"open{d}", features, k, alpha, criterion, node="node", weight="w", prefix=f"l{d}_", tree="t", threshold=threshold))
         if d + 1 < depth:
             ctes.append(
                 f"side{d + 1} AS (SELECT p.* EXCLUDE (node), 2 * p.node + CASE WHEN {value_of} <= b.thr THEN 0 ELSE 1 END AS node, "

@@ -177,3 +177,32 @@ def test_models_save_and_load(spark, fx_t, tmp_path):
     assert sorted(scored.select(cols).collect()) == sorted(loaded.transform(fx_t).select(cols).collect())
     with pytest.raises(ValueError, match="impurity"):
         MissAwareTreeClassifier(impurity="variance")
+
+
+# fixed values: thirty credit decisions (credit_age, income, full_time, part_time, student, credit_approved)
+CREDIT = """
+25,50000,1,,,1  42,80000,,1,,0  35,60000,1,,,1  29,45000,,,,0  48,90000,1,,,1  33,55000,1,,,1  40,70000,,1,,0  22,35000,,,1,0
+45,85000,1,,,1  30,40000,,,,0  31,65000,1,,,1  28,48000,,1,,0  50,95000,1,,,1  37,52000,,,,0  41,68000,,1,,1  26,56000,,,1,0
+39,72000,1,,,1  34,47000,,1,,0  47,88000,,,,1  32,41000,,,1,0  27,53000,1,,,1  44,77000,,1,,0  36,62000,,,,1  49,91000,1,,,0
+38,57000,,,1,1  43,81000,1,,,0  46,84000,,1,,1  21,34000,,,,0  23,36000,,,1,1  24,39000,1,,,0
+"""
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.001, 0.01, 0.1, 1.0])
+def test_credit_tree(spark, alpha):
+    """A known depth-3 tree over thirty rows, mean imputed; the same for every alpha, as only the two
+    features without nulls can split."""
+    from missaware.operators import prep
+
+    names = ["credit_age", "income", "full_time", "part_time", "student"]
+    rows = [[float(v) if v else None for v in r.split(",")] for r in CREDIT.split()]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "label"]))
+    m = _fit_on(prep.prepare(raw, names, impute="mean"), names, alpha)
+    found = {k: (m.feature_name(n.feature_idx), n.threshold) for k, n in m.nodes.items() if not n.is_leaf}
+    assert found == {1: ("income", 49000.0), 2: ("credit_age", 23.5), 4: ("credit_age", 22.5), 3: ("credit_age", 36.5), 6: ("credit_age", 26.5), 7: ("credit_age", 44.5)}
+    # the leaf of two rows and both classes (node 12) is a tie, which goes to the smallest label
+    assert {k: n.prediction for k, n in m.nodes.items() if n.is_leaf} == {5: 0, 8: 0, 9: 1, 12: 0, 13: 1, 14: 0, 15: 1}
+
+
+def _fit_on(df, names, alpha):
+    return fit_tree(df, FeatureSpec.columns(df, names), "label", FitParams(max_depth=3, alpha=alpha))
