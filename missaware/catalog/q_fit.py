@@ -425,12 +425,28 @@ def alpha_sweep_fit(spark, sf_dir):
     return out.withColumn("alpha", F.element_at(grid, F.col("tree").cast("int") + 1))
 
 
-@query("alpha_sweep_trees")
+def _sweep_trees_sql(depth: int) -> str:
+    """Tree ``t`` leaves fold ``t // 5`` out and uses alpha ``t % 5``; each tree scores its own fold."""
+    g = len(ALPHA_SWEEP_GRID)
+    fold = f"SELECT *, {FOLD_SQL} AS fold FROM ({fx.FX_A_PREP_SQL}) q"
+    trees = f"SELECT p.*, CAST(r.t AS INTEGER) AS t, CAST(1.0 AS DOUBLE) AS w FROM ({fold}) p, range({N_FOLDS * g}) r(t) WHERE p.fold <> r.t // {g}"
+    alpha = f"(CASE t % {g} " + " ".join(f"WHEN {i} THEN {sq.lit(a)}" for i, a in enumerate(ALPHA_SWEEP_GRID)) + " END)"
+    fit = sq.fit_sql(fold, fx.FX_A_FEATURES, 2, alpha, depth, trees_sql=trees)
+    walk = sq.walk_sql(fold, fit, fx.FX_A_FEATURES, depth, where=f"p.fold = t.tree // {g}")
+    return (
+        f"WITH {walk}, per AS (SELECT r.tree, avg(CAST(t.prediction = r.label AS DOUBLE)) AS acc, avg(CAST(r.miss AS DOUBLE)) AS rho "
+        f"FROM at{depth} r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node GROUP BY r.tree) "
+        f"SELECT {alpha.replace('t % ', 'tree % ')} AS alpha, round(avg(acc), 6) AS accuracy_mean, round(stddev_samp(acc), 6) AS accuracy_std, "
+        "round(avg(rho), 6) AS rho_mean, round(stddev_samp(rho), 6) AS rho_std, count(*) AS n_runs FROM per GROUP BY 1"
+    )
+
+
+@query("alpha_sweep_trees", oracle=_sweep_trees_sql(4))
 def alpha_sweep_trees(spark, sf_dir):
     """Depth-4 trees for 5 key-hash folds x the alpha grid, grown as one forest and scored
     on held-out folds; mean and spread of accuracy and reliance per alpha."""
     df = fx.fx_a_prepared(spark, sf_dir)
     df = df.withColumn("fold", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % N_FOLDS).cast("int"))
-    per = experiment.fold_alpha_trees(df, fx.FX_A_FEATURES, "fold", N_FOLDS, ALPHA_SWEEP_GRID, 4)
+    per = experiment.fold_alpha_trees(df, fx.FX_A_FEATURES, "fold", N_FOLDS, ALPHA_SWEEP_GRID, 4, partitions=spark.sparkContext.defaultParallelism)
     out = experiment.sweep_summary(per, ["alpha"])
     return out.select("alpha", *[F.round(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_std", "rho_mean", "rho_std")], "n_runs")

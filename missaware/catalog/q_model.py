@@ -11,26 +11,10 @@ from missaware.catalog.registry import query
 from missaware.operators import prep
 from missaware.plans.estimators import MissAwareForestClassifier, MissAwareTreeClassifier
 
-_ROWS = ", ".join(fx.FX_A_KEYS + fx.FX_A_FEATURES)
-
-
-def _walk_sql(prep_sql: str, tree_sql: str, depth: int) -> str:
-    """CTEs ``at<depth>``: every row with the leaf it reaches in every tree and its reliance so far."""
-    value = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in fx.FX_A_FEATURES) + " END"
-    flag = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.missing_{f}" for f in fx.FX_A_FEATURES) + " ELSE 0 END"
-    out = f"prep AS ({prep_sql}), nodes AS ({tree_sql}), at0 AS (SELECT p.*, t.tree, CAST(1 AS BIGINT) AS leaf, 0 AS miss FROM prep p, (SELECT DISTINCT tree FROM nodes) t)"
-    for d in range(depth):
-        out += (
-            f", at{d + 1} AS (SELECT r.* EXCLUDE (leaf, miss), CASE WHEN t.is_leaf THEN r.leaf WHEN {value} <= t.threshold THEN 2 * r.leaf ELSE 2 * r.leaf + 1 END AS leaf, "
-            f"greatest(r.miss, {flag}) AS miss FROM at{d} r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node)"
-        )
-    return out
-
-
 def _tree_sql() -> str:
     fit = sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, class_weights=True)
     return (
-        f"WITH {_walk_sql(fx.FX_A_PREP_SQL, fit, 2)} SELECT l_orderkey, l_linenumber, l_partkey, CAST(t.prediction AS DOUBLE) AS prediction, "
+        f"WITH {sq.walk_sql(fx.FX_A_PREP_SQL, fit, fx.FX_A_FEATURES, 2)} SELECT l_orderkey, l_linenumber, l_partkey, CAST(t.prediction AS DOUBLE) AS prediction, "
         "round(t.weight_1 / t.weight, 6) AS p1, r.miss AS rho FROM at2 r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node"
     )
 
@@ -55,7 +39,7 @@ def _forest_sql() -> str:
     fit = sq.fit_sql(fx.FX_A_PREP_SQL, fx.FX_A_FEATURES, 2, ALPHA, 2, trees_sql=_trees_sql(N_TREES))
     key = "l_orderkey, l_linenumber, l_partkey, " + ", ".join(fx.FX_A_FEATURES)
     return (
-        f"WITH {_walk_sql(fx.FX_A_PREP_SQL, fit, 2)}, votes AS (SELECT r.*, t.prediction FROM at2 r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node) "
+        f"WITH {sq.walk_sql(fx.FX_A_PREP_SQL, fit, fx.FX_A_FEATURES, 2)}, votes AS (SELECT r.*, t.prediction FROM at2 r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node) "
         f"SELECT CAST(CASE WHEN avg(prediction) > 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS prediction, round(avg(prediction), 6) AS p1, round(avg(miss), 6) AS rho, {key} "
         f"FROM votes GROUP BY {key}"
     )

@@ -249,7 +249,7 @@ def forest_vote_any_key(spark, sf_dir):
 # ---- leaf report ---------------------------------------------------------------------------
 
 def _leaf_report_sql() -> str:
-    rules = "CASE leaf " + " ".join(f"WHEN {n.node} THEN '{M.rule(n.node)}'" for n in M.leaves()) + " END"
+    rules = "CASE leaf " + " ".join(f"WHEN {n} THEN '{rule}'" for n, rule in fm.FX_M_RULES.items()) + " END"
     return (
         f"{PREP}, scored AS (SELECT *, {fm.leaf_sql(M)} AS leaf, {fm.reliance_sql(M)} AS r FROM prep) "
         f"SELECT leaf, {rules} AS rule, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS positives, "

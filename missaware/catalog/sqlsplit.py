@@ -78,12 +78,13 @@ def rank_digits(criterion: str) -> int:
     return 12 if criterion == "gini" else 9
 
 
-def best_sql(src: str, alpha: float, criterion: str = "gini", per_feature: bool = False) -> str:
+def best_sql(src: str, alpha: float | str, criterion: str = "gini", per_feature: bool = False) -> str:
     part = "t, node, f" if per_feature else "t, node"
     d = rank_digits(criterion)
+    penalty = alpha if isinstance(alpha, str) else lit(alpha)
     return (
         f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(ps, {d}) DESC, f ASC, thr ASC) AS rk "
-        f"FROM (SELECT *, s - {lit(alpha)} * share AS ps FROM {src}) p) r WHERE rk = 1"
+        f"FROM (SELECT *, s - {penalty} * share AS ps FROM {src}) p) r WHERE rk = 1"
     )
 
 
@@ -189,3 +190,20 @@ def fit_sql(
             + f" FROM ({kids}) c {join}"
         )
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def walk_sql(prep_sql: str, tree_sql: str, features: list[str], depth: int, where: str = "true") -> str:
+    """CTEs ``prep``, ``nodes`` and ``at0`` .. ``at<depth>``: every row (where ``where`` holds for row
+    ``p`` and tree ``t``) with the leaf it reaches in every tree and whether it tested a missing value."""
+    value = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
+    flag = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN r.missing_{f}" for f in features) + " ELSE 0 END"
+    out = (
+        f"prep AS ({prep_sql}), nodes AS ({tree_sql}), "
+        f"at0 AS (SELECT p.*, t.tree, CAST(1 AS BIGINT) AS leaf, 0 AS miss FROM prep p, (SELECT DISTINCT tree FROM nodes) t WHERE {where})"
+    )
+    for d in range(depth):
+        out += (
+            f", at{d + 1} AS (SELECT r.* EXCLUDE (leaf, miss), CASE WHEN t.is_leaf THEN r.leaf WHEN {value} <= t.threshold THEN 2 * r.leaf ELSE 2 * r.leaf + 1 END AS leaf, "
+            f"greatest(r.miss, {flag}) AS miss FROM at{d} r JOIN nodes t ON r.tree = t.tree AND r.leaf = t.node)"
+        )
+    return out

@@ -155,6 +155,7 @@ def fold_alpha_trees(
     max_depth: int,
     label: str = "label",
     criterion: str = "gini",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Full trees for every (fold, alpha), grown together as one forest, scored on each
     fold's held-out rows.  Tree ``t`` trains on folds other than ``t // len(alphas)`` with
@@ -165,7 +166,7 @@ def fold_alpha_trees(
 
     g = len(alphas)
     spec = FeatureSpec.columns(df, features)
-    params = FitParams(max_depth=max_depth, criterion=criterion, alphas=tuple(a for _ in range(n_folds) for a in alphas))
+    params = FitParams(max_depth=max_depth, criterion=criterion, partitions=partitions, alphas=tuple(a for _ in range(n_folds) for a in alphas))
     held_out = lambda t: F.when(F.col(fold) == (t / F.lit(g)).cast("int"), F.lit(0)).otherwise(F.lit(1))
     trees = fit_forest(df, spec, label, params, key_cols=[fold], tree_weight=held_out)
     keep = list(features) + [m for m in spec.masks if m]
