@@ -105,8 +105,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def chunks(ids, hs, texts):
         known, sets, held, start = WordHashes(), [], 0, 0
-        for i, t in enumerate(texts):
-            sets.append(shingle_set(t, known))
+        for i, t in enumerate(texts):  # one text at a time out of the batch
+            sets.append(shingle_set(t.as_py(), known))
             held += len(sets[-1])
             if held >= TOGETHER or i == len(texts) - 1:
                 some = [s for s in sets if len(s)]
@@ -131,7 +131,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield from chunks(b.column(0), b.column(1), b.column(2).to_pylist())
+            yield from chunks(b.column(0), b.column(1), b.column(2))
 
     text = F.col(text_col).cast("string")
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
@@ -144,7 +144,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     def run(batches):
         known = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, known).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((shingle_set(t.as_py(), known).tobytes() for t in b.column(1)), pa.binary())], ["node", "grams"])
 
     text = F.col(text_col).cast("string")
     one = docs.select(key_of(F.col(id_col)).alias("key"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
@@ -155,6 +155,11 @@ def key_of(doc_id):
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
+def grams_in(value) -> np.ndarray:
+    """A set out of an Arrow value, without a copy."""
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
@@ -167,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [similar(grams_in(x), grams_in(y), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
@@ -226,7 +231,7 @@ def left_over(met: DataFrame, nodes: DataFrame, sets: DataFrame, root: DataFrame
     def run(table):
         node, group, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        full = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        full = [grams_in(g) for g in table.column("grams")]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         size, group = np.array([len(g) for g in full]), group.copy()
         a, b = [], []
