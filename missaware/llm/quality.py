@@ -6,8 +6,8 @@ into a fixed table, so the table, which is all that reaches the driver, has a fi
 8,256 x 32 numbers).  A token counts twice: as its lower-cased form and as its shape (capitals,
 digits, which symbol).  A document's vector is the mean of its tokens' (unit-length) vectors.
 
-Network: one hidden layer and a logistic output in numpy, fitted on the driver on at most
-``max_rows`` labelled documents (16,384; in hash order, all where there are fewer), a fifth of them
+Network: one hidden layer and a logistic output in numpy, fitted on the driver on
+about ``max_rows`` labelled documents (16,384, chosen by hash; all where there are fewer), a fifth of them
 kept aside to fit the temperature that calibrates the probabilities.  Every document is scored, on
 its whole text.  Labels, language, source and id are not inputs.
 
@@ -224,7 +224,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = written(pooled(docs, id_col, text_col, vectors, settings), "quality-vectors")
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isNotNull()).groupBy("_id").agg(F.max("_y").alias("_y"))
     known = rows.filter(id_mod(F.col(id_col), 3) != 1).join(marks, F.col(id_col) == F.col("_id"))
-    known = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), "vec", "_y").orderBy("h", "i", "vec").limit(settings.max_rows).toPandas()
+    known = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), "vec", "_y")
+    n = known.count()
+    if n > settings.max_rows:  # a hash decides, so nothing is sorted or sent but what is used
+        known = known.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < (settings.max_rows << 30) // n)
+    known = known.toPandas()  # about max_rows rows at most
+    known = known.iloc[sorted(range(len(known)), key=lambda k: (known["h"][k], tuple(known["vec"][k]), known["_y"][k]))]
     x = np.array(known["vec"].tolist(), float) if len(known) else np.zeros((0, 2 * settings.dims))
     net = fit_network(x, known["_y"].to_numpy(float), settings)
 
