@@ -191,8 +191,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mo
     training = docs.filter(id_mod(F.col(id_col), held_mod) != held_at).select(F.col(text_col).cast("string").cast("binary").alias("text"))
     vocabulary = written(word_counts(training, settings), "lm-words")
     short = vocabulary.filter((F.octet_length("word") <= 64) & (F.octet_length("word") > 0))
-    top = short.orderBy(F.desc("c"), "word").limit(settings.top_words).toPandas()  # bounded by top_words
-    top = {bytes(w): int(c) for w, c in zip(top["word"], top["c"], strict=True)}
+    # the lowest count that leaves at most top_words words, from a histogram of counts by 64ths of an octave
+    steps = short.groupBy(F.floor(F.log2("c") * 64).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    taken, lowest = 0, None
+    for step, n in sorted(map(tuple, steps), reverse=True):
+        taken += n
+        if taken > settings.top_words:
+            break
+        lowest = step
+    top = short.filter(F.floor(F.log2("c") * 64) >= lowest).toPandas() if lowest is not None else None  # at most top_words
+    top = dict(sorted(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True), key=lambda x: (-x[1], x[0]))) if lowest is not None else {}
     movable = list(top)[: settings.cluster_words]
     items = {w: i for i, w in enumerate(movable)}
     n_items = len(movable) + OPEN + 1
