@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missaware.llm.common import id_mod, written
+from missaware.llm.grams import MOST
 
 END = b""  # no word is empty
 LENGTHS = (3, 6, 10)
@@ -42,7 +43,7 @@ class Settings:
     sweeps: int = 4
     smoothing: float = 0.5
     top_words: int = 131072  # longest word 64 bytes: at most 13 MB with their counts
-    flush_words: int = 400_000  # distinct words a task holds before it passes them on
+    flush_words: int = 300_000  # distinct words a task holds before it passes them on
 
 
 DEFAULT = Settings()
@@ -60,14 +61,14 @@ def open_class(word: bytes) -> int:
 
 
 class Classes(dict):
-    """Word to class; open classes are worked out when first met (at most a million are held)."""
+    """Word to class; open classes are worked out when first met (at most ``MOST`` are held)."""
 
     def __init__(self, clustered: dict[bytes, int], classes: int):
         super().__init__(clustered)
         self.clustered, self.classes = clustered, classes
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= MOST:
             self.clear()
             self.update(self.clustered)
         self[word] = k = self.classes + open_class(word)
