@@ -51,8 +51,3 @@ def split_score(criterion: str, left, right, wl, wr) -> Column:
     if criterion == "info_gain":
         return info_gain_score(left, right, wl, wr)
     raise ValueError(f"criterion must be one of {CRITERIA}, got {criterion!r}")
-
-
-def node_gini(counts: list[Column], total: Column) -> Column:
-    """Gini impurity of one node from its class weights."""
-    return F.lit(1.0) - _sum([(c / total) * (c / total) for c in counts])
