@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
+    "op5_minhash_dedup": neardup.OP5_SQL,
     "op8_warc": warc.OP8_SQL,
 }
