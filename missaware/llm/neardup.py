@@ -222,9 +222,11 @@ def left_over(met: DataFrame, nodes: DataFrame, sets: DataFrame, root: DataFrame
     rows = written(apart(met, root).select("node", "root", "main").distinct(), "near-apart")
     cluster = components(rows.filter("root != main").select(F.col("root").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     rows = rows.select("node", "root").distinct().join(cluster, "root", "left").withColumn("cluster", F.coalesce("cluster", "root"))
-    rows = rows.join(sets, "node").join(nodes.select("node", "sig"), "node")
-    size = rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # a cluster may be most of the rows: only ids meet by cluster, sets and signatures come in by node
+    weight = rows.join(sets.select("node", F.octet_length("grams").alias("bytes")), "node")
+    size = weight.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     rows = rows.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets, "node").join(nodes.select("node", "sig"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "grams")
 
