@@ -88,8 +88,8 @@ def decision_path(spark, sf_dir):
     "reliance_matrix",
     oracle=(
         f"{PREP}, scored AS (SELECT *, {fm.leaf_sql(M)} AS leaf FROM prep) "
-        f"SELECT {', '.join('s.' + k for k in KEYS)}, pth.feature AS feature, max({_MASK_OF}) AS missing "
-        f"FROM scored s JOIN {_path_table_sql(M)} ON s.leaf = pth.leaf GROUP BY ALL"
+        f"SELECT {', '.join('s.' + k for k in KEYS)}, pth.feature AS feature, {_MASK_OF} AS missing "
+        f"FROM scored s JOIN {_path_table_sql(M)} ON s.leaf = pth.leaf"
     ),
 )
 def reliance_matrix(spark, sf_dir):
