@@ -1,16 +1,19 @@
 """Language-model scores from a class-based bigram model (Brown clustering by exchange).
 
 Tokens are words, ASCII letters lower-cased, then one end token.  Counts come from all training
-documents: every word's count, by a shuffle of pre-aggregated counts, and the bigrams of the
-``cluster_words`` most frequent words.  Exchange clustering moves one word at a time to the class
-that raises the likelihood of the class bigrams most.  All other words belong to fixed
-open classes by length, script and end mark; the end token is a class of its own.
+documents.  Exchange clustering of the ``cluster_words`` most frequent words, on the driver, is the
+seed: it moves one word at a time to the class that raises the likelihood of the class bigrams most.
+Every other training word then gets the class that raises it most against the seed's table: the
+classes beside the word are counted by a shuffle (words outside the seed stand there as open classes
+by length, script and end mark), and tasks choose.  The class bigrams are counted again with
+all words in their classes.  Open classes are left for words that no training text has; the end
+token is a class of its own.
 
     P(text) = prod P(class | class before) * P(word | class)
     P(word | class) = (c + 1) / (N_class + V_class + 1),   P(k | j) = (n_jk + a) / (n_j. + a * K)
 
-A token's class needs no join.  Its count does: the ``top_words`` most frequent words (a fixed
-bound) travel with the tasks, all other words are joined by shuffle, so nothing is capped.
+Counts of the ``top_words`` and classes of the ``class_words`` most frequent words (fixed bounds)
+travel with the tasks, those of all other words are joined by shuffle, so nothing is capped.
 
 Defined results: a null text is empty (the end token alone); a null id is held out or not like the
 empty text; repeated rows are scored alike; without training text all counts are 0; an empty table
@@ -43,7 +46,9 @@ class Settings:
     sweeps: int = 4
     smoothing: float = 0.5
     top_words: int = 131072  # longest word 64 bytes: at most 13 MB with their counts
+    class_words: int = 131072  # the same for classes
     flush_words: int = 300_000  # distinct words a task holds before it passes them on
+    flush_codes: int = 1 << 21  # (word, class beside it) pairs a task holds
 
 
 DEFAULT = Settings()
@@ -175,101 +180,257 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int) -> np
     return of
 
 
+class Numbers(dict):
+    """Word to a number, and ``kinds``: the class of each number; the seed's words come first."""
+
+    def __init__(self, seed: dict[bytes, int], classes: int):
+        super().__init__({w: i for i, w in enumerate(seed)})
+        self.words, self.kinds, self.classes = list(seed), list(seed.values()), classes
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self.words)
+        self.words.append(word)
+        self.kinds.append(self.classes + open_class(word))
+        return i
+
+
+def neighbours(training: DataFrame, seed: dict[bytes, int], settings: Settings) -> DataFrame:
+    """``word, code, n`` of all words outside the seed: how often each class stands before the word
+    (code: the class) and after it (code: the number of classes more)."""
+    classes = settings.classes
+    k, movable = classes + OPEN + 1, len(seed)
+
+    def batches_of(of, total):
+        words = pa.array(of.words, pa.binary())
+        for i in range(0, len(total[0]), 1 << 16):
+            code, n = total[0][i : i + (1 << 16)], total[1][i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(code // (2 * k))), pa.array((code % (2 * k)).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
+
+    def added(total, of, a):
+        a = np.array(a, np.int64)
+        kinds = np.where(a < 0, k - 1, np.array([*of.kinds, 0], np.int64)[a])
+        at = np.flatnonzero(a >= movable)
+        code, n = np.unique(np.concatenate((a[at] * (2 * k) + kinds[at - 1], a[at] * (2 * k) + k + kinds[at + 1])), return_counts=True)
+        if total is not None:
+            code, back = np.unique(np.concatenate((total[0], code)), return_inverse=True)
+            n = np.bincount(back, np.concatenate((total[1], n))).astype(np.int64)
+        return code, n
+
+    def run(batches):
+        of, a, total = Numbers(seed, classes), [-1], None  # -1: the end, which also starts
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                a.extend(map(of.__getitem__, tokens(t)))
+                a.append(-1)
+                if len(a) > settings.flush_codes // 2:
+                    total, a = added(total, of, a), [-1]
+                if len(of) > settings.flush_words + movable or (total is not None and len(total[0]) > settings.flush_codes):
+                    yield from batches_of(of, added(total, of, a))
+                    of, a, total = Numbers(seed, classes), [-1], None
+        yield from batches_of(of, added(total, of, a))
+
+    return training.mapInArrow(run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def assigned(beside: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """``word, c, k`` from ``neighbours``: the class whose bigrams gain most likelihood by the word
+    (``table``: the seed's class bigrams); the first of equal ones."""
+    size = len(table)
+    cells = np.concatenate((table[:, :classes], table[:classes].T)).astype(float)
+    sums = np.stack((table.sum(1)[:classes], table.sum(0)[:classes])).astype(float)
+
+    def h(x):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                lists = b.column(1)
+                offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+                code, n = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+                gain = np.add.reduceat(h(cells[code] + n[:, None]) - h(cells[code]), offsets[:-1])
+                c = np.add.reduceat(np.where(code < size, n, 0), offsets[:-1])
+                gain -= sum(h(x + c[:, None]) - h(x) for x in sums)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "c", "k"])
+
+    lists = beside.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("beside"))  # at most two per class
+    return lists.mapInArrow(run, "word binary, c long, k int")
+
+
 @dataclass
 class Model:
-    """What scoring needs beside the counts of rare words."""
+    """What scoring needs beside the counts and classes of rare words."""
 
-    clustered: dict
-    classes: int  # of clustered words; then OPEN classes, then the end
+    clustered: dict  # classes of frequent words
+    classes: int  # of words; then OPEN classes, then the end
     log_step: np.ndarray  # log10 of (class before, class): transition, and the class' emission divisor
     n: int
     v: int
     end_count: int
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mod: int, held_at: int):
-    """The model, the vocabulary (``word, c``) and its most frequent part as a dict."""
-    training = docs.filter(id_mod(F.col(id_col), held_mod) != held_at).select(F.col(text_col).cast("string").cast("binary").alias("text"))
-    vocabulary = written(word_counts(training, settings), "lm-words")
-    short = vocabulary.filter((F.octet_length("word") <= 64) & (F.octet_length("word") > 0))
-    # the lowest count that leaves at most top_words words, from a histogram of counts by 64ths of an octave
-    steps = short.groupBy(F.floor(F.log2("c") * 64).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+def _lowest(steps: list, most: int) -> int | None:
+    """The lowest count step that leaves at most ``most`` words."""
     taken, lowest = 0, None
     for step, n in sorted(map(tuple, steps), reverse=True):
         taken += n
-        if taken > settings.top_words:
+        if taken > most:
             break
         lowest = step
-    top = short.filter(F.floor(F.log2("c") * 64) >= lowest).toPandas() if lowest is not None else None  # at most top_words
+    return lowest
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mod: int, held_at: int):
+    """The model, the vocabulary (``word, c, k``: count, class), the counts of its most frequent part
+    as a dict, and the rows of ``encoded``."""
+    held = id_mod(F.col(id_col), held_mod) == held_at
+    training = docs.filter(~held).select(F.col(text_col).cast("string").cast("binary").alias("text"))
+    counts = written(word_counts(training, settings), "lm-counts")
+    # frequent words from a histogram of counts by 64ths of an octave
+    step = F.floor(F.log2("c") * 64)
+    short = (F.octet_length("word") <= 64) & (F.octet_length("word") > 0)
+    steps = counts.filter(short).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    lowest = _lowest(steps, settings.top_words)
+    top = counts.filter(short & (step >= lowest)).toPandas() if lowest is not None else None  # at most top_words
     top = dict(sorted(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True), key=lambda x: (-x[1], x[0]))) if lowest is not None else {}
     movable = list(top)[: settings.cluster_words]
-    items = {w: i for i, w in enumerate(movable)}
-    n_items = len(movable) + OPEN + 1
-    bigrams = bigram_counts(training, items, n_items)
+    n_items, k = len(movable) + OPEN + 1, settings.classes + OPEN + 1
+    bigrams = bigram_counts(training, {w: i for i, w in enumerate(movable)}, n_items)
     of = exchange(bigrams, len(movable), settings.classes, settings.sweeps)
-    clustered = {w: int(of[i]) for w, i in items.items()}
-    k = settings.classes + OPEN + 1
+    member = np.zeros((n_items, k))
+    member[np.arange(n_items), of] = 1
+    seed = {w: int(x) for w, x in zip(movable, of[: len(movable)], strict=True)}
 
-    def sums(batches):
-        kinds = Classes(clustered, settings.classes)
-        for b in batches:
-            words = b.column(0).to_pylist()
-            at = np.fromiter((kinds[w] if w else k - 1 for w in words), np.int64, len(words))
-            c = b.column(1).to_numpy()
-            n = np.zeros(k, np.int64)
-            np.add.at(n, at, c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(np.bincount(at, minlength=k))], ["k", "n", "v"])
-
-    by_class = vocabulary.mapInArrow(sums, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()  # k rows
+    rest = assigned(neighbours(training, seed, settings), member.T @ bigrams @ member, settings.classes)
+    ends = counts.filter(F.col("word") == F.lit(b"")).select("word", "c", F.lit(k - 1).alias("k"))
+    seeded = docs.sparkSession.createDataFrame([(bytearray(w), top[w], x) for w, x in seed.items()], "word binary, c long, k int")
+    vocabulary = written(rest.unionAll(ends).unionAll(seeded), "lm-words")
+
+    lowest = _lowest(steps, settings.class_words)
+    known = vocabulary.filter(short & (step >= lowest)).select("word", "k").toPandas() if lowest is not None else None  # at most class_words
+    clustered = seed | (dict(zip(map(bytes, known["word"]), map(int, known["k"]), strict=True)) if lowest is not None else {})
+    by_class = vocabulary.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # k rows
     n_k, v_k = np.zeros(k), np.zeros(k)
     n_k[by_class["k"].to_numpy(np.int64)], v_k[by_class["k"].to_numpy(np.int64)] = by_class["n"], by_class["v"]
-    member = np.zeros((n_items, k))
-    member[np.arange(n_items), of] = 1
-    steps = member.T @ bigrams @ member + settings.smoothing
+
+    rows = encoded(docs, id_col, text_col, held, vocabulary, clustered, top, settings, int(n_k[k - 1]))
+    steps = class_bigrams(rows.filter("not _held").select("_kinds"), k) + settings.smoothing
     log_step = np.log10(steps / steps.sum(1, keepdims=True)) - np.log10(n_k + v_k + 1)
-    model = Model(clustered, settings.classes, log_step, int(n_k.sum()), int(v_k.sum()), int(n_k[k - 1]))
-    return model, vocabulary, top
+    return Model(clustered, settings.classes, log_step, int(n_k.sum()), int(v_k.sum()), int(n_k[k - 1])), vocabulary, top, rows
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = DEFAULT, held_mod: int = 7, held_at: int = 2) -> DataFrame:
-    """Per row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
-    model, vocabulary, top = fit(docs, id_col, text_col, settings, held_mod, held_at)
-    # model and top travel with the function; Settings bounds both
+def fit(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mod: int, held_at: int):
+    """The model, the vocabulary and its most frequent part as a dict."""
+    return train(docs, id_col, text_col, settings, held_mod, held_at)[:3]
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, held, vocabulary: DataFrame, clustered: dict, top: dict, settings: Settings, end_count: int) -> DataFrame:
+    """Per row ``id, _held, _size, _known, _emit, _kinds``: tokens, those known, sum of log10 (c + 1), and
+    the classes of its words as an array's bytes."""
+    classes = settings.classes
+    dtype = np.min_scalar_type(classes + OPEN)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    # clustered and top travel with the function; Settings bounds both
     def run(batches):
-        of, k = Classes(model.clustered, model.classes), model.classes + OPEN + 1
         log_top = {w: math.log10(c + 1) for w, c in top.items()}
-        log_end = math.log10(model.end_count + 1)
+        log_end = math.log10(end_count + 1)
         for b in batches:
-            size, known, emit, steps, words, counts, offsets = [], [], [], [], [], [], [0]
+            size, known, emit, all_kinds, words, counts, places, offsets, ends = [], [], [], [], [], [], [], [0], [0]
             for t in b.column(2).to_pylist():
                 w = tokens(t)
-                a = np.fromiter(map(of.__getitem__, w), np.int64, len(w))
-                a = np.concatenate(([k - 1], a, [k - 1]))
-                steps.append(float(model.log_step[a[:-1], a[1:]].sum()))
-                logs = list(map(log_top.get, w))
-                rare = Counter(x for x, y in zip(w, logs, strict=True) if y is None) if None in logs else {}
+                kinds, logs = list(map(clustered.get, w)), list(map(log_top.get, w))
+                tail: dict[bytes, list] = {}
+                if None in kinds:
+                    for i, x in enumerate(kinds):
+                        if x is None:
+                            kinds[i] = classes + open_class(w[i])  # stays where the vocabulary lacks the word
+                            tail.setdefault(w[i], [0, []])[1].append(i)
+                rare = 0
+                if None in logs:
+                    for x, y in zip(w, logs, strict=True):
+                        if y is None:
+                            tail.setdefault(x, [0, []])[0] += 1
+                            rare += 1
                 size.append(len(w) + 1)
-                known.append(len(w) - sum(rare.values()) + (model.end_count > 0))
+                known.append(len(w) - rare + (end_count > 0))
                 emit.append(math.fsum(filter(None, logs)) + log_end)
-                words.extend(rare)
-                counts.extend(rare.values())
+                all_kinds.append(np.array(kinds, dtype).tobytes())
+                for x, (m, at) in tail.items():
+                    words.append(x)
+                    counts.append(m)
+                    places.extend(at)
+                    ends.append(len(places))
                 offsets.append(len(words))
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "m"])
+            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), at], ["word", "m", "at"])
             tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(emit, pa.float64()), pa.array(steps, pa.float64()), tail], ["row", id_col, "held_out", "n_tokens", "known", "emit", "step", "tail"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"), (id_mod(F.col(id_col), held_mod) == held_at).alias("held_out"))
-    rows = written(rows.mapInArrow(run, f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, emit double, step double, tail array<struct<word:binary,m:long>>"), "lm-rows")
-    rare = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m")
-    rare = rare.join(vocabulary, "word").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("rare_emit"), F.sum("m").alias("rare_known"))
-    out = rows.drop("tail").join(rare, "row", "left")
-    emit = F.col("emit") + F.coalesce("rare_emit", F.lit(0.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(emit, pa.float64()), pa.array(all_kinds, pa.binary()), tail], ["_row", id_col, "_held", "_size", "_known", "_emit", "_kinds", "_tail"])
+
+    def fill(batches):
+        for b in batches:
+            filled = []
+            for kinds, found in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
+                if found:
+                    a = np.frombuffer(kinds, dtype).copy()
+                    for x in found:
+                        a[x["at"]] = x["k"]
+                    kinds = a.tobytes()
+                filled.append(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(filled, pa.binary())], [id_col, "_held", "_size", "_known", "_emit", "_kinds"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"), held.alias("_held"))
+    per_row = f"`{id_col}` {kind}, _held boolean, _size long, _known long, _emit double, _kinds binary"
+    rows = written(rows.mapInArrow(run, f"_row long, {per_row}, _tail array<struct<word:binary,m:long,at:array<int>>>"), "lm-rows")
+    rare = rows.select("_row", F.explode("_tail").alias("t")).select("_row", "t.word", "t.m", "t.at").join(vocabulary, "word")
+    placed = F.array_sort(F.collect_list(F.when(F.size("at") > 0, F.struct("at", "k"))))
+    rare = rare.groupBy("_row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("_rare_emit"), F.sum("m").alias("_rare_known"), placed.alias("_found"))
+    rows = rows.drop("_tail").join(rare, "_row", "left")
+    known, emit = F.col("_known") + F.coalesce("_rare_known", F.lit(0)), F.col("_emit") + F.coalesce("_rare_emit", F.lit(0.0))
+    rows = rows.select(id_col, "_held", "_size", known.alias("_known"), emit.alias("_emit"), "_kinds", "_found")
+    return written(rows.mapInArrow(fill, per_row), "lm-encoded")
+
+
+def class_bigrams(rows: DataFrame, k: int) -> np.ndarray:
+    """Counts of neighbouring classes over the column ``_kinds``; the end (the last) also starts."""
+    dtype = np.min_scalar_type(k - 1)
+
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            for kinds in b.column(0).to_pylist():
+                a = np.concatenate(([k - 1], np.frombuffer(kinds, dtype).astype(np.int64), [k - 1]))
+                np.add.at(total, a[:-1] * k + a[1:], 1)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
+
+    pairs = rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most k squared
+    out = np.zeros(k * k)
+    out[pairs["code"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
+    return out.reshape(k, k)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = DEFAULT, held_mod: int = 7, held_at: int = 2) -> DataFrame:
+    """Per row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
+    model, _, _, rows = train(docs, id_col, text_col, settings, held_mod, held_at)
+    log_step, k = model.log_step, model.classes + OPEN + 1
+    dtype = np.min_scalar_type(k - 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            steps = []
+            for kinds in b.column(5).to_pylist():
+                a = np.concatenate(([k - 1], np.frombuffer(kinds, dtype).astype(np.int64), [k - 1]))
+                steps.append(float(log_step[a[:-1], a[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(steps, pa.float64())], [id_col, "held_out", "n_tokens", "n_known", "_emit", "_step"])
+
+    out = rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, _emit double, _step double")
     total = F.lit(math.log10(model.n + model.v + 1))
     out = out.select(
-        id_col, "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (emit - F.col("n_tokens") * total).alias("base_score"), (emit + F.col("step")).alias("score"),
+        id_col, "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("_emit") - F.col("n_tokens") * total).alias("base_score"), (F.col("_emit") + F.col("_step")).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 

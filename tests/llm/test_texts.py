@@ -119,6 +119,41 @@ def test_class_probabilities_sum_to_one(spark):
     assert np.allclose((10**model.log_step * mass).sum(1), 1)
 
 
+def test_every_training_word_has_a_learned_class(spark):
+    # nouns and verbs of one form take turns, most are outside the seed
+    rng = np.random.default_rng(5)
+    often = {"n": [0.45, 0.28, 0.17, 0.1], "v": [0.35, 0.23, 0.14, 0.28]}
+    pick = lambda c: f"{c}{rng.choice(4, p=often[c]) if rng.random() < 0.7 else rng.integers(4, 30):02d}"
+    rows = [(i, " ".join(pick("n" if (j + i) % 2 else "v") for j in range(24))) for i in range(200)]
+    rows.append((1000, "two other w\u00f6rds"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = classlm.Settings(cluster_words=8, classes=2)
+    few = classlm.Settings(cluster_words=8, classes=2, class_words=9, top_words=12, flush_words=5, flush_codes=64)
+    model, vocabulary, _ = classlm.fit(docs, "doc_id", "text", few, 7, 2)
+    words = {bytes(r["word"]): (r["c"], r["k"]) for r in vocabulary.collect()}
+    assert len(model.clustered) <= 9 < len(words) and vocabulary.count() == len(words)
+    kinds = {w[:1]: {k for x, (_, k) in words.items() if x[:1] == w[:1]} for w in words if w and w[:1] in b"nv"}
+    assert len(kinds[b"n"]) == len(kinds[b"v"]) == 1 and kinds[b"n"] | kinds[b"v"] == {0, 1}
+    # scores by plain means, with these classes; what travels with tasks makes no difference
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    end = 2 + classlm.OPEN
+    kind = lambda w: words[w][1] if w in words else 2 + classlm.open_class(w)
+    texts = {i: [b"", *t.encode().split(), b""] for i, t in rows}
+    steps, n_k, v_k = np.full((end + 1, end + 1), 0.5), np.zeros(end + 1), np.zeros(end + 1)
+    for i, t in texts.items():
+        if not held(i):
+            for a, b in zip(t, t[1:]):
+                steps[kind(a), kind(b)] += 1
+    for c, k in words.values():
+        n_k[k] += c
+        v_k[k] += 1
+    log_step = np.log10(steps / steps.sum(1, keepdims=True)) - np.log10(n_k + v_k + 1)
+    want = {i: sum(log_step[kind(a), kind(b)] + math.log10(words.get(b, (0,))[0] + 1) for a, b in zip(t, t[1:])) for i, t in texts.items()}
+    for settings in (one, few):
+        got = {r["doc_id"]: r["score"] for r in classlm.score(docs, settings=settings).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(3)
     b = rng.poisson(2, (14, 14)) + 20 * np.kron(np.array([[0, 1], [1, 0]]), np.ones((7, 7), int))
