@@ -5,8 +5,9 @@ Candidates are regular-expression matches with their code-point spans.  The thre
 well-known services, web tokens and passwords in URLs; ``opaque``: long mixed-case runs with
 digits) are only reported where the corpus says so: the hash of every candidate's value is
 aggregated by distinct owners (sources) and repositories (distinct texts, as documents name no
-other), and a value that many owners share is an example copied around, while a
-varied value that one or two owners hold looks live.
+other).  A text that several sources copy has one owner, the smallest.  A value that many owners
+share, or that many distinct texts of one owner hold, is an example copied around, while a
+varied value that one or two owners hold in few texts looks live.
 
 Positions need no Python: a text cut at a pattern gives the gaps between its matches, and the
 running sum of gaps and match lengths gives each start.  The text is read once; what follows works
@@ -40,8 +41,9 @@ KINDS = [
     ("opaque", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}", 0, 32),
 ]
 BASE = 3
-#: A value is a copied example from this many owners on.
+#: A value is a copied example from this many owners on, or this many distinct texts of one owner.
 EXAMPLE_OWNERS = 3
+EXAMPLE_TEXTS = 10
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|\*\*\*\*|(.)\1{7}"
 
 
@@ -83,10 +85,11 @@ def spans(rows: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """One row per value hash: ``hash, owners, repos``, in three aggregations that all combine early."""
-    texts = found.select("hash", "owner", "repo").distinct()
+    """One row per value hash: ``hash, owners, repos`` (the most distinct texts of an owner), in three
+    aggregations that all combine early.  Copies of a text hold the same values, so its owner is the same for each."""
+    texts = found.groupBy("hash", "repo").agg(F.min("owner").alias("owner"))
     owned = texts.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    return owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.max("repos").alias("repos"))
 
 
 def _varied(value: Column) -> Column:
@@ -95,7 +98,7 @@ def _varied(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (different >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_texts: int = EXAMPLE_TEXTS) -> DataFrame:
     """Per document the reported spans and their class counts; see ``op10`` for the columns.
 
     ``found`` is an array of (start, kind, end, live): ``live`` marks owner-specific values.
@@ -104,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     found = spans(rows).withColumn("hash", F.sha2("value", 256)).withColumn("varied", _varied(F.col("value"))).drop("value")
     found = written(found, "secrets-found")
     judged = found.join(ownership(found), "hash")  # a value on very many rows is split by the skew join
-    judged = judged.withColumn("live", F.col("varied") & (F.col("owners") < example_owners))
+    judged = judged.withColumn("live", F.col("varied") & (F.col("owners") < example_owners) & (F.col("repos") < example_texts))
     # an added span must not touch a base span: look at the furthest base end before it and the
     # nearest base start after it (read backwards, so both sums run on)
     before = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)

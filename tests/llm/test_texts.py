@@ -194,3 +194,17 @@ def test_secret_spans_and_ownership(spark, odd_docs, no_docs):
     assert added[0] == [live] and added[10] == [live]  # two owners at most
     assert added[3] == added[4] == added[5] == []  # copied by three owners
     assert len(secrets.scan(odd_docs).collect()) == 18 and secrets.scan(no_docs).count() == 0
+
+
+def test_copies_of_a_text_have_one_owner_and_many_texts_make_an_example(spark):
+    live, shown, twice = "Zk3vQ9xT7mB2sW8nR4yL6pJ1dH5fGc0A", "Qw7eRt5yUi3oPa9sDf1gHj2kLz4xCv6B", "Mn8bVc2xZl5kJh9gFd3sAp6oIu1yTr4E"
+    rows = [(f"say {live}", f"s{i}") for i in range(5)]  # one text, five sources
+    rows += [(f"{shown} text {i}", "s0") for i in range(secrets.EXAMPLE_TEXTS)]  # one source, many texts
+    rows += [(f"{twice} text {i % 2}", f"s{i}") for i in range(6)] + [(f"password = {live}", "s1")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(t[s["start"] : s["end"]], s["live"]) for t in [rows[r["doc_id"]][0]] for s in r["found"]] for r in secrets.scan(docs).collect()}
+    n = 5 + secrets.EXAMPLE_TEXTS
+    assert all(got[i] == [(live, True)] for i in range(5))
+    assert all(got[i] == [] for i in range(5, n))
+    assert all(got[i] == [(twice, True)] for i in range(n, n + 6))
+    assert got[n + 6] == [(f"password = {live}", True)]
