@@ -24,8 +24,15 @@ from pyspark.sql import functions as F
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 SPACE = " \t\n\x0b\x0c\r"
-#: Phrases of notices and navigation (fixed values).
-NOTICES = ("all rights reserved", "cookie", "copyright", "subscribe", "click here", "terms of use", "privacy policy", "sign in", "log in")
+#: Phrases of notices and navigation (fixed values): English, French, German, Spanish.
+NOTICES = (
+    "all rights reserved", "cookie", "copyright", "subscribe", "click here", "terms of use", "privacy policy", "sign in", "log in",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "abonnez-vous", "se connecter", "connectez-vous",
+    "alle rechte vorbehalten", "impressum", "datenschutz", "nutzungsbedingungen", "hier klicken", "klicken sie hier", "newsletter abonnieren", "anmelden",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "condiciones de uso", "términos de uso", "haga clic aquí", "haz clic aquí", "suscríbete", "iniciar sesión",
+)
+#: Ends of a line that belongs to running text.
+MARKS = (".", "!", "?", ":", ",", ";", "…", "。", "！", "？", "：", "，")
 
 
 @dataclass(frozen=True)
@@ -38,8 +45,8 @@ class CRF:
     bangs: float = 4.0  # "!!" per word, at most 1
     cells: float = 8.0  # " | " separators per word, at most a half
     repeated: float = 2.5  # the line equals an earlier one
-    notice: float = 2.0  # holds a phrase of a notice
-    fragment: float = 1.0  # under four words and no end mark
+    notice: float = 4.0  # holds a phrase of a notice; alone a positive score that ``stay`` outweighs
+    fragment: float = 3.5  # otherwise: under four words and 60 bytes, no end mark; the same
     stay: float = 1.5  # neighbours with the same label
     min_content: float = 0.5  # least share of words on content lines
 
@@ -77,7 +84,7 @@ def line_score(line: str, n_words: int, repeated: bool, crf: CRF) -> float:
         score += crf.repeated
     if n_words < 30 and any(p in line.lower() for p in NOTICES):
         score += crf.notice
-    if n_words < 4 and raw.rstrip()[-1:] not in (b".", b"!", b"?", b":"):
+    elif n_words < 4 and size < 60 and not line.rstrip().endswith(MARKS):
         score += crf.fragment
     return score
 

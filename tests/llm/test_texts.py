@@ -58,6 +58,25 @@ def test_boilerplate_lines_go_and_prose_stays():
     assert rules.measure(prose + "\nAll rights reserved")[-1]
 
 
+def test_pages_of_notices_and_navigation_go_and_short_lines_of_prose_stay():
+    menu = "\n".join(f"Area{k} Page{k * 7} Topic{k * 3}" for k in range(20))
+    phrases = {
+        "en": ["We use cookies on site", "Copyright by firm", "Please sign in to area", "Read our privacy policy on page"],
+        "fr": ["Tous droits réservés par firme", "Lire nos mentions légales page", "Cliquez ici pour article"],
+        "de": ["Alle Rechte vorbehalten bei Firma", "Unser Datenschutz auf Seite", "Bitte anmelden im Bereich"],
+        "es": ["Todos los derechos reservados de firma", "Lea el aviso legal en", "Haga clic aquí para tema"],
+    }
+    assert not rules.measure(menu)[-1]
+    for some in phrases.values():
+        page = "\n".join(f"{some[k % len(some)]} " + " ".join(f"x{k}y{j}" for j in range(8)) for k in range(16))
+        assert rules.measure(page)[3] == 0 and not rules.measure(page)[-2] and not rules.measure(page)[-1]
+    verse = "\n".join(f"the river{k} ran\nbeyond town{k} and hill{k}\nslow light{k} fell." for k in range(12))
+    got = rules.measure(verse)
+    assert got[-1] and got[5] == got[0]
+    one = verse + "\nSign in\n" + verse.replace("the", "a").replace("beyond", "past").replace("slow", "dim")
+    assert rules.line_score("Sign in", 2, False, rules.DEFAULT) > 0 and rules.measure(one)[5] == rules.measure(one)[0]
+
+
 def test_classifier_learns_and_scores_odd_rows(spark, odd_docs, no_docs):
     rows = [(i, " ".join(f"{'BAD!!' if i % 2 else 'good'}x{(i * j) % 17}" for j in range(40))) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
