@@ -1,7 +1,7 @@
 """Histogram binning of feature values before the split search.
 
-Cut points per feature come from quantiles of the training values (``percentile_approx``, a
-mergeable sketch whose size does not depend on the rows).  A value is replaced by
+Cut points per feature are exact quantiles of the training values, from running counts over the
+distributed (feature, value, count) histogram; ``percentile_approx`` only on request.  A value is replaced by
 its bin's upper edge, the smallest cut point at or above it, so ``x <= cut`` and
 ``bin(x) <= cut`` agree and the fitted thresholds (the cut points) apply to raw values.
 Values above the last cut fall into an open last bin that is never a threshold.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from missaware.operators import splits
+
 
 def fractions(n_bins: int) -> list[float]:
     return [i / n_bins for i in range(1, n_bins)]
@@ -25,25 +27,29 @@ def padded_size(n_bins: int) -> int:
     return size
 
 
-def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = False, accuracy: int | None = None) -> DataFrame:
+def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = True, accuracy: int | None = None) -> DataFrame:
     """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form, padded with
     +inf to a power-of-two length.  Cut points are values of the table at ranks ``i / n_bins``.
 
-    The sketch's rank error is ``n / accuracy``; ``max(1000, 32 * n_bins)`` by default (about 1/32 of
-    a bin, small enough for very many features), a million with ``exact``.  Up to that many
-    values the ranks are exact.
+    Exact at any size, unless ``exact`` is off: then a sketch gives them with a rank error of
+    ``n / accuracy``, by default ``max(1000, 32 * n_bins)`` (small enough for very many features).
     """
-    accuracy = accuracy if accuracy is not None else 1_000_000 if exact else max(1000, 32 * n_bins)
+    accuracy = accuracy if accuracy is not None else max(1000, 32 * n_bins)
     v = F.col("_v")
     size = padded_size(n_bins)
     cuts = F.array_sort(F.array_distinct("_cuts"))
     pad = F.array_repeat(F.lit(float("inf")), F.lit(size) - F.size(cuts))
-    return (
-        long_df.filter(v.isNotNull())
-        .groupBy("_f")
-        .agg(F.percentile_approx(v, fractions(n_bins), accuracy).alias("_cuts"))
-        .select("_f", F.concat(cuts, pad).alias("_cuts"))
-    )
+    long_df = long_df.filter(v.isNotNull())
+    if exact:
+        hist = long_df.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+        cum = splits.cumulative(hist.withColumns({"_wt": F.lit(0.0), "_mw": F.lit(0.0)}), [], 0, hot_groups=True)
+        # ranks reached at a value; the first value that reaches a rank is its cut point
+        reached = F.least(F.lit(n_bins - 1), F.expr(f"(_nl * {n_bins}) div _tot_n"))
+        first = cum.withColumn("_i", reached).filter("_i > 0").groupBy("_f", "_i").agg(F.min("_v").alias("_v"))
+        found = first.groupBy("_f").agg(F.collect_list("_v").alias("_cuts"))
+    else:
+        found = long_df.groupBy("_f").agg(F.percentile_approx(v, fractions(n_bins), accuracy).alias("_cuts"))
+    return found.select("_f", F.concat(cuts, pad).alias("_cuts"))
 
 
 def bin_array(values, cuts: dict[int, list[float]], n_features: int, n_bins: int):

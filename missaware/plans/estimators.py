@@ -63,7 +63,7 @@ class _TreeParams(_OutputParams):
     criterion = _p("criterion", "gini or info_gain", TypeConverters.toString)
     impurity = _p("impurity", "MLlib name of criterion: gini or entropy", TypeConverters.toString)
     maxBins = _p("maxBins", "quantile bins per feature (0: exact split search)", TypeConverters.toInt)
-    exactBins = _p("exactBins", "exact percentiles for bin edges", TypeConverters.toBoolean)
+    exactBins = _p("exactBins", "exact percentiles for bin edges (off: approximate ones)", TypeConverters.toBoolean)
     mergeEqualSiblings = _p("mergeEqualSiblings", "merge sibling leaves with equal class shares", TypeConverters.toBoolean)
     penalty = _p("penalty", "weighted or row_mean missing share", TypeConverters.toString)
     nearEqualRtol = _p("nearEqualRtol", "skip cuts between near-equal values (with nearEqualAtol; <0: off)", TypeConverters.toFloat)
@@ -73,7 +73,7 @@ class _TreeParams(_OutputParams):
         super().__init__()
         self._setDefault(
             labelCol="label", maskPrefix=prep.MASK_PREFIX, maxDepth=3, alpha=1.0, criterion="gini",
-            maxBins=0, exactBins=False, mergeEqualSiblings=False, penalty="weighted",
+            maxBins=0, exactBins=True, mergeEqualSiblings=False, penalty="weighted",
             nearEqualRtol=-1.0, nearEqualAtol=1e-8,
         )
 
@@ -127,7 +127,7 @@ class MissAwareTreeClassifier(Estimator, _TreeParams, DefaultParamsReadable, Def
     @keyword_only
     def __init__(self, *, featureCols=None, labelCol="label", weightCol=None, maskPrefix="missing_",
                  featuresCol=None, missingnessCol=None, maxDepth=3, alpha=1.0, criterion="gini",
-                 impurity=None, maxBins=0, exactBins=False, mergeEqualSiblings=False, penalty="weighted",
+                 impurity=None, maxBins=0, exactBins=True, mergeEqualSiblings=False, penalty="weighted",
                  nearEqualRtol=-1.0, nearEqualAtol=1e-8, predictionCol="prediction",
                  probabilityCol="probability", missingnessRelianceCol="rho"):
         super().__init__()
@@ -151,7 +151,7 @@ class MissAwareForestClassifier(Estimator, _TreeParams, DefaultParamsReadable, D
     @keyword_only
     def __init__(self, *, numTrees=100, bootstrap=True, seed=0, keyCols=None, featureCols=None, labelCol="label",
                  weightCol=None, maskPrefix="missing_", featuresCol=None, missingnessCol=None, maxDepth=10,
-                 alpha=1.0, criterion="gini", impurity=None, maxBins=0, exactBins=False,
+                 alpha=1.0, criterion="gini", impurity=None, maxBins=0, exactBins=True,
                  mergeEqualSiblings=False, penalty="weighted", nearEqualRtol=-1.0, nearEqualAtol=1e-8,
                  predictionCol="prediction", probabilityCol="probability", missingnessRelianceCol="rho"):
         super().__init__()

@@ -40,7 +40,7 @@ class FitParams:
     penalty: str = "weighted"
     merge_equal_siblings: bool = False
     bins: int | None = None
-    exact_bins: bool = False
+    exact_bins: bool = True
     max_window_bins: int | None = splits.DEFAULT_MAX_WINDOW_BINS
     # spread the prepared rows over this many partitions (None: as the input comes); useful where a
     # small input is read as fewer splits than the cluster has cores

@@ -316,3 +316,14 @@ def test_fold_alpha_trees_equal_separate_fits(fxa):
         ).first()
         assert abs(got[(f, a)]["accuracy"] - row["acc"]) < 1e-12
         assert abs(got[(f, a)]["rho"] - row["rho"]) < 1e-12
+
+
+def test_bin_edges_are_exact_at_any_size(spark):
+    import math
+
+    from missaware.operators import binning
+
+    n = 150_000
+    long_df = spark.range(n).selectExpr("0 AS _f", "CAST(pmod(id * 7919, 150000) AS DOUBLE) AS _v")
+    cuts = binning.quantile_cuts(long_df, 7).first()["_cuts"]
+    assert cuts == [math.ceil(i * n / 7) - 1.0 for i in range(1, 7)] + [math.inf] * 2
