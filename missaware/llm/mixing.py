@@ -10,8 +10,8 @@ from its target by about one document.
 Nothing is collected but the cut itself (one bin, one row).  The running sums over a source, which
 may hold a third of all rows, are taken over hash buckets of a few thousand rows with offsets.
 
-Defined results: null text and text without words have size 0 and are never taken; a null source is
-a source of its own, after all others; repeated rows are separate packets; an empty table gives no
+Defined results: null text and text without words have size 0 and are never taken; a source without
+any word has target 0 and gives nothing; a null source is a source of its own, after all others; repeated rows are separate packets; an empty table gives no
 rows; other columns of the input are ignored.
 """
 
@@ -86,7 +86,7 @@ def mix(
 
     def finish(epoch):
         words = F.col("source_size") * (epoch - 1) + F.col("done")
-        return words.cast("double") / F.col("target")
+        return F.try_divide(words.cast("double"), F.col("target"))  # null for a source without words
 
     epochs = range(1, max_repeats + 1)
     if not budget:

@@ -5,9 +5,11 @@ hash of (document, child), divided by the child's weight (the number of shards b
 smallest draw wins, so a child is chosen in proportion to its weight.  A changed weight moves
 documents only between the changed child and its siblings: movement stays in the subtrees whose
 weights change.  A shard that opens its own region takes documents only into itself, and nothing
-else moves; ``tree(n)`` grows that way.
+else moves.  So a tree is a history: ``founded`` shards stand in regions and racks from the start, and
+each one added later keeps a region of its own for ever.  Trees of different foundings are
+different trees; growth keeps ``founded`` and raises the number of shards.
 
-Law ``key``: the row's id and the number of shards alone decide the shard.
+Law ``key``: the row's id and the tree (founded and present number of shards) alone decide the shard.
 
 Slots number the rows of a shard from 0 without gaps, by hash bucket and id.  A shard's rows never
 meet in one task: buckets of a few thousand rows are numbered alone, with offsets.
@@ -30,9 +32,13 @@ BUCKET_ROWS = 4096
 Tree = list[list[list[int]]]  # regions of racks of shard numbers
 
 
-def tree(n_shards: int) -> Tree:
-    """Regions of 2 racks of 2 shards; each shard beyond the last full region is its own region."""
-    full = n_shards // (RACKS * SHARDS)
+def tree(n_shards: int, founded: int | None = None) -> Tree:
+    """Founded shards (all by default) in regions of 2 racks of 2, what is left over and every later
+    shard as a region of its own."""
+    founded = n_shards if founded is None else founded
+    if not 1 <= founded <= n_shards:
+        raise ValueError(f"a tree of {n_shards} shards cannot have been founded with {founded}")
+    full = founded // (RACKS * SHARDS)
     regions = [[[(r * RACKS + k) * SHARDS + s for s in range(SHARDS)] for k in range(RACKS)] for r in range(full)]
     return regions + [[[s]] for s in range(full * RACKS * SHARDS, n_shards)]
 
@@ -67,11 +73,13 @@ def shard_of(key: Column, regions: Tree) -> Column:
     return _choose(key, level)
 
 
-def place(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, size, text_crc32, law, shard, slot, grown_shard`` for every row."""
+def place(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", founded: int | None = None) -> DataFrame:
+    """``id, size, text_crc32, law, shard, slot, grown_shard`` for every row; ``grown_shard`` is the shard
+    in the same tree with one more."""
+    founded = n_shards if founded is None else founded
     key, text = F.col(id_col), text_or_empty(F.col(text_col)).cast("binary")
     rows = docs.select(key.alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(key).alias("h"))
-    rows = rows.withColumn("shard", shard_of(F.col("row"), tree(n_shards))).withColumn("grown", shard_of(F.col("row"), tree(n_shards + 1)))
+    rows = rows.withColumn("shard", shard_of(F.col("row"), tree(n_shards, founded))).withColumn("grown", shard_of(F.col("row"), tree(n_shards + 1, founded)))
     rows = written(rows, "shards")
     buckets = max(1, rows.count() // (n_shards * BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))

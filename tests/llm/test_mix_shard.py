@@ -61,6 +61,17 @@ def test_mix_of_nothing(spark, no_docs):
     assert {(r["doc_id"], r["size"], r["copies"]) for r in mixing.mix(blank).collect()} == {(1, 0, 0), (2, 0, 0)}
 
 
+def test_sources_without_words_take_nothing(spark):
+    good = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(120)]
+    blank = [(200, None, "c"), (201, "", "c"), (202, " \t ", "c"), (203, None, None), (204, "\n", None)]
+    rows = mixing.mix(spark.createDataFrame(good + blank, "doc_id long, text string, source string")).collect()
+    assert len(rows) == 125
+    check_mix(rows)
+    assert all((r["size"], r["copies"], r["target"]) == (0, 0, 0.0) for r in rows if r["doc_id"] >= 200)
+    alone = mixing.mix(spark.createDataFrame(blank, "doc_id long, text string, source string")).collect()
+    assert [r["copies"] for r in alone] == [0] * 5
+
+
 def test_remix_repeats_whole_rows(odd_docs, no_docs):
     out = mixing.remix(odd_docs)
     assert out.columns == odd_docs.columns
@@ -92,7 +103,7 @@ def test_shard_of_equals_plain_descent(spark):
         h = xxhash.xxh64(node.encode(), seed=h).intdigest()
         return -math.log(((h >> 11) + 0.5) / 2**53)
 
-    regions = sharding.tree(17)
+    regions = sharding.tree(17, founded=16)
     got = {r[0]: r[1] for r in spark.range(500).select("id", sharding.shard_of(F.col("id"), regions)).collect()}
     for k in range(500):
         r = min(range(5), key=lambda r: hashed(k, f"{r}") / sum(map(len, regions[r])))
@@ -107,6 +118,27 @@ def test_growth_inside_a_subtree_stays_there(spark):
     assert all(r["a"] == r["b"] or r["b"] >= 12 for r in rows) and any(r["b"] == 16 for r in rows)
 
 
+def test_every_tree_grows_only_into_the_new_shard(spark):
+    cols = []
+    for n in range(1, 41):
+        cols += [sharding.shard_of(F.col("id"), sharding.tree(n)).alias(f"a{n}"), sharding.shard_of(F.col("id"), sharding.tree(n + 1, founded=n)).alias(f"b{n}")]
+    rows = spark.range(4000).select(*cols).toPandas()
+    for n in range(1, 41):
+        a, b = rows[f"a{n}"], rows[f"b{n}"]
+        moved = a != b
+        assert (b[moved] == n).all() and abs(moved.sum() - 4000 / (n + 1)) < 6 * (4000 / (n + 1)) ** 0.5
+        counts = b.value_counts()
+        assert sorted(counts.index) == list(range(n + 1)) and counts.max() - 4000 / (n + 1) < 6 * (4000 / (n + 1)) ** 0.5
+
+
+def test_growth_over_several_steps(spark):
+    trees = [sharding.tree(n, founded=6) for n in range(6, 13)]
+    rows = spark.range(3000).select(*[sharding.shard_of(F.col("id"), t).alias(f"s{i}") for i, t in enumerate(trees)]).collect()
+    for r in rows:
+        for i in range(1, len(trees)):
+            assert r[i] in (r[i - 1], 5 + i)
+
+
 def test_shards_of_odd_rows(odd_docs, no_docs):
     rows = sharding.place(odd_docs).collect()
     assert len(rows) == 18 and sharding.place(no_docs).count() == 0
