@@ -1,6 +1,6 @@
 """The corpus queries of ``__spark_entry__.py`` and their DuckDB SQL."""
 
-from missaware.llm import classlm, leaks, mixing, neardup, quality, rules, secrets, sharding, substrings, warc
+from missaware.llm import classlm, leaks, mixing, neardup, quality, rules, secrets, sharding, substrings, tokenids, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_warc": warc.op8,
     "op9_decontaminate": leaks.op9,
     "op10_secret_scan": secrets.op10,
+    "op12_token_ids": tokenids.op12,
 }
 
 ORACLES = {
