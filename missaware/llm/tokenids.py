@@ -1,9 +1,9 @@
 """Token ids of texts in binary files: frequency-ranked ids, variable length, control bytes apart.
 
 Documents are dealt to files by ranges of their id (ties by text hash and row), sorted, encoded and
-written in one stage, so the files in order hold all documents in order.  Texts are encoded whole; long runs of
-text are cut only where the tokenizer itself must cut (before white space that follows a letter,
-digit or mark), so every piece's ids are remembered and the library sees new pieces only.
+written in one stage, so the files in order hold all documents in order.  Texts are encoded whole: they are
+cut only where the tokenizer itself must cut (``cuts``), short pieces' ids are remembered, and
+the library sees new pieces only, once each.
 
 A file (little endian)::
 
@@ -18,7 +18,7 @@ cuts four gathered bytes to length.  ``_manifest.json`` names the files in order
 each; it is written last, at commit, so files of failed attempts are never read.
 
 What a task holds is bounded: one file's ids (``FILE_IDS``; a longer single text makes a longer file)
-and ``MEMO`` remembered pieces.
+and ``SLOTS`` remembered pieces.
 
 Defined results: a null text is empty (its end id alone); null document ids come first; rows with
 equal ids stand by the hash of their text, equal rows side by side, each an entry of its own; the texts of special
@@ -28,7 +28,7 @@ tokens are ordinary text; an empty table gives a manifest without files; other c
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import uuid
 from array import array
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,18 +45,20 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_type
 
 from missaware.llm.common import parts_for, text_bytes, text_or_empty
+from missaware.llm.grams import mix
 from missaware.llm.warc import file_system
 from missaware.session import scratch_path
 
 MAGIC = b"IDVB1\n"
 BLOCK, FILE_IDS, PART_BYTES = 1 << 18, 1 << 24, 48 << 20
-#: Pieces of text that a task remembers, and the longest of them in characters.
-MEMO, PIECE = 1 << 19, 64
-#: Characters encoded and ids passed on at once (about).
-TOGETHER, BATCH_IDS = 1 << 20, 1 << 20
+#: Short pieces that a task remembers (a power of two) and their ids: some 100 MB; pieces looked up at once.
+SLOTS, POOL, RUN = 1 << 21, 1 << 23, 1 << 18
+#: Bytes of text encoded and ids passed on at once (about).
+TOGETHER, BATCH_IDS = 1 << 22, 1 << 20
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 # ---- coding ----------------------------------------------------------------------------
@@ -279,42 +282,129 @@ class IdsDataSource(DataSource):
 
 # ---- encoding --------------------------------------------------------------------------
 
-#: White space that follows a character which is no white space in any version of Unicode: byte-level
-#: tokenizers always cut there, and neither side's ids depend on the other side.
-CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
+SPACES, MARKS = b" \n", b".,;:!?"
 
 
 def cuts_at_space(vocabulary: str) -> bool:
-    """Whether ``CUT`` holds for a tokenizer file: byte level with its own pattern, nothing before it."""
+    """Whether ``cuts`` holds for a tokenizer file: byte level with its own pattern, nothing before it."""
     t = json.loads(vocabulary)
     pre = t.get("pre_tokenizer") or {}
     return not t.get("normalizer") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True)) and not pre.get("add_prefix_space")
 
 
+def cuts(text: np.ndarray) -> np.ndarray:
+    """The bytes before which a byte-level tokenizer surely cuts UTF-8 text, so that neither side's ids depend on the other:
+    before a space or line end that follows a character which is no white space in any version of
+    Unicode (ASCII marks, digits and letters, U+00C0 to U+023F), and before a mark that follows a letter of these."""
+    lead = np.zeros(len(text), bool)  # of a character of two bytes, U+00C0 to U+023F
+    lead[2:] = (text[:-2] >= 0xC3) & (text[:-2] <= 0xC8)
+    signs = np.zeros(len(text), bool)  # after the times and division signs, which are no letters
+    signs[2:] = (text[:-2] == 0xC3) & ((text[1:-1] == 0x97) | (text[1:-1] == 0xB7))
+    before = np.zeros(len(text), np.uint8)
+    before[1:] = text[:-1]
+    solid = ((before > 0x20) & (before < 0x7F)) | lead
+    letter = ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A) | (lead & ~signs)
+    space, mark = np.zeros(256, bool), np.zeros(256, bool)
+    space[list(SPACES)], mark[list(MARKS)] = True, True
+    return space[text] & solid | mark[text] & letter
+
+
+class Memory:
+    """Ids of short pieces: ``SLOTS`` places, found by a hash of the piece's bytes; the last one stays.
+
+    A piece of up to 15 bytes is two words: its bytes, padded, and its length; they are compared, so a
+    hit is the same piece.  Ids stand in one array, which is emptied when it is full.
+    """
+
+    def __init__(self):
+        self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.at, self.n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.pool, self.used = np.zeros(POOL, np.uint32), 0
+
+    def slot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (mix(first ^ (second * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def put(self, first, second, slot, ids: np.ndarray, n: np.ndarray) -> None:
+        if self.used + len(ids) > POOL:
+            self.second[:], self.used = 0, 0  # no piece has length 0
+        if len(ids) > POOL:
+            return
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[slot], self.second[slot], self.n[slot] = first, second, n
+        self.at[slot] = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+
+
 class Encoder:
-    """Texts to bytes of u32 ids, whole texts, without special tokens."""
+    """Columns of texts to arrays of ids and the number of ids per text; whole texts, no special tokens."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cut = Tokenizer.from_str(vocabulary), {}, cuts_at_space(vocabulary)
+        self.tokenizer, self.pieces = Tokenizer.from_str(vocabulary), cuts_at_space(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cut:
-            return self._encoded(texts)
-        pieces = [CUT.split(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in pieces]
-        new = list({x for p, f in zip(pieces, found, strict=True) if None in f for x, y in zip(p, f, strict=True) if y is None})
-        coded = dict(zip(new, self._encoded(new), strict=True))
-        out = [b"".join(f) if None not in f else b"".join([coded[x] if y is None else y for x, y in zip(p, f, strict=True)]) for p, f in zip(pieces, found, strict=True)]
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-        self.known.update((x, y) for x, y in coded.items() if len(x) <= PIECE)
-        return out
+        self.memory = Memory() if self.pieces else None
+
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = array("I"), []
+        for i in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                n.append(len(own))
+        return np.frombuffer(ids, np.uint32) if ids else np.zeros(0, np.uint32), np.array(n, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``texts`` is a string array without nulls."""
+        if not self.pieces:
+            return self.library(texts.to_pylist())
+        edges = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))))
+        raw = b"".join([*[x.as_buffer().to_pybytes() for x in texts.cast(pa.binary())], bytes(16)])
+        text = np.frombuffer(raw, np.uint8)[: edges[-1]]
+        starts = cuts(text)
+        starts[edges[:-1][np.diff(edges) > 0]] = True  # every text starts a piece
+        start = np.flatnonzero(starts)
+        ids, n = [], []
+        for i in range(0, len(start), RUN):
+            own = start[i : i + RUN + 1] if i + RUN < len(start) else np.append(start[i:], edges[-1])
+            some, counts = self.run(raw, own[:-1], np.diff(own))
+            ids.append(some)
+            n.append(counts)
+        done = np.concatenate(([0], np.cumsum(np.concatenate(n)))) if n else np.zeros(1, np.int64)
+        per_text = np.diff(done[np.searchsorted(start, edges)])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), per_text
+
+    def run(self, raw: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow each other, and how many each has."""
+        m = self.memory
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place
+        short = np.flatnonzero(length <= 15)
+        at, size = start[short], length[short]
+        first, second = words[at] & EIGHT[np.minimum(size, 8)], (words[at + 8] & EIGHT[np.maximum(size - 8, 0)]) | (size.astype(np.uint64) << np.uint64(56))
+        slot = m.slot(first, second)
+        hit = (m.first[slot] == first) & (m.second[slot] == second)
+        place, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        place[short[hit]], n[short[hit]] = m.at[slot[hit]], m.n[slot[hit]]
+        miss = short[~hit]
+        _, one, back = np.unique(np.stack((first[~hit], second[~hit]), 1).view("u8,u8").ravel(), return_index=True, return_inverse=True)
+        long = np.flatnonzero(length > 15)
+        distinct: dict = {}
+        long_of = np.fromiter((distinct.setdefault(raw[a : a + b], len(distinct)) for a, b in zip(start[long].tolist(), length[long].tolist(), strict=True)), np.int64, len(long))
+        new = [raw[a : a + b].decode("utf-8", "replace") for a, b in zip(start[miss[one]].tolist(), length[miss[one]].tolist(), strict=True)]
+        ids, counts = self.library(new + [x.decode("utf-8", "replace") for x in distinct])
+        offset = np.cumsum(counts) - counts
+        # the known pieces' ids first, then those of the new ones
+        place[miss], n[miss] = POOL + offset[back], counts[back]
+        place[long], n[long] = POOL + offset[len(new) + long_of], counts[len(new) + long_of]
+        which = np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out = np.empty(len(which), np.uint32)
+        fresh_ = which >= POOL
+        out[~fresh_] = m.pool[which[~fresh_]]
+        out[fresh_] = ids[which[fresh_] - POOL]
+        kept = int(counts[: len(new)].sum())
+        m.put(first[~hit][one], second[~hit][one], slot[~hit][one], ids[:kept], counts[: len(new)])
+        return out, n
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
@@ -328,14 +418,15 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str, t
     def run(batches):
         encode = Encoder(vocabulary)
         for b in batches:
-            first, texts, held = 0, [], 0
-            for k, t in enumerate(b.column(1)):
-                texts.append(t.as_py())
-                held += len(texts[-1])
-                if held >= TOGETHER or k == b.num_rows - 1:
-                    ids = [x + end for x in encode(texts)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), pa.array(ids, pa.binary())], [id_col, "ids"])
-                    first, texts, held = k + 1, [], 0
+            done = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
+            first = 0
+            while first < b.num_rows:
+                here = int(np.searchsorted(done, (done[first - 1] if first else 0) + TOGETHER)) + 1
+                some = b.slice(first, here - first)
+                ids, n = encode(some.column(1))
+                blobs = [ids[k - x : k].tobytes() + end for k, x in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(blobs, pa.binary())], [id_col, "ids"])
+                first += some.num_rows
 
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
 

@@ -66,23 +66,34 @@ TEXTS = [
 ]
 
 
+def by_text(encode, texts):
+    ids, n = encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n).tolist()
+    return [ids[e - x : e].tobytes() for e, x in zip(ends, n.tolist(), strict=True)]
+
+
+def plain(t, texts):
+    return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
-    t = library()
-    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in TEXTS]
+    want = plain(library(), TEXTS)
     with open(VOCABULARY, encoding="utf-8") as f:
         vocabulary = f.read()
     assert tokenids.cuts_at_space(vocabulary)
     encode = tokenids.Encoder(vocabulary)
-    assert encode(TEXTS) == want and encode(TEXTS) == want
-    monkeypatch.setattr(tokenids, "MEMO", 3)
-    assert [x for i in range(len(TEXTS)) for x in tokenids.Encoder(vocabulary)(TEXTS[i : i + 1])] == want
+    assert by_text(encode, TEXTS) == want and by_text(encode, TEXTS) == want
+    for name, value in (("SLOTS", 8), ("POOL", 16), ("RUN", 5)):  # pieces drive each other out
+        monkeypatch.setattr(tokenids, name, value)
+    encode = tokenids.Encoder(vocabulary)
+    assert by_text(encode, TEXTS) == want and [by_text(encode, [x])[0] for x in TEXTS] == want
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("ab'sté1.,!-  \n\t\r 　日😀×"), max_size=60), max_size=8))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sté1.,!-  \n\t\r 　日😀×÷\0zZ"), max_size=60), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_pieces_of_random_texts(texts):
     t, encode = library_once(), encoder_once()
-    assert encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert by_text(encode, texts) == plain(t, texts)
 
 
 def library_once(_made=[]):  # noqa: B006
@@ -104,7 +115,7 @@ def test_other_tokenizers_get_whole_texts():
         vocabulary = f.read()
     assert not tokenids.cuts_at_space(vocabulary)
     t = Tokenizer.from_file(path)
-    assert tokenids.Encoder(vocabulary)(TEXTS[:5]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in TEXTS[:5]]
+    assert by_text(tokenids.Encoder(vocabulary), TEXTS[:5]) == plain(t, TEXTS[:5])
 
 
 def run(spark, docs, path, **options):
@@ -134,10 +145,10 @@ def test_ids_of_odd_documents(spark, odd_docs, no_docs, tmp_path):
     for r in sorted(rows, key=lambda r: r["start"]):
         by_id.setdefault(r["doc_id"], []).append((r["n_tokens"], r["crc"]))
     assert len(rows) == 18 and len(by_id[None]) == 2 and sorted(by_id, key=lambda i: (i is not None, i)) == list(by_id)
-    plain = {}
+    single = {}
     for r in odd_docs.collect():
-        plain.setdefault(r["doc_id"], []).append(brute([(0, r["text"])])[0][2:])
-    assert {k: sorted(v) for k, v in by_id.items()} == {k: sorted(v) for k, v in plain.items()}
+        single.setdefault(r["doc_id"], []).append(brute([(0, r["text"])])[0][2:])
+    assert {k: sorted(v) for k, v in by_id.items()} == {k: sorted(v) for k, v in single.items()}
     starts = sorted((r["start"], r["n_tokens"]) for r in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     empty = run(spark, no_docs, tmp_path / "none")
