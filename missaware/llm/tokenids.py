@@ -51,8 +51,8 @@ from missaware.session import scratch_path
 
 MAGIC = b"IDVB1\n"
 BLOCK, FILE_IDS, PART_BYTES = 1 << 18, 1 << 24, 48 << 20
-#: Short pieces that a task remembers (a power of two) and their ids: some 100 MB; pieces looked up at once.
-SLOTS, POOL, RUN = 1 << 21, 1 << 23, 1 << 18
+#: Short pieces that a task remembers (a power of two) and their ids: some 60 MB; pieces looked up at once.
+SLOTS, POOL, RUN = 1 << 21, 1 << 22, 1 << 17
 #: Bytes of text encoded and ids passed on at once (about).
 TOGETHER, BATCH_IDS = 1 << 22, 1 << 20
 
@@ -90,6 +90,10 @@ def ranked(counts: np.ndarray) -> np.ndarray:
     return used[np.lexsort((used, -counts[used]))].astype("<u4")
 
 
+def small(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids
+
+
 def write_file(out, docs: list[np.ndarray], ids: pa.Array) -> int:
     """Writes a file of documents (arrays of ids); returns the number of ids."""
     counts = np.zeros(1, np.int64)
@@ -166,32 +170,45 @@ class Written(WriterCommitMessage):
 
 
 class IdsWriter(DataSourceArrowWriter):
-    """Takes (document id, ids as bytes of u32) in order; a partition's files stand in its place."""
+    """Takes (document id, text) in order and encodes the texts; a partition's files stand in its place."""
 
-    def __init__(self, path: str, names: list[str], id_type: str):
+    def __init__(self, path: str, names: list[str], id_type: str, vocabulary: str, end_id: int | None):
         self.path, self.names, self.id_type, self.run = path, names, id_type, uuid.uuid4().hex
+        self.vocabulary, self.end = vocabulary, np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(self, iterator):
         fs, path = file_system(self.path)
         fs.create_dir(f"{path}/_attempts", recursive=True)
         files, docs, ids, held = [], [], [], 0
+        encode = Encoder(self.vocabulary)
 
         def flush():
             name = f"{path}/_attempts/{self.run}-{uuid.uuid4().hex}.ids"
             with fs.open_output_stream(name, compression=None) as out:
                 files.append((name, write_file(out, docs, pa.concat_arrays(ids)), len(docs)))
 
-        for b in iterator:
+        def groups():
+            """Ids and texts of about TOGETHER bytes at once."""
+            for b in iterator:
+                done = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
+                first = 0
+                while first < b.num_rows:
+                    here = int(np.searchsorted(done, (done[first - 1] if first else 0) + TOGETHER)) + 1
+                    some = b.slice(first, here - first)
+                    yield some.column(0), encode(some.column(1))
+                    first += some.num_rows
+
+        for names, (coded, n) in groups():
             first = 0
-            for k, blob in enumerate(b.column(1)):
-                docs.append(np.frombuffer(blob.as_buffer(), "<u4"))
+            for k, (end, size) in enumerate(zip(np.cumsum(n).tolist(), n.tolist(), strict=True)):
+                docs.append(small(np.concatenate((coded[end - size : end], self.end))))
                 held += len(docs[-1])
                 if held >= FILE_IDS:
-                    ids.append(b.column(0).slice(first, k + 1 - first))
+                    ids.append(names.slice(first, k + 1 - first))
                     flush()
                     first, docs, ids, held = k + 1, [], [], 0
-            if first < b.num_rows:
-                ids.append(b.column(0).slice(first))
+            if first < len(names):
+                ids.append(pa.concat_arrays([names.slice(first)]))  # a copy, so the batch can go
         if docs:
             flush()
         return Written(TaskContext.get().partitionId(), tuple(files))
@@ -277,7 +294,10 @@ class IdsDataSource(DataSource):
         return IdsReader(self.options["path"], schema)
 
     def writer(self, schema, overwrite):
-        return IdsWriter(self.options["path"], schema.names, schema[0].dataType.simpleString())
+        with open(self.options["tokenizer"], encoding="utf-8") as f:  # on the driver
+            vocabulary = f.read()
+        end_id = self.options.get("end_id")
+        return IdsWriter(self.options["path"], schema.names, schema[0].dataType.simpleString(), vocabulary, None if end_id is None else int(end_id))
 
 
 # ---- encoding --------------------------------------------------------------------------
@@ -318,7 +338,7 @@ class Memory:
 
     def __init__(self):
         self.first, self.second = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.at, self.n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.at, self.n = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)  # 15 bytes are 15 ids at most
         self.pool, self.used = np.zeros(POOL, np.uint32), 0
 
     def slot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -407,40 +427,19 @@ class Encoder:
         return out, n
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """``id, ids`` in order of the id: range-partitioned and sorted, bytes of u32 with the end id."""
-    rows = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("_text"))
-    rows = rows.select(id_col, "_text", F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
-    keys = [F.col(id_col), F.col("_hash"), F.col("_row")]
-    rows = rows.repartitionByRange(parts_for(text_bytes(docs, text_col), PART_BYTES), *keys).sortWithinPartitions(*keys).select(id_col, "_text")
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-
-    def run(batches):
-        encode = Encoder(vocabulary)
-        for b in batches:
-            done = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
-            first = 0
-            while first < b.num_rows:
-                here = int(np.searchsorted(done, (done[first - 1] if first else 0) + TOGETHER)) + 1
-                some = b.slice(first, here - first)
-                ids, n = encode(some.column(1))
-                blobs = [ids[k - x : k].tobytes() + end for k, x in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(blobs, pa.binary())], [id_col, "ids"])
-                first += some.num_rows
-
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
-
-
 def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the files to ``path`` (shared by all executors).
 
     ``vocabulary_path`` is a tokenizer file of the tokenizers library that the driver can read; its
     text (megabytes) travels with the tasks.
     """
-    with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = f.read()
+    rows = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("_text"))
+    rows = rows.select(id_col, "_text", F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    keys = [F.col(id_col), F.col("_hash"), F.col("_row")]
+    rows = rows.repartitionByRange(parts_for(text_bytes(docs, text_col), PART_BYTES), *keys).sortWithinPartitions(*keys)
     docs.sparkSession.dataSource.register(IdsDataSource)
-    encoded(docs, vocabulary, end_id, id_col, text_col).write.format("tokenids").mode("append").save(path)
+    writer = rows.select(id_col, F.col("_text").alias("text")).write.format("tokenids").option("tokenizer", vocabulary_path)
+    (writer if end_id is None else writer.option("end_id", str(end_id))).mode("append").save(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
