@@ -29,7 +29,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 
 import numpy as np
@@ -37,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missaware.llm.common import parts_for, text_or_empty, written
+from missaware.llm.common import text_or_empty, written
 
 SCALE_STEPS, SCALE_STEP = 3, 1000  # the scale 10**9 as three factors
 #: Distinct terms that a task counts before it passes them on, and bytes of text cut at once.
-HELD, PIECE = 400_000, 1 << 22
-#: Terms in a bucket (about) and sources in a block of the pair part; parts of the first merge; rows at once.
-TERMS, SOURCES, MERGE, CHUNK = 4096, 64, 16, 4096
+HELD, PIECE = 1_000_000, 1 << 22
+#: Terms in a bucket (about) and sources in a block of the pair part; parts of the first merge.
+TERMS, SOURCES, MERGE = 2048, 64, 16
+#: Rows of the skyband stream at once, terms compared with each other, cells of a table of counts.
+CHUNK, STEP, CELLS = 4096, 256, 1 << 20
 
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -131,39 +132,43 @@ class Band:
 
     def __init__(self, k: int):
         self.k, self.high, self.low = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.steps, self.limit, self.stepped = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def stairs(self) -> None:
-        """For each group count, the language's count from which on k members dominate."""
-        order = np.argsort(-self.high, kind="stable")
-        heap, steps, limit = [], [], []
-        for g, x in zip(self.high[order].tolist(), self.low[order].tolist(), strict=True):
-            if len(heap) < self.k:
-                heapq.heappush(heap, -x)
-            elif -heap[0] > x:
-                heapq.heapreplace(heap, -x)
-            if len(heap) == self.k:
-                steps.append(g)
-                limit.append(-heap[0])
-        self.steps, self.limit, self.stepped = np.array(steps[::-1], np.int64), np.array(limit[::-1], np.int64), len(self.high)
+        self.highs = self.lows = self.table = None
+        self.tabled = 0  # members that the table has
+
+    def retable(self) -> None:
+        """How many members have at least / at most each pair of counts that occurs."""
+        self.highs, g = np.unique(self.high, return_inverse=True)
+        self.lows, x = np.unique(self.low, return_inverse=True)
+        shape = len(self.highs) + 1, len(self.lows) + 1
+        if shape[0] * shape[1] > CELLS:
+            self.table, self.tabled = None, 0
+            return
+        table = np.bincount(g * shape[1] + x + 1, minlength=shape[0] * shape[1]).reshape(shape)
+        self.table, self.tabled = table[::-1].cumsum(0)[::-1].cumsum(1), len(self.high)
+
+    def dominators(self, g: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Members that dominate each of the given terms (which come after all members)."""
+        if len(self.high) > 1.1 * self.tabled + 64:
+            self.retable()
+        out = np.zeros(len(g), np.int64)
+        if self.tabled:
+            out += self.table[np.searchsorted(self.highs, g, "left"), np.searchsorted(self.lows, x, "right")]
+        for i in range(self.tabled, len(self.high), CHUNK):
+            out += ((self.high[None, i : i + CHUNK] >= g[:, None]) & (self.low[None, i : i + CHUNK] <= x[:, None])).sum(1)
+        return out
 
     def add(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Places of the given terms that fewer than k terms dominate."""
-        if len(self.high) >= self.k and len(self.high) > 1.1 * self.stepped:
-            self.stairs()
-        at = np.searchsorted(self.steps, high, "left")
-        open_ = np.ones(len(high), bool)
-        inside = at < len(self.steps)
-        open_[inside] = low[inside] < self.limit[at[inside]]
-        left = np.flatnonzero(open_)
-        g, x = high[left], low[left]
-        by = np.zeros(len(left), np.int64)
-        for i in range(0, len(self.high), CHUNK):
-            by += ((self.high[None, i : i + CHUNK] >= g[:, None]) & (self.low[None, i : i + CHUNK] <= x[:, None])).sum(1)
-        by += np.tril((g[None] >= g[:, None]) & (x[None] <= x[:, None]), -1).sum(1)
-        left = left[by < self.k]
-        self.high, self.low = np.concatenate((self.high, high[left])), np.concatenate((self.low, low[left]))
-        return left
+        kept = []
+        for i in range(0, len(high), STEP):
+            g, x = high[i : i + STEP], low[i : i + STEP]
+            by = self.dominators(g, x)
+            left = np.flatnonzero(by < self.k)  # a dominated term's dominators dominate what it dominates
+            g, x = g[left], x[left]
+            left = left[by[left] + np.tril((g[None] >= g[:, None]) & (x[None] <= x[:, None]), -1).sum(1) < self.k]
+            kept.append(left + i)
+            self.high, self.low = np.concatenate((self.high, high[left + i])), np.concatenate((self.low, low[left + i]))
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def skyband(rows: DataFrame, k: int) -> DataFrame:
@@ -174,16 +179,15 @@ def skyband(rows: DataFrame, k: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(i, CHUNK)
-                langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
                 high, low = b.column(3).to_numpy(), b.column(4).to_numpy()
-                keep, first = [], 0
-                for j in range(1, len(langs) + 1):
-                    if j < len(langs) and langs[j] == langs[first] and sources[j] == sources[first]:
-                        continue
-                    if (langs[first], sources[first]) != group:
-                        group, band = (langs[first], sources[first]), Band(k)
-                    keep.append(band.add(high[first:j], low[first:j]) + first)
-                    first = j
+                codes = [c.dictionary_encode().indices.to_numpy() for c in b.columns[:2]]
+                new = np.flatnonzero((np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)) + 1  # first rows of groups
+                keep = []
+                for first, end in zip([0, *new.tolist()], [*new.tolist(), len(high)], strict=True):
+                    of = b.column(0)[first].as_py(), b.column(1)[first].as_py()
+                    if of != group:
+                        group, band = of, Band(k)
+                    keep.append(band.add(high[first:end], low[first:end]) + first)
                 yield b.take(pa.array(np.concatenate(keep)))
 
     return rows.select("lang", "source", "term", "n", "lang_n").sortWithinPartitions("lang", "source", "term").mapInArrow(run, "lang string, source string, term binary, n long, lang_n long")
@@ -208,10 +212,11 @@ def ranked(rows: DataFrame) -> DataFrame:
 # ---- pairs -----------------------------------------------------------------------------
 
 
-def pair_part(kept: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
+def pair_part(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """f summed over the kept terms for every ordered pair of a language's sources, ranked."""
     block = F.floor(F.col("place") / F.lit(SOURCES)).cast("int")
     blocks = F.floor((F.col("sources") - 1) / F.lit(SOURCES)).cast("int")
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("v") / F.lit(TERMS))).cast("int")  # of a language
 
     def met(rows: DataFrame, bucket: Column) -> DataFrame:
         """A row per pair of blocks that its block is in."""
@@ -220,8 +225,8 @@ def pair_part(kept: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
 
     rows = kept.select("lang", "source", "term", "n").join(groups, ["lang", "source"])
     marks = groups.withColumns({"term": F.lit(None).cast("binary"), "n": F.lit(0).cast("long")})
-    met_rows = met(rows.withColumn("source", F.lit(None).cast("string")), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    met_rows = met_rows.unionByName(met(marks, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))))
+    met_rows = met(rows.withColumn("source", F.lit(None).cast("string")), F.pmod(F.xxhash64("term"), buckets).cast("int"))
+    met_rows = met_rows.unionByName(met(marks, F.explode(F.sequence(F.lit(0), buckets - 1))))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -271,9 +276,8 @@ def audit(docs: DataFrame, min_docs: int = 3, first: int = 200) -> DataFrame:
         zero("v").alias("v"), (zero("sum") + zero("v")).alias("total"), (zero("lang_sum") + zero("v")).alias("lang_total"),
     )
     groups = written(groups, "divergence-groups")
-    buckets = parts_for(groups.agg(F.max("v")).first()[0] or 0, TERMS)
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    pairs = pair_part(kept, groups, buckets).withColumn("part", F.lit("pair"))
+    pairs = pair_part(kept, groups).withColumn("part", F.lit("pair"))
     return pairs.select(columns).unionByName(term_part(kept, groups, first).withColumn("part", F.lit("term")).select(columns))
 
 

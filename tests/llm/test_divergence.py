@@ -68,21 +68,24 @@ def test_audit_equals_brute_force(spark, first):
 
 
 def test_audit_in_many_buckets_and_blocks(spark, monkeypatch):
-    for name, value in (("TERMS", 3), ("SOURCES", 2), ("MERGE", 3), ("CHUNK", 5), ("HELD", 20), ("PIECE", 16)):
+    for name, value in (("TERMS", 3), ("SOURCES", 2), ("MERGE", 3), ("CHUNK", 5), ("STEP", 3), ("CELLS", 40), ("HELD", 20), ("PIECE", 16)):
         monkeypatch.setattr(divergence, name, value)
     rows = corpus(2, 250, 7)
     df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
     assert got(divergence.audit(df, first=4)) == brute(rows, first=4)
 
 
-@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 9)), max_size=120), st.integers(1, 7), st.integers(1, 30))
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 9)), max_size=250), st.integers(1, 7), st.integers(1, 100), st.sampled_from([(256, 1 << 20), (7, 1 << 20), (16, 0), (5, 30)]))
 @settings(max_examples=200, deadline=None)
-def test_band_is_the_skyband(points, k, step):
+def test_band_is_the_skyband(points, k, step, data):
+    before = divergence.STEP, divergence.CELLS
     band, kept = divergence.Band(k), []
+    divergence.STEP, divergence.CELLS = data
     for i in range(0, len(points), step):
         high, low = (np.array([p[j] for p in points[i : i + step]], np.int64) for j in (0, 1))
         kept += (band.add(high, low) + i).tolist()
     want = [i for i, (g, x) in enumerate(points) if sum(a >= g and b <= x for a, b in points[:i]) < k]
+    divergence.STEP, divergence.CELLS = before
     assert kept == want
 
 
