@@ -1,19 +1,23 @@
 """Language-model scores from a class-based bigram model (Brown clustering by exchange).
 
 Tokens are words, ASCII letters lower-cased, then one end token.  Counts come from all training
-documents.  Exchange clustering of the ``cluster_words`` most frequent words, on the driver, is the
+documents.  Texts are then cut once more into numbers (``numbered``): the ``top_words`` most frequent words
+have one each, any other word its place in the text's own list; everything after works on these.
+Exchange clustering of the ``cluster_words`` most frequent words, on the driver, is the
 seed: it moves one word at a time to the class that raises the likelihood of the class bigrams most.
-Every other training word then gets the class that raises it most against the seed's table: the
-classes beside the word are counted by a shuffle (words outside the seed stand there as open classes
-by length, script and end mark), and tasks choose.  The class bigrams are counted again with
-all words in their classes.  Open classes are left for words that no training text has; the end
-token is a class of its own.
+Every other training word then gets the class that raises it most against the seed's table (one
+choice each; only the seed's words are exchanged): tasks count the classes beside each word (words
+outside the seed stand there as open classes by length, script and end mark) and send one pack of
+counts per word; packs are added up and the class is chosen where they meet.  The class bigrams are
+counted again with all words in their classes.  Open classes are left for words that no training
+text has; the end token is a class of its own.
 
     P(text) = prod P(class | class before) * P(word | class)
     P(word | class) = (c + 1) / (N_class + V_class + 1),   P(k | j) = (n_jk + a) / (n_j. + a * K)
 
-Counts of the ``top_words`` and classes of the ``class_words`` most frequent words (fixed bounds)
-travel with the tasks, those of all other words are joined by shuffle, so nothing is capped.
+Counts and classes of the ``top_words`` most frequent words (a fixed bound) travel with the tasks, those
+of all other words are joined by shuffle, so nothing is capped.  A word's packs are added up in
+groups of about ``MERGE`` tasks first, so no task meets a pack of every other.
 
 Defined results: a null text is empty (the end token alone); a null id is held out or not like the
 empty text; repeated rows are scored alike; without training text all counts are 0; an empty table
@@ -25,16 +29,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missaware.llm.common import id_mod, written
-from missaware.llm.grams import MOST
 
 END = b""  # no word is empty
+#: Tasks whose packs of a word meet at first; bytes of text cut at once; a pack's entries.
+MERGE, PIECE = 64, 1 << 22
+PACK = np.dtype([("code", "<u2"), ("n", "<u4")])
 LENGTHS = (3, 6, 10)
 OPEN = (len(LENGTHS) + 1) * 4
 
@@ -46,9 +54,8 @@ class Settings:
     sweeps: int = 4
     smoothing: float = 0.5
     top_words: int = 131072  # longest word 64 bytes: at most 13 MB with their counts
-    class_words: int = 131072  # the same for classes
     flush_words: int = 300_000  # distinct words a task holds before it passes them on
-    flush_codes: int = 1 << 21  # (word, class beside it) pairs a task holds
+    flush_codes: int = 1 << 21  # (rarer word, class beside it) pairs a task holds
 
 
 DEFAULT = Settings()
@@ -59,27 +66,23 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def runs(text: bytes | None):
+    """``tokens`` of a text in lists, so that long texts take no more memory."""
+    text, at = text or b"", 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield tokens(text[at:end])
+        at = end
+
+
 def open_class(word: bytes) -> int:
     """By length, whether there are other than ASCII characters, and whether it ends in a mark."""
     size = sum(len(word) > n for n in LENGTHS)
     return size * 4 + 2 * (not word.isascii()) + (not (word[-1:].isalnum() or word[-1:] >= b"\x80"))
 
 
-class Classes(dict):
-    """Word to class; open classes are worked out when first met (at most ``MOST`` are held)."""
-
-    def __init__(self, clustered: dict[bytes, int], classes: int):
-        super().__init__(clustered)
-        self.clustered, self.classes = clustered, classes
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST:
-            self.clear()
-            self.update(self.clustered)
-        self[word] = k = self.classes + open_class(word)
-        return k
-
-
 def word_counts(training: DataFrame, settings: Settings) -> DataFrame:
     """``word, c`` over the column ``text`` of bytes; the end token is the empty word."""
 
@@ -90,7 +93,8 @@ def word_counts(training: DataFrame, settings: Settings) -> DataFrame:
         counts: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts.update(tokens(t))
+                for words in runs(t):
+                    counts.update(words)
                 counts[END] += 1
                 if len(counts) > settings.flush_words:
                     yield batch(counts)
@@ -100,23 +104,73 @@ def word_counts(training: DataFrame, settings: Settings) -> DataFrame:
     return training.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(training: DataFrame, items: dict[bytes, int], n_items: int) -> np.ndarray:
+def numbered(docs: DataFrame, id_col: str, text_col: str, held, top: list[bytes]) -> DataFrame:
+    """``_row, id, _held, _numbers, _tail``: a text's words as int32, a word's place in ``top``, or -1 - j for the
+    j-th of the other words of the text, which ``_tail`` lists."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):  # top travels with the function; Settings bounds it
+        get = {w: i for i, w in enumerate(top)}.get
+        for b in batches:
+            numbers, words, offsets = [], [], [0]
+            for t in b.column(2).to_pylist():
+                own: dict[bytes, int] = {}
+                parts = []
+                for w in runs(t):
+                    a = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
+                    rare = np.flatnonzero(a < 0)
+                    a[rare] = [-1 - own.setdefault(w[i], len(own)) for i in rare.tolist()]
+                    parts.append(a)
+                numbers.append(np.concatenate(parts).tobytes() if parts else b"")
+                words.extend(own)
+                offsets.append(len(words))
+            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(numbers, pa.binary()), tail], ["_row", id_col, "_held", "_numbers", "_tail"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"), held.alias("_held"))
+    return written(rows.mapInArrow(run, f"_row long, `{id_col}` {kind}, _held boolean, _numbers binary, _tail array<binary>"), "lm-rows")
+
+
+def kinds_of(numbers: np.ndarray, of_top: np.ndarray, of_tail: np.ndarray) -> np.ndarray:
+    """A value per word from values per number and per word of the text's list."""
+    both = np.concatenate((of_tail[::-1], of_top))  # -1 - j stands j + 1 before the first number
+    return both[numbers + len(of_tail)]
+
+
+def sequences(batch: pa.RecordBatch, of_top: np.ndarray, open_kind: int, end: int):
+    """(kinds of all words of a batch with an end before each text and after the last, numbers with -1 for
+    ends, and the lists' words with -2 - i for the i-th of them)."""
+    kinds, numbers, lists = [], [], []
+    for a, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        a = np.frombuffer(a, np.int32)
+        of_tail = np.array([open_kind + open_class(w) for w in tail], np.int64)
+        kinds += [np.array([end]), kinds_of(a, of_top, of_tail)]
+        numbers += [np.array([-1]), np.where(a < 0, a - 1 - len(lists), a)]
+        lists.extend(tail)
+    return np.concatenate([*kinds, [end]]), np.concatenate([*numbers, [-1]]), lists
+
+
+def small_batches(batches, words: int = 1 << 21):
+    """Batches with about so many words (at least one text)."""
+    for b in batches:
+        done = np.cumsum(pc.binary_length(b.column(0)).to_numpy()) // 4
+        first = 0
+        while first < b.num_rows:
+            here = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + words, "right")))
+            yield b.slice(first, here - first)
+            first = here
+
+
+def bigram_counts(training: DataFrame, of_top: np.ndarray, open_kind: int, n_items: int) -> np.ndarray:
     """Counts of neighbouring items: clustered words, open classes, the end (which also starts)."""
 
     def run(batches):
-        of, end, total = Classes(items, len(items)), n_items - 1, None
-        for b in batches:
-            a = []
-            for t in b.column(0).to_pylist():
-                a.append(end)
-                a.extend(map(of.__getitem__, tokens(t)))
-                if len(a) > 1 << 18:
-                    total = _add(total, a + [end], n_items)
-                    a = []
-            if a:
-                total = _add(total, a + [end], n_items)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], ["code", "n"])
+        total = np.zeros(n_items * n_items, np.int64)
+        for b in small_batches(batches):
+            a, _, _ = sequences(b, of_top, open_kind, n_items - 1)
+            total += np.bincount(a[:-1] * n_items + a[1:], minlength=len(total))
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
     pairs = training.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most n_items squared
     out = np.zeros(n_items * n_items, np.int64)
@@ -124,15 +178,6 @@ def bigram_counts(training: DataFrame, items: dict[bytes, int], n_items: int) ->
     return out.reshape(n_items, n_items)
 
 
-def _add(total, a, n_items):
-    a = np.array(a, np.int64)
-    code, n = np.unique(a[:-1] * n_items + a[1:], return_counts=True)
-    if total is not None:
-        code, at = np.unique(np.concatenate((total[0], code)), return_inverse=True)
-        n = np.bincount(at, np.concatenate((total[1], n))).astype(np.int64)
-    return code, n
-
-
 def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int) -> np.ndarray:
     """Class of every item.  The first ``movable`` items are moved; each other one is its own class."""
     n = len(bigrams)
@@ -180,59 +225,68 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int) -> np
     return of
 
 
-class Numbers(dict):
-    """Word to a number, and ``kinds``: the class of each number; the seed's words come first."""
-
-    def __init__(self, seed: dict[bytes, int], classes: int):
-        super().__init__({w: i for i, w in enumerate(seed)})
-        self.words, self.kinds, self.classes = list(seed), list(seed.values()), classes
+def packs(words: list[bytes], code: np.ndarray, n: np.ndarray, wide: int):
+    """``word, pack`` batches from sorted codes (place in ``words`` * wide + code) and their counts."""
+    of, first = np.unique(code // wide, return_index=True)
+    entries = np.empty(len(code), PACK)
+    entries["code"], entries["n"] = code % wide, n
+    edges = np.append(first, len(code))
+    for i in range(0, len(of), 1 << 15):
+        e = edges[i : i + (1 << 15) + 1]
+        offsets = ((e - e[0]) * PACK.itemsize).astype(np.int32)
+        pack = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries[e[0] : e[-1]].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array([words[j] for j in of[i : i + len(e) - 1].tolist()], pa.binary()), pack], ["word", "pack"])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self.words)
-        self.words.append(word)
-        self.kinds.append(self.classes + open_class(word))
-        return i
 
-
-def neighbours(training: DataFrame, seed: dict[bytes, int], settings: Settings) -> DataFrame:
-    """``word, code, n`` of all words outside the seed: how often each class stands before the word
-    (code: the class) and after it (code: the number of classes more)."""
-    classes = settings.classes
-    k, movable = classes + OPEN + 1, len(seed)
-
-    def batches_of(of, total):
-        words = pa.array(of.words, pa.binary())
-        for i in range(0, len(total[0]), 1 << 16):
-            code, n = total[0][i : i + (1 << 16)], total[1][i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(code // (2 * k))), pa.array((code % (2 * k)).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
-
-    def added(total, of, a):
-        a = np.array(a, np.int64)
-        kinds = np.where(a < 0, k - 1, np.array([*of.kinds, 0], np.int64)[a])
-        at = np.flatnonzero(a >= movable)
-        code, n = np.unique(np.concatenate((a[at] * (2 * k) + kinds[at - 1], a[at] * (2 * k) + k + kinds[at + 1])), return_counts=True)
-        if total is not None:
-            code, back = np.unique(np.concatenate((total[0], code)), return_inverse=True)
-            n = np.bincount(back, np.concatenate((total[1], n))).astype(np.int64)
-        return code, n
+def neighbours(training: DataFrame, top: list[bytes], movable: int, of_top: np.ndarray, k: int, settings: Settings) -> DataFrame:
+    """``word, pack`` of all words outside the seed, one row per word and task: how often each class
+    stands before the word (code: the class) and after it (code: ``k`` more)."""
+    wide = 2 * k
 
     def run(batches):
-        of, a, total = Numbers(seed, classes), [-1], None  # -1: the end, which also starts
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                a.extend(map(of.__getitem__, tokens(t)))
-                a.append(-1)
-                if len(a) > settings.flush_codes // 2:
-                    total, a = added(total, of, a), [-1]
-                if len(of) > settings.flush_words + movable or (total is not None and len(total[0]) > settings.flush_codes):
-                    yield from batches_of(of, added(total, of, a))
-                    of, a, total = Numbers(seed, classes), [-1], None
-        yield from batches_of(of, added(total, of, a))
-
-    return training.mapInArrow(run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-
-
-def assigned(beside: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+        often = np.zeros((len(top) - movable) * wide, np.int64 if len(top) < 1 << 12 else np.int32)
+        known: dict[bytes, int] = {}
+        held, n_held = [], 0
+
+        def rare():
+            if held:
+                code, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+                yield from packs(list(known), code, np.bincount(back, np.concatenate([n for _, n in held])), wide)
+
+        for b in small_batches(batches):
+            kinds, numbers, lists = sequences(b, of_top, settings.classes, k - 1)
+            place = np.fromiter((known.setdefault(w, len(known)) for w in lists), np.int64, len(lists))
+            for at, base in ((np.flatnonzero(numbers >= movable), None), (np.flatnonzero(numbers < -1), place)):
+                word = numbers[at] - movable if base is None else base[-2 - numbers[at]]
+                code, n = np.unique(np.concatenate((word * wide + kinds[at - 1], word * wide + k + kinds[at + 1])), return_counts=True)
+                if base is None:
+                    often[code] += n.astype(often.dtype)
+                elif len(code):
+                    held.append((code, n))
+                    n_held += len(code)
+            if len(known) > settings.flush_words or n_held > settings.flush_codes:
+                yield from rare()
+                known.clear()
+                held, n_held = [], 0
+        yield from rare()
+        code = np.flatnonzero(often)
+        yield from packs(top[movable:], code, often[code], wide)
+
+    return training.mapInArrow(run, "word binary, pack binary")
+
+
+def added(batch: pa.RecordBatch, wide: int):
+    """Words and their counts (words x codes) of batches of ``word, packs``, some at a time."""
+    for i in range(0, batch.num_rows, 1024):
+        b = batch.slice(i, 1024)
+        entries = np.frombuffer(b"".join(b.column(1).flatten().to_pylist()), PACK)
+        size = pc.binary_length(b.column(1).flatten()).to_numpy() // PACK.itemsize
+        word = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy()), size)
+        n = np.bincount(word * wide + entries["code"], entries["n"], b.num_rows * wide)  # below 2**53
+        yield b.column(0), n.reshape(b.num_rows, wide)
+
+
+def assigned(packed: DataFrame, table: np.ndarray, classes: int, tasks: int) -> DataFrame:
     """``word, c, k`` from ``neighbours``: the class whose bigrams gain most likelihood by the word
     (``table``: the seed's class bigrams); the first of equal ones."""
     size = len(table)
@@ -242,20 +296,27 @@ def assigned(beside: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
     def h(x):
         return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
+    def merge(batches):
+        for whole in batches:
+            for words, n in added(whole, 2 * size):
+                word, code = np.nonzero(n)
+                yield from packs([x.as_py() for x in words], word * 2 * size + code, n[word, code], 2 * size)
+
     def run(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                lists = b.column(1)
-                offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-                code, n = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
-                gain = np.add.reduceat(h(cells[code] + n[:, None]) - h(cells[code]), offsets[:-1])
-                c = np.add.reduceat(np.where(code < size, n, 0), offsets[:-1])
+            for words, n in added(whole, 2 * size):
+                word, code = np.nonzero(n)
+                m = n[word, code][:, None]
+                gain = np.add.reduceat(h(cells[code] + m) - h(cells[code]), np.searchsorted(word, np.arange(len(words))))
+                c = n[:, :size].sum(1)
                 gain -= sum(h(x + c[:, None]) - h(x) for x in sums)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "c", "k"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64)), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "c", "k"])
 
-    lists = beside.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("beside"))  # at most two per class
-    return lists.mapInArrow(run, "word binary, c long, k int")
+    while tasks > MERGE:
+        tasks = -(-tasks // MERGE)
+        part = packed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(tasks)))
+        packed = part.groupBy("word", "_part").agg(F.collect_list("pack").alias("packs")).select("word", "packs").mapInArrow(merge, "word binary, pack binary")
+    return packed.groupBy("word").agg(F.collect_list("pack").alias("packs")).mapInArrow(run, "word binary, c long, k int")
 
 
 @dataclass
@@ -294,27 +355,32 @@ def train(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_
     lowest = _lowest(steps, settings.top_words)
     top = counts.filter(short & (step >= lowest)).toPandas() if lowest is not None else None  # at most top_words
     top = dict(sorted(zip(map(bytes, top["word"]), map(int, top["c"]), strict=True), key=lambda x: (-x[1], x[0]))) if lowest is not None else {}
-    movable = list(top)[: settings.cluster_words]
-    n_items, k = len(movable) + OPEN + 1, settings.classes + OPEN + 1
-    bigrams = bigram_counts(training, {w: i for i, w in enumerate(movable)}, n_items)
-    of = exchange(bigrams, len(movable), settings.classes, settings.sweeps)
+    words = list(top)
+    rows = numbered(docs, id_col, text_col, held, words)
+    own = rows.filter("not _held").select("_numbers", "_tail")
+
+    movable, k = min(len(words), settings.cluster_words), settings.classes + OPEN + 1
+    n_items, opened = movable + OPEN + 1, np.array([open_class(w) for w in words], np.int64)
+    bigrams = bigram_counts(own, np.concatenate((np.arange(movable), movable + opened[movable:])), movable, n_items)
+    of = exchange(bigrams, movable, settings.classes, settings.sweeps)
     member = np.zeros((n_items, k))
     member[np.arange(n_items), of] = 1
-    seed = {w: int(x) for w, x in zip(movable, of[: len(movable)], strict=True)}
+    seed = {w: int(x) for w, x in zip(words, of[:movable])}
 
-    rest = assigned(neighbours(training, seed, settings), member.T @ bigrams @ member, settings.classes)
+    of_top = np.concatenate((of[:movable], settings.classes + opened[movable:]))
+    packed = neighbours(own, words, movable, of_top, k, settings)
+    rest = assigned(packed, member.T @ bigrams @ member, settings.classes, own.rdd.getNumPartitions())
     ends = counts.filter(F.col("word") == F.lit(b"")).select("word", "c", F.lit(k - 1).alias("k"))
     seeded = docs.sparkSession.createDataFrame([(bytearray(w), top[w], x) for w, x in seed.items()], "word binary, c long, k int")
     vocabulary = written(rest.unionAll(ends).unionAll(seeded), "lm-words")
 
-    lowest = _lowest(steps, settings.class_words)
-    known = vocabulary.filter(short & (step >= lowest)).select("word", "k").toPandas() if lowest is not None else None  # at most class_words
-    clustered = seed | (dict(zip(map(bytes, known["word"]), map(int, known["k"]), strict=True)) if lowest is not None else {})
+    known = vocabulary.filter(short & (step >= lowest)).select("word", "k").toPandas() if lowest is not None else None  # the top words
+    clustered = dict(zip(map(bytes, known["word"]), map(int, known["k"]), strict=True)) if lowest is not None else {}
     by_class = vocabulary.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # k rows
     n_k, v_k = np.zeros(k), np.zeros(k)
     n_k[by_class["k"].to_numpy(np.int64)], v_k[by_class["k"].to_numpy(np.int64)] = by_class["n"], by_class["v"]
 
-    rows = encoded(docs, id_col, text_col, held, vocabulary, clustered, top, settings, int(n_k[k - 1]))
+    rows = encoded(rows, id_col, vocabulary, np.array([clustered[w] for w in words], np.int64), np.array(list(top.values()), np.int64), settings, int(n_k[k - 1]))
     steps = class_bigrams(rows.filter("not _held").select("_kinds"), k) + settings.smoothing
     log_step = np.log10(steps / steps.sum(1, keepdims=True)) - np.log10(n_k + v_k + 1)
     return Model(clustered, settings.classes, log_step, int(n_k.sum()), int(v_k.sum()), int(n_k[k - 1])), vocabulary, top, rows
@@ -325,71 +391,36 @@ def fit(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_mo
     return train(docs, id_col, text_col, settings, held_mod, held_at)[:3]
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, held, vocabulary: DataFrame, clustered: dict, top: dict, settings: Settings, end_count: int) -> DataFrame:
+def encoded(rows: DataFrame, id_col: str, vocabulary: DataFrame, kind_of: np.ndarray, count_of: np.ndarray, settings: Settings, end_count: int) -> DataFrame:
     """Per row ``id, _held, _size, _known, _emit, _kinds``: tokens, those known, sum of log10 (c + 1), and
-    the classes of its words as an array's bytes."""
+    the classes of its words as an array's bytes; from ``numbered``."""
     classes = settings.classes
     dtype = np.min_scalar_type(classes + OPEN)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = rows.schema[id_col].dataType.simpleString()
+    log_of, log_end = np.log10(count_of + 1.0), math.log10(end_count + 1)
 
-    # clustered and top travel with the function; Settings bounds both
-    def run(batches):
-        log_top = {w: math.log10(c + 1) for w, c in top.items()}
-        log_end = math.log10(end_count + 1)
+    def fill(batches):  # kind_of and log_of travel with the function; Settings bounds them
         for b in batches:
-            size, known, emit, all_kinds, words, counts, places, offsets, ends = [], [], [], [], [], [], [], [0], [0]
-            for t in b.column(2).to_pylist():
-                w = tokens(t)
-                kinds, logs = list(map(clustered.get, w)), list(map(log_top.get, w))
-                tail: dict[bytes, list] = {}
-                if None in kinds:
-                    for i, x in enumerate(kinds):
-                        if x is None:
-                            kinds[i] = classes + open_class(w[i])  # stays where the vocabulary lacks the word
-                            tail.setdefault(w[i], [0, []])[1].append(i)
-                rare = 0
-                if None in logs:
-                    for x, y in zip(w, logs, strict=True):
-                        if y is None:
-                            tail.setdefault(x, [0, []])[0] += 1
-                            rare += 1
-                size.append(len(w) + 1)
-                known.append(len(w) - rare + (end_count > 0))
-                emit.append(math.fsum(filter(None, logs)) + log_end)
-                all_kinds.append(np.array(kinds, dtype).tobytes())
-                for x, (m, at) in tail.items():
-                    words.append(x)
-                    counts.append(m)
-                    places.extend(at)
-                    ends.append(len(places))
-                offsets.append(len(words))
-            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), at], ["word", "m", "at"])
-            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(emit, pa.float64()), pa.array(all_kinds, pa.binary()), tail], ["_row", id_col, "_held", "_size", "_known", "_emit", "_kinds", "_tail"])
-
-    def fill(batches):
-        for b in batches:
-            filled = []
-            for kinds, found in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
-                if found:
-                    a = np.frombuffer(kinds, dtype).copy()
-                    for x in found:
-                        a[x["at"]] = x["k"]
-                    kinds = a.tobytes()
-                filled.append(kinds)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(filled, pa.binary())], [id_col, "_held", "_size", "_known", "_emit", "_kinds"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"), held.alias("_held"))
-    per_row = f"`{id_col}` {kind}, _held boolean, _size long, _known long, _emit double, _kinds binary"
-    rows = written(rows.mapInArrow(run, f"_row long, {per_row}, _tail array<struct<word:binary,m:long,at:array<int>>>"), "lm-rows")
-    rare = rows.select("_row", F.explode("_tail").alias("t")).select("_row", "t.word", "t.m", "t.at").join(vocabulary, "word")
-    placed = F.array_sort(F.collect_list(F.when(F.size("at") > 0, F.struct("at", "k"))))
-    rare = rare.groupBy("_row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("_rare_emit"), F.sum("m").alias("_rare_known"), placed.alias("_found"))
-    rows = rows.drop("_tail").join(rare, "_row", "left")
-    known, emit = F.col("_known") + F.coalesce("_rare_known", F.lit(0)), F.col("_emit") + F.coalesce("_rare_emit", F.lit(0.0))
-    rows = rows.select(id_col, "_held", "_size", known.alias("_known"), emit.alias("_emit"), "_kinds", "_found")
-    return written(rows.mapInArrow(fill, per_row), "lm-encoded")
+            size, known, emit, all_kinds = [], [], [], []
+            found = b.column(4)
+            edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy())))
+            flat = found.flatten()
+            j, c, k = (x.to_numpy() for x in flat.flatten())
+            for i, (numbers, tail) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                a = np.frombuffer(numbers, np.int32)
+                of_tail = np.array([classes + open_class(w) for w in tail], np.int64)  # stays where no training text has the word
+                c_tail, here = np.zeros(len(tail)), slice(edges[i], edges[i + 1])
+                of_tail[j[here]], c_tail[j[here]] = k[here], c[here]
+                size.append(len(a) + 1)
+                known.append(int((kinds_of(a, np.ones(len(log_of)), c_tail) > 0).sum()) + (end_count > 0))
+                emit.append(float(kinds_of(a, log_of, np.log10(c_tail + 1)).sum()) + log_end)
+                all_kinds.append(kinds_of(a, kind_of, of_tail).astype(dtype).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(emit, pa.float64()), pa.array(all_kinds, pa.binary())], [id_col, "_held", "_size", "_known", "_emit", "_kinds"])
+
+    rare = rows.select("_row", F.posexplode("_tail").alias("j", "word")).join(vocabulary, "word")
+    rare = rare.groupBy("_row").agg(F.collect_list(F.struct("j", "c", "k")).alias("_found"))
+    filled = rows.join(rare, "_row", "left").select(id_col, "_held", "_numbers", "_tail", "_found")
+    return written(filled.mapInArrow(fill, f"`{id_col}` {kind}, _held boolean, _size long, _known long, _emit double, _kinds binary"), "lm-encoded")
 
 
 def class_bigrams(rows: DataFrame, k: int) -> np.ndarray:
@@ -401,7 +432,7 @@ def class_bigrams(rows: DataFrame, k: int) -> np.ndarray:
         for b in batches:
             for kinds in b.column(0).to_pylist():
                 a = np.concatenate(([k - 1], np.frombuffer(kinds, dtype).astype(np.int64), [k - 1]))
-                np.add.at(total, a[:-1] * k + a[1:], 1)
+                total += np.bincount(a[:-1] * k + a[1:], minlength=k * k)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 

@@ -128,16 +128,46 @@ def test_class_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, " ".join(f"v{(i * k) % 11}" for k in range(9))) for i in range(60)], "doc_id long, text string")
     settings = classlm.Settings(cluster_words=6, classes=2, top_words=5)
     model, vocabulary, top = classlm.fit(docs, "doc_id", "text", settings, 7, 2)
-    counts = {bytes(r["word"]): r["c"] for r in vocabulary.collect()}
-    of = classlm.Classes(model.clustered, model.classes)
-    last = model.classes + classlm.OPEN
-    mass = np.zeros(last + 1)
-    for w, c in counts.items():
-        mass[of[w] if w else last] += c + 1
+    mass = np.zeros(model.classes + classlm.OPEN + 1)
+    for r in vocabulary.collect():
+        mass[r["k"]] += r["c"] + 1
     mass += 1  # one more for words never seen, in every class
     assert np.allclose((10**model.log_step * mass).sum(1), 1)
 
 
+def test_packs_add_up_in_several_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.zipf(1.4) % 90}" for _ in range(40))) for i in range(150)], "doc_id long, text string").repartition(9)
+    few = classlm.Settings(cluster_words=5, classes=3, top_words=20, flush_words=4)
+    want = sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect())
+    monkeypatch.setattr(classlm, "MERGE", 2)
+    monkeypatch.setattr(classlm, "PIECE", 10)
+    assert sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect()) == want
+    # the class of every word outside the seed by plain counting
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [["", *r["text"].split(), ""] for r in docs.collect() if not held(r["doc_id"])]
+    count = Counter(w for t in texts for w in t[1:-1])
+    assert {w.decode(): c for w, c, _ in want if w} == count
+    seed = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:5]]
+    of = {w.decode(): k for w, _, k in want}
+    k = 3 + classlm.OPEN + 1
+    kind = lambda w: k - 1 if not w else of[w] if w in seed else 3 + classlm.open_class(w.encode())
+    table = np.zeros((k, k))
+    for t in texts:
+        for a, b in zip(t, t[1:]):
+            table[kind(a), kind(b)] += 1
+    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0)
+    for word in set(count) - set(seed):
+        come, go = np.zeros(k), np.zeros(k)
+        for t in texts:
+            for a, w, b in zip(t, t[1:], t[2:]):
+                if w == word:
+                    come[kind(a)] += 1
+                    go[kind(b)] += 1
+        gain = [(h(table[:, c] + come) - h(table[:, c])).sum() + (h(table[c] + go) - h(table[c])).sum() - sum(h(x + count[word]) - h(x) for x in (table[c].sum(), table[:, c].sum())) for c in range(3)]
+        assert gain[of[word]] >= max(gain) - 1e-9
+
+
 def test_every_training_word_has_a_learned_class(spark):
     # nouns and verbs of one form take turns, most are outside the seed
     rng = np.random.default_rng(5)
@@ -147,7 +177,7 @@ def test_every_training_word_has_a_learned_class(spark):
     rows.append((1000, "two other w\u00f6rds"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one = classlm.Settings(cluster_words=8, classes=2)
-    few = classlm.Settings(cluster_words=8, classes=2, class_words=9, top_words=12, flush_words=5, flush_codes=64)
+    few = classlm.Settings(cluster_words=8, classes=2, top_words=9, flush_words=5, flush_codes=64)
     model, vocabulary, _ = classlm.fit(docs, "doc_id", "text", few, 7, 2)
     words = {bytes(r["word"]): (r["c"], r["k"]) for r in vocabulary.collect()}
     assert len(model.clustered) <= 9 < len(words) and vocabulary.count() == len(words)
