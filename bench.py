@@ -70,9 +70,8 @@ def alpha_sweep_d4(spark):
 
 def score(spark):
     df = fx.fx_a_prepared(spark, SF_DIR)
-    m = fm.fx_m()
-    hit = (scoring.predict_col(m) == F.col("label")).cast("double")
-    df.agg(F.avg(hit), F.avg(scoring.reliance_col(m).cast("double"))).collect()
+    scored = scoring.transform(df, fm.fx_m(), prediction="p", rho="r")
+    scored.agg(F.avg((F.col("p") == F.col("label")).cast("double")), F.avg(F.col("r").cast("double"))).collect()
 
 
 SMALLER = [d for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01") if os.path.isdir(d) and os.path.normpath(d) != os.path.normpath(SF_DIR)]

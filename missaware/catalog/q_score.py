@@ -24,7 +24,7 @@ def _keys():
 @query("predict_tree", oracle=f"{PREP} SELECT {KEYS_SQL}, {fm.predict_sql(M)} AS prediction FROM prep")
 def predict_tree(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_keys(), scoring.predict_col(M).cast("bigint").alias("prediction"))
+    return scoring.transform(df, M).select(*_keys(), F.col("prediction").cast("bigint").alias("prediction"))
 
 
 @query(
@@ -33,10 +33,8 @@ def predict_tree(spark, sf_dir):
 )
 def predict_proba(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    p = scoring.proba_col(M)
-    return df.select(*_keys(), p.alias("_p")).select(
-        *_keys(), F.col("_p")[0].alias("p0"), F.col("_p")[1].alias("p1")
-    )
+    scored = scoring.transform(df, M, prediction=None, probability="_p")
+    return scored.select(*_keys(), F.col("_p")[0].alias("p0"), F.col("_p")[1].alias("p1"))
 
 
 @query(
@@ -47,13 +45,14 @@ def predict_proba(spark, sf_dir):
 )
 def predict_argmax(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_keys(), scoring.argmax_col(scoring.proba_col(M)).cast("bigint").alias("prediction"))
+    scored = scoring.transform(df, M, prediction=None, probability="_p")
+    return scored.select(*_keys(), scoring.argmax_col(F.col("_p")).cast("bigint").alias("prediction"))
 
 
 @query("leaf_assign", oracle=f"{PREP} SELECT {KEYS_SQL}, {fm.leaf_sql(M)} AS leaf FROM prep")
 def leaf_assign(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_keys(), scoring.leaf_col(M).alias("leaf"))
+    return scoring.transform(df, M, prediction=None, leaf="leaf").select(*_keys(), "leaf")
 
 
 def _path_table_sql(model) -> str:
@@ -78,10 +77,7 @@ _MASK_OF = "CASE pth.feature " + " ".join(f"WHEN '{f}' THEN s.missing_{f}" for f
 )
 def decision_path(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    path = scoring.path_features_col(M)
-    return df.select(*_keys(), F.posexplode(path).alias("step", "feature")).withColumn(
-        "step", F.col("step").cast("bigint")
-    )
+    return scoring.decision_path(df, M, KEYS).withColumn("step", F.col("step").cast("bigint"))
 
 
 @query(
@@ -116,7 +112,7 @@ def rho_tree(spark, sf_dir):
 @query("rho_rows", oracle=f"{PREP} SELECT {KEYS_SQL}, {fm.reliance_sql(M)} AS rho FROM prep")
 def rho_rows(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_keys(), scoring.reliance_col(M, available=set(df.columns)).alias("rho"))
+    return scoring.transform(df, M, prediction=None, rho="rho").select(*_keys(), "rho")
 
 
 @query(
@@ -127,12 +123,8 @@ def rho_rows(spark, sf_dir):
 )
 def rho_depth(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    cols = [
-        F.round(F.avg(scoring.reliance_col(M, max_depth=d).cast("double")), 6).alias(f"rho{d}")
-        for d in (0, 1, 2)
-    ]
-    one = df.agg(*cols)
-    stack = F.array(*[F.struct(F.lit(d).cast("bigint").alias("max_depth"), F.col(f"rho{d}").alias("rho")) for d in (0, 1, 2)])
+    one = scoring.reliance_by_depth(df, M, [0, 1, 2])
+    stack = F.array(*[F.struct(F.lit(d).cast("bigint").alias("max_depth"), F.round(f"rho{d}", 6).alias("rho")) for d in (0, 1, 2)])
     return one.select(F.inline(stack))
 
 
@@ -170,7 +162,8 @@ def rho_empty(spark, sf_dir):
 )
 def accuracy(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    hit = (scoring.predict_col(M) == F.col("label")).cast("double")
+    df = scoring.transform(df, M)
+    hit = (F.col("prediction") == F.col("label")).cast("double")
     return df.agg(F.round(F.avg(hit), 6).alias("accuracy"))
 
 
@@ -186,7 +179,7 @@ def _vote_sql() -> str:
 @query("forest_vote", oracle=f"{PREP} SELECT {KEYS_SQL}, {_vote_sql()} AS vote FROM prep")
 def forest_vote(spark, sf_dir):
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_keys(), scoring.forest_predict_col(MF).cast("bigint").alias("vote"))
+    return scoring.forest_transform(df, MF).select(*_keys(), F.col("prediction").cast("bigint").alias("vote"))
 
 
 def _forest_rho_sql() -> str:
@@ -200,10 +193,9 @@ def _forest_rho_sql() -> str:
 def forest_rho(spark, sf_dir):
     """Reliance of each tree and their mean, in one pass over the table."""
     df = fx.fx_a_prepared(spark, sf_dir)
-    per = [F.avg(scoring.reliance_col(t).cast("double")) for t in MF.trees]
-    cols = [F.round(p, 6).alias(f"rho_t{i}") for i, p in enumerate(per)]
+    per = [F.col(f"rho_t{i}") for i in range(len(MF.trees))]
     mean = F.round(scoring.mean_of(per), 6).alias("rho_mean")
-    return df.agg(*cols, mean)
+    return scoring.forest_reliance_by_tree(df, MF).select(*[F.round(p, 6).alias(f"rho_t{i}") for i, p in enumerate(per)], mean)
 
 
 def _forest_rho_mean_sql() -> str:
@@ -228,7 +220,7 @@ _VOTE_KEY = KEYS + fx.FX_A_FEATURES  # the FX_A key alone repeats once at sf0.00
 def forest_vote_join(spark, sf_dir):
     """Majority vote per distinct row."""
     df = fx.fx_a_prepared(spark, sf_dir)
-    return df.select(*_VOTE_KEY, scoring.forest_predict_col(MF).alias("prediction")).distinct()
+    return scoring.forest_transform(df, MF).select(*_VOTE_KEY, "prediction").distinct()
 
 
 @query(
@@ -242,7 +234,7 @@ def forest_vote_any_key(spark, sf_dir):
     """Majority vote of rows whose key is null or repeats: scoring needs no key, every row keeps its vote."""
     df = fx.fx_a_prepared(spark, sf_dir)
     k = F.when(F.col("l_linenumber") % 2 != 0, F.col("l_linenumber")).cast("bigint")
-    scored = df.select(k.alias("k"), scoring.forest_predict_col(MF).cast("bigint").alias("vote"))
+    scored = scoring.forest_transform(df, MF).select(k.alias("k"), F.col("prediction").cast("bigint").alias("vote"))
     return scored.groupBy("k", "vote").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,14 +2,18 @@
 
 All nodes of all trees stand in a few literal arrays (feature, threshold, left child, class, ...);
 the right child follows the left one.  A row takes ``max_depth`` steps, each an array lookup and a
-comparison, in one expression whose size does not depend on the number of nodes.  So one method
-serves a stump and a forest of a hundred deep trees: a narrow projection without a join, a row key or
-a shuffle, the same on batch and streaming DataFrames.  A value that is null goes right, as SQL
-comparison gives; an array of the wrong length is an error.
+comparison.  ``Steps`` makes every step a projection of its own, with the place in the tree (and what reliance
+needs) as plain columns: no lambda, so the whole walk is generated code, and its size depends on the
+depth and the number of trees, not on the nodes.  One method serves a stump and a forest of deep trees:
+narrow projections without a join, a row key or a shuffle, the same on batch and streaming DataFrames.  The
+``..._col`` functions are the same walk as a single expression, for places where only a column
+fits; it needs lambdas, which Spark interprets, so functions over DataFrames do not use it.  A value
+that is null goes right, as SQL comparison gives; an array of the wrong length is an error.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -108,6 +112,81 @@ def masks_of(model: TreeModel, available: set[str] | None = None) -> Column:
     return F.array(*[F.col(m).cast("int") if ok else F.lit(0) for m, ok in zip(model.masks, here, strict=True)])
 
 
+def _kept_below(value: Column) -> Column:
+    """The same value, marked so that no filter above is rewritten in terms of what lies below: a filter on
+    a score would otherwise be pushed through all steps and copy each step's expression several times over."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+class Steps:
+    """Rows that walk trees, one projection per step.
+
+    ``rows`` has the table's columns and the states in hidden columns (``hidden``); ``ends`` are the places
+    of the leaves in the node arrays and ``reliant`` the 0/1 reliance flags, one list per depth limit.
+    Every row walks all trees, or only the tree that ``tree`` numbers.  Splits deeper than a limit
+    do not count for reliance; after a null value the node's own flag still counts and nothing below does.
+    """
+
+    def __init__(self, df: DataFrame, trees: list[TreeModel], tree: Column | None = None, limits: tuple[int | None, ...] = ()):
+        self.walk, self.prefix = Walk(trees), "_walk"
+        while any(c.lower().startswith(self.prefix) for c in df.columns):
+            self.prefix += "_"
+        p, w, many = self.prefix, self.walk, range(1 if tree is not None else len(trees))
+        start = {"v": values_of(w.model), "f": w.feature, "t": w.threshold, "l": w.left}
+        if limits:
+            start["m"] = masks_of(w.model, set(df.columns))
+        for j, limit in enumerate(limits):
+            start[f"c{j}"] = w.numbers(_by_node(lambda n, limit=limit: 0 if n.is_leaf or (limit is not None and n.depth > limit) else 1), "int")
+        for i in many:
+            start[f"n{i}"] = F.get(w.root, tree if tree is not None else F.lit(i))
+            if limits:
+                start[f"s{i}"] = F.lit(False)
+            start |= {f"r{i}_{j}": F.lit(0) for j in range(len(limits))}
+        step = {}
+        for i in many:
+            n, x = f"{p}n{i}", f"get({p}v, get({p}f, {p}n{i}))"
+            step[n] = F.expr(f"CASE WHEN get({p}l, {n}) < 0 THEN {n} WHEN {x} <= get({p}t, {n}) THEN get({p}l, {n}) ELSE get({p}l, {n}) + 1 END")
+            if limits:
+                step[f"{p}s{i}"] = F.expr(f"{p}s{i} OR (get({p}f, {n}) >= 0 AND {x} IS NULL)")
+            for j in range(len(limits)):
+                r = f"{p}r{i}_{j}"
+                step[r] = F.expr(f"CASE WHEN get({p}c{j}, {n}) = 1 AND NOT {p}s{i} THEN greatest({r}, coalesce(get({p}m, get({p}f, {n})), 0)) ELSE {r} END")
+        rows = df.withColumns({p + c: x for c, x in start.items()})
+        for i in range(w.depth):
+            rows = rows.withColumns(step if i < w.depth - 1 else {c: _kept_below(x) for c, x in step.items()})
+        self.rows, self.hidden = rows, [p + c for c in start]
+        self.ends = [F.col(f"{p}n{i}") for i in many]
+        self.reliant = [[F.col(f"{p}r{i}_{j}") for i in many] for j in range(len(limits))]
+
+    def with_columns(self, columns: dict[str, Column]) -> DataFrame:
+        """The table with further columns, without the hidden ones."""
+        return self.rows.select("*", *[c.alias(name) for name, c in columns.items()]).drop(*self.hidden)
+
+    def numbers_at(self, value: Callable[[Node], object], kind: str, tree: int = 0) -> Column:
+        """A number of the leaf that the row reached; null where it is None."""
+        return F.nullif(F.get(self.walk.numbers(_by_node(value), kind), self.ends[tree]), F.lit(-1).cast(kind))
+
+    def classes(self) -> list[Column]:
+        return [self.numbers_at(lambda n: n.prediction if n.is_leaf else None, "int", i) for i in range(len(self.ends))]
+
+    def node(self) -> Column:
+        return self.numbers_at(lambda n: n.node, "bigint")
+
+    def shares(self) -> Column:
+        """Class shares of the leaf."""
+        k = self.walk.model.n_classes
+        flat = _numbers([p for _, n in self.walk.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
+        return F.slice(flat, self.ends[0] * k + 1, k)
+
+    def path(self, max_depth: int | None = None, once: bool = False) -> Column:
+        """Numbers of the features tested on the way to the leaf (``once``: without repeats)."""
+        model, out = self.walk.model, []
+        for _, n in self.walk.flat:
+            tested = [model.nodes[a].feature_idx for a in model.path(n.node) if max_depth is None or model.nodes[a].depth <= max_depth]
+            out.append((list(dict.fromkeys(tested)) if once else tested) if n.is_leaf else [])
+        return F.get(F.from_json(F.lit(json.dumps(out)), "array<array<int>>"), self.ends[0])  # folded once
+
+
 def _at_leaf(model: TreeModel, value: Callable[[Walk, Column], Column]) -> Column:
     w = Walk([model])
     return w.row(lambda v, _: value(w, w.end(v, F.lit(0))))
@@ -183,17 +262,31 @@ def transform(
     rho: str | None = None,
 ) -> DataFrame:
     """Append scoring columns; one narrow projection, no shuffle."""
-    cols = []
-    available = set(df.columns)
+    steps = Steps(df, [model], limits=(None,) if rho else ())
+    columns = {}
     if prediction:
-        cols.append(predict_col(model).alias(prediction))
+        columns[prediction] = steps.classes()[0]
     if probability:
-        cols.append(proba_col(model).alias(probability))
+        columns[probability] = steps.shares()
     if leaf:
-        cols.append(leaf_col(model).alias(leaf))
+        columns[leaf] = steps.node()
     if rho:
-        cols.append(reliance_col(model, available=available).alias(rho))
-    return df.select("*", *cols)
+        columns[rho] = steps.reliant[0][0]
+    return steps.with_columns(columns)
+
+
+def decision_path(df: DataFrame, model: TreeModel, keep: list[str], max_depth: int | None = None) -> DataFrame:
+    """(keep, step, feature): a row per feature tested on the way to the leaf."""
+    steps = Steps(df, [model])
+    long = steps.rows.select(*keep, F.posexplode(steps.path(max_depth)).alias("step", "_f"))
+    return long.select(*keep, "step", F.get(_texts(model.features), F.col("_f")).alias("feature"))
+
+
+def reliance_by_depth(df: DataFrame, model: TreeModel, max_depths: list[int | None], sample_mask: Column | None = None) -> DataFrame:
+    """One row: ``rho0``, ``rho1``, ... for each depth limit, in one walk."""
+    steps = Steps(df, [model], limits=tuple(max_depths))
+    flags = [r[0] if sample_mask is None else F.when(sample_mask, r[0]).otherwise(F.lit(0)) for r in steps.reliant]
+    return steps.rows.agg(*[F.coalesce(F.avg(r.cast("double")), F.lit(0.0)).alias(f"rho{i}") for i, r in enumerate(flags)])
 
 
 def reliance(df: DataFrame, model: TreeModel, max_depth: int | None = None, sample_mask: Column | None = None) -> DataFrame:
@@ -202,10 +295,7 @@ def reliance(df: DataFrame, model: TreeModel, max_depth: int | None = None, samp
     With ``sample_mask`` the masked-out rows count as 0 but stay in the denominator.
     An empty input gives 0.0.
     """
-    r = reliance_col(model, max_depth=max_depth, available=set(df.columns))
-    if sample_mask is not None:
-        r = F.when(sample_mask, r).otherwise(F.lit(0))
-    return df.agg(F.coalesce(F.avg(r.cast("double")), F.lit(0.0)).alias("rho"))
+    return reliance_by_depth(df, model, [max_depth], sample_mask).withColumnRenamed("rho0", "rho")
 
 
 def reliance_matrix(df: DataFrame, model: TreeModel, keys: list[str], max_depth: int | None = None) -> DataFrame:
@@ -214,15 +304,10 @@ def reliance_matrix(df: DataFrame, model: TreeModel, keys: list[str], max_depth:
     A feature tested twice on a path is one cell: repeats are dropped while the leaf's path is built,
     so rows need no grouping and rows with equal keys stay apart.
     """
-    w, names = Walk([model]), _texts(model.features)
-    cells = w.row(
-        lambda v, m: F.transform(
-            _path_at(_paths(model, w, max_depth, True), w.end(v, F.lit(0))),
-            lambda i: F.struct(F.get(names, i).alias("feature"), F.coalesce(F.get(m, i), F.lit(0)).alias("missing")),
-        ),
-        set(df.columns),
-    )
-    return df.select(*keys, F.inline(cells))
+    steps = Steps(df, [model], limits=(max_depth,))
+    flags = F.col(f"{steps.prefix}m")
+    long = steps.rows.select(*keys, flags.alias("_m"), F.explode(steps.path(max_depth, once=True)).alias("_f"))
+    return long.select(*keys, F.get(_texts(model.features), F.col("_f")).alias("feature"), F.coalesce(F.get("_m", F.col("_f")), F.lit(0)).alias("missing"))
 
 
 # ---- forests ---------------------------------------------------------------------------
@@ -276,30 +361,66 @@ def forest_reliance_col(forest: ForestModel, available: set[str] | None = None)
     return F.aggregate(flags, F.lit(0), lambda a, r: a + r) / F.lit(float(len(forest.trees)))
 
 
+def _sum(terms: list[Column]) -> Column:
+    """A balanced sum, so that many terms do not nest deeply."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]
+
+
+def forest_transform(df: DataFrame, forest: ForestModel, prediction: str | None = "prediction", probability: str | None = None, rho: str | None = None, votes: str | None = None) -> DataFrame:
+    """Majority vote (a tie goes to the smallest class, null without votes), shares of the votes, share of the
+    trees whose path tests a missing feature, and the array of votes."""
+    if not forest.trees:
+        empty = {prediction: F.lit(None).cast("int"), probability: F.array().cast("array<double>"), rho: F.lit(0.0), votes: F.array().cast("array<int>")}
+        return df.select("*", *[c.alias(name) for name, c in empty.items() if name])
+    steps = Steps(df, forest.trees, limits=(None,) if rho else ())
+    p, n_trees = steps.prefix, len(forest.trees)
+    classes, found = {f"{p}k{i}": c for i, c in enumerate(steps.classes())}, steps.rows
+    found = found.withColumns(classes)
+    counts = {f"{p}q{k}": _sum([F.when(F.col(c) == k, 1).otherwise(0) for c in classes]) for k in range(max(1, forest.n_classes))}
+    found = found.withColumns(counts)
+    q = F.array(*[F.col(c) for c in counts])
+    columns = {}
+    if prediction:
+        columns[prediction] = F.when(F.array_max(q) > 0, argmax_col(q))
+    if probability:
+        columns[probability] = F.array(*[F.col(c) / F.greatest(_sum([F.col(x) for x in counts]), F.lit(1)) for c in counts])
+    if rho:
+        columns[rho] = _sum(steps.reliant[0]) / F.lit(float(n_trees))
+    if votes:
+        columns[votes] = F.array(*[F.col(c) for c in classes])
+    return found.select("*", *[c.alias(name) for name, c in columns.items()]).drop(*steps.hidden, *classes, *counts)
+
+
+def forest_reliance_by_tree(df: DataFrame, forest: ForestModel) -> DataFrame:
+    """One row: ``rho_t0``, ``rho_t1``, ... per tree, in one pass over ``df``; 0.0 without rows."""
+    steps = Steps(df, forest.trees, limits=(None,))
+    return steps.rows.agg(*[F.coalesce(F.avg(r.cast("double")), F.lit(0.0)).alias(f"rho_t{i}") for i, r in enumerate(steps.reliant[0])])
+
+
 def forest_reliance(df: DataFrame, forest: ForestModel) -> DataFrame:
     """Mean over trees of each tree's reliance, one pass over ``df``; 0.0 without trees or rows."""
-    return df.agg(F.coalesce(F.avg(forest_reliance_col(forest, set(df.columns))), F.lit(0.0)).alias("rho"))
+    if not forest.trees:
+        return df.agg(F.lit(0.0).alias("rho"))
+    steps = Steps(df, forest.trees, limits=(None,))
+    share = _sum(steps.reliant[0]) / F.lit(float(len(forest.trees)))
+    return steps.rows.agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("rho"))
 
 
 def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:
     """Score rows that carry a tree index ``_t`` by that tree alone: adds ``_n`` (the leaf), ``_p``
     (its class) and ``_r`` (reliance)."""
-    w, t = Walk(forest.trees), F.col("_t")
-    got = w.row(
-        lambda v, m: F.transform(
-            F.array(w.end(v, t)),
-            lambda at: F.struct(F.get(w.numbers(_by_node(lambda n: n.node), "bigint"), at).alias("_n"), _class_at(w, at).alias("_p"), w.reliant(v, m, t, None).alias("_r")),
-        )[0],
-        set(rows.columns),
-    )
-    return rows.select("*", got.alias("_got")).select(*rows.columns, "_got.*")
+    steps = Steps(rows, forest.trees, tree=F.col("_t"), limits=(None,))
+    return steps.with_columns({"_n": steps.node(), "_p": steps.classes()[0], "_r": steps.reliant[0][0]})
 
 
-def open_node_col(models: list[TreeModel], open_nodes: set[tuple[int, int]], tree: Column) -> Column:
-    """Id of the open node that a row has reached in its tree; null in a closed leaf."""
-    w = Walk(models)
-    ids = w.numbers(lambda t, n: n.node if (t.tree, n.node) in open_nodes else None, "bigint")
-    return w.row(lambda v, _: F.nullif(F.get(ids, w.end(v, tree)), F.lit(-1).cast("bigint")))
+def route(rows: DataFrame, models: list[TreeModel], open_nodes: set[tuple[int, int]]) -> DataFrame:
+    """Rows with a tree index ``_t`` that reach an open node of their tree, with its id as ``_n``."""
+    steps = Steps(rows, models, tree=F.col("_t"))
+    ids = steps.walk.numbers(lambda t, n: n.node if (t.tree, n.node) in open_nodes else None, "bigint")
+    found = steps.rows.withColumn("_n", F.get(ids, steps.ends[0])).filter("_n >= 0")
+    return found.drop(*steps.hidden)
 
 
 def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:
@@ -308,13 +429,9 @@ def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFr
     One ``groupBy(leaf)`` with map-side partial aggregation; the rule text comes from a
     literal leaf -> text map (one entry per leaf).
     """
-    available = set(df.columns)
     rules = F.create_map(*[x for n in model.leaves() for x in (F.lit(n.node), F.lit(model.rule(n.node)))])
-    scored = df.select(
-        leaf_col(model).alias("leaf"),
-        reliance_col(model, available=available).alias("_r"),
-        F.col(label).alias("_y"),
-    )
+    steps = Steps(df, [model], limits=(None,))
+    scored = steps.rows.select(steps.node().alias("leaf"), steps.reliant[0][0].alias("_r"), F.col(label).alias("_y"))
     out = scored.groupBy("leaf").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("positives"),

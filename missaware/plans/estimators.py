@@ -223,9 +223,9 @@ class _FittedModel(Model, _OutputParams, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows, forest, extra = self._array_model(dataset)
-        made = self.columns(forest, set(rows.columns))
         names = [self.getOrDefault(p) for p in (self.predictionCol, self.probabilityCol, self.missingnessRelianceCol)]
-        return rows.select("*", *[c.alias(n) for n, c in zip(names, made, strict=True) if n]).drop(*extra)
+        out = self.scored(rows, forest, *names)
+        return (out.withColumn(names[0], F.col(names[0]).cast("double")) if names[0] else out).drop(*extra)
 
     def node_table(self, spark) -> DataFrame:
         return self.as_forest().node_table(spark)
@@ -243,9 +243,8 @@ class TreeClassifierModel(_FittedModel):
     def as_forest(self) -> ForestModel:
         return ForestModel([self.model])
 
-    def columns(self, forest: ForestModel, available: set[str]) -> list:
-        tree = forest.trees[0]
-        return [scoring.predict_col(tree).cast("double"), scoring.proba_col(tree), scoring.reliance_col(tree, available=available)]
+    def scored(self, rows: DataFrame, forest: ForestModel, prediction: str, probability: str, rho: str) -> DataFrame:
+        return scoring.transform(rows, forest.trees[0], prediction, probability, rho=rho)
 
     def reliance(self, df: DataFrame, max_depth: int | None = None, sample_mask=None) -> DataFrame:
         rows, forest, _ = self._array_model(df)
@@ -267,8 +266,8 @@ class ForestClassifierModel(_FittedModel):
     def as_forest(self) -> ForestModel:
         return self.forest
 
-    def columns(self, forest: ForestModel, available: set[str]) -> list:
-        return [scoring.forest_predict_col(forest).cast("double"), scoring.vote_shares_col(forest), scoring.forest_reliance_col(forest, available)]
+    def scored(self, rows: DataFrame, forest: ForestModel, prediction: str, probability: str, rho: str) -> DataFrame:
+        return scoring.forest_transform(rows, forest, prediction, probability, rho)
 
     def reliance(self, df: DataFrame) -> DataFrame:
         rows, forest, _ = self._array_model(df)

@@ -37,12 +37,11 @@ RESULT_KEYS = [
 def evaluate(train: DataFrame, test: DataFrame, features: list[str], params: FitParams, label: str = "label", weight: str | None = None) -> tuple[TreeModel, DataFrame]:
     """Fit on ``train``; one-row DataFrame with accuracy and reliance on ``test``."""
     model = fit_forest(train, FeatureSpec.columns(train, features), label, params, weight=weight)[0]
-    hit = (scoring.predict_col(model) == F.col(label)).cast("double")
-    rho = scoring.reliance_col(model, available=set(test.columns)).cast("double")
-    out = test.agg(
+    scored = scoring.transform(test, model, prediction="_p", rho="_r")
+    out = scored.agg(
         F.count(F.lit(1)).alias("n_test"),
-        F.avg(hit).alias("accuracy"),
-        F.coalesce(F.avg(rho), F.lit(0.0)).alias("rho"),
+        F.avg((F.col("_p") == F.col(label)).cast("double")).alias("accuracy"),
+        F.coalesce(F.avg(F.col("_r").cast("double")), F.lit(0.0)).alias("rho"),
     )
     return model, out
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from missaware.functions.hashing import poisson_cdf, poisson_count, xxhash01
 from missaware.functions.impurity import CRITERIA
 from missaware.operators import binning, splits
-from missaware.operators.scoring import open_node_col
+from missaware.operators.scoring import route
 from missaware.plans.model import Node, TreeModel
 from missaware.session import ensure_checkpoint_dir
 
@@ -317,7 +317,7 @@ def _level_job(rows, models, frontier, spec, params, n_classes, binned=False):
     """Best split of every open node of every tree.  Rows walk the trees so far by their node arrays,
     a narrow step without joins; rows in closed leaves drop out before they are unpivoted."""
     keys = ["_t", "_n"]
-    routed = rows.withColumn("_n", open_node_col(models, frontier, F.col("_t"))).filter(F.col("_n").isNotNull())
+    routed = route(rows, models, frontier)
     long_df = spec.unpivot(routed, ["_t", "_n", "_y", "_w"])
     hist = splits.histogram(long_df, keys, n_classes)
     # a (node, feature) group has at most as many bins as the node has rows, and every open

@@ -21,18 +21,13 @@ def read_parquet_stream(spark: SparkSession, folder: str, file_glob: str, schema
 
 
 def score_stream(stream: DataFrame, model: TreeModel, keep: list[str]) -> DataFrame:
-    avail = set(stream.columns)
-    return stream.select(
-        *keep,
-        scoring.predict_col(model).alias("prediction"),
-        scoring.reliance_col(model, available=avail).alias("rho"),
-    )
+    return scoring.transform(stream, model, prediction="prediction", rho="rho").select(*keep, "prediction", "rho")
 
 
 def reliance_stream(stream: DataFrame, model: TreeModel) -> DataFrame:
     """Running totals: rows seen and rows relying on a missing value; ``rho`` is their ratio."""
-    flag = scoring.reliance_col(model, available=set(stream.columns)).cast("long")
-    agg = stream.agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("n_reliant"))
+    scored = scoring.transform(stream, model, prediction=None, rho="_r")
+    agg = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_r").cast("long")).alias("n_reliant"))
     return agg.withColumn(
         "rho", F.when(F.col("n") > 0, F.col("n_reliant") / F.col("n")).otherwise(F.lit(0.0))
     )

@@ -38,6 +38,47 @@ def test_scoring_is_one_narrow_projection(spark):
     assert "Exchange" not in matrix and "Aggregate" not in matrix
 
 
+def _deep_tree(depth):
+    from missaware.plans.model import TreeModel
+
+    inner = {n: (fx.FX_A_FEATURES[n % 4], float(n % 7)) for n in range(1, 2**depth)}
+    leaves = {n: [float(n % 2), float(1 - n % 2)] for n in range(2**depth, 2 ** (depth + 1))}
+    return TreeModel.literal(fx.FX_A_FEATURES, inner, leaves)
+
+
+def test_the_walk_is_generated_code(spark):
+    from missaware.plans.model import ForestModel
+
+    df = fx.fx_a_prepared(spark, SF_SMALL)
+    for m in (fm.fx_m(), _deep_tree(10)):
+        plan = _plan(scoring.transform(df, m, probability="q", leaf="l", rho="r"))
+        steps = [line.strip() for line in plan.split("\n") if "Project" in line]
+        assert len(steps) >= m.max_depth and all("*(1) Project" in line for line in steps)
+        assert "lambdafunction" not in plan and "Exchange" not in plan
+    forest = _plan(scoring.forest_transform(df, ForestModel([fm.fx_m()] * 5), probability="q", rho="r", votes="v"))
+    assert "lambdafunction" not in forest and "Exchange" not in forest and "Join" not in forest
+    for long in (scoring.decision_path(df, fm.fx_m(), fx.FX_A_KEYS), scoring.reliance_matrix(df, fm.fx_m(), fx.FX_A_KEYS)):
+        assert "lambdafunction" not in _plan(long) and "Exchange" not in _plan(long)
+
+
+def test_a_filter_on_a_score_does_not_copy_the_steps(spark):
+    df = fx.fx_a_prepared(spark, SF_SMALL)
+    plain = scoring.transform(df, _deep_tree(8), rho="r")
+    kept = plain.filter("prediction = 1 and r = 0")
+    assert len(_plan(kept)) < 1.2 * len(_plan(plain))
+    rows = [r for r in plain.collect() if r["prediction"] == 1 and r["r"] == 0]
+    assert sorted(map(str, rows)) == sorted(map(str, kept.collect()))
+
+
+def test_walk_and_expression_agree(spark):
+    df = fx.fx_a_prepared(spark, SF_SMALL)
+    m = _deep_tree(5)
+    both = scoring.transform(df, m, probability="q", leaf="l", rho="r").select(
+        "prediction", "q", "l", "r", scoring.predict_col(m).alias("p2"), scoring.proba_col(m).alias("q2"), scoring.leaf_col(m).alias("l2"), scoring.reliance_col(m).alias("r2")
+    )
+    assert both.filter("not (prediction <=> p2 and q <=> q2 and l <=> l2 and r <=> r2)").count() == 0
+
+
 def test_building_a_split_search_runs_no_job(spark):
     sc = spark.sparkContext
     df = fx.fx_a_prepared(spark, SF_SMALL)
@@ -61,4 +102,4 @@ def test_forest_routing_needs_no_join(spark, monkeypatch):
     monkeypatch.setattr(T.splits, "best_split", spy)
     T.fit_forest(df, spec, "label", T.FitParams(max_depth=2, alpha=0.1), n_trees=3, bootstrap=True, key_cols=fx.FX_A_KEYS)
     assert len(plans) == 2
-    assert "Join" not in plans[1] and "EvalPython" not in plans[1]
+    assert "Join" not in plans[1] and "EvalPython" not in plans[1] and "lambdafunction" not in plans[1]
