@@ -27,12 +27,14 @@ def padded_size(n_bins: int) -> int:
     return size
 
 
-def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = True, accuracy: int | None = None) -> DataFrame:
+def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = True, accuracy: int | None = None, n_rows: int | None = None) -> DataFrame:
     """(``_f``, ``_cuts``): sorted distinct cut points per feature from the long form, padded with
     +inf to a power-of-two length.  Cut points are values of the table at ranks ``i / n_bins``.
 
     Exact at any size, unless ``exact`` is off: then a sketch gives them with a rank error of
     ``n / accuracy``, by default ``max(1000, 32 * n_bins)`` (small enough for very many features).
+    ``n_rows``: rows of the table, where known; a feature has no more values, so few rows need no look
+    for features with very many.
     """
     accuracy = accuracy if accuracy is not None else max(1000, 32 * n_bins)
     v = F.col("_v")
@@ -42,7 +44,8 @@ def quantile_cuts(long_df: DataFrame, n_bins: int, exact: bool = True, accuracy:
     long_df = long_df.filter(v.isNotNull())
     if exact:
         hist = long_df.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-        cum = splits.cumulative(hist.withColumns({"_wt": F.lit(0.0), "_mw": F.lit(0.0)}), [], 0, hot_groups=True)
+        hot = n_rows is None or n_rows > splits.DEFAULT_MAX_WINDOW_BINS
+        cum = splits.cumulative(hist.withColumns({"_wt": F.lit(0.0), "_mw": F.lit(0.0)}), [], 0, hot_groups=hot)
         # ranks reached at a value; the first value that reaches a rank is its cut point
         reached = F.least(F.lit(n_bins - 1), F.expr(f"(_nl * {n_bins}) div _tot_n"))
         first = cum.withColumn("_i", reached).filter("_i > 0").groupBy("_f", "_i").agg(F.min("_v").alias("_v"))

@@ -16,13 +16,15 @@ from __future__ import annotations
 import json
 from typing import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missaware.functions import sparse
 from missaware.plans.model import ForestModel, Node, TreeModel
 
 
-def _numbers(values: list, kind: str) -> Column:
+def node_values(values: list, kind: str) -> Column:
     """A literal array; written as one text, which the optimizer folds, so size costs one call."""
     text = ",".join(repr(float(v)).replace("inf", "Infinity") if kind == "double" else str(int(v)) for v in values)
     return F.split(F.lit(text), ",").cast(f"array<{kind}>")
@@ -54,14 +56,14 @@ class Walk:
                     self.flat += [(t, t.nodes[2 * n.node]), (t, t.nodes[2 * n.node + 1])]
                 at += 1
         self.depth = max(t.max_depth for t in trees)
-        self.root = _numbers(roots, "int")
-        self.feature = _numbers([-1 if n.is_leaf else n.feature_idx for _, n in self.flat], "int")
-        self.threshold = _numbers([0.0 if n.is_leaf else n.threshold for _, n in self.flat], "double")
-        self.left = _numbers([left.get(i, -1) for i in range(len(self.flat))], "int")
+        self.root = node_values(roots, "int")
+        self.feature = node_values([-1 if n.is_leaf else n.feature_idx for _, n in self.flat], "int")
+        self.threshold = node_values([0.0 if n.is_leaf else n.threshold for _, n in self.flat], "double")
+        self.left = node_values([left.get(i, -1) for i in range(len(self.flat))], "int")
 
     def numbers(self, value: Callable[[TreeModel, Node], object], kind: str) -> Column:
         """One number per node (None becomes -1)."""
-        return _numbers([-1 if (v := value(t, n)) is None else v for t, n in self.flat], kind)
+        return node_values([-1 if (v := value(t, n)) is None else v for t, n in self.flat], kind)
 
     def row(self, out: Callable[[Column, Column], Column], available: set[str] | None = None) -> Column:
         """``out(values, masks)`` with a row's two arrays worked out once."""
@@ -99,7 +101,7 @@ def values_of(model: TreeModel) -> Column:
     """All feature values of a row as ``array<double>``."""
     if model.array_col is None:
         return F.array(*[F.col(f).cast("double") for f in model.features])
-    v, n = F.col(model.array_col), len(model.features)
+    v, n = vector_to_array(model.array_col) if model.sparse else F.col(model.array_col), len(model.features)
     wrong = F.raise_error(F.concat(F.lit(f"{model.array_col} must hold {n} features, found "), F.coalesce(F.size(v).cast("string"), F.lit("null"))))
     return F.when(F.size(v) == n, v.cast("array<double>")).otherwise(wrong.cast("array<double>"))
 
@@ -107,7 +109,9 @@ def values_of(model: TreeModel) -> Column:
 def masks_of(model: TreeModel, available: set[str] | None = None) -> Column:
     """All 0/1 missing flags of a row; a feature without a mask column is never missing."""
     if model.array_col is not None:
-        return F.lit(None).cast("array<int>") if model.array_mask_col is None else F.col(model.array_mask_col).cast("array<int>")
+        if model.array_mask_col is None:
+            return F.lit(None).cast("array<int>")
+        return (vector_to_array(model.array_mask_col) if model.sparse else F.col(model.array_mask_col)).cast("array<int>")
     here = [m is not None and (available is None or m in available) for m in model.masks]
     return F.array(*[F.col(m).cast("int") if ok else F.lit(0) for m, ok in zip(model.masks, here, strict=True)])
 
@@ -132,9 +136,8 @@ class Steps:
         while any(c.lower().startswith(self.prefix) for c in df.columns):
             self.prefix += "_"
         p, w, many = self.prefix, self.walk, range(1 if tree is not None else len(trees))
-        start = {"v": values_of(w.model), "f": w.feature, "t": w.threshold, "l": w.left}
-        if limits:
-            start["m"] = masks_of(w.model, set(df.columns))
+        start = {"f": w.feature, "t": w.threshold, "l": w.left, **self._values(df, bool(limits))}
+        self.at = (lambda c, place: sparse.value_at(f"{p}{c}i", f"{p}{c}", place)) if w.model.sparse else (lambda c, place: f"get({p}{c}, {place})")
         for j, limit in enumerate(limits):
             start[f"c{j}"] = w.numbers(_by_node(lambda n, limit=limit: 0 if n.is_leaf or (limit is not None and n.depth > limit) else 1), "int")
         for i in many:
@@ -144,13 +147,13 @@ class Steps:
             start |= {f"r{i}_{j}": F.lit(0) for j in range(len(limits))}
         step = {}
         for i in many:
-            n, x = f"{p}n{i}", f"get({p}v, get({p}f, {p}n{i}))"
+            n, x = f"{p}n{i}", self.at("v", f"get({p}f, {p}n{i})")
             step[n] = F.expr(f"CASE WHEN get({p}l, {n}) < 0 THEN {n} WHEN {x} <= get({p}t, {n}) THEN get({p}l, {n}) ELSE get({p}l, {n}) + 1 END")
             if limits:
                 step[f"{p}s{i}"] = F.expr(f"{p}s{i} OR (get({p}f, {n}) >= 0 AND {x} IS NULL)")
             for j in range(len(limits)):
                 r = f"{p}r{i}_{j}"
-                step[r] = F.expr(f"CASE WHEN get({p}c{j}, {n}) = 1 AND NOT {p}s{i} THEN greatest({r}, coalesce(get({p}m, get({p}f, {n})), 0)) ELSE {r} END")
+                step[r] = F.expr(f"CASE WHEN get({p}c{j}, {n}) = 1 AND NOT {p}s{i} THEN greatest({r}, coalesce(CAST({self.at("m", f"get({p}f, {n})")} AS INT), 0)) ELSE {r} END")
         rows = df.withColumns({p + c: x for c, x in start.items()})
         for i in range(w.depth):
             rows = rows.withColumns(step if i < w.depth - 1 else {c: _kept_below(x) for c, x in step.items()})
@@ -158,6 +161,20 @@ class Steps:
         self.ends = [F.col(f"{p}n{i}") for i in many]
         self.reliant = [[F.col(f"{p}r{i}_{j}") for i in many] for j in range(len(limits))]
 
+    def _values(self, df: DataFrame, masks: bool) -> dict[str, Column]:
+        """Columns of a row's values (``v``) and flags (``m``); places beside them where vectors are read by their entries."""
+        model = self.walk.model
+        if not model.sparse:
+            return {"v": values_of(model)} | ({"m": masks_of(model, set(df.columns))} if masks else {})
+        n = len(model.features)
+        v = sparse.entries_of(df, model.array_col)
+        wrong = F.raise_error(F.concat(F.lit(f"{model.array_col} must hold {n} features, found "), F.coalesce(v["n"].cast("string"), F.lit("null"))))
+        out = {"v": F.when(v["n"] == n, v["v"]).otherwise(wrong.cast("array<double>")), "vi": v["i"]}
+        if masks:
+            m = None if model.array_mask_col is None else sparse.entries_of(df, model.array_mask_col)
+            out |= {"m": F.lit(None).cast("array<double>") if m is None else m["v"], "mi": F.lit(None).cast("array<int>") if m is None else m["i"]}
+        return out
+
     def with_columns(self, columns: dict[str, Column]) -> DataFrame:
         """The table with further columns, without the hidden ones."""
         return self.rows.select("*", *[c.alias(name) for name, c in columns.items()]).drop(*self.hidden)
@@ -175,7 +192,7 @@ class Steps:
     def shares(self) -> Column:
         """Class shares of the leaf."""
         k = self.walk.model.n_classes
-        flat = _numbers([p for _, n in self.walk.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
+        flat = node_values([p for _, n in self.walk.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
         return F.slice(flat, self.ends[0] * k + 1, k)
 
     def path(self, max_depth: int | None = None, once: bool = False) -> Column:
@@ -209,7 +226,7 @@ def proba_col(model: TreeModel) -> Column:
     k = model.n_classes
 
     def shares(w: Walk, at: Column) -> Column:
-        flat = _numbers([p for _, n in w.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
+        flat = node_values([p for _, n in w.flat for p in (n.probability if n.is_leaf else [0.0] * k)], "double")
         return F.slice(flat, at * k + 1, k)
 
     return _at_leaf(model, shares)
@@ -305,9 +322,10 @@ def reliance_matrix(df: DataFrame, model: TreeModel, keys: list[str], max_depth:
     so rows need no grouping and rows with equal keys stay apart.
     """
     steps = Steps(df, [model], limits=(max_depth,))
-    flags = F.col(f"{steps.prefix}m")
-    long = steps.rows.select(*keys, flags.alias("_m"), F.explode(steps.path(max_depth, once=True)).alias("_f"))
-    return long.select(*keys, F.get(_texts(model.features), F.col("_f")).alias("feature"), F.coalesce(F.get("_m", F.col("_f")), F.lit(0)).alias("missing"))
+    flags = [f"{steps.prefix}{c}" for c in ("m", "mi") if f"{steps.prefix}{c}" in steps.rows.columns]
+    long = steps.rows.select(*keys, *flags, F.explode(steps.path(max_depth, once=True)).alias("_f"))
+    missing = F.expr(f"coalesce(CAST({steps.at('m', '_f')} AS INT), 0)")
+    return long.select(*keys, F.get(_texts(model.features), F.col("_f")).alias("feature"), missing.alias("missing"))
 
 
 # ---- forests ---------------------------------------------------------------------------
@@ -415,12 +433,11 @@ def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:
     return steps.with_columns({"_n": steps.node(), "_p": steps.classes()[0], "_r": steps.reliant[0][0]})
 
 
-def route(rows: DataFrame, models: list[TreeModel], open_nodes: set[tuple[int, int]]) -> DataFrame:
-    """Rows with a tree index ``_t`` that reach an open node of their tree, with its id as ``_n``."""
-    steps = Steps(rows, models, tree=F.col("_t"))
-    ids = steps.walk.numbers(lambda t, n: n.node if (t.tree, n.node) in open_nodes else None, "bigint")
-    found = steps.rows.withColumn("_n", F.get(ids, steps.ends[0])).filter("_n >= 0")
-    return found.drop(*steps.hidden)
+def route(rows: DataFrame, models: list[TreeModel], nodes: list[tuple[int, int]]) -> DataFrame:
+    """Rows with a tree index ``_t`` that reach one of the (tree, node) ``nodes``, with its place there as ``_i``."""
+    steps, at = Steps(rows, models, tree=F.col("_t")), {x: i for i, x in enumerate(nodes)}
+    ids = steps.walk.numbers(lambda t, n: at.get((t.tree, n.node)), "int")
+    return steps.rows.withColumn("_i", F.get(ids, steps.ends[0])).filter("_i >= 0").drop(*steps.hidden)
 
 
 def leaf_report(df: DataFrame, model: TreeModel, label: str = "label") -> DataFrame:

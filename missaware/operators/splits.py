@@ -80,6 +80,20 @@ def histogram(long_df: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
     return long_df.groupBy(*keys, "_f", "_v").agg(*aggs)
 
 
+def with_zeros(hist: DataFrame, keys: list[str], n_classes: int, totals: dict[str, Column]) -> DataFrame:
+    """A histogram of set entries, completed by each (keys, feature)'s bin of zeros: the group's totals
+    (rows, weight, class weights, as expressions of ``keys``) less those of all other values.
+
+    Rows of value 0 in ``hist`` only tell missing weight.  A feature without any entry in a group is 0
+    everywhere and gets no bin: it has no cut.
+    """
+    set_ = F.col("_v") != 0
+    counted = ["_cnt", "_wt", *class_cols("_c", n_classes)]
+    rest = hist.groupBy(*keys, "_f").agg(*[F.sum(F.when(set_, F.col(c)).otherwise(F.lit(0).cast("double"))).alias(c) for c in counted], F.sum(F.when(~set_, F.col("_mw")).otherwise(F.lit(0.0))).alias("_mw"))
+    zeros = rest.select(*keys, "_f", F.lit(0.0).alias("_v"), (totals["_cnt"] - F.col("_cnt")).cast("bigint").alias("_cnt"), *[(totals[c] - F.col(c)).alias(c) for c in counted[1:]], "_mw")
+    return hist.filter(set_).unionByName(zeros.filter("_cnt > 0"))
+
+
 def _sum_cols(n_classes: int) -> list[str]:
     return ["_cnt", "_wt"] + class_cols("_c", n_classes)
 

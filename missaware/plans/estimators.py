@@ -6,7 +6,8 @@
     model.reliance(test)                # one-row DataFrame: share of rows relying on missing values
 
 Array features (``featuresCol`` of ``ARRAY<DOUBLE>``, ``missingnessCol`` of ``ARRAY<INT>``, or MLlib
-vectors for either) are the wide-table variant; predictions are DOUBLE as MLlib evaluators expect;
+vectors for either) are the wide-table variant; with ``sparseFeatures`` vectors are read by their entries
+that are not 0, without an array of all features; predictions are DOUBLE as MLlib evaluators expect;
 estimators and models have ``save`` / ``load`` and ``write`` / ``read``; ``maxBins`` switches to quantile-binned split search.
 ``impurity`` ("gini" / "entropy") is accepted as the MLlib name of ``criterion``.
 """
@@ -18,12 +19,12 @@ from dataclasses import replace
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from missaware.functions.sparse import is_vector
 from missaware.operators import prep, scoring
 from missaware.operators.splits import NearEqual
 from missaware.plans.model import ForestModel, TreeModel
@@ -33,10 +34,6 @@ from missaware.sources.models import load_forest, save_forest
 _IMPURITY = {"gini": "gini", "entropy": "info_gain", "info_gain": "info_gain"}
 
 
-def is_vector(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, VectorUDT)
-
-
 def _p(name: str, doc: str, conv) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=conv)
 
@@ -58,6 +55,7 @@ class _TreeParams(_OutputParams):
     maskPrefix = _p("maskPrefix", "prefix of the 0/1 missingness columns", TypeConverters.toString)
     featuresCol = _p("featuresCol", "ARRAY<DOUBLE> features column (wide variant)", TypeConverters.toString)
     missingnessCol = _p("missingnessCol", "ARRAY<INT> mask column of featuresCol", TypeConverters.toString)
+    sparseFeatures = _p("sparseFeatures", "read vectors in featuresCol and missingnessCol by their entries that are not 0", TypeConverters.toBoolean)
     maxDepth = _p("maxDepth", "maximum depth (>= 1)", TypeConverters.toInt)
     alpha = _p("alpha", "missingness penalty strength (>= 0)", TypeConverters.toFloat)
     criterion = _p("criterion", "gini or info_gain", TypeConverters.toString)
@@ -74,7 +72,7 @@ class _TreeParams(_OutputParams):
         self._setDefault(
             labelCol="label", maskPrefix=prep.MASK_PREFIX, maxDepth=3, alpha=1.0, criterion="gini",
             maxBins=0, exactBins=True, mergeEqualSiblings=False, penalty="weighted",
-            nearEqualRtol=-1.0, nearEqualAtol=1e-8,
+            nearEqualRtol=-1.0, nearEqualAtol=1e-8, sparseFeatures=False,
         )
 
     def _opt(self, p: Param):
@@ -108,11 +106,15 @@ class _TreeParams(_OutputParams):
         return "sample_weight" if "sample_weight" in df.columns else None
 
     def arrays(self, df: DataFrame) -> DataFrame:
-        """The input with vector columns as arrays."""
+        """The input with vector columns as arrays, unless they are read by their entries."""
+        if self.getOrDefault(self.sparseFeatures):
+            return df
         return df.withColumns({c: vector_to_array(c) for c in (self._opt(self.featuresCol), self._opt(self.missingnessCol)) if c and is_vector(df, c)})
 
     def spec_of(self, df: DataFrame) -> FeatureSpec:
         arr = self._opt(self.featuresCol)
+        if arr and self.getOrDefault(self.sparseFeatures):
+            return FeatureSpec.vectors(df, arr, self._opt(self.missingnessCol))
         if arr:
             return FeatureSpec.array(df, arr, self._opt(self.missingnessCol))
         label = self.getOrDefault(self.labelCol)
@@ -126,7 +128,7 @@ class MissAwareTreeClassifier(Estimator, _TreeParams, DefaultParamsReadable, Def
 
     @keyword_only
     def __init__(self, *, featureCols=None, labelCol="label", weightCol=None, maskPrefix="missing_",
-                 featuresCol=None, missingnessCol=None, maxDepth=3, alpha=1.0, criterion="gini",
+                 featuresCol=None, missingnessCol=None, sparseFeatures=None, maxDepth=3, alpha=1.0, criterion="gini",
                  impurity=None, maxBins=0, exactBins=True, mergeEqualSiblings=False, penalty="weighted",
                  nearEqualRtol=-1.0, nearEqualAtol=1e-8, predictionCol="prediction",
                  probabilityCol="probability", missingnessRelianceCol="rho"):
@@ -150,7 +152,7 @@ class MissAwareForestClassifier(Estimator, _TreeParams, DefaultParamsReadable, D
 
     @keyword_only
     def __init__(self, *, numTrees=100, bootstrap=True, seed=0, keyCols=None, featureCols=None, labelCol="label",
-                 weightCol=None, maskPrefix="missing_", featuresCol=None, missingnessCol=None, maxDepth=10,
+                 weightCol=None, maskPrefix="missing_", featuresCol=None, missingnessCol=None, sparseFeatures=None, maxDepth=10,
                  alpha=1.0, criterion="gini", impurity=None, maxBins=0, exactBins=True,
                  mergeEqualSiblings=False, penalty="weighted", nearEqualRtol=-1.0, nearEqualAtol=1e-8,
                  predictionCol="prediction", probabilityCol="probability", missingnessRelianceCol="rho"):
@@ -213,7 +215,7 @@ class _FittedModel(Model, _OutputParams, MLWritable, MLReadable):
         """(dataset, forest, extra columns): vector columns read through array columns beside them."""
         forest = self.as_forest()
         first = forest.trees[0] if forest.trees else None
-        used = [c for c in (first.array_col, first.array_mask_col) if c] if first else []
+        used = [c for c in (first.array_col, first.array_mask_col) if c] if first and not first.sparse else []
         beside = {c: f"_array_{c}" for c in used if is_vector(dataset, c)}
         if not beside:
             return dataset, forest, []

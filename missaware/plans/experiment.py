@@ -167,7 +167,7 @@ def fold_alpha_trees(
     spec = FeatureSpec.columns(df, features)
     params = FitParams(max_depth=max_depth, criterion=criterion, partitions=partitions, alphas=tuple(a for _ in range(n_folds) for a in alphas))
     held_out = lambda t: F.when(F.col(fold) == (t / F.lit(g)).cast("int"), F.lit(0)).otherwise(F.lit(1))
-    trees = fit_forest(df, spec, label, params, key_cols=[fold], tree_weight=held_out)
+    trees = fit_forest(df, spec, label, params, key_cols=[fold], tree_weight=held_out, same_rows=lambda t: t // g)
     keep = list(features) + [m for m in spec.masks if m]
     test = df.select(*keep, F.col(label).cast("int").alias("_y"), F.col(fold).cast("int").alias("_fold"))
     trees_of_fold = F.sequence(F.col("_fold") * g, F.col("_fold") * g + (g - 1)).cast("array<int>")

@@ -72,7 +72,7 @@ class Node:
 
 @dataclass
 class TreeModel:
-    """One fitted tree over named features (columns) or positions of an array column."""
+    """One fitted tree over named features (columns) or positions of an array or vector column."""
 
     features: list[str]
     masks: list[str | None]
@@ -81,6 +81,7 @@ class TreeModel:
     tree: int = 0
     array_col: str | None = None
     array_mask_col: str | None = None
+    sparse: bool = False
 
     # ---- structure -------------------------------------------------------------------
     @property
@@ -149,6 +150,7 @@ class TreeModel:
             "n_classes": self.n_classes,
             "array_col": self.array_col,
             "array_mask_col": self.array_mask_col,
+            "sparse": self.sparse,
         }
 
     def to_nested(self, node: int = 1) -> dict:
@@ -193,6 +195,7 @@ class TreeModel:
             tree=tree,
             array_col=meta.get("array_col"),
             array_mask_col=meta.get("array_mask_col"),
+            sparse=bool(meta.get("sparse", False)),
         )
 
     @classmethod
