@@ -25,5 +25,6 @@ def bootstrap_counts(
     """
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_t"))
     draw = u(F.col("_t")) if u is not None else xxhash01(*[F.col(k) for k in key], F.col("_t"), F.lit(seed))
-    out = rows.withColumn("_count", poisson_count(draw, poisson_cdf()))
+    # the draw is a column of its own, so it is worked out once and not per value of the table
+    out = rows.withColumn("_draw", draw).withColumn("_count", poisson_count(F.col("_draw"), poisson_cdf())).drop("_draw")
     return out if keep_zero else out.filter(F.col("_count") > 0)

@@ -166,6 +166,8 @@ class FeatureSpec:
 #: A histogram is used for the next level's larger children if it has fewer rows than this share of the rows
 #: it saves from being unpivoted.
 SPARSE = 0.25
+#: Columns whose distinct values are counted (about) to tell that beforehand; more are taken as all distinct.
+COUNTED = 64
 
 
 def _is_pure(class_weights: list[float]) -> bool:
@@ -180,11 +182,12 @@ FAULTS = {
 }
 
 
-def _label_stats(df: DataFrame, group: list[str], fault: list[str]) -> list:
+def _label_stats(df: DataFrame, group: list[str], fault: list[str], distinct: list[str] = ()) -> list:
+    """Rows and weight per label, whether a weight is fractional, faults, and about how many values columns have."""
     fraction = F.max((F.col("_w") != F.floor("_w")).cast("int")).alias("fraction")
     return (
         df.groupBy(*group, "_y")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), fraction, *[F.min(c).alias(c) for c in fault])
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), fraction, *[F.min(c).alias(c) for c in fault], *[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(distinct)])
         .collect()
     )
 
@@ -283,21 +286,26 @@ def _with_trees(base: DataFrame, trees: list[int], bootstrap: bool, seed: int, k
         u = bootstrap_u(F.col("_t"))
     else:
         u = xxhash01(*[F.col(k) for k in keys], F.col("_t"), F.lit(seed))
-    rows = rows.withColumn("_count", poisson_count(u, poisson_cdf())).filter(F.col("_count") > 0)
-    return rows.withColumn("_w", F.col("_w") * F.col("_count")).drop("_count")
+    # the draw is a column of its own, so it is worked out once and not per step of the table
+    cdf = poisson_cdf()
+    rows = rows.withColumn("_u", u).filter(F.col("_u") >= cdf[0])  # a count of 1 or more
+    return rows.withColumn("_w", F.col("_w") * poisson_count(F.col("_u"), cdf)).drop("_u")
 
 
 def _fit_levels(base, spec, params, n_trees, trees_of, group, drawn) -> list[TreeModel]:
-    stats = _label_stats(base, [], ["_fault"])
+    binned = params.bins is not None
+    columns = spec.features if spec.array_col is None and not binned and params.max_depth > 1 and len(spec.features) <= COUNTED else []
+    stats = _label_stats(base, [], ["_fault"], columns)
     for r in stats:
         if r["_fault"] is not None:
             raise ValueError(r["_fault"])
     n_classes = check_labels({r["_y"] for r in stats})  # of all rows, drawn or not
     base = base.drop("_fault")
-    binned = params.bins is not None
+    n_rows = sum(int(r["n"]) for r in stats)
+    # values per row and feature in the histogram of all rows: an upper bound
+    bins = params.bins * len(spec.features) if binned else sum(min(n_rows, sum(r[f"_d{i}"] for r in stats)) for i in range(len(columns))) if columns else n_rows * len(spec.features)
     if binned:
         # every value is replaced by its bin's edge once; the levels read the binned rows
-        n_rows = sum(int(r["n"]) for r in stats)
         cuts = binning.quantile_cuts(spec.unpivot(base, []), params.bins, exact=params.exact_bins, n_rows=n_rows).collect()  # features x bins
         by_feature = {int(r["_f"]): list(r["_cuts"]) for r in cuts}
         if spec.array_col is None:
@@ -306,13 +314,13 @@ def _fit_levels(base, spec, params, n_trees, trees_of, group, drawn) -> list[Tre
             edges = {spec.array_col: binning.bin_array(F.col(spec.array_col), by_feature, len(spec.features), params.bins)}
         base = base.withColumns(edges).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _grow(base, spec, params, n_trees, trees_of, group, drawn, n_classes, binned, stats)
+        return _grow(base, spec, params, n_trees, trees_of, group, drawn, n_classes, binned, stats, bins < SPARSE * n_rows * len(spec.features) / 2)
     finally:
         if binned:
             base.unpersist()
 
 
-def _grow(base, spec, params, n_trees, trees_of, group, drawn, n_classes, binned, stats) -> list[TreeModel]:
+def _grow(base, spec, params, n_trees, trees_of, group, drawn, n_classes, binned, stats, few_values) -> list[TreeModel]:
     if drawn:
         first = sorted({g: t for t, g in reversed(list(enumerate(group)))}.values())  # one tree of each group
         of_group = {group[t]: [] for t in first}
@@ -336,7 +344,7 @@ def _grow(base, spec, params, n_trees, trees_of, group, drawn, n_classes, binned
         if m.nodes[1].weight > 0 and not _is_pure(m.nodes[1].class_weights):
             roots.setdefault(group[t], []).append((t, 1))
     nodes = [_Open(members) for members in roots.values()]
-    exact = not any(r["fraction"] for r in stats) and sum(float(r["w"]) for r in stats) < 2**53
+    exact = few_values and not any(r["fraction"] for r in stats) and sum(float(r["w"]) for r in stats) < 2**53
     level = None
     try:
         for depth in range(params.max_depth):
