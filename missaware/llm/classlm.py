@@ -55,7 +55,7 @@ class Settings:
     smoothing: float = 0.5
     top_words: int = 131072  # longest word 64 bytes: at most 13 MB with their counts
     flush_words: int = 300_000  # distinct words a task holds before it passes them on
-    flush_codes: int = 1 << 21  # (rarer word, class beside it) pairs a task holds
+    flush_codes: int = 1 << 20  # (rarer word, class beside it) pairs a task holds
 
 
 DEFAULT = Settings()
@@ -133,24 +133,28 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, held, top: list[bytes]
 
 def kinds_of(numbers: np.ndarray, of_top: np.ndarray, of_tail: np.ndarray) -> np.ndarray:
     """A value per word from values per number and per word of the text's list."""
-    both = np.concatenate((of_tail[::-1], of_top))  # -1 - j stands j + 1 before the first number
-    return both[numbers + len(of_tail)]
+    rare = np.flatnonzero(numbers < 0)
+    if not len(rare):
+        return of_top[numbers]
+    out = of_top[np.maximum(numbers, 0)] if len(of_top) else np.zeros(len(numbers), of_tail.dtype)
+    out[rare] = of_tail[-1 - numbers[rare]]
+    return out
 
 
 def sequences(batch: pa.RecordBatch, of_top: np.ndarray, open_kind: int, end: int):
     """(kinds of all words of a batch with an end before each text and after the last, numbers with -1 for
     ends, and the lists' words with -2 - i for the i-th of them)."""
-    kinds, numbers, lists = [], [], []
+    kinds, numbers, lists, stop, none = [], [], [], np.array([end]), np.array([-1])
     for a, tail in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         a = np.frombuffer(a, np.int32)
         of_tail = np.array([open_kind + open_class(w) for w in tail], np.int64)
-        kinds += [np.array([end]), kinds_of(a, of_top, of_tail)]
-        numbers += [np.array([-1]), np.where(a < 0, a - 1 - len(lists), a)]
+        kinds += [stop, kinds_of(a, of_top, of_tail)]
+        numbers += [none, np.where(a < 0, a - 1 - len(lists), a)]
         lists.extend(tail)
-    return np.concatenate([*kinds, [end]]), np.concatenate([*numbers, [-1]]), lists
+    return np.concatenate([*kinds, stop]), np.concatenate([*numbers, none]), lists
 
 
-def small_batches(batches, words: int = 1 << 21):
+def small_batches(batches, words: int = 1 << 19):
     """Batches with about so many words (at least one text)."""
     for b in batches:
         done = np.cumsum(pc.binary_length(b.column(0)).to_numpy()) // 4
