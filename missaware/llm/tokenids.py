@@ -50,7 +50,7 @@ from missaware.llm.warc import file_system
 from missaware.session import scratch_path
 
 MAGIC = b"IDVB1\n"
-BLOCK, FILE_IDS, PART_BYTES = 1 << 18, 1 << 24, 48 << 20
+BLOCK, FILE_IDS, PART_BYTES = 1 << 18, 1 << 24, 64 << 20
 #: Short pieces that a task remembers (a power of two) and their ids: some 60 MB; pieces looked up at once.
 SLOTS, POOL, RUN = 1 << 21, 1 << 22, 1 << 17
 #: Bytes of text encoded and ids passed on at once (about).
@@ -94,26 +94,34 @@ def small(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids
 
 
+def together(docs: list[np.ndarray]):
+    """Arrays of BLOCK ids or more, whole documents."""
+    held, n = [], 0
+    for d in docs:
+        held.append(d)
+        n += len(d)
+        if n >= BLOCK:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def write_file(out, docs: list[np.ndarray], ids: pa.Array) -> int:
     """Writes a file of documents (arrays of ids); returns the number of ids."""
     counts = np.zeros(1, np.int64)
-    for d in docs:
-        c = np.bincount(d)
+    for some in together(docs):
+        c = np.bincount(some)
         counts, c = (counts, c) if len(counts) >= len(c) else (c, counts)
         counts[: len(c)] += c
     table = ranked(counts)
     rank = np.zeros(len(counts), np.uint32)
     rank[table] = np.arange(len(table))
     at = out.write(MAGIC + struct.pack("<I", len(table)) + table.tobytes())
-    held, n_held = [], 0
-    for i, d in enumerate(docs):
-        held.append(d)
-        n_held += len(d)
-        if n_held >= BLOCK or i == len(docs) - 1:
-            whole = rank[np.concatenate(held)]
-            for k in range(0, n_held, BLOCK):
-                at += out.write(pack(whole[k : k + BLOCK]))
-            held, n_held = [], 0
+    for some in together(docs):
+        whole = rank[some]
+        for k in range(0, len(whole), BLOCK):
+            at += out.write(pack(whole[k : k + BLOCK]))
     at += out.write(struct.pack("<II", 0, 0))
     index = pa.RecordBatch.from_arrays([ids, pa.array([len(d) for d in docs], pa.int64())], ["id", "n"])
     with pa.ipc.new_stream(out, index.schema) as stream:
