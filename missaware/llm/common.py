@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from missaware.session import scratch_path
 
@@ -61,6 +62,18 @@ def before(totals: DataFrame, keys: list[str], order: str, value: str, name: str
     return t.join(runs, [*keys, "_run"]).withColumn(name, F.col("_near") + F.col("_far")).drop("_run", "_near", "_far")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row (maps, which have no order, are left out)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Refuses ids that are not whole numbers, when the query is built."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{id_col} must be a whole number, found {kind.simpleString()}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have (names differ in more than case)."""
     taken = {c.lower() for c in df.columns}

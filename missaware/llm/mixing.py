@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missaware.llm.common import WORD, before, fresh, written
+from missaware.llm.common import WORD, before, fresh, row_hash, written
 
 #: Rows in a bucket of a source's shuffled queue, and packets in a bin of virtual time (about).
 BUCKET_ROWS = 4096
@@ -63,10 +63,13 @@ def mix(
     weights: list[int] = (1, 2, 3),
     max_repeats: int = 3,
     seed: int = 17,
+    shuffle_col: str | None = None,
 ) -> DataFrame:
-    """``row_col, size, source, source_size, target, copies``: how often the mix takes each row."""
+    """``row_col, size, source, source_size, target, copies``: how often the mix takes each row.
+
+    A source's queue is shuffled by a hash of ``row_col``, or of ``shuffle_col`` where given."""
     row = F.col(row_col)
-    shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), row.cast("string"))), 1, 15), 16, 10).cast("long")
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(shuffle_col or row_col).cast("string"))), 1, 15), 16, 10).cast("long")
     sized = docs.select(row.alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffled.alias("h"))
     sized = written(sized, "mix-sized")
     sources = written(source_targets(sized, list(weights), max_repeats), "mix-sources")
@@ -114,10 +117,13 @@ def mix(
 
 
 def remix(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as in the input."""
-    row, copy = fresh(docs, "_row"), fresh(docs, "_copy")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    taken = mix(rows, row_col=row, **options).filter("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(copy))
+    """The documents themselves, each as often as the mix takes it; columns as in the input.
+
+    The queues are shuffled by a hash of the whole row; the row number only tells equal rows apart, so
+    reruns agree whatever the layout of the files."""
+    row, copy, key = fresh(docs, "_row"), fresh(docs, "_copy"), fresh(docs, "_key")
+    rows = written(docs.withColumns({row: F.monotonically_increasing_id(), key: row_hash(docs)}), "mix-docs")
+    taken = mix(rows, row_col=row, shuffle_col=key, **options).filter("copies > 0").select(row, F.sequence(F.lit(1), F.col("copies")).alias(copy))
     return rows.join(taken, row).select(*docs.columns, F.explode(copy)).select(*docs.columns)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missaware.llm.common import fresh, written
+from missaware.llm.common import fresh, row_hash, whole_ids, written
 from missaware.llm.components import components
 from missaware.llm.grams import WordHashes, hashed, mix, windows
 
@@ -254,6 +254,7 @@ def left_over(met: DataFrame, nodes: DataFrame, sets: DataFrame, root: DataFrame
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: ``id, h, n_shingles, component_id`` (the smallest id reachable)."""
+    whole_ids(docs, id_col)
     rows = written(signed(docs, id_col, text_col), "near-rows")
     last = F.col("id").isNull()  # a null id comes last
     nodes = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct(last.alias("last"), "id", "h", "n", "bands", "sig")).alias("m"))
@@ -284,12 +285,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group (the one with the smallest id); rows equal in id and text count once."""
+    """One document of each group (the one with the smallest id); of rows equal in id and text the one with the
+    smallest hash of the whole row, so reruns agree."""
     got = groups(docs, id_col, text_col, percent).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     key, h = fresh(docs, "_key"), fresh(docs, "_h")
     got = got.select(key_of(F.col(id_col)).alias(key), F.col("h").alias(h)).distinct()
     keyed = docs.withColumn(key, key_of(F.col(id_col))).withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
-    return keyed.join(got, [key, h], "left_semi").dropDuplicates([key, h]).select(*docs.columns)
+    first, order = fresh(docs, "_first"), row_hash(docs)
+    kept = keyed.join(got, [key, h], "left_semi").groupBy(key, h).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(first))
+    return kept.select(f"{first}.*")
 
 
 def op5(spark, sf_dir):

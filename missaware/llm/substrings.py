@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missaware.llm.common import parts_for, text_bytes
+from missaware.llm.common import parts_for, text_bytes, whole_ids
 from missaware.llm.grams import WordHashes, hashed, windows
 
 WINDOW, PERIOD = 20, 13
@@ -143,6 +143,7 @@ def met_windows(table: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` (binary; kept words joined by one space) for every row."""
+    whole_ids(docs, id_col)
     # no fewer blocks than shuffle partitions, so small inputs use all of them too
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = parts_for(text_bytes(docs, text_col), block_bytes, least)

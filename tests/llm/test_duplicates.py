@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import near_dedup, substring_dedup
-from corpus_fixtures import no_docs, odd_docs  # noqa: F401
+from corpus_fixtures import no_docs, odd_docs, words  # noqa: F401
 from missaware.llm import leaks, neardup, substrings
 from missaware.llm.components import components
 from pyspark.sql import functions as F
@@ -107,6 +107,20 @@ def test_groups_of_odd_rows(odd_docs, no_docs):
     assert {1, 4, 5, 6, 7} <= {r["doc_id"] for r in kept.collect()} and not {2, 3, 8} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", words(40, 1))], "doc_id string, text string")
+    for refused in (substrings.dedup, neardup.groups, neardup.keep_first):
+        with pytest.raises(ValueError, match="whole number"):
+            refused(docs)
+
+
+def test_of_equal_ids_and_texts_the_same_row_stays(spark):
+    rows = [(1, words(60, 1), f"s{k}", k) for k in range(9)] + [(2, words(60, 2), None, 1), (2, words(60, 2), "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    runs = {tuple(sorted(map(str, neardup.keep_first(docs.repartition(k)).collect()))) for k in (1, 3, 7)}
+    assert len(runs) == 1 and len(next(iter(runs))) == 2
+
+
 def test_signature_estimates_the_similarity():
     rng = np.random.default_rng(2)
     off = []
