@@ -16,8 +16,8 @@ text has; the end token is a class of its own.
     P(word | class) = (c + 1) / (N_class + V_class + 1),   P(k | j) = (n_jk + a) / (n_j. + a * K)
 
 Counts and classes of the ``top_words`` most frequent words (a fixed bound) travel with the tasks, those
-of all other words are joined by shuffle, so nothing is capped.  A word's packs are added up in
-groups of about ``MERGE`` tasks first, so no task meets a pack of every other.
+of all other words are joined by shuffle, so nothing is capped.  A word's packs, one per task, meet sorted and
+are added up as a stream, so no word's packs are held together.
 
 Defined results: a null text is empty (the end token alone); a null id is held out or not like the
 empty text; repeated rows are scored alike; without training text all counts are 0; an empty table
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from missaware.llm.common import id_mod, written
 
 END = b""  # no word is empty
-#: Tasks whose packs of a word meet at first; bytes of text cut at once; a pack's entries.
-MERGE, PIECE = 64, 1 << 22
+#: Bytes of text cut at once; a pack's entries.
+PIECE = 1 << 22
 PACK = np.dtype([("code", "<u2"), ("n", "<u4")])
 LENGTHS = (3, 6, 10)
 OPEN = (len(LENGTHS) + 1) * 4
@@ -55,7 +55,7 @@ class Settings:
     smoothing: float = 0.5
     top_words: int = 131072  # longest word 64 bytes: at most 13 MB with their counts
     flush_words: int = 300_000  # distinct words a task holds before it passes them on
-    flush_codes: int = 1 << 20  # (rarer word, class beside it) pairs a task holds
+    flush_codes: int = 1 << 19  # (rarer word, class beside it) pairs a task holds
 
 
 DEFAULT = Settings()
@@ -268,29 +268,44 @@ def neighbours(training: DataFrame, top: list[bytes], movable: int, of_top: np.n
                 elif len(code):
                     held.append((code, n))
                     n_held += len(code)
-            if len(known) > settings.flush_words or n_held > settings.flush_codes:
+            if 2 * len(known) > settings.flush_words or n_held > settings.flush_codes:
                 yield from rare()
                 known.clear()
                 held, n_held = [], 0
         yield from rare()
-        code = np.flatnonzero(often)
-        yield from packs(top[movable:], code, often[code], wide)
+        for i in range(0, len(often), wide << 12):  # some words at a time
+            code = np.flatnonzero(often[i : i + (wide << 12)]) + i
+            yield from packs(top[movable:], code, often[code], wide)
 
     return training.mapInArrow(run, "word binary, pack binary")
 
 
-def added(batch: pa.RecordBatch, wide: int):
-    """Words and their counts (words x codes) of batches of ``word, packs``, some at a time."""
-    for i in range(0, batch.num_rows, 1024):
-        b = batch.slice(i, 1024)
-        entries = np.frombuffer(b"".join(b.column(1).flatten().to_pylist()), PACK)
-        size = pc.binary_length(b.column(1).flatten()).to_numpy() // PACK.itemsize
-        word = np.repeat(np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy()), size)
-        n = np.bincount(word * wide + entries["code"], entries["n"], b.num_rows * wide)  # below 2**53
-        yield b.column(0), n.reshape(b.num_rows, wide)
-
-
-def assigned(packed: DataFrame, table: np.ndarray, classes: int, tasks: int) -> DataFrame:
+def added(batches, wide: int):
+    """Words and their counts (words x codes) from ``word, pack`` rows sorted by word: rows of a word are added up
+    as they come, and the last word of a batch waits for the next one."""
+    held, waiting = None, np.zeros(wide)
+    for b in batches:
+        words, packed = b.column(0), b.column(1)
+        if not len(words):
+            continue
+        new = np.concatenate(([False], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)))
+        of = np.cumsum(new)
+        entries = np.frombuffer(b"".join(packed.to_pylist()), PACK)
+        code = np.repeat(of, pc.binary_length(packed).to_numpy() // PACK.itemsize) * wide + entries["code"]
+        n = np.bincount(code, entries["n"], (of[-1] + 1) * wide).reshape(-1, wide)  # below 2**53
+        found = words.take(pa.array(np.append(0, np.flatnonzero(new))))
+        if held is not None and held[0].as_py() == found[0].as_py():
+            n[0] += waiting
+        elif held is not None:
+            yield held, waiting[None]
+        if len(found) > 1:
+            yield found.slice(0, len(found) - 1), n[:-1]
+        held, waiting = pa.array([found[len(found) - 1].as_py()], pa.binary()), n[-1].copy()
+    if held is not None:
+        yield held, waiting[None]
+
+
+def assigned(packed: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
     """``word, c, k`` from ``neighbours``: the class whose bigrams gain most likelihood by the word
     (``table``: the seed's class bigrams); the first of equal ones."""
     size = len(table)
@@ -300,15 +315,10 @@ def assigned(packed: DataFrame, table: np.ndarray, classes: int, tasks: int) ->
     def h(x):
         return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
-    def merge(batches):
-        for whole in batches:
-            for words, n in added(whole, 2 * size):
-                word, code = np.nonzero(n)
-                yield from packs([x.as_py() for x in words], word * 2 * size + code, n[word, code], 2 * size)
-
     def run(batches):
-        for whole in batches:
-            for words, n in added(whole, 2 * size):
+        for all_words, counts in added(batches, 2 * size):
+            for i in range(0, len(all_words), 1024):
+                words, n = all_words.slice(i, 1024), counts[i : i + 1024]
                 word, code = np.nonzero(n)
                 m = n[word, code][:, None]
                 gain = np.add.reduceat(h(cells[code] + m) - h(cells[code]), np.searchsorted(word, np.arange(len(words))))
@@ -316,11 +326,7 @@ def assigned(packed: DataFrame, table: np.ndarray, classes: int, tasks: int) ->
                 gain -= sum(h(x + c[:, None]) - h(x) for x in sums)
                 yield pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64)), pa.array(np.argmax(gain, 1).astype(np.int32))], ["word", "c", "k"])
 
-    while tasks > MERGE:
-        tasks = -(-tasks // MERGE)
-        part = packed.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(tasks)))
-        packed = part.groupBy("word", "_part").agg(F.collect_list("pack").alias("packs")).select("word", "packs").mapInArrow(merge, "word binary, pack binary")
-    return packed.groupBy("word").agg(F.collect_list("pack").alias("packs")).mapInArrow(run, "word binary, c long, k int")
+    return packed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, c long, k int")
 
 
 @dataclass
@@ -373,7 +379,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, settings: Settings, held_
 
     of_top = np.concatenate((of[:movable], settings.classes + opened[movable:]))
     packed = neighbours(own, words, movable, of_top, k, settings)
-    rest = assigned(packed, member.T @ bigrams @ member, settings.classes, own.rdd.getNumPartitions())
+    rest = assigned(packed, member.T @ bigrams @ member, settings.classes)
     ends = counts.filter(F.col("word") == F.lit(b"")).select("word", "c", F.lit(k - 1).alias("k"))
     seeded = docs.sparkSession.createDataFrame([(bytearray(w), top[w], x) for w, x in seed.items()], "word binary, c long, k int")
     vocabulary = written(rest.unionAll(ends).unionAll(seeded), "lm-words")

@@ -135,14 +135,19 @@ def test_class_probabilities_sum_to_one(spark):
     assert np.allclose((10**model.log_step * mass).sum(1), 1)
 
 
-def test_packs_add_up_in_several_rounds(spark, monkeypatch):
+def test_packs_of_a_word_add_up(spark, monkeypatch):
     rng = np.random.default_rng(6)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.zipf(1.4) % 90}" for _ in range(40))) for i in range(150)], "doc_id long, text string").repartition(9)
     few = classlm.Settings(cluster_words=5, classes=3, top_words=20, flush_words=4)
     want = sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect())
-    monkeypatch.setattr(classlm, "MERGE", 2)
     monkeypatch.setattr(classlm, "PIECE", 10)
-    assert sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect()) == want
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # words go on from batch to batch
+    try:
+        again = sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert again == want
     # the class of every word outside the seed by plain counting
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     texts = [["", *r["text"].split(), ""] for r in docs.collect() if not held(r["doc_id"])]
