@@ -10,10 +10,13 @@ every item above the threshold is found.  What is retrieved is verified: questio
 
 Items are grouped by length (up to 64 words, 128, 256, ...), a passage is twice that long and starts
 every that many words, so each item fits whole into a passage.  A group's index travels with the tasks;
-groups beyond ``INDEX_WORDS`` words are split and searched one after the other.
+groups beyond ``INDEX_WORDS`` words are split and searched one after the other, with the statistics of the
+whole group, so the parts do not change the scores.
 
-Defined results: null and empty texts hold no passage; items without five words cannot identify a
-leak and match nothing; repeated items are found alike; repeated rows give repeated results; empty
+Items of fewer than five words hold no shingle of five: they are found where a whole sentence or line of
+a text has just their words.
+
+Defined results: null and empty texts hold no passage; items without words match nothing; repeated items are found alike; repeated rows give repeated results; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from missaware.llm.common import parts_for
+from missaware.llm.common import parts_for, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's full score a passage must reach, and shares of question and answer to verify.
@@ -38,6 +41,7 @@ SHINGLE, BLOCK, SHORTEST = 5, 4, 64
 INDEX_WORDS = 500_000
 #: Words handled at once, in whole documents.
 TOGETHER = 1 << 18
+PARTS = rb"(?<=[.?!])\s+|\n+"  # between sentences or lines
 MARKS = b".,;:!?\"'()[]{}<>*#$%&|_-"
 
 
@@ -48,7 +52,7 @@ def terms(text: bytes | None) -> list[bytes]:
 
 def question_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """The last sentence or line is the answer; of a single one, the last quarter of its words."""
-    parts = [p for p in re.split(rb"(?<=[.?!])\s+|\n+", text.strip()) if p.strip()]
+    parts = [p for p in re.split(PARTS, text.strip()) if p.strip()]
     if len(parts) > 1:
         return terms(b" ".join(parts[:-1])), terms(parts[-1])
     w = terms(text)
@@ -69,8 +73,8 @@ class Index:
     vocabulary: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, items: list[tuple], stride: int) -> "Index":
-        """``items`` are (id, text bytes)."""
+    def build(cls, items: list[tuple], stride: int, whole: "Group | None" = None) -> "Index":
+        """``items`` are (id, text bytes); ``whole``: the statistics of all items of the group, where these are a part."""
         parts = [question_answer(t) for _, t in items]
         ix = cls(stride, [i for i, _ in items], [q for q, _ in parts], [a for _, a in parts])
         term, item, count = [], [], []
@@ -87,10 +91,13 @@ class Index:
             item.extend([k] * len(of))
         term, item, tf, n = np.array(term), np.array(item), np.array(count, float), len(items)
         ix.n_terms, ix.n_blocks = len(ix.vocabulary), -(-n // BLOCK)
-        df = np.bincount(term, minlength=ix.n_terms)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df, n_all = np.bincount(term, minlength=ix.n_terms), n
         size = np.array(sizes, float)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+        mean = size.mean()
+        if whole is not None:
+            df, n_all, mean = np.array([whole.df[w] for w in ix.vocabulary]), whole.n, whole.words / whole.n
+        idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         impact /= np.bincount(item, impact, n)[item]
         # block maxima per term, and all postings by block
         block = item // BLOCK
@@ -121,6 +128,12 @@ class Index:
         q, a = self.question_grams[item], self.answer_sets[item]
         return (len(q & grams(words, self.gram_sizes[item])) / len(q) if q else 1.0), len(a & set(words)) / len(a)
 
+    def find(self, texts: list):
+        """Yields (text, item, first word of the passage, score, question and answer overlap)."""
+        for first, docs in together(texts):
+            for d, *rest in self.search(docs):
+                yield first + d, *rest
+
     def search(self, docs: list[list[bytes]]):
         """Yields (document, item, first word of the passage, score, question and answer overlap)."""
         n = [len(w) for w in docs]
@@ -169,18 +182,75 @@ class Index:
                     yield d, first + i, start, float(score[i]), q, a
 
 
+@dataclass
+class Group:
+    """Statistics of all items of a length group: items, words, and items per term."""
+
+    n: int
+    words: int
+    df: dict
+
+
+class Short:
+    """Items of fewer than five words: found where a whole sentence or line of a text has the same words."""
+
+    def __init__(self, items: list[tuple]):
+        self.ids, self.of = [i for i, _ in items], {}
+        for k, (_, text) in enumerate(items):
+            words = tuple(w for w in terms(text) if w)
+            if words:
+                self.of.setdefault(words, []).append(k)
+
+    def find(self, texts: list):
+        for d, text in enumerate(texts):
+            at = 0
+            for part in re.split(PARTS, text or b""):
+                words = terms(part)
+                for k in self.of.get(tuple(w for w in words if w), ()) if len(words) < 2 * SHINGLE else ():
+                    yield d, k, at, 1.0, 1.0, 1.0
+                at += len(words)
+
+
+def group_terms(rows: DataFrame) -> DataFrame:
+    """``stride, term, n, words`` of items ``stride, t``: a row per term, and one without a term for the group."""
+
+    def run(batches):
+        for b in batches:
+            out: dict = {}
+            for stride, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                words = terms(text)
+                for key, size in [((stride, None), len(words)), *[((stride, w), 0) for w in set(words)]]:
+                    n, total = out.get(key, (0, 0))
+                    out[key] = n + 1, total + size
+            columns = [[s for s, _ in out], [w for _, w in out], [n for n, _ in out.values()], [w for _, w in out.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["stride", "term", "n", "words"])
+
+    found = rows.select("stride", "t").mapInArrow(run, "stride long, term binary, n long, words long")
+    return found.groupBy("stride", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
 def indexes(items: DataFrame, id_col: str, text_col: str, index_words: int = INDEX_WORDS):
-    """One index after the other; each is bounded, whatever the number of items."""
+    """One index after the other; each is bounded, whatever the number of items.  Scores do not depend on
+    the parts: statistics are those of a whole length group."""
     n = F.coalesce(F.size(F.filter(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
     stride = F.greatest(F.lit(float(SHORTEST)), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))).cast("long")
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").cast("binary").alias("t"), n.alias("n")).filter(F.col("n") >= SHINGLE).withColumn("stride", stride)
-    for stride_, words in sorted(tuple(r) for r in rows.groupBy("stride").agg(F.sum("n")).collect()):
+    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").cast("binary").alias("t"), n.alias("n")).filter("n > 0")
+    rows = rows.withColumn("stride", F.when(F.col("n") >= SHINGLE, stride).otherwise(F.lit(0).cast("long")))
+    groups = sorted(tuple(r) for r in rows.groupBy("stride").agg(F.sum("n")).collect())
+    stats = written(group_terms(rows.filter("stride > 0")), "leak-terms") if any(parts_for(w, index_words) > 1 for _, w in groups) else None
+    for stride_, words in groups:
         parts = parts_for(words, index_words)
+        whole = stats.filter((F.col("stride") == stride_) & F.col("term").isNull()).first() if parts > 1 and stride_ else None
         for part in range(parts):
             own = rows.filter((F.col("stride") == stride_) & (F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part))
             found = [(r["i"], bytes(r["t"])) for r in own.orderBy("i", "t").collect()]  # about index_words words
-            if found:
+            if found and not stride_:
+                yield Short(found)
+            elif found and whole is None:
                 yield Index.build(found, stride_)
+            elif found:
+                df = stats.join(group_terms(own).filter("term is not null").select("stride", "term"), ["stride", "term"]).collect()
+                yield Index.build(found, stride_, Group(whole["n"], whole["words"], {bytes(r["term"]): r["n"] for r in df}))
 
 
 def together(texts: list):
@@ -199,22 +269,21 @@ def together(texts: list):
 FOUND = [("passage_start", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
     """``id, item_id`` and the best passage of every leaked item of every row."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     ddl = f"`{id_col}` {kind}, `{item_id}` {item_kind}, passage_start long, score double, question_overlap double, answer_overlap double"
     item_type = to_arrow_type(items.schema[item_id].dataType)
     one = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
     out = docs.sparkSession.createDataFrame([], ddl)
-    for index in indexes(items, item_id, item_text):
+    for index in indexes(items, item_id, item_text, index_words):
 
         def run(batches, ix=index):
             for b in batches:
                 best: dict = {}
-                for first, words in together(b.column(1).to_pylist()):
-                    for d, i, *rest in ix.search(words):
-                        if (first + d, i) not in best or rest[1] > best[first + d, i][1]:
-                            best[first + d, i] = rest
+                for d, i, *rest in ix.find(b.column(1).to_pylist()):
+                    if (d, i) not in best or rest[1] > best[d, i][1]:
+                        best[d, i] = rest
                 rows = sorted(best.items())
                 if rows:
                     ids, found = b.column(0).take(pa.array([d for (d, _), _ in rows], pa.int64())), pa.array([ix.ids[i] for (_, i), _ in rows], item_type)
@@ -233,9 +302,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 texts = b.column(at).cast(pa.binary()).to_pylist()
-                for first, words in together(texts):
-                    for d, *_ in ix.search(words):
-                        keep[first + d] = False
+                for d, *_ in ix.find(texts):
+                    keep[d] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

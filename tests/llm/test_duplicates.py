@@ -180,13 +180,26 @@ def test_leaks_equal_brute_force(spark, odd_docs, no_docs):
     got = leaks.find(doc_rows, item_rows).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 40
     small = [ix for ix in leaks.indexes(item_rows, "item_id", "text", index_words=800)]
-    assert len(small) > 4 and sum(len(ix.ids) for ix in small) == 61
+    assert len(small) > 4 and sum(len(ix.ids) for ix in small) == 62
+    in_parts = leaks.find(doc_rows, item_rows, index_words=800).collect()
+    rounded = lambda rows: {(r["doc_id"], r["item_id"], r["passage_start"], round(r["score"], 9)) for r in rows}
+    assert rounded(in_parts) == rounded(got)
     kept = leaks.clean(doc_rows, item_rows)
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert leaks.find(no_docs, item_rows).count() == 0 and leaks.find(odd_docs, item_rows).count() == 0
     assert leaks.clean(odd_docs, item_rows.limit(0)).count() == 18
 
 
+def test_short_items_are_found_as_whole_sentences_or_lines(spark):
+    items = spark.createDataFrame([(1, "Blue whale."), (2, "42"), (3, " -- "), (4, "the blue whale"), (5, "BLUE WHALE")], "item_id long, text string")
+    texts = ["A blue whale swims.", "First. Blue whale! Then more.", "x y\n  blue  WHALE \n42", "42 is it", "", None, "--", "The (blue) whale?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["passage_start"]) for r in leaks.find(docs, items).collect())
+    assert got == [(1, 1, 1), (1, 5, 1), (2, 1, 2), (2, 2, 4), (2, 5, 2), (7, 4, 0)]
+    assert sorted(r["doc_id"] for r in leaks.clean(docs, items).collect()) == [0, 3, 4, 5, 6]
+    assert got == sorted((r["doc_id"], r["item_id"], r["passage_start"]) for r in leaks.find(docs, items, index_words=2).collect())
+
+
 def test_index_returns_every_item_above_the_threshold():
     """Block bounds against plain scoring of all items."""
     rng = random.Random(8)
