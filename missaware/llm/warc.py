@@ -3,8 +3,9 @@
 ``spark.read.format("warc")`` plans one partition per run of files, parses a record's headers first,
 drops records whose headers fail a pushed-down predicate and then skips their payload: a member
 written here carries its own compressed length (the ``sl`` field of the gzip header), so the reader
-seeks over it; other archives (plain, or gzip members without that field) are read through, without
-parsing the payload.  With the option ``payload=false`` no payload is parsed at all.
+seeks over it; other gzip members, of one record or many, are read through without parsing the payload, and
+plain archives are skipped through.  What is no record (a broken header, bytes in between) is left
+out up to the next line that begins with ``WARC/``.  With the option ``payload=false`` no payload is parsed at all.
 
 ``df.write.format("warc")`` writes one gzip member per record; files appear under their final
 names only at commit, so what a lost executor leaves behind is never read.
@@ -42,7 +43,8 @@ ARROW = pa.schema([*[(c, pa.string()) for c in HEADERS], ("payload_length", pa.i
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of archive files in one partition, in one written file, and read at once.
 PART_BYTES, FILE_BYTES, READ = 64 << 20, 256 << 20, 1 << 16
-ROWS = 256
+#: Rows and bytes of payload passed on at once; bytes of a record's headers.
+ROWS, ROW_BYTES, HEADERS_MOST = 256, 8 << 20, 1 << 20
 
 
 def file_system(path: str):
@@ -91,22 +93,136 @@ class Records:
         while at < self.size:
             self.file.seek(at)
             start = self.file.read(24)
-            if start[:2] == b"\x1f\x8b":
-                if len(start) == 24 and start[3] == 4 and start[12:14] == b"sl":
-                    length = struct.unpack("<I", start[16:20])[0]
-                    inflate, end, skip = zlib.decompressobj(-15), at + length, 24
-                else:
-                    inflate, end, skip = zlib.decompressobj(31), None, 0
-                record = Member(self.file, at + skip, inflate, end)
-            else:
-                record = Plain(self.file, at)
-            if record.headers:
-                yield record
-            at = record.next()
+            if start[:2] != b"\x1f\x8b":  # plain to the end of the file
+                yield from in_order(Source(self.file, at))
+                return
+            if len(start) == 24 and start[3] == 4 and start[12:14] == b"sl":
+                record = Member(self.file, at + 24, zlib.decompressobj(-15), at + struct.unpack("<I", start[16:20])[0])
+                if record.headers:
+                    yield record
+                at = record.end
+            else:  # a member of any number of records
+                source = Inflated(self.file, at)
+                yield from in_order(source)
+                at = source.end()
+
+
+class Source:
+    """Bytes of a plain archive from a place on, read as they are needed."""
+
+    def __init__(self, file, at):
+        self.file, self.at, self.buffer = file, at, b""
+
+    def more(self) -> bytes:
+        self.file.seek(self.at)
+        got = self.file.read(READ)
+        self.at += len(got)
+        return got
+
+    def fill(self, n: int) -> bool:
+        """Whether ``n`` bytes are at hand."""
+        pieces, size = [self.buffer], len(self.buffer)
+        while size < n and (got := self.more()):
+            pieces.append(got)
+            size += len(got)
+        self.buffer = b"".join(pieces)
+        return size >= n
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
+        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        inside = min(n, len(self.buffer))
+        self.buffer, self.at = self.buffer[inside:], self.at + n - inside
+
+
+class Inflated(Source):
+    """Bytes of one gzip member."""
+
+    def __init__(self, file, at):
+        super().__init__(file, at)
+        self.inflate = zlib.decompressobj(31)
+
+    def more(self) -> bytes:
+        out = b""
+        while not out and not self.inflate.eof:
+            got = self.inflate.unconsumed_tail
+            if not got:
+                got = super().more()
+                if not got:  # cut short: what is left inside
+                    return self.inflate.flush()
+            try:
+                out = self.inflate.decompress(got, READ)
+            except zlib.error:  # a broken member ends here, and with it the file
+                self.inflate, self.at = zlib.decompressobj(31), self.file.size()
+                break
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (self.buffer or self.fill(1)):
+            n -= len(self.take(min(n, READ)))
+
+    def end(self) -> int:
+        """The place after the member; reads what is left of it."""
+        while self.more():
+            pass
+        return self.at - len(self.inflate.unused_data)
+
+
+def in_order(source: Source):
+    """The records of a source.  What is no record is left out up to the next line that begins one."""
+    while source.fill(5) or source.buffer.strip(b"\r\n"):
+        if source.buffer[:1] in (b"\r", b"\n"):
+            source.buffer = source.buffer.lstrip(b"\r\n")
+            continue
+        cut = -1
+        if source.buffer.startswith(b"WARC/"):
+            size = READ
+            while (cut := source.buffer.find(b"\r\n\r\n")) < 0 and size <= HEADERS_MOST and source.fill(size):
+                size *= 2
+            cut = source.buffer.find(b"\r\n\r\n")
+        headers = headers_of(source.buffer[:cut]) if cut >= 0 else {}
+        length = headers.get("content-length", "")
+        if not length.isdigit():
+            resume(source)
+            continue
+        source.take(cut + 4)
+        record = Ordered(source, headers, int(length))
+        yield record
+        record.finish()
+
+
+def resume(source: Source) -> None:
+    """On to the next line that begins a record, or to the end."""
+    source.take(1)
+    while (at := source.buffer.find(b"\nWARC/")) < 0:
+        if len(source.buffer) > 5:
+            source.take(len(source.buffer) - 5)
+        if not source.fill(len(source.buffer) + 1):
+            source.buffer = b""
+            return
+    source.take(at + 1)
+
+
+class Ordered:
+    """A record that is read before the next one."""
+
+    def __init__(self, source: Source, headers: dict, length: int):
+        self.source, self.headers, self.left = source, headers, length
+
+    def block(self) -> bytes:
+        out, self.left = self.source.take(self.left), 0
+        return out
+
+    def finish(self) -> None:
+        self.source.skip(self.left)
+        self.left = 0
 
 
 class Member:
-    """A gzip member.  Inflates until the headers are whole; goes on only when asked."""
+    """A gzip member of one record that tells its length.  Inflates until the headers are whole; goes on only when asked."""
 
     def __init__(self, file, at, inflate, end):
         self.file, self.at, self.inflate, self.end, self.data, self.rest = file, at, inflate, end, b"", b""
@@ -137,41 +253,6 @@ class Member:
         self.data = b"".join(pieces)
         return self.data[self.cut + 4 : self.cut + 4 + int(self.headers.get("content-length", 0))]
 
-    def next(self) -> int:
-        if self.end is not None:
-            return self.end
-        while not self.inflate.eof:  # the end is only known once inflated
-            self.data = b""
-            if not self.more(1 << 20):
-                break
-        return self.at - len(self.inflate.unused_data)
-
-
-class Plain:
-    """A record of an archive that is not compressed."""
-
-    def __init__(self, file, at):
-        self.file, data = file, b""
-        file.seek(at)
-        while b"\r\n\r\n" not in data:
-            got = file.read(4096)
-            if not got:
-                break
-            data += got
-        skip = len(data) - len(data.lstrip(b"\r\n"))
-        cut = data.find(b"\r\n\r\n", skip)
-        good = cut >= 0 and data[skip:].startswith(b"WARC/")
-        self.headers = headers_of(data[skip:cut]) if good else {}
-        self.start = at + cut + 4 if good else file.size()
-        self.length = int(self.headers.get("content-length", 0))
-
-    def block(self) -> bytes:
-        self.file.seek(self.start)
-        return self.file.read(self.length)
-
-    def next(self) -> int:
-        return self.start + self.length + 4
-
 
 def http_parts(block: bytes) -> tuple[dict, bytes]:
     cut = block.find(b"\r\n\r\n")
@@ -213,6 +294,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         fs, _ = file_system(self.path)
         rows: list[tuple] = []
+        held = 0
         for name in partition.files:
             with fs.open_input_file(name) as file:
                 for record in Records(file):
@@ -224,9 +306,10 @@ class WarcReader(DataSourceReader):
                             length = int(http["content-length"]) if "content-length" in http else len(payload)
                             payload = payload if self.payload and h.get("warc-type") != "revisit" else None
                         rows.append((*[h.get(n.lower()) for n in HEADERS.values()], length, payload))
-                        if len(rows) >= ROWS:
+                        held += len(payload or b"")
+                        if len(rows) >= ROWS or held >= ROW_BYTES:
                             yield batch(rows)
-                            rows = []
+                            rows, held = [], 0
         if rows:
             yield batch(rows)
 

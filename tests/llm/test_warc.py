@@ -59,6 +59,46 @@ def test_every_member_is_plain_gzip(spark, tmp_path):
         assert [(r["record_id"], r["payload"]) for r in bare] == [("<urn:page:1>", None), ("<urn:page:2>", None)], name
 
 
+def foreign(n, payload=b"abc" * 5000):
+    """Plain records 1 to n."""
+    row = {"record_type": "response", "date": "d", "target_uri": "u", "payload_digest": None, "refers_to": None, "payload_length": None, "payload": payload}
+    return [gzip.decompress(warc.member({**row, "record_id": f"<urn:page:{i}>"})) for i in range(1, n + 1)]
+
+
+def ids(spark, path, **options):
+    return [r["record_id"] for r in warc.read_warc(spark, path, **options).collect()]
+
+
+def test_a_gzip_member_of_many_records(spark, tmp_path):
+    raw = foreign(5)
+    for name, content in (("one", gzip.compress(b"".join(raw))), ("two", gzip.compress(b"".join(raw[:2])) + gzip.compress(b"".join(raw[2:]))), ("cut", gzip.compress(b"".join(raw))[:-9])):
+        path = f"{tmp_path}/{name}.warc.gz"
+        with open(path, "wb") as f:
+            f.write(content)
+        assert ids(spark, path) == [f"<urn:page:{i}>" for i in range(1, 6)], name
+        assert ids(spark, path, payload=False) == [f"<urn:page:{i}>" for i in range(1, 6)], name
+        assert {bytes(r["payload"]) for r in warc.read_warc(spark, path).collect()} == {b"abc" * 5000}
+
+
+def test_broken_records_are_left_out_alone(spark, tmp_path):
+    a, b, c, d = foreign(4)
+    no_length = b"\r\n".join(x for x in b.split(b"\r\n") if not x.startswith(b"Content-Length: 1"))
+    parts = {"garbage": (a, b"what is this?\r\n", b"\0" * 70_000 + b"\n", b, c, d), "length": (a, no_length, c, d), "headers": (a, b"WARC/1.1\r\nno end " + b"x" * 3_000_000 + b"\r\n", c, d), "tail": (a, c, d, b"WARC/1.1\r\nWARC-Type: resp"), "head": (b"\n\n junk\n", a, c, d)}
+    for name, content in parts.items():
+        for path, raw in ((f"{tmp_path}/{name}.warc", b"".join(content)), (f"{tmp_path}/{name}.warc.gz", gzip.compress(b"".join(content)))):
+            with open(path, "wb") as f:
+                f.write(raw)
+            want = ["<urn:page:1>"] + ["<urn:page:2>"] * (name == "garbage") + ["<urn:page:3>", "<urn:page:4>"]
+            assert ids(spark, path) == want and ids(spark, path, payload=False) == want, path
+
+
+def test_batches_are_bounded_by_bytes(tmp_path, monkeypatch):
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign(9)))
+    monkeypatch.setattr(warc, "ROW_BYTES", 20_000)
+    reader = warc.WarcReader(str(tmp_path / "a.warc"), True)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [2, 2, 2, 2, 1]
+
+
 def test_no_pages(spark):
     path = archive(spark, pages(spark).limit(0))
     assert warc.read_warc(spark, path).count() == 0
