@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from missaware.catalog import fixtures as fx
@@ -9,6 +10,7 @@ from missaware.catalog import fxmodel as fm
 from missaware.catalog.registry import query
 from missaware.catalog.sqlsplit import argmax_sql
 from missaware.operators import scoring
+from missaware.plans.tree import FitParams
 
 KEYS = fx.FX_A_KEYS
 KEYS_SQL = ", ".join(KEYS)
@@ -167,6 +169,52 @@ def accuracy(spark, sf_dir):
     return df.agg(F.round(F.avg(hit), 6).alias("accuracy"))
 
 
+# ---- checks --------------------------------------------------------------------------------
+
+
+@query(
+    "scoring_columns",
+    oracle=f"{PREP} SELECT 'none' AS dropped, 0 AS refused, count(*) AS n_scored FROM prep UNION ALL "
+    f"SELECT unnest([{', '.join(repr(f) for f in fx.FX_A_FEATURES)}]), 1, 0",
+)
+def scoring_columns(spark, sf_dir):
+    """A model scores every row of a table with all its features; a table that lacks one is refused when the
+    query is built."""
+    df = fx.fx_a_prepared(spark, sf_dir)
+    out = scoring.transform(df, M).agg(F.lit("none").alias("dropped"), F.lit(0).alias("refused"), F.count("prediction").alias("n_scored"))
+    for f in fx.FX_A_FEATURES:
+        lacking, refused = df.drop(f), 0
+        try:
+            lacking = scoring.transform(lacking, M)
+        except AnalysisException:
+            refused = 1
+        n = F.count(F.when(F.lit(refused == 0), 1))
+        out = out.unionByName(lacking.agg(F.lit(f).alias("dropped"), F.lit(refused).alias("refused"), n.alias("n_scored")))
+    return out
+
+
+@query(
+    "param_checks",
+    oracle=(
+        "WITH v AS (SELECT DISTINCT CAST(round(l_discount * 100) AS INTEGER) - 5 AS v FROM lineitem) "
+        "SELECT v, (v >= 0)::INTEGER AS alpha_ok, (v >= 1)::INTEGER AS depth_ok, (v >= 2)::INTEGER AS bins_ok FROM v"
+    ),
+)
+def param_checks(spark, sf_dir):
+    """Which of the table's values (discounts in percent less 5) the fit takes as alpha, depth and bins."""
+    def ok(**kw):
+        try:
+            FitParams(**kw).validate()
+        except ValueError:
+            return 0
+        return 1
+
+    values = range(-5, 96)
+    checks = {"alpha_ok": lambda v: ok(alpha=float(v)), "depth_ok": lambda v: ok(max_depth=v), "bins_ok": lambda v: ok(bins=v)}
+    found = fx.table(spark, sf_dir, "lineitem").select((F.round(F.col("l_discount") * 100).cast("int") - 5).alias("v")).distinct()
+    return found.select("v", *[F.get(scoring.node_values([check(v) for v in values], "int"), F.col("v") + 5).alias(name) for name, check in checks.items()])
+
+
 # ---- forest ------------------------------------------------------------------------------
 
 def _vote_sql() -> str:

@@ -25,7 +25,7 @@ from missaware.plans.model import ForestModel, Node, TreeModel
 
 
 def node_values(values: list, kind: str) -> Column:
-    """A literal array; written as one text, which the optimizer folds, so size costs one call."""
+    """A literal array with a value per node; written as one text, which the optimizer folds, so size costs one call."""
     text = ",".join(repr(float(v)).replace("inf", "Infinity") if kind == "double" else str(int(v)) for v in values)
     return F.split(F.lit(text), ",").cast(f"array<{kind}>")
 
@@ -330,6 +330,10 @@ def reliance_matrix(df: DataFrame, model: TreeModel, keys: list[str], max_depth:
 
 # ---- forests ---------------------------------------------------------------------------
 
+#: Trees that a table is walked through by steps of generated code.
+STEPPED_TREES = 64
+
+
 def _each_tree(w: Walk, out: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(len(w.trees) - 1)), out)
 
@@ -353,8 +357,12 @@ def vote_col(votes: Column, n_classes: int) -> Column:
 
 
 def vote_shares_col(forest: ForestModel) -> Column:
+    return vote_shares(forest_votes_col(forest), forest.n_classes)
+
+
+def vote_shares(votes: Column, n_classes: int) -> Column:
     """Share of the votes per class (zeros without votes)."""
-    counts = vote_counts(forest_votes_col(forest), forest.n_classes)
+    counts = vote_counts(votes, n_classes)
     total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
     return F.transform(counts, lambda c: c / F.greatest(total, F.lit(1)))
 
@@ -374,9 +382,12 @@ def forest_reliance_col(forest: ForestModel, available: set[str] | None = None)
     """Share of the trees whose path for the row tests a missing feature; 0.0 without trees."""
     if not forest.trees:
         return F.lit(0.0)
-    w = Walk(forest.trees)
+    return _reliant_share(Walk(forest.trees), available)
+
+
+def _reliant_share(w: Walk, available: set[str] | None) -> Column:
     flags = w.row(lambda v, m: _each_tree(w, lambda t: w.reliant(v, m, t, None)), available)
-    return F.aggregate(flags, F.lit(0), lambda a, r: a + r) / F.lit(float(len(forest.trees)))
+    return F.aggregate(flags, F.lit(0), lambda a, r: a + r) / F.lit(float(len(w.trees)))
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -388,10 +399,30 @@ def _sum(terms: list[Column]) -> Column:
 
 def forest_transform(df: DataFrame, forest: ForestModel, prediction: str | None = "prediction", probability: str | None = None, rho: str | None = None, votes: str | None = None) -> DataFrame:
     """Majority vote (a tie goes to the smallest class, null without votes), shares of the votes, share of the
-    trees whose path tests a missing feature, and the array of votes."""
+    trees whose path tests a missing feature, and the array of votes.
+
+    Up to ``STEPPED_TREES`` trees are walked by generated steps, a column per tree; more by one
+    expression over the node arrays, so that the plan does not grow with the forest.  Results are equal.
+    """
     if not forest.trees:
         empty = {prediction: F.lit(None).cast("int"), probability: F.array().cast("array<double>"), rho: F.lit(0.0), votes: F.array().cast("array<int>")}
         return df.select("*", *[c.alias(name) for name, c in empty.items() if name])
+    if len(forest.trees) > STEPPED_TREES:
+        w = Walk(forest.trees)
+        made = {}
+        if prediction or probability or votes:
+            made["_votes"] = w.row(lambda v, _: _each_tree(w, lambda t: _class_at(w, w.end(v, t))))
+        scored = df.withColumns(made) if made else df
+        columns = {}
+        if prediction:
+            columns[prediction] = vote_col(F.col("_votes"), forest.n_classes)
+        if probability:
+            columns[probability] = vote_shares(F.col("_votes"), forest.n_classes)
+        if rho:
+            columns[rho] = _reliant_share(w, set(df.columns))
+        if votes:
+            columns[votes] = F.col("_votes")
+        return scored.select("*", *[c.alias(name) for name, c in columns.items()]).drop(*made)
     steps = Steps(df, forest.trees, limits=(None,) if rho else ())
     p, n_trees = steps.prefix, len(forest.trees)
     classes, found = {f"{p}k{i}": c for i, c in enumerate(steps.classes())}, steps.rows
@@ -421,9 +452,8 @@ def forest_reliance(df: DataFrame, forest: ForestModel) -> DataFrame:
     """Mean over trees of each tree's reliance, one pass over ``df``; 0.0 without trees or rows."""
     if not forest.trees:
         return df.agg(F.lit(0.0).alias("rho"))
-    steps = Steps(df, forest.trees, limits=(None,))
-    share = _sum(steps.reliant[0]) / F.lit(float(len(forest.trees)))
-    return steps.rows.agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("rho"))
+    scored = forest_transform(df, forest, prediction=None, rho="_rho")
+    return scored.agg(F.coalesce(F.avg("_rho"), F.lit(0.0)).alias("rho"))
 
 
 def walk_forest(rows: DataFrame, forest: ForestModel) -> DataFrame:

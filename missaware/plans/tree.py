@@ -91,6 +91,7 @@ class FeatureSpec:
     array_mask_col: str | None = None
     array_size: int | None = None
     sparse: bool = False
+    vector_cols: list[str] = field(default_factory=list)
 
     @staticmethod
     def columns(df: DataFrame, features: list[str], mask_prefix: str = "missing_") -> "FeatureSpec":
@@ -106,13 +107,17 @@ class FeatureSpec:
 
     @staticmethod
     def vectors(df: DataFrame, values: str, mask: str | None = None) -> "FeatureSpec":
-        """Vectors read by their entries; ``mask`` is a vector of 0 / 1 flags."""
-        size = df.agg(F.max(sparse.entries(F.col(values))["n"])).first()[0] or 0
-        return FeatureSpec([f"{values}[{i}]" for i in range(size)], [None] * size, values, mask, size, True)
+        """Vectors, or structs of places ``i``, values ``v`` and length ``n``, read by their entries; ``mask``
+        has 0 / 1 flags in the same form."""
+        size = df.agg(F.max(sparse.entries_of(df, values)["n"])).first()[0] or 0
+        return FeatureSpec([f"{values}[{i}]" for i in range(size)], [None] * size, values, mask, size, True, [c for c in (values, mask) if c and sparse.is_vector(df, c)])
+
+    def entries(self, column: str) -> Column:
+        return sparse.entries(F.col(column)) if column in self.vector_cols else F.col(column)
 
     def base_cols(self) -> list[Column]:
         if self.sparse:
-            return [sparse.entries(F.col(c)).alias(c) for c in (self.array_col, self.array_mask_col) if c is not None]
+            return [self.entries(c).alias(c) for c in (self.array_col, self.array_mask_col) if c is not None]
         if self.array_col is not None:
             cols = [F.col(self.array_col)]
             if self.array_mask_col is not None:
@@ -127,10 +132,10 @@ class FeatureSpec:
         one = lambda m: m.isNull() | ~m.cast("double").isin(0.0, 1.0)
         wrong = F.lit(False)
         if self.sparse:
-            size = lambda c: F.coalesce(sparse.entries(F.col(c))["n"], F.lit(-1)) != self.array_size
+            size = lambda c: F.coalesce(self.entries(c)["n"], F.lit(-1)) != self.array_size
             out = F.when(size(self.array_col), FAULTS["size"])
             if self.array_mask_col is not None:
-                out = out.when(size(self.array_mask_col), FAULTS["size"]).when(F.exists(sparse.entries(F.col(self.array_mask_col))["v"], one), FAULTS["mask"])
+                out = out.when(size(self.array_mask_col), FAULTS["size"]).when(F.exists(self.entries(self.array_mask_col)["v"], one), FAULTS["mask"])
             return out
         if self.array_col is not None:
             n = F.lit(self.array_size)

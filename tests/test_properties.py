@@ -327,3 +327,17 @@ def test_bin_edges_are_exact_at_any_size(spark):
     long_df = spark.range(n).selectExpr("0 AS _f", "CAST(pmod(id * 7919, 150000) AS DOUBLE) AS _v")
     cuts = binning.quantile_cuts(long_df, 7).first()["_cuts"]
     assert cuts == [math.ceil(i * n / 7) - 1.0 for i in range(1, 7)] + [math.inf] * 2
+
+
+def test_many_trees_score_as_few(fxa, monkeypatch):
+    """Forests beyond the stepped ones are walked by one expression: equal scores, a plan that does not grow by columns."""
+    from missaware.plans.model import ForestModel
+
+    trees = fit_forest(fxa, FeatureSpec.columns(fxa, FEATS), "label", FitParams(max_depth=3, alpha=0.1, bins=8), n_trees=5, bootstrap=True, key_cols=fx.FX_A_KEYS)
+    forest, columns = ForestModel(trees), dict(probability="q", rho="r", votes="v")
+    want = sorted(map(str, scoring.forest_transform(fxa, forest, **columns).collect()))
+    rho = scoring.forest_reliance(fxa, forest).first()["rho"]
+    monkeypatch.setattr(scoring, "STEPPED_TREES", 2)
+    assert sorted(map(str, scoring.forest_transform(fxa, forest, **columns).collect())) == want
+    assert abs(scoring.forest_reliance(fxa, forest).first()["rho"] - rho) < 1e-12
+    assert scoring.forest_transform(fxa, forest, prediction=None, rho="r").columns == [*fxa.columns, "r"]
