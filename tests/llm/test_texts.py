@@ -135,6 +135,46 @@ def test_class_probabilities_sum_to_one(spark):
     assert np.allclose((10**model.log_step * mass).sum(1), 1)
 
 
+def test_vectors_pooling_and_scores_equal_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    s = quality.Settings(buckets=64, dims=8, nonzero=2, hidden=3, steps=25)
+    word = lambda: rng.choice(["Alpha", "beta", "GAMMA", "d\u00e9lta", "42", "!!", "x-y", "end."]) + str(rng.integers(30)) * int(rng.integers(2))
+    texts = {i: " ".join(word() for _ in range(rng.integers(0, 40))) for i in range(50)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 50, 2)], "doc_id long, quality int")
+    ids, index = quality.Ids(s.buckets), quality.index_vectors(s.buckets + quality.SHAPES, s).tolist()
+    tokens = {i: [divmod(ids[w], quality.SHAPES) for w in quality.TOKEN.findall(t.encode())] for i, t in texts.items()}
+    table = [[0.0] * s.dims for _ in index]
+    for a in tokens.values():
+        for pairs in (zip(a, a[1:]), zip(a[1:], a)):
+            for (w, shape), (beside, its_shape) in pairs:
+                for d in range(s.dims):
+                    table[w][d] += index[beside][d] + index[s.buckets + its_shape][d]
+                    table[s.buckets + shape][d] += index[s.buckets + its_shape][d]
+    for v in table:
+        size = max(1e-9, math.sqrt(sum(x * x for x in v)))
+        v[:] = [x / size for x in v]
+    vectors = quality.word_vectors(docs, "text", s)
+    assert np.allclose(vectors, table, atol=1e-6)
+    pooled = {}
+    for i, a in tokens.items():
+        n = max(1, len(a))
+        pooled[i] = [sum(table[w][d] for w, _ in a) / n for d in range(s.dims)] + [sum(table[s.buckets + k][d] for _, k in a) / n for d in range(s.dims)]
+    rows = {r["doc_id"]: r for r in quality.pooled(docs, "doc_id", "text", vectors, s).withColumn("h", F.xxhash64("doc_id")).collect()}
+    assert all(np.allclose(rows[i]["vec"], v, atol=1e-5) for i, v in pooled.items())
+    known = sorted((rows[i]["h"], tuple(rows[i]["vec"]), int(i % 3 == 0)) for i in range(0, 50, 2) if zlib.crc32(str(i).encode()) % 3 != 1)
+    net = quality.fit_network(np.array([v for _, v, _ in known]), np.array([y for *_, y in known], float), s)
+
+    def score(x):
+        hidden = [math.tanh(sum((x[d] - net.mean[d]) / net.scale[d] * net.w1[d][k] for d in range(len(x))) + net.b1[k]) for k in range(s.hidden)]
+        return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature))
+
+    for r in quality.classify(docs, labels, settings=s).collect():
+        i = r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["score"] == pytest.approx(score(pooled[i]), abs=1e-3)
+
+
 def test_packs_of_a_word_add_up(spark, monkeypatch):
     rng = np.random.default_rng(6)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.zipf(1.4) % 90}" for _ in range(40))) for i in range(150)], "doc_id long, text string").repartition(9)
