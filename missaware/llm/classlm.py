@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from missaware.llm.common import id_mod, written
 
 END = b""  # no word is empty
-#: Bytes of text cut at once; a pack's entries.
-PIECE = 1 << 22
+#: Bytes of text cut at once, words of texts handled at once; a pack's entries.
+PIECE, TOGETHER = 1 << 22, 1 << 19
 PACK = np.dtype([("code", "<u2"), ("n", "<u4")])
 LENGTHS = (3, 6, 10)
 OPEN = (len(LENGTHS) + 1) * 4
@@ -92,8 +92,8 @@ def word_counts(training: DataFrame, settings: Settings) -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for words in runs(t):
+            for t in b.column(0):  # one text at a time out of the batch
+                for words in runs(t.as_py()):
                     counts.update(words)
                 counts[END] += 1
                 if len(counts) > settings.flush_words:
@@ -112,20 +112,25 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, held, top: list[bytes]
     def run(batches):  # top travels with the function; Settings bounds it
         get = {w: i for i, w in enumerate(top)}.get
         for b in batches:
-            numbers, words, offsets = [], [], [0]
-            for t in b.column(2).to_pylist():
+            numbers, words, offsets, first, held = [], [], [0], 0, 0
+            for n, t in enumerate(b.column(2)):  # one text at a time out of the batch
                 own: dict[bytes, int] = {}
                 parts = []
-                for w in runs(t):
+                for w in runs(t.as_py()):
                     a = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w))
                     rare = np.flatnonzero(a < 0)
                     a[rare] = [-1 - own.setdefault(w[i], len(own)) for i in rare.tolist()]
                     parts.append(a)
+                    held += len(a)
                 numbers.append(np.concatenate(parts).tobytes() if parts else b"")
                 words.extend(own)
                 offsets.append(len(words))
-            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(numbers, pa.binary()), tail], ["_row", id_col, "_held", "_numbers", "_tail"])
+                if held >= TOGETHER or n == b.num_rows - 1:
+                    some = b.slice(first, len(numbers))
+                    tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words, pa.binary()))
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array(numbers, pa.binary()), tail], ["_row", id_col, "_held", "_numbers", "_tail"])
+                    numbers, words, offsets, first, held = [], [], [0], n + 1, 0
+                    pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"), held.alias("_held"))
     return written(rows.mapInArrow(run, f"_row long, `{id_col}` {kind}, _held boolean, _numbers binary, _tail array<binary>"), "lm-rows")
@@ -154,15 +159,16 @@ def sequences(batch: pa.RecordBatch, of_top: np.ndarray, open_kind: int, end: in
     return np.concatenate([*kinds, stop]), np.concatenate([*numbers, none]), lists
 
 
-def small_batches(batches, words: int = 1 << 19):
-    """Batches with about so many words (at least one text)."""
+def small_batches(batches, column: int = 0):
+    """Batches with about ``TOGETHER`` words (at least one text), by the column of numbers."""
     for b in batches:
-        done = np.cumsum(pc.binary_length(b.column(0)).to_numpy()) // 4
+        done = np.cumsum(pc.binary_length(b.column(column)).to_numpy()) // 4
         first = 0
         while first < b.num_rows:
-            here = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + words, "right")))
+            here = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + TOGETHER, "right")))
             yield b.slice(first, here - first)
             first = here
+        pa.default_memory_pool().release_unused()
 
 
 def bigram_counts(training: DataFrame, of_top: np.ndarray, open_kind: int, n_items: int) -> np.ndarray:
@@ -410,7 +416,7 @@ def encoded(rows: DataFrame, id_col: str, vocabulary: DataFrame, kind_of: np.nda
     log_of, log_end = np.log10(count_of + 1.0), math.log10(end_count + 1)
 
     def fill(batches):  # kind_of and log_of travel with the function; Settings bounds them
-        for b in batches:
+        for b in small_batches(batches, 2):
             size, known, emit, all_kinds = [], [], [], []
             found = b.column(4)
             edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy())))

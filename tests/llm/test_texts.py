@@ -181,6 +181,7 @@ def test_packs_of_a_word_add_up(spark, monkeypatch):
     few = classlm.Settings(cluster_words=5, classes=3, top_words=20, flush_words=4)
     want = sorted((bytes(r["word"]), r["c"], r["k"]) for r in classlm.fit(docs, "doc_id", "text", few, 7, 2)[1].collect())
     monkeypatch.setattr(classlm, "PIECE", 10)
+    monkeypatch.setattr(classlm, "TOGETHER", 70)
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # words go on from batch to batch
     try:
