@@ -19,7 +19,7 @@ Pairs of sources: buckets of about ``TERMS`` terms meet with blocks of ``SOURCES
 one bucket's counts for two blocks as a matrix and adds up f for the pairs between them.  Terms that
 no source of the two blocks holds enter by one product, and sums of buckets are added by shuffle.
 
-Counts are added up in tasks before the shuffle, so a frequent term leaves a task as a row per group.
+Counts are added up in tasks before the shuffle, so a frequent term leaves ``HELD`` bytes of text as a row per group.
 No group's terms or documents meet in one task or on the driver.
 
 Defined results: null text, language and source count as ''; a language without kept terms has V = 0 (pairs
@@ -33,19 +33,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missaware.llm.common import text_or_empty, written
 
 SCALE_STEPS, SCALE_STEP = 3, 1000  # the scale 10**9 as three factors
-#: Distinct terms that a task counts before it passes them on, and bytes of text cut at once.
-HELD, PIECE = 1_000_000, 1 << 22
+#: Bytes of text that a task counts at once, and bytes of a text from which on it is counted alone, in such pieces.
+HELD, PIECE = 1 << 24, 1 << 22
 #: Terms in a bucket (about) and sources in a block of the pair part; parts of the first merge.
 TERMS, SOURCES, MERGE = 2048, 64, 16
 #: Rows of the skyband stream at once, terms compared with each other, cells of a table of counts.
 CHUNK, STEP, CELLS = 4096, 256, 1 << 20
 
+KINDS, NAMES = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()), ["lang", "source", "term", "n", "d"]
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -61,42 +63,93 @@ def terms(text: bytes):
         at = end
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts, in order, and every term's text (its place in the array)."""
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2])[off[0] : off[-1]] if off[-1] > off[0] else b""
+    off = off - off[0]
+    low = np.frombuffer(bytes(raw).translate(LETTERS), np.uint8)
+    letter = low != 32
+    new = letter.copy()
+    new[1:] &= ~letter[:-1]
+    edge = off[:-1][off[:-1] < len(low)]
+    new[edge] = letter[edge]  # a term ends with its text
+    per_text = np.diff(np.searchsorted(np.flatnonzero(new), off))
+    data, at = low[letter], np.flatnonzero(new[letter])  # without what lies between, a term ends where the next starts
+    ends = np.append(at, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]), np.repeat(np.arange(len(off) - 1), per_text)
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def tally(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """``lang, source, term, n, d`` of some texts; a row with the empty term for every group."""
+    langs, sources = langs.dictionary_encode(), sources.dictionary_encode()
+    wide = len(sources.dictionary)
+    groups, group = np.unique(langs.indices.to_numpy().astype(np.int64) * wide + sources.indices.to_numpy(), return_inverse=True)
+    found, text = cut(texts)
+    found = found.dictionary_encode()
+    v = max(1, len(found.dictionary))
+    key = np.sort(text * v + found.indices.to_numpy())  # a text's equal terms are one run
+    first = runs(key)
+    n, key = np.diff(np.append(first, len(key))), key[first]
+    key = group[key // v] * v + key % v
+    order = np.argsort(key, kind="stable")
+    n, key = n[order], key[order]
+    first = runs(key)
+    d, n, key = np.diff(np.append(first, len(key))), np.add.reduceat(n, first) if len(first) else n, key[first]
+    of = groups[np.append(key // v, np.arange(len(groups)))]
+    none = np.zeros(len(groups), np.int64)
+    whole = [
+        langs.dictionary.take(pa.array(of // wide)), sources.dictionary.take(pa.array(of % wide)),
+        pa.concat_arrays([found.dictionary.take(pa.array(key % v)), pa.array([b""] * len(groups), pa.binary())]),
+        pa.array(np.append(n, none)), pa.array(np.append(d, none)),
+    ]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(whole, KINDS, strict=True)], NAMES)
+
+
+def tally_long(lang: str, source: str, text: bytes) -> pa.RecordBatch:
+    """``tally`` of one text, of which only the distinct terms are held."""
+    n: Counter = Counter()
+    for some in terms(text):
+        n.update(some)
+    whole = [lang] * (len(n) + 1), [source] * (len(n) + 1), [b"", *n], [0, *n.values()], [0] + [1] * len(n)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(whole, KINDS, strict=True)], NAMES)
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, d``: occurrences and documents; a row with the empty term for every group."""
+    """``lang, source, term, n, d``: occurrences and documents, added up within ``HELD`` bytes of a task's texts;
+    rows with the empty term for every group."""
 
     def run(batches):
-        groups: dict = {}
-
-        def rows():
-            out: list = [[], [], [], [], []]
-            for (lang, source), (n, d) in groups.items():
-                out[0] += [lang] * (len(n) + 1)
-                out[1] += [source] * (len(n) + 1)
-                out[2] += [b"", *n]
-                out[3] += [0, *n.values()]
-                out[4] += [0, *map(d.__getitem__, n)]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["lang", "source", "term", "n", "d"])
+        def counts():
+            held, size = [], 0
+            for b in batches:
+                b = [b.column(0), b.column(1), b.column(2).cast(pa.binary())]
+                sizes = pc.binary_length(b[2]).to_numpy().astype(np.int64)
+                if (sizes > PIECE).any():
+                    for i in np.flatnonzero(sizes > PIECE).tolist():
+                        yield tally_long(*[c[i].as_py() for c in b])
+                    b = [c.filter(pa.array(sizes <= PIECE)) for c in b]
+                    sizes = sizes[sizes <= PIECE]
+                first = runs(np.cumsum(sizes) // HELD).tolist()
+                for i, end in zip(first, [*first[1:], len(sizes)], strict=True):
+                    held.append([c.slice(i, end - i) for c in b])
+                    size += int(sizes[i:end].sum())
+                    if size > HELD:
+                        yield tally(*[pa.concat_arrays(c) for c in zip(*held, strict=True)])
+                        held, size = [], 0
+            if held:
+                yield tally(*[pa.concat_arrays(c) for c in zip(*held, strict=True)])
+
+        for whole in counts():
             yield from (whole.slice(i, 1 << 16) for i in range(0, whole.num_rows, 1 << 16))
 
-        held = 0
-        for b in batches:
-            for lang, source, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                n, d = groups.setdefault((lang, source), (Counter(), Counter()))
-                before, own = len(n), set()
-                for some in terms(text):
-                    n.update(some)
-                    own.update(some)
-                d.update(own)
-                held += len(n) - before
-                if held > HELD:
-                    yield from rows()
-                    groups, held = {}, 0
-        yield from rows()
-
     parts = docs.select(*[text_or_empty(F.col(c)).alias(c) for c in ("lang", "source")], text_or_empty(F.col("text")).cast("binary").alias("text"))
-    parts = parts.mapInArrow(run, "lang string, source string, term binary, n long, d long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return parts.mapInArrow(run, "lang string, source string, term binary, n long, d long")
 
 
 # ---- shares ----------------------------------------------------------------------------
@@ -231,7 +284,7 @@ def pair_part(kept: DataFrame, groups: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         mark = t.column("term").is_null()
-        m, r = t.filter(mark), t.filter(pa.compute.invert(mark))
+        m, r = t.filter(mark), t.filter(pc.invert(mark))
         order = np.argsort(m.column("place").to_numpy())
         place, total = m.column("place").to_numpy()[order], m.column("total").to_numpy()[order].astype(np.int64)
         names = m.column("source").take(pa.array(order))
@@ -260,20 +313,20 @@ def pair_part(kept: DataFrame, groups: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, min_docs: int = 3, first: int = 200) -> DataFrame:
     """``lang, source, part, item, value, rank``: all other sources (part ``pair``) and the ``first`` terms
     (part ``term``) of every source of a language, by falling value."""
-    found = written(counted(docs), "divergence-terms")
-    is_term = F.col("term") != F.lit(b"")
-    by_lang = found.filter(is_term).groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d"))
-    by_lang = written(by_lang.filter(F.col("d") >= min_docs).select("lang", "term", "lang_n"), "divergence-kept")
-    kept = written(found.filter(is_term).select("lang", "source", "term", "n").join(by_lang, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "divergence-counts")
-
-    langs = by_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_sum"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("sum"))
-    groups = found.filter(~is_term).select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    # one shuffle by the language's term serves the counts of its groups and those of the language
+    found = counted(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    over, is_term = Window.partitionBy("lang", "term"), F.col("term") != F.lit(b"")
+    found = found.withColumns({"lang_n": F.sum("n").over(over), "lang_d": F.sum("d").over(over), "least": F.min("source").over(over)})
+    new = (is_term & (F.col("source") == F.col("least"))).cast("long").alias("new")  # one row of every kept term
+    found = found.filter(~is_term | (F.col("lang_d") >= min_docs)).select("lang", "source", "term", "n", "lang_n", new)
+    found = written(found, "divergence-counts")
+    kept = found.filter(is_term).drop("new")
+
     whole = Window.partitionBy("lang")
-    groups = groups.select(
+    groups = found.groupBy("lang", "source").agg(F.sum("n").alias("sum"), F.sum("new").alias("new"))
+    groups = groups.withColumn("v", F.sum("new").over(whole)).select(
         "lang", "source", (F.row_number().over(whole.orderBy("source")) - 1).alias("place"), F.count(F.lit(1)).over(whole).cast("int").alias("sources"),
-        zero("v").alias("v"), (zero("sum") + zero("v")).alias("total"), (zero("lang_sum") + zero("v")).alias("lang_total"),
+        "v", (F.col("sum") + F.col("v")).alias("total"), (F.sum("sum").over(whole) + F.col("v")).alias("lang_total"),
     )
     groups = written(groups, "divergence-groups")
     columns = ["lang", "source", "part", "item", "value", "rank"]

@@ -115,3 +115,34 @@ def test_terms_of_long_texts_are_whole(monkeypatch):
     want = text.translate(divergence.LETTERS).split()
     monkeypatch.setattr(divergence, "PIECE", 7)
     assert [t for some in divergence.terms(text) for t in some] == want
+
+
+def test_tally_equals_plain_counts(monkeypatch):
+    import pyarrow as pa
+
+    rows = corpus(3, 120, 4) + [("en", "s0", t) for t in ("", "Ab", "cd", "", "7", "x", "x x", "é", "é")] + [("zz", "none", ""), ("zz", "last", " 1 ")]
+    rows = [(a, s, t.encode()) for a, s, t in rows]
+    want: Counter = Counter()
+    for a, s, t in rows:
+        own = Counter(x.lower() for x in re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t))
+        want.update({(a, s, b"", "n"): 0, (a, s, b"", "d"): 0})
+        for x, n in own.items():
+            want.update({(a, s, x, "n"): n, (a, s, x, "d"): 1})
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), divergence.KINDS)]
+    for cut in (0, 5, len(rows) - 1):  # arrays that start inside their buffers
+        out = divergence.tally(*[c.slice(cut) for c in columns])
+        if cut == 0:
+            assert out.schema.names == divergence.NAMES and len(out) == len({k[:3] for k in want})
+            assert {(*r[:3], k): r[i] for r in zip(*[c.to_pylist() for c in out.columns]) for i, k in ((3, "n"), (4, "d"))} == dict(want)
+        alone = Counter()
+        for r in rows[cut:]:
+            for *g, n, d in zip(*[c.to_pylist() for c in divergence.tally_long(*r).columns]):
+                alone.update({(*g, "n"): n, (*g, "d"): d})
+        assert {(*r[:3], k): r[i] for r in zip(*[c.to_pylist() for c in out.columns]) for i, k in ((3, "n"), (4, "d"))} == dict(alone)
+
+
+def test_terms_are_counted_in_one_shuffle(spark):
+    rows = corpus(4, 60, 3)
+    df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
+    assert divergence.counted(df)._jdf.queryExecution().toString().count("Exchange") <= 1  # only the table's own; audit() deals the counts by term
+    assert got(divergence.audit(df)) == brute(rows)
